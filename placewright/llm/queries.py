@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, fingerprint, packing, quality, toxicity
+from . import chat, contamination, fingerprint, packing, quality, secrets, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,74 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), contamination.contaminated().alias("contaminated"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", text), (-1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    examples = chat.expand(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
+    read = examples.select(
+        "conv_id",
+        "example",
+        F.length("formatted").alias("chars"),
+        chat.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("trained"),
+        F.when(F.col("closing"), chat.read_turns(F.col("formatted"))).alias("turns"),
+    )
+    by_conv = read.groupBy("conv_id").agg(
+        F.max("turns").alias("turns"), F.sum("chars").cast("long").alias("formatted_chars"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("example", "trained"))), lambda x: x["trained"]), "").alias("trained")
+    )
+    digest = F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256)
+    return by_conv.select("conv_id", F.size("turns").cast("long").alias("n_turns"), digest.alias("turns_sha256"), F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+n AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+         length(regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g'))
+           + length(regexp_replace(text, '(<|\[)(\\*)(/?s>|/?INST\])', '\1\\\2\3', 'g')) + CASE WHEN role = 'user' THEN 14 ELSE 8 END AS chars FROM c),
+p AS (SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS upto FROM n)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (sum(upto) FILTER (role = 'assistant' OR i = n))::BIGINT AS formatted_chars
+FROM p GROUP BY conv_id
+"""
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda k: F.size(F.filter("base", lambda s: s["rank"] == k)).cast("long")
+    return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(secrets.named(F.col("base")), 256).alias("base_sha256"), secrets.named(F.col("spans")).alias("spans"))
+
+
+def _op8_located(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
+    p = pattern.replace("'", "''")
+    return f"""SELECT doc_id, {rank} AS rank, '{kind}' AS kind, s AS start, s + length(m) AS stop, m FROM (
+      SELECT doc_id, unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(gaps[1:i], lambda g: length(g)))::BIGINT + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0)::BIGINT)) AS s, unnest(ms) AS m, unnest(g2) AS g
+      FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {2 if kind == "assign" else 0}) AS g2, regexp_split_to_array(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}'))) WHERE {keep}"""
+
+
+_ALLOWED_SQL = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOWED)
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+base AS ({_op8_located("assign", 0, secrets.ASSIGN, "length(g) >= 6")} UNION ALL {_op8_located("access", 1, secrets.ACCESS)} UNION ALL {_op8_located("hex", 2, secrets.HEX)}),
+cand AS (SELECT *, regexp_full_match(m, '[0-9a-f]+') AS is_hex FROM ({_op8_located("candidate", 9, secrets.CANDIDATE)}) WHERE NOT ({_ALLOWED_SQL})),
+win AS (SELECT doc_id, start, is_hex, m, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS b FROM cand),
+chars AS (SELECT doc_id, start, is_hex, b, unnest(string_split(substr(m, b + 1, {secrets.WINDOW}), '')) AS c FROM win),
+counts AS (SELECT doc_id, start, is_hex, b, c, count(*) AS n FROM chars GROUP BY ALL),
+passing AS (SELECT doc_id, start, is_hex, b FROM counts GROUP BY ALL HAVING log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} >= CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END),
+runs AS (SELECT *, sum(CASE WHEN b <= prev + {secrets.WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY b) AS run FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id, start ORDER BY b) AS prev FROM passing)),
+entropy AS (SELECT doc_id, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind, start + min(b) AS s, start + max(b) + {secrets.WINDOW} AS e FROM runs GROUP BY doc_id, start, is_hex, run),
+added AS (SELECT * FROM entropy x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start <= x.s AND x.e <= b.stop)),
+every AS (SELECT doc_id, rank, kind, start AS s, stop AS e FROM base UNION ALL SELECT doc_id, rank, kind, s, e FROM added),
+texts AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base_spans,
+  count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN texts USING (doc_id)
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +118,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_fingerprint, op5_toxicity, op6_decontamination, op9_packing)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing)}
+ORACLES: dict[str, str] = {"op7_chat": OP7_SQL, "op8_secrets": OP8_SQL}
