@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprint, near_dedup, packing, quality, secrets, toxicity
+from . import chat, contamination, fingerprint, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -139,5 +139,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    texts = suffix_dedup.distinct_texts(docs)
+    digests = texts.select("text_key", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return docs.select("doc_id", suffix_dedup.text_key().alias("text_key")).join(digests, "text_key").drop("text_key")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op7_chat": OP7_SQL, "op8_secrets": OP8_SQL}
