@@ -39,21 +39,27 @@ SHARDS = "doc_ids array<long>, n_words array<int>, terms binary, ends binary, po
 GAP = 64
 
 
+def postings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words per text, distinct terms, the end of each term's list, and all lists: one shard."""
+    starts, ends, first = words(data, offsets, NOT_ALNUM)
+    n = np.diff(first)
+    hashes = word_hashes(data, starts, ends)
+    position = np.arange(len(hashes)) + np.repeat(np.arange(len(n)) * GAP, n)
+    order = np.argsort(hashes, kind="stable")
+    hashes = hashes[order]
+    last = np.ones(len(hashes), bool)
+    last[:-1] = hashes[1:] != hashes[:-1]
+    return n, hashes[last], (np.flatnonzero(last) + 1).astype(np.int32), position[order].astype(np.int32)
+
+
 def build_index(docs: DataFrame) -> DataFrame:
     """Shards of the positional index; write them with ``.write.parquet`` to search them again later."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches, limit=SHARD_BYTES):
-            starts, ends, first = words(data, offsets, NOT_ALNUM)
-            n = np.diff(first)
-            hashes = word_hashes(data, starts, ends)
-            position = np.arange(len(hashes)) + np.repeat(np.arange(len(n)) * GAP, n)
-            order = np.argsort(hashes, kind="stable")
-            hashes = hashes[order]
-            last = np.ones(len(hashes), bool)
-            last[:-1] = hashes[1:] != hashes[:-1]
+            n, terms, ends, positions = postings(data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (hashes[last], (np.flatnonzero(last) + 1).astype(np.int32), position[order].astype(np.int32)))],
+                [pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, positions))],
                 names=["doc_ids", "n_words", "terms", "ends", "positions"],
             )
 
@@ -63,10 +69,8 @@ def build_index(docs: DataFrame) -> DataFrame:
 class Shard:
     """One row of the index."""
 
-    def __init__(self, row: dict) -> None:
-        self.doc_ids = row["doc_ids"]
-        self.n_words = np.array(row["n_words"], np.int64)
-        self.terms, self.ends, self.positions = (np.frombuffer(row[k], t) for k, t in (("terms", U), ("ends", np.int32), ("positions", np.int32)))
+    def __init__(self, n_words: np.ndarray, terms: np.ndarray, ends: np.ndarray, positions: np.ndarray) -> None:
+        self.n_words, self.terms, self.ends, self.positions = n_words, terms, ends, positions
         self.first = np.concatenate([[0], np.cumsum(self.n_words + GAP)])
 
     def lookup(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,6 +111,46 @@ def phrases(items: list[tuple[object, str | None]], size: int = WINDOW) -> list[
     return out
 
 
+class Phrases:
+    """Test items with their windows, looked up in one shard after another."""
+
+    def __init__(self, items: list[tuple[object, str | None]], size: int, slop: int = 0, anchors: int = 3) -> None:
+        self.tests, self.size, self.slop, self.anchors = phrases(items, size), size, slop, anchors
+        self.every = np.concatenate([h for _, h, _ in self.tests]) if self.tests else np.zeros(0, U)
+        self.at = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in self.tests])]).astype(np.int64)
+
+    def search(self, shard: Shard) -> tuple[np.ndarray, list[list[str]], list[list[list[int]]], list[list[str]]]:
+        """For each document of the shard: hit words, items with an occurring window, hit spans, items near by."""
+        n, at = len(shard.n_words), self.at
+        begins, ends = shard.lookup(self.every)
+        there = ends > begins
+        found: list[set] = [set() for _ in range(n)]
+        near: list[set] = [set() for _ in range(n)]
+        change = np.zeros(int(shard.first[-1]) + 1, np.int32)
+        for k, (item, h, windows) in enumerate(self.tests):
+            b, e = begins[at[k] : at[k + 1]], ends[at[k] : at[k + 1]]
+            w = min(self.size, len(h))
+            missing = np.concatenate([[0], np.cumsum(~there[at[k] : at[k + 1]])])
+            for s in windows[missing[windows + w] == missing[windows]]:
+                starts = shard.phrase(b[s : s + w], e[s : s + w])
+                if len(starts):
+                    np.add.at(change, starts, 1)
+                    np.add.at(change, starts + w, -1)
+                    for d in np.unique(shard.document(starts)):
+                        found[d].add(item)
+            if self.slop and there[at[k] : at[k + 1]].all():
+                for d in proximity(shard, b, e, min(self.anchors, len(h)), self.slop):
+                    near[d].add(item)
+        hit = np.cumsum(change) > 0
+        counts = np.concatenate([[0], np.cumsum(hit)])
+        edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
+        lo, hi = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
+        spans: list[list] = [[] for _ in range(n)]
+        for d, x, y in zip(shard.document(lo), lo, hi):
+            spans[d].append([int(x - shard.first[d]), int(y - shard.first[d])])
+        return counts[shard.first[1:]] - counts[shard.first[:-1]], [sorted(map(str, x)) for x in found], spans, [sorted(map(str, x)) for x in near]
+
+
 def search(index: DataFrame, items: list[tuple[object, str | None]], size: int = WINDOW, slop: int = 0, anchors: int = 3) -> DataFrame:
     """(doc_id, n_words, n_hit, items, spans, near) for every indexed document.
 
@@ -116,53 +160,40 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = phrases(items, size)
-        every = np.concatenate([h for _, h, _ in tests]) if tests else np.zeros(0, U)
-        at = np.concatenate([[0], np.cumsum([len(h) for _, h, _ in tests])]).astype(np.int64)
+        tests = Phrases(items, size, slop, anchors)
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row)
-                begins, ends = shard.lookup(every)
-                there = ends > begins
-                hits: list[tuple[np.ndarray, int]] = []
-                found: list[set] = [set() for _ in shard.doc_ids]
-                near: list[set] = [set() for _ in shard.doc_ids]
-                for k, (item, h, windows) in enumerate(tests):
-                    b, e = begins[at[k] : at[k + 1]], ends[at[k] : at[k + 1]]
-                    w = min(size, len(h))
-                    missing = np.concatenate([[0], np.cumsum(~there[at[k] : at[k + 1]])])
-                    for s in windows[missing[windows + w] == missing[windows]]:
-                        starts = shard.phrase(b[s : s + w], e[s : s + w])
-                        if len(starts):
-                            hits.append((starts, w))
-                            for d in np.unique(shard.document(starts)):
-                                found[d].add(item)
-                    if slop and there[at[k] : at[k + 1]].all():
-                        for d in proximity(shard, b, e, min(anchors, len(h)), slop):
-                            near[d].add(item)
-                total = int(shard.first[-1])
-                change = np.zeros(total + 1, np.int32)
-                for starts, w in hits:
-                    np.add.at(change, starts, 1)
-                    np.add.at(change, starts + w, -1)
-                hit = np.cumsum(change) > 0
-                counts = np.concatenate([[0], np.cumsum(hit)])
-                n_hit = counts[shard.first[1:]] - counts[shard.first[:-1]]
-                edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
-                lo, hi = np.flatnonzero(edge > 0), np.flatnonzero(edge < 0)
-                owner = shard.document(lo)
-                spans: list[list] = [[] for _ in shard.doc_ids]
-                for d, x, y in zip(owner, lo, hi):
-                    spans[d].append([int(x - shard.first[d]), int(y - shard.first[d])])
+                shard = Shard(np.array(row["n_words"], np.int64), *(np.frombuffer(row[k], t) for k, t in (("terms", U), ("ends", np.int32), ("positions", np.int32))))
+                n_hit, found, spans, near = tests.search(shard)
                 text = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shard.doc_ids, pa.int64()), pa.array(shard.n_words), pa.array(n_hit.astype(np.int64)), pa.array([sorted(map(str, x)) for x in found], text), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(map(str, x)) for x in near], text)],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(shard.n_words), pa.array(n_hit.astype(np.int64)), pa.array(found, text), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(near, text)],
                     names=["doc_id", "n_words", "n_hit", "items", "spans", "near"],
                 )
 
     return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>, near array<string>")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """``docs`` without contaminated rows, all columns kept; each batch is a shard that is indexed and searched in place."""
+    items = benchmark.select("item_id", "text").where("item_id is not null")
+    total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    if total > BROADCAST_BYTES:
+        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+        found = find(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, size).where(contaminated())
+        return numbered.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
+    tests = [tuple(r) for r in items.collect()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look = Phrases(tests, size)
+        for rows, data, offsets in slices(batches, limit=SHARD_BYTES):
+            shard = Shard(*postings(data, offsets))
+            n_hit = look.search(shard)[0]
+            yield rows.filter(pa.array(~((n_hit > 0) & (20 * n_hit >= shard.n_words))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def proximity(shard: Shard, begins: np.ndarray, ends: np.ndarray, anchors: int, slop: int) -> np.ndarray:
     """Documents in which the ``anchors`` rarest terms stand within ``slop`` words of an occurrence of the rarest."""
     order = np.argsort(ends - begins, kind="stable")[:anchors]

@@ -101,12 +101,9 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 8
     return weights, thresholds
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """All columns of ``docs`` and ``expected_grade`` and ``tails`` (P(grade >= k) for k = 1, 2, ...)."""
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], name: str = "tails") -> DataFrame:
+    """All columns of ``docs`` and ``name``: P(grade >= k) for k = 1, 2, ..., whose sum is the expected grade."""
     weights, thresholds = model
-    name = "_tails"
-    while name in docs.columns:
-        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
@@ -118,11 +115,13 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.FixedSizeListArray.from_arrays(pa.array(tails.ravel()), len(thresholds)).cast(pa.list_(pa.float64()))], names=[*rows.schema.names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.ArrayType(T.DoubleType()))])
-    out = docs.mapInArrow(run, schema)
-    tail = F.col(name)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.aggregate(tail, F.lit(0.0), lambda a, x: a + x).alias("expected_grade"), tail.alias("tails"))
+    return docs.mapInArrow(run, schema)
 
 
-def selected(k: int = 1, least: float = 0.5) -> Column:
+def expected_grade(name: str = "tails") -> Column:
+    return F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+
+
+def selected(k: int = 1, least: float = 0.5, name: str = "tails") -> Column:
     """Rows whose P(grade >= k) is at least ``least``."""
-    return F.get("tails", F.lit(k - 1)) >= least
+    return F.get(name, F.lit(k - 1)) >= least

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprint, near_dedup, packing, quality, secrets, suffix_dedup, toxicity
+from . import chat, contamination, fingerprint, near_dedup, packing, passage_dedup, quality, secrets, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +18,17 @@ def held_out() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
 
 
+def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that stand, perhaps edited, in two documents."""
+    return passage_dedup.passages(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected grade and tail probabilities of every document, and whether it is kept."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, quality.grades(table(spark, sf_dir, "labels").where(~held_out())), 3)
     scored = quality.score(docs.select("doc_id", "text"), model)
-    return scored.select("doc_id", "expected_grade", F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_best"), quality.selected().alias("kept"))
+    return scored.select("doc_id", quality.expected_grade().alias("expected_grade"), F.col("tails")[0].alias("p_good"), F.col("tails")[1].alias("p_best"), quality.selected().alias("kept"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,5 +151,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", suffix_dedup.text_key().alias("text_key")).join(digests, "text_key").drop("text_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_passages, op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op7_chat": OP7_SQL, "op8_secrets": OP8_SQL}

@@ -25,3 +25,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/placewright-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name that none of ``columns`` has, whatever its case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
