@@ -77,7 +77,7 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 8
         for rows, data, offsets in slices(batches):
             owner, cell, value = values(*cells(data, offsets))
             at = np.searchsorted(owner, np.arange(rows.num_rows + 1))
-            yield pa.RecordBatch.from_arrays([rows.column("grade"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.float32()))], names=["grade", "cells", "values"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("grade"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32())), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.float32()))], names=["doc_id", "grade", "cells", "values"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -90,8 +90,8 @@ def fit(docs: DataFrame, ratings: DataFrame, n_grades: int, sample_rows: int = 8
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([at, -1 - np.arange(len(theta))])), pa.array(np.concatenate([w[at].astype(np.float64), theta]))], names=["cell", "weight"])
 
     # The sample's size is bounded by sample_rows, so it may be broadcast and fitted in one task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text")
-    model = rows.mapInArrow(featured, "grade int, cells array<int>, values array<float>").coalesce(1).mapInArrow(learn, "cell long, weight double").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text")
+    model = rows.mapInArrow(featured, "doc_id long, grade int, cells array<int>, values array<float>").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "cell long, weight double").collect()
     weights, thresholds = np.zeros(1 << BITS, np.float32), np.full(n_grades - 1, -np.inf)
     for cell, weight in model:
         if cell >= 0:

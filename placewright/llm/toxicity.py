@@ -80,7 +80,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, penalty: fl
             other_owner, _ = cells(*strings(pa.array(other, pa.string())))
             own = np.searchsorted(other_owner, np.arange(rows.num_rows + 1))
             lists = [other_cell[own[i] : own[i + 1]] if t is not None else None for i, t in enumerate(other)]
-            yield pa.RecordBatch.from_arrays([rows.column("toxic"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32())), pa.array(lists, pa.list_(pa.int32()))], names=["toxic", "cells", "swapped"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32())), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "toxic", "cells", "swapped"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batches = list(batches)
@@ -103,8 +103,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, penalty: fl
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(w[at].astype(np.float64), -theta[0]))], names=["cell", "weight"])
 
     # The sample's size is bounded by sample_rows, so it may be broadcast and fitted in one task.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
-    model = rows.mapInArrow(featured, "toxic int, cells array<int>, swapped array<int>").coalesce(1).mapInArrow(learn, "cell long, weight double").collect()
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text")
+    model = rows.mapInArrow(featured, "doc_id long, toxic int, cells array<int>, swapped array<int>").repartition(1).sortWithinPartitions("doc_id").mapInArrow(learn, "cell long, weight double").collect()
     weights, intercept = np.zeros(1 << BITS, np.float32), 0.0
     for cell, weight in model:
         if cell >= 0:
