@@ -39,7 +39,10 @@ ALLOWED = (
 )
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 SPAN = "struct<start:int,rank:int,end:int>"
-NONE = F.expr(f"cast(array() as array<{SPAN}>)")
+
+
+def nothing() -> Column:
+    return F.expr(f"cast(array() as array<{SPAN}>)")
 
 
 def located(text: Column, pattern: str, rank: Column, keep: Column | None = None) -> Column:
@@ -54,8 +57,8 @@ def located(text: Column, pattern: str, rank: Column, keep: Column | None = None
         span = F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"))
         return F.struct(end.alias("at"), F.when(row["keep"], F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), NONE.alias("out")), step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(NONE)
+    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), nothing().alias("out")), step)["out"]
+    return F.when(text.rlike(pattern), found).otherwise(nothing())
 
 
 def base_spans(text: Column) -> Column:
@@ -108,8 +111,8 @@ def entropy_spans(text: Column) -> Column:
         spans = F.transform(windows, lambda w: F.struct((start + w["b"]).alias("start"), F.when(is_hex(row["found"]), 3).otherwise(4).alias("rank"), (start + w["e"]).alias("end")))
         return F.struct((start + F.length(row["found"])).alias("at"), F.concat(state["out"], spans).alias("out"))
 
-    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), NONE.alias("out")), step)["out"]
-    return F.when(text.rlike(CANDIDATE), found).otherwise(NONE)
+    found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), nothing().alias("out")), step)["out"]
+    return F.when(text.rlike(CANDIDATE), found).otherwise(nothing())
 
 
 def scan(docs: DataFrame) -> DataFrame:
