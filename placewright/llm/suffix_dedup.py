@@ -5,8 +5,9 @@ else goes. Documents with equal texts are handled once, by the MD5 of the text.
 
 1. In every window of LENGTH bytes the position whose ``GRAM`` bytes hash
    smallest is the window's anchor, so equal windows have equal anchors at equal
-   distances. About one byte in a hundred is an anchor; only anchors whose gram
-   stands more than once go on, with the bytes of the windows they serve.
+   distances. About one byte in 170 is an anchor. The grams of each distinct text
+   are counted; texts with a gram that stands more than once find its anchors
+   again and send the bytes of the windows these serve.
 2. The suffixes that begin at the anchors of one gram are merge-sorted. Two of
    them are compared at their first difference, found by binary search over
    prefix polynomial hashes. Windows of one distance to the anchor are equal if
@@ -32,13 +33,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import kept
 from .textops import U, longs, powers, prefix_hashes, slices, span_hashes
 
-LENGTH, GRAM = 400, 128
+LENGTH, GRAM = 400, 64
 WIDTH = LENGTH - GRAM + 1
 POSITION_BITS = 30
-ANCHORS = "text_key string, n_bytes long, keys array<long>, anchors array<int>, firsts array<int>, lasts array<int>"
 
 
 def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -75,19 +74,17 @@ def find_anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...
     return text[first], grams[anchor[first]], anchor[first] - base, start[first] - base, start[last] - base
 
 
-def anchored(docs: DataFrame) -> DataFrame:
-    """The anchors of each distinct text."""
+def grams(docs: DataFrame) -> DataFrame:
+    """(text_key, keys): the anchors' gram hashes of each text, as often as they stand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
-            text, keys, anchor, first, last = find_anchors(data, offsets)
-            n = rows.num_rows
-            at = pa.array(np.searchsorted(text, np.arange(n + 1)), pa.int32())
-            sums = [hashlib.md5(data[offsets[i] : offsets[i + 1]]).hexdigest() for i in range(n)]
-            lists = [pa.ListArray.from_arrays(at, longs(keys)), *(pa.ListArray.from_arrays(at, pa.array(x.astype(np.int32))) for x in (anchor, first, last))]
-            yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array(np.diff(offsets)), *lists], names=["text_key", "n_bytes", "keys", "anchors", "firsts", "lasts"])
+            text, keys, *_ = find_anchors(data, offsets)
+            at = pa.array(np.searchsorted(text, np.arange(rows.num_rows + 1)), pa.int32())
+            sums = [hashlib.md5(data[offsets[i] : offsets[i + 1]]).digest() for i in range(rows.num_rows)]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.binary()), pa.ListArray.from_arrays(at, longs(keys))], names=["text_key", "keys"])
 
-    return docs.select("text").mapInArrow(run, ANCHORS)
+    return docs.select("text").mapInArrow(run, "text_key binary, keys array<long>")
 
 
 class Suffixes:
@@ -228,20 +225,20 @@ def exact_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, group: n
 
 def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     """(distinct texts as (text_key, text), (text_key, n, ranges)): how often each text stands, and its repeated [begin, end) bytes."""
-    each = kept(anchored(docs), "anchors")
-    counts = each.groupBy("text_key").agg(F.count("*").alias("n"))
-    unique = docs.select(text_key().alias("text_key"), F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
-    single = each.where(F.size("keys") > 0).dropDuplicates(["text_key"])
-    rows = single.select("text_key", F.inline(F.arrays_zip("keys", "anchors", "firsts", "lasts"))).toDF("text_key", "key", "anchor", "first", "last")
-    grams = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    repeated = rows.join(grams, "key").groupBy("text_key").agg(F.collect_list(F.struct("anchor", "first", "last", "key", (F.col("m") > hot).alias("hot"))).alias("at"))
+    key = text_key().alias("text_key")
+    counts = docs.select(key).groupBy("text_key").agg(F.count("*").alias("n"))
+    unique = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
+    single = grams(docs).where(F.size("keys") > 0).dropDuplicates(["text_key"])
+    rows = single.select("text_key", F.explode("keys").alias("key"))
+    many = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    repeated = rows.join(many, "key").groupBy("text_key").agg(F.collect_set(F.struct("key", (F.col("m") > hot).alias("hot"))).alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[] for _ in range(7)]
         size = 0
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(pa.int64())]
             r = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "text_key", "first", "anchor", "bytes", "hot", "hashes"])
             for x in out:
                 x.clear()
@@ -250,24 +247,27 @@ def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
         for rows in batches:
             for name, text, at in zip(rows.column("text_key").to_pylist(), rows.column("text").to_pylist(), rows.column("at").to_pylist()):
                 raw = text.encode()
-                prefix = None
-                for a in at:
-                    part, hashes = raw[a["first"] : a["last"] + LENGTH], None
-                    if a["hot"]:
-                        if prefix is None:
-                            prefix = prefix_hashes(np.frombuffer(raw, np.uint8), lower=False)
-                        s = np.arange(a["first"], a["last"] + 1)
+                data = np.frombuffer(raw, np.uint8)
+                asked = {a["key"]: a["hot"] for a in at}
+                _, keys, anchors, firsts, lasts = find_anchors(data, np.array([0, len(data)]))
+                prefix = prefix_hashes(data, lower=False) if any(asked.values()) else None
+                for key, anchor, first, last in zip(keys.view(np.int64).tolist(), anchors.tolist(), firsts.tolist(), lasts.tolist()):
+                    if key not in asked:
+                        continue
+                    part, hashes = raw[first : last + LENGTH], None
+                    if asked[key]:
+                        s = np.arange(first, last + 1)
                         part, hashes = None, span_hashes(prefix, s, s + LENGTH).view(np.int64)
-                    for x, v in zip(out, (a["key"], name, a["first"], a["anchor"] - a["first"], part, a["hot"], hashes)):
+                    for x, v in zip(out, (key, name, first, anchor - first, part, asked[key], hashes)):
                         x.append(v)
-                    size += a["last"] - a["first"] + LENGTH
+                    size += last - first + LENGTH
                 if size > 4 << 20:
                     size = 0
                     yield batch()
         if out[0]:
             yield batch()
 
-    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key string, first int, anchor int, bytes binary, hot boolean, hashes array<long>")
+    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key binary, first int, anchor int, bytes binary, hot boolean, hashes array<long>")
 
     def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
@@ -298,10 +298,10 @@ def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = served.where("not hot").select("key", "text_key", "first", "anchor", "bytes").repartition(parts, "key").sortWithinPartitions("key")
-    ranges = cold.mapInArrow(sorted_groups, "text_key string, b int, e int")
+    ranges = cold.mapInArrow(sorted_groups, "text_key binary, b int, e int")
     window = served.where("hot").select("key", "text_key", "first", "anchor", F.posexplode("hashes").alias("i", "hash")).select("key", (F.col("anchor") - F.col("i")).alias("distance"), "hash", "text_key", (F.col("first") + F.col("i")).alias("b"))
-    many = window.groupBy("key", "distance", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    ranges = ranges.unionByName(window.join(many, ["key", "distance", "hash"]).select("text_key", "b", (F.col("b") + LENGTH).cast("int").alias("e")))
+    twice = window.groupBy("key", "distance", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
+    ranges = ranges.unionByName(window.join(twice, ["key", "distance", "hash"]).select("text_key", "b", (F.col("b") + LENGTH).cast("int").alias("e")))
     found = ranges.groupBy("text_key").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
     return unique, counts.join(found, "text_key", "left")
 
@@ -337,12 +337,12 @@ def distinct_texts(docs: DataFrame, hot: int = 4096) -> DataFrame:
                     sizes.append(len(raw))
                 yield pa.RecordBatch.from_arrays([some.column("text_key"), pa.array(sizes, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(left, pa.binary())], names=["text_key", "n_bytes", "spans", "kept"])
 
-    return unique.join(found, "text_key").select("text_key", "text", "n", "ranges").mapInArrow(cut, "text_key string, n_bytes long, spans array<array<int>>, kept binary")
+    return unique.join(found, "text_key").select("text_key", "text", "n", "ranges").mapInArrow(cut, "text_key binary, n_bytes long, spans array<array<int>>, kept binary")
 
 
 def text_key() -> Column:
     """The name of a text."""
-    return F.md5(F.coalesce("text", F.lit("")))
+    return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
 def dedup(docs: DataFrame, hot: int = 4096) -> DataFrame:

@@ -1,0 +1,30 @@
+"""The stages of the corpus pipeline."""
+
+import importlib
+
+import pytest
+
+corpus_pipeline = pytest.importorskip("corpus_pipeline")
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_in_order(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    before = {r.doc_id: r.text for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+        docs.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        if name != "packing":
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            now = {r.doc_id: r.text for r in docs.collect()}
+            assert set(now) <= set(before) and len(now) > 0.7 * len(before)
+            if name != "secret scans":
+                assert all(before[k] == t for k, t in now.items())
+            before = now
+    assert {r.doc_id for r in docs.collect()} == set(before)
+
+
+def test_registered():
+    entry = importlib.import_module("__spark_entry__")
+    assert {"pipeline", *(f"op{n}_" for n in range(1, 11))} <= {k if k == "pipeline" else k.split("_")[0] + "_" for k in entry.queries()}
