@@ -215,7 +215,7 @@ def strategy_resolution(spark, sf_dir):
 @query_of()
 def query_clauses(spark, sf_dir):
     """What each query asks of the index, as rows."""
-    return strategy.clauses(service.preview(asked(spark, sf_dir)))
+    return strategy.clauses(service.planned(asked(spark, sf_dir)))
 
 
 # --- Retrieval --------------------------------------------------------------------------------------------------
@@ -334,7 +334,7 @@ def resolve_alternatives(spark, sf_dir):
 @query_of()
 def address_search(spark, sf_dir):
     """Whole searches: every asked query against the address index, ranked and explained."""
-    built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]))
+    built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]).cache())
     found = service.search_addresses(asked(spark, sf_dir), built_index, 20)
     return found.select("query_id", "doc_id", "place", "strategy", "bm25_score", "score", "confidence", "label", "explanation")
 
@@ -403,8 +403,7 @@ def fitted(spark, sf_dir):
 @query_of()
 def entity_fit(spark, sf_dir):
     """Entity fit of pairs (tested by example: its parts have their own SQL)."""
-    df = fitted(spark, sf_dir)
-    return df.select("id", F.round(rank.entity_fit(F.col("entities"), df.columns), 6).alias("fit"))
+    return rank.with_entity_fit(fitted(spark, sf_dir)).select("id", F.round("entity_fit", 6).alias("fit"))
 
 
 @query_of("WITH " + duck(PAIRS) + ", " + FITTED + f" SELECT id, (CASE WHEN {_norm('building_name')} = {_norm('c_building')} THEN 1 ELSE 0 END + CASE WHEN {_norm('locality')} = {_norm('c_locality')} THEN 1 ELSE 0 END + CASE WHEN {_norm('city')} = {_norm('c_city')} THEN 1 ELSE 0 END + CASE WHEN pincode = c_pincode THEN 1 ELSE 0 END) AS n FROM fp")

@@ -35,7 +35,7 @@ def features(pairs: DataFrame) -> DataFrame:
     A missing entity is stood in for by the whole query.
     """
     e, query = F.col("entities"), F.coalesce("text", F.lit(""))
-    asked = {q: (query if q == "full_address" else F.coalesce(F.nullif(e[q], F.lit("")), query)) for q, _ in PAIRS}
+    asked = {q: (query if q == "full_address" else F.coalesce(F.when(e[q] != "", e[q]), query)) for q, _ in PAIRS}
     has_geo = F.col("location").isNotNull() if "location" in pairs.columns else F.lit(False)
     distance = S.haversine(F.col("lat"), F.col("lon"), F.col("location.lat"), F.col("location.lon")) if {"lat", "lon", "location"} <= set(pairs.columns) else F.lit(None).cast("double")
     candidate = F.concat_ws(" ", *[F.col(c) for c in TEXT_FIELDS if c in pairs.columns])
@@ -62,25 +62,36 @@ def locality_similarity(asked: Column, found: Column) -> Column:
     return F.when((F.coalesce(asked, F.lit("")) == "") | (F.coalesce(found, F.lit("")) == ""), 0.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
-def entity_fit(e: Column, columns: list[str]) -> Column:
-    """How well a candidate has the query's entities, 0 to 1."""
+def with_entity_fit(pairs: DataFrame, name: str = "entity_fit") -> DataFrame:
+    """``pairs`` (entities, a candidate's fields) with how well the candidate has the query's entities, 0 to 1.
+
+    The similarities are columns of their own first, so each is worked out once.
+    """
+    e, columns = F.col("entities"), pairs.columns
     col = lambda c: F.col(c) if c in columns else F.lit(None).cast("string")
     has = lambda k: F.coalesce(e[k] != "", F.lit(False))
-    address = best(locality_variants(e["locality"]), lambda v: S.ratio(v, col("full_address")))
-    similar = locality_similarity(e["locality"], col("locality"))
-    similar = F.when(address >= 0.5, F.greatest(similar, 0.85 * address)).otherwise(similar)
-    locality = F.when(has("locality"), 0.60 * similar + F.when(similar >= 0.88, 0.15).otherwise(0.0)).otherwise(0.0)
-    office_like = F.greatest(*[S.ratio(e["office_name"], col(c)) for c in ("office_name", "building_name", "full_address")])
-    office = F.when(has("office_name"), 0.55 * office_like + F.when(office_like >= 0.85, 0.15).otherwise(0.0)).otherwise(0.0)
+    only = lambda k, value: F.when(has(k), value).otherwise(0.0)
     cities = locality_variants(e["city"])
+    parts = {
+        "_address": only("locality", best(locality_variants(e["locality"]), lambda v: S.ratio(v, col("full_address")))),
+        "_locality": only("locality", locality_similarity(e["locality"], col("locality"))),
+        **{f"_office_{c}": only("office_name", S.ratio(e["office_name"], col(c))) for c in ("office_name", "building_name", "full_address")},
+        "_city": only("city", best(cities, lambda v: S.ratio(v, col("city_name")))),
+        "_district": only("city", best(cities, lambda v: S.ratio(v, col("district_name")))),
+        **{f"_building_{c}": only("building_name", S.ratio(e["building_name"], col(c))) for c in ("building_name", "full_address")},
+        **{f"_road_{c}": only("road_name", S.ratio(e["road_name"], col(c))) for c in ("road_name", "full_address")},
+    }
+    most = lambda prefix: F.greatest(*[F.col(c) for c in parts if c.startswith(prefix)])
+    out = pairs.withColumns(parts).withColumns({"_similar": F.greatest("_locality", F.when(F.col("_address") >= 0.5, 0.85 * F.col("_address")).otherwise(0.0)), "_office": most("_office_"), "_near": F.greatest("_city", "_district")})
+    similar, office = F.col("_similar"), F.col("_office")
     hit = F.exists(cities, lambda v: S.exact_match(v, col("city_name")) | S.exact_match(v, col("district_name")))
-    near = F.greatest(best(cities, lambda v: S.ratio(v, col("city_name"))), best(cities, lambda v: S.ratio(v, col("district_name"))))
-    weight = F.when(~has("locality") | (similar >= 0.72), 0.35).otherwise(0.08)
-    city = F.when(has("city"), weight * F.when(hit, 1.0).otherwise(near)).otherwise(0.0)
-    building = F.when(has("building_name"), 0.25 * F.greatest(S.ratio(e["building_name"], col("building_name")), S.ratio(e["building_name"], col("full_address")))).otherwise(0.0)
-    pincode = F.when(has("pincode") & S.exact_match(e["pincode"], col("pincode")), 0.25).otherwise(0.0)
-    road = F.when(has("road_name"), 0.15 * F.greatest(S.ratio(e["road_name"], col("road_name")), S.ratio(e["road_name"], col("full_address")))).otherwise(0.0)
-    return F.least(F.greatest(locality + office + city + building + pincode + road, F.lit(0.0)), F.lit(1.0))
+    fit = only("locality", 0.60 * similar + F.when(similar >= 0.88, 0.15).otherwise(0.0))
+    fit += only("office_name", 0.55 * office + F.when(office >= 0.85, 0.15).otherwise(0.0))
+    fit += only("city", F.when(~has("locality") | (similar >= 0.72), 0.35).otherwise(0.08) * F.when(hit, 1.0).otherwise(F.col("_near")))
+    fit += only("building_name", 0.25 * most("_building_"))
+    fit += F.when(has("pincode") & S.exact_match(e["pincode"], col("pincode")), 0.25).otherwise(0.0)
+    fit += only("road_name", 0.15 * most("_road_"))
+    return out.withColumn(name, F.least(F.greatest(fit, F.lit(0.0)), F.lit(1.0))).select(*[F.col(f"`{c}`") for c in columns if c != name], name)
 
 
 def exact_count(e: Column, columns: list[str]) -> Column:
@@ -112,13 +123,13 @@ def label(c: Column) -> Column:
 
 
 def has_entities(e: Column) -> Column:
-    return F.coalesce(*[F.nullif(e[k], F.lit("")) for k in ("locality", "city", "building_name", "office_name", "road_name", "pincode", "district", "state")]).isNotNull()
+    return F.coalesce(*[F.when(e[k] != "", e[k]) for k in ("locality", "city", "building_name", "office_name", "road_name", "pincode", "district", "state")]).isNotNull()
 
 
 def rank(pairs: DataFrame, model: str | None = None) -> DataFrame:
     """``pairs`` with entity_fit, score and confidence, numbered from the best (``place``). A model's score counts only for queries without entities."""
     e, own = F.col("entities"), pairs.columns
-    out = pairs.withColumns({"entity_fit": entity_fit(e, own), "exact_count": exact_count(e, own)})
+    out = with_entity_fit(pairs).withColumn("exact_count", exact_count(e, own))
     by_model = F.when(~has_entities(e), F.col(model)) if model else None
     out = out.withColumn("_parts", combined(F.col("bm25_score"), F.col("exact_count"), F.col("entity_fit"), F.col("quality_score") if "quality_score" in own else F.lit(None).cast("double"), by_model))
     out = out.withColumns({"score": score(F.col("_parts")), "confidence": confidence(F.col("_parts"))}).drop("_parts")

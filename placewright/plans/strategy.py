@@ -8,6 +8,7 @@ is one broadcast join with a table of known size.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -142,7 +143,7 @@ def specification() -> list[tuple]:
 
 def resolve(entities: Column, intent: Column, asked: Column, lat: Column, lon: Column, pincode: Column, state: Column) -> Column:
     """The strategy that a query is run with."""
-    has = lambda *ks: F.coalesce(*[F.nullif(entities[k], F.lit("")) for k in ks]).isNotNull()
+    has = lambda *ks: reduce(lambda a, b: a | b, [entities[k].isNotNull() for k in ks])
     by_intent = {"PINCODE_SEARCH": "pincode", "CITY_SEARCH": "city", "LOCALITY_SEARCH": "locality", "DISTRICT_SEARCH": "district", "STATE_SEARCH": "state", "BUILDING_SEARCH": "building", "OFFICE_SEARCH": "office", "NEARBY_SEARCH": "fuzzy", "ROAD_SEARCH": "road", "FULL_ADDRESS_SEARCH": "full_address"}
     return (
         F.when(F.coalesce(asked, F.lit("auto")) != "auto", F.when(asked.isin(*STRATEGIES), asked).otherwise("auto"))
@@ -209,7 +210,7 @@ def plan(analysed: DataFrame) -> DataFrame:
     own = analysed.withColumn("asked", F.struct(*analysed.columns))
     e = F.col("entities")
     pairs = {"state": "state", "district": "district", "city": "city", "locality": "locality", "building": "building_name", "pincode": "pincode", "office": "office_name"}
-    filters = F.struct(*[F.coalesce(F.nullif(given(k), F.lit("")), e[v]).alias(k) for k, v in pairs.items()])
+    filters = F.struct(*[F.coalesce(F.when(given(k) != "", given(k)), e[v]).alias(k) for k, v in pairs.items()])
     lat, lon = given("lat", "double"), given("lon", "double")
     out = own.withColumn("filters", filters)
     asked = resolve(e, F.col("intent"), given("strategy"), lat, lon, given("pincode"), given("state"))
@@ -223,7 +224,7 @@ def clauses(plans: DataFrame, by: str = "run_as") -> DataFrame:
     """Clause rows of planned queries: the plan's rows of the fixed table, with their texts."""
     spark: SparkSession = plans.sparkSession
     table = spark.createDataFrame([(i, *r) for i, r in enumerate(specification())], "spec_id int, " + SPEC)
-    e, f, q = F.col("entities"), F.col("filters"), F.nullif(F.col("normalized_query"), F.lit(""))
+    e, f, q = F.col("entities"), F.col("filters"), F.when(F.col("normalized_query") != "", F.col("normalized_query"))
     one = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
     sources = {
         "query": one(q), "query_of_two": one(F.when(F.length(q) >= 2, q)), "query_without_locality": one(F.when(f["locality"].isNull(), q)), "office_or_query": one(F.coalesce(e["office_name"], q)),
@@ -231,7 +232,7 @@ def clauses(plans: DataFrame, by: str = "run_as") -> DataFrame:
         **{f"e.{k}": one(e[k]) for k in ("building_name", "office_name", "landmark", "district", "state", "pincode", "road_name", "flat_number")},
         **{f"f.{k}": one(f[k]) for k in ("building", "locality", "city", "district", "state", "pincode", "office")},
     }
-    texts = F.create_map(*[x for k, v in sources.items() for x in (F.lit(k), v)])
-    rows = plans.select("query_id", F.col(by).alias("strategy"), texts.alias("texts")).join(F.broadcast(table), "strategy")
-    rows = rows.select("query_id", "spec_id", "grp", "must", "kind", "field", "boost", "tie", F.posexplode(F.element_at("texts", F.col("source"))).alias("variant", "text"))
-    return rows.withColumn("clause_id", F.col("spec_id") * 100 + F.col("variant")).drop("spec_id", "variant")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("source"), v.alias("texts")) for k, v in sources.items()]))
+    rows = plans.select("query_id", F.col(by).alias("strategy"), each.alias("s")).select("query_id", "strategy", "s.source", F.posexplode("s.texts").alias("variant", "text"))
+    rows = rows.join(F.broadcast(table), ["strategy", "source"])
+    return rows.select("query_id", (F.col("spec_id") * 100 + F.col("variant")).alias("clause_id"), "grp", "must", "kind", "field", "text", "boost", "tie")

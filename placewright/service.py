@@ -15,8 +15,12 @@ from .plans import strategy
 
 
 def analyse(queries: DataFrame) -> DataFrame:
-    """Queries with tokens, phrases, intent, errors and entities."""
-    return entities.detect(query.analyze(queries))
+    """Queries with tokens, phrases, intent, errors and entities.
+
+    They are dealt out by query afterwards, so that later steps read the
+    entities instead of repeating the rules in each expression that uses one.
+    """
+    return entities.detect(query.analyze(queries)).repartition("query_id")
 
 
 def preview(queries: DataFrame) -> DataFrame:
@@ -24,11 +28,16 @@ def preview(queries: DataFrame) -> DataFrame:
     return strategy.plan(analyse(queries))
 
 
+def planned(queries: DataFrame) -> DataFrame:
+    """The same, kept while it is in use: each plan is worked out once, and later steps are planned on its columns alone."""
+    return preview(queries).persist()
+
+
 def candidates(queries: DataFrame, index: Index, k: int = 100) -> DataFrame:
     """The retrieved pool of each query with the documents' fields, one per address."""
-    plans = preview(queries)
+    plans = planned(queries)
     hits = search.retrieve(plans, strategy.clauses(plans), index, k)
-    full = hits.withColumnRenamed("score", "bm25_score").join(index.docs, "doc_id")
+    full = hits.persist().withColumnRenamed("score", "bm25_score").join(index.docs, "doc_id")
     for c in {"full_address", "address_hash"} - set(full.columns):
         full = full.withColumn(c, F.lit(None).cast("string"))
     return search.candidate_dedup(full).join(plans.select("query_id", "text", "entities", "strategy", "size", "lat", "lon"), "query_id")
