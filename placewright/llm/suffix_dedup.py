@@ -14,9 +14,10 @@ else goes. Documents with equal texts are handled once, by the MD5 of the text.
    their right parts share an interval of the sorted suffixes and their left
    parts one hash; every run of equal windows is verified byte by byte at both
    ends.
-3. A gram of more than ``hot`` anchors is not gathered in one task: each of
-   its windows becomes a row (gram, distance, hash of LENGTH bytes), and rows
-   are counted with a partial sum before the shuffle.
+3. A gram of more than ``hot`` anchors is not gathered in one task: its distinct
+   windows of each text become rows (gram, hash of LENGTH bytes) with their
+   number, summed before the shuffle. Windows that repeat within a text need no
+   other; text of one short period has few distinct ones.
 
 Defined cases: null texts are empty; texts shorter than LENGTH keep everything;
 repeated rows and equal texts of LENGTH bytes or more are removed whole, the
@@ -223,7 +224,7 @@ def exact_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, group: n
     return [x for rows in seen.values() if len(rows) > 1 for x in rows]
 
 
-def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
+def removals(docs: DataFrame, hot: int = 16384) -> tuple[DataFrame, DataFrame]:
     """(distinct texts as (text_key, text), (text_key, n, ranges)): how often each text stands, and its repeated [begin, end) bytes."""
     key = text_key().alias("text_key")
     counts = docs.select(key).groupBy("text_key").agg(F.count("*").alias("n"))
@@ -234,12 +235,13 @@ def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
     repeated = rows.join(many, "key").groupBy("text_key").agg(F.collect_set(F.struct("key", (F.col("m") > hot).alias("hot"))).alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(7)]
+        out: list[list] = [[] for _ in range(10)]
         size = 0
 
         def batch() -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.bool_(), pa.list_(pa.int64())]
-            r = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "text_key", "first", "anchor", "bytes", "hot", "hashes"])
+            many = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), many, many, many, many, pa.list_(pa.list_(pa.int32()))]
+            r = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "text_key", "first", "anchor", "bytes", "grams", "hashes", "counts", "starts", "own"])
             for x in out:
                 x.clear()
             return r
@@ -250,24 +252,31 @@ def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
                 data = np.frombuffer(raw, np.uint8)
                 asked = {a["key"]: a["hot"] for a in at}
                 _, keys, anchors, firsts, lasts = find_anchors(data, np.array([0, len(data)]))
-                prefix = prefix_hashes(data, lower=False) if any(asked.values()) else None
-                for key, anchor, first, last in zip(keys.view(np.int64).tolist(), anchors.tolist(), firsts.tolist(), lasts.tolist()):
-                    if key not in asked:
-                        continue
-                    part, hashes = raw[first : last + LENGTH], None
-                    if asked[key]:
-                        s = np.arange(first, last + 1)
-                        part, hashes = None, span_hashes(prefix, s, s + LENGTH).view(np.int64)
-                    for x, v in zip(out, (key, name, first, anchor - first, part, asked[key], hashes)):
+                keys = keys.view(np.int64)
+                for key, anchor, first, last in zip(keys.tolist(), anchors.tolist(), firsts.tolist(), lasts.tolist()):
+                    if asked.get(key) is False:
+                        for x, v in zip(out, (key, name, first, anchor - first, raw[first : last + LENGTH], None, None, None, None, None)):
+                            x.append(v)
+                        size += last - first + LENGTH
+                        if size > 4 << 20:
+                            size = 0
+                            yield batch()
+                crowded = np.array([asked.get(k) is True for k in keys.tolist()], bool)
+                if crowded.any():
+                    n = (lasts - firsts + 1)[crowded]
+                    start = np.repeat(firsts[crowded] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                    window = span_hashes(prefix_hashes(data, lower=False), start, start + LENGTH)
+                    distinct, at_first, inverse, counts = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
+                    twice = np.sort(start[counts[inverse] > 1])
+                    cut = np.flatnonzero(np.diff(twice) > 1)
+                    own = np.column_stack([twice[np.concatenate([[0], cut + 1])], twice[np.append(cut, len(twice) - 1)] + LENGTH]) if len(twice) else np.zeros((0, 2), np.int64)
+                    for x, v in zip(out, (None, name, None, None, None, np.repeat(keys[crowded], n)[at_first], distinct.view(np.int64), counts, start[at_first], own.tolist())):
                         x.append(v)
-                    size += last - first + LENGTH
-                if size > 4 << 20:
-                    size = 0
-                    yield batch()
+                    size += 32 * len(distinct)
         if out[0]:
             yield batch()
 
-    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key binary, first int, anchor int, bytes binary, hot boolean, hashes array<long>")
+    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key binary, first int, anchor int, bytes binary, grams array<long>, hashes array<long>, counts array<long>, starts array<long>, own array<array<int>>")
 
     def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
@@ -297,11 +306,13 @@ def removals(docs: DataFrame, hot: int = 4096) -> tuple[DataFrame, DataFrame]:
             yield emit(pa.Table.from_batches(held))
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = served.where("not hot").select("key", "text_key", "first", "anchor", "bytes").repartition(parts, "key").sortWithinPartitions("key")
+    cold = served.where("key is not null").select("key", "text_key", "first", "anchor", "bytes").repartition(parts, "key").sortWithinPartitions("key")
     ranges = cold.mapInArrow(sorted_groups, "text_key binary, b int, e int")
-    window = served.where("hot").select("key", "text_key", "first", "anchor", F.posexplode("hashes").alias("i", "hash")).select("key", (F.col("anchor") - F.col("i")).alias("distance"), "hash", "text_key", (F.col("first") + F.col("i")).alias("b"))
-    twice = window.groupBy("key", "distance", "hash").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    ranges = ranges.unionByName(window.join(twice, ["key", "distance", "hash"]).select("text_key", "b", (F.col("b") + LENGTH).cast("int").alias("e")))
+    crowded = served.where("key is null").select("text_key", "own", "grams", "hashes", "counts", "starts")
+    window = crowded.select("text_key", F.inline(F.arrays_zip("grams", "hashes", "counts", "starts"))).toDF("text_key", "gram", "hash", "n", "b")
+    twice = window.groupBy("gram", "hash").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
+    ranges = ranges.unionByName(window.where("n = 1").join(twice, ["gram", "hash"]).select("text_key", F.col("b").cast("int").alias("b"), (F.col("b") + LENGTH).cast("int").alias("e")))
+    ranges = ranges.unionByName(crowded.select("text_key", F.explode("own").alias("r")).select("text_key", F.col("r")[0].alias("b"), F.col("r")[1].alias("e")))
     found = ranges.groupBy("text_key").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
     return unique, counts.join(found, "text_key", "left")
 
@@ -314,7 +325,7 @@ def strings_bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def distinct_texts(docs: DataFrame, hot: int = 4096) -> DataFrame:
+def distinct_texts(docs: DataFrame, hot: int = 16384) -> DataFrame:
     """(text_key, n_bytes, spans, kept): for each distinct text the removed [begin, end) bytes, and the bytes that stay."""
     unique, found = removals(docs, hot)
 
@@ -345,6 +356,6 @@ def text_key() -> Column:
     return F.unhex(F.md5(F.coalesce("text", F.lit(""))))
 
 
-def dedup(docs: DataFrame, hot: int = 4096) -> DataFrame:
+def dedup(docs: DataFrame, hot: int = 16384) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document."""
     return docs.select("doc_id", text_key().alias("text_key")).join(distinct_texts(docs, hot), "text_key").drop("text_key")
