@@ -332,11 +332,11 @@ def resolve_alternatives(spark, sf_dir):
 
 
 @query_of()
-def address_search(spark, sf_dir):
-    """Whole searches: every asked query against the address index, ranked and explained."""
+def address_retrieval(spark, sf_dir):
+    """Every asked query against the address index: the 20 best addresses by text and quality."""
     built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]).cache())
-    found = service.search_addresses(asked(spark, sf_dir), built_index, 20)
-    return found.select("query_id", "doc_id", "place", "strategy", "bm25_score", "score", "confidence", "label", "explanation")
+    plans = service.planned(asked(spark, sf_dir))
+    return search.retrieve(plans, strategy.clauses(plans).persist(), built_index, 20)
 
 
 # --- Similarity and ranking -------------------------------------------------------------------------------------
