@@ -72,9 +72,10 @@ def fill_hierarchy(df: DataFrame, order: str, mappings: Iterable[tuple[str, str]
     The lookup has a row per code. It is left to the optimiser to broadcast it
     where its measured size allows.
     """
+    source = df  # a mapping fills its own name only, so all lookups may come from the table as it was
     for code, name in mappings:
         if code in df.columns and name in df.columns:
-            found = code_names(df, code, name, order).select(F.col("code").alias("_code"), F.col("name").alias("_name"))
+            found = code_names(source, code, name, order).select(F.col("code").alias("_code"), F.col("name").alias("_name"))
             df = df.join(found, F.trim(code) == F.col("_code"), "left").withColumn(name, F.coalesce(name, "_name")).drop("_code", "_name")
     return df
 
