@@ -1,16 +1,21 @@
 """Similarity of short texts as column functions.
 
 ``ratio`` is the normalised indel similarity 2 * LCS / (length + length), which
-Spark has not; the longest common subsequence is a nested fold over characters,
-so it stays in the JVM but is interpreted: use it on retrieved pairs, not on
-cross products.
+Spark has not; the longest common subsequence is a fold over characters, so it
+stays in the JVM but is interpreted: use it on retrieved pairs, not on cross
+products.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Bits of a number in use: a sum of two and a carry stay below the sign.
+WORD = 61
+
 
 def normalize(c: Column) -> Column:
     """Words of a-z and 0-9, joined by single spaces."""
@@ -21,23 +26,54 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence."""
-    long = F.split(b, "")
-    none = F.array_repeat(F.lit(0), F.length(b) + 1)
+    """Length of the longest common subsequence.
+
+    Bit-parallel: the places of the right text are bits of ``WORD``-bit numbers,
+    all set at first; each character of the left text adds the places it matches,
+    and as many bits are cleared as the subsequence is long.
+    """
+    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
+    words = F.transform(F.sequence(F.lit(0), F.length(b) - 1, F.lit(WORD)), lambda at: F.slice(F.split(b, ""), at + 1, WORD))
+    texts = F.struct(F.split(a, "").alias("left"), words.alias("words"))
 
-    def row(before: Column, x: Column) -> Column:
-        step = lambda cur, y: F.struct((cur["j"] + 1).alias("j"), F.concat(cur["row"], F.array(F.when(x == y, F.get(before, cur["j"]) + 1).otherwise(F.greatest(F.get(before, cur["j"] + 1), F.get(cur["row"], cur["j"]))))).alias("row"))
-        return F.aggregate(long, F.struct(F.lit(0).alias("j"), F.array(F.lit(0)).alias("row")), step)["row"]
+    def places(t: Column) -> Column:
+        """For each character of the left text, where it stands in the right one."""
+        bits = lambda c: F.transform(t["words"], lambda w: F.aggregate(F.reverse(w), zero, lambda m, y: m * 2 + F.when(y == c, 1).otherwise(0)))
+        every = F.transform(t["words"], lambda w: F.aggregate(w, zero, lambda m, _: m * 2 + 1))
+        seen = F.array_distinct(t["left"])
+        return F.struct(t["left"].alias("left"), every.alias("every"), F.map_from_arrays(seen, F.transform(seen, bits)).alias("bits"))
 
-    full = F.get(F.aggregate(F.split(a, ""), none, row), F.length(b))
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(full)
+    def folded(t: Column) -> Column:
+        def step(rest: Column, c: Column) -> Column:
+            def word(s: Column, v: Column) -> Column:
+                k = F.size(s["rest"])
+                m = F.get(F.element_at(t["bits"], c), k)
+                total = v + v.bitwiseAND(m) + s["carry"]
+                cleared = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(F.get(t["every"], k))
+                return F.struct(F.shiftright(total, WORD).alias("carry"), F.concat(s["rest"], F.array(cleared)).alias("rest"))
+
+            return F.aggregate(rest, F.struct(zero.alias("carry"), none.alias("rest")), word)["rest"]
+
+        rest = F.aggregate(t["left"], t["every"], step)
+        return F.length(b) - F.aggregate(rest, F.lit(0), lambda n, v: n + F.bit_count(v))
+
+    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(once(once(texts, places), folded))
 
 
 def indel(a: Column, b: Column) -> Column:
     """2 * LCS / (length + length) of two texts as they are; equal texts need no table."""
-    total = F.length(a) + F.length(b)
-    return F.when(total == 0, 1.0).when(a == b, 1.0).otherwise(2.0 * lcs(a, b) / total)
+
+    def share(t: Column) -> Column:
+        x, y = t["x"], t["y"]
+        return F.when(x == y, 1.0).otherwise(2.0 * lcs(x, y) / (F.length(x) + F.length(y)))
+
+    return once(F.struct(a.alias("x"), b.alias("y")), share)
 
 
 def both(a: Column, b: Column, value: Column) -> Column:
@@ -51,12 +87,19 @@ def ratio(a: Column, b: Column) -> Column:
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """The best ratio of the shorter text with any window of its length in the longer, windows cut at the edges included."""
-    x, y = normalize(a), normalize(b)
-    short, long = F.when(F.length(x) <= F.length(y), x).otherwise(y), F.when(F.length(x) <= F.length(y), y).otherwise(x)
-    n = F.length(short)
-    windows = F.transform(F.sequence(F.lit(2) - n, F.length(long)), lambda i: F.substr(long, F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + n - 1))
-    best = F.array_max(F.transform(F.array_distinct(windows), lambda w: indel(short, w)))
-    return both(a, b, F.when(n == 0, F.when(F.length(long) == 0, 1.0).otherwise(0.0)).when(long.contains(short), 1.0).otherwise(best))
+
+    def best(t: Column) -> Column:
+        short, long = t["short"], t["long"]
+        n = F.length(short)
+        windows = F.transform(F.sequence(F.lit(2) - n, F.length(long)), lambda i: F.substr(long, F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + n - 1))
+        most = F.array_max(F.transform(F.array_distinct(windows), lambda w: indel(short, w)))
+        return F.when(n == 0, F.when(F.length(long) == 0, 1.0).otherwise(0.0)).when(long.contains(short), 1.0).otherwise(most)
+
+    def ordered(t: Column) -> Column:
+        less = F.length(t["x"]) <= F.length(t["y"])
+        return F.struct(F.when(less, t["x"]).otherwise(t["y"]).alias("short"), F.when(less, t["y"]).otherwise(t["x"]).alias("long"))
+
+    return both(a, b, once(once(F.struct(normalize(a).alias("x"), normalize(b).alias("y")), ordered), best))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
@@ -66,13 +109,22 @@ def token_sort_ratio(a: Column, b: Column) -> Column:
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """The best of common words, common and left words, common and right words; 1 if one set holds the other."""
-    x, y = F.array_distinct(tokens(a)), F.array_distinct(tokens(b))
-    common, left, right = (F.array_join(F.array_sort(s), " ") for s in (F.array_intersect(x, y), F.array_except(x, y), F.array_except(y, x)))
     join = lambda s, t: F.trim(F.concat(s, F.lit(" "), t))
-    with_left, with_right = join(common, left), join(common, right)
-    best = F.when(common == "", indel(with_left, with_right)).otherwise(F.greatest(indel(with_left, with_right), indel(common, with_left), indel(common, with_right)))
-    contained = (common != "") & ((left == "") | (right == ""))
-    return both(a, b, F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).when(contained, 1.0).otherwise(best))
+
+    def parts(t: Column) -> Column:
+        named = {"common": F.array_intersect(t["x"], t["y"]), "left": F.array_except(t["x"], t["y"]), "right": F.array_except(t["y"], t["x"])}
+        return F.struct(((F.size(t["x"]) == 0) | (F.size(t["y"]) == 0)).alias("none"), *[F.array_join(F.array_sort(v), " ").alias(k) for k, v in named.items()])
+
+    def best(t: Column) -> Column:
+        common, left, right = t["common"], t["left"], t["right"]
+        with_left, with_right = join(common, left), join(common, right)
+        pairs = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((with_left, with_right), (common, with_left), (common, with_right))])
+        most = F.array_max(F.transform(F.when(common == "", F.slice(pairs, 1, 1)).otherwise(pairs), lambda p: indel(p["x"], p["y"])))
+        contained = (common != "") & ((left == "") | (right == ""))
+        return F.when(t["none"], 0.0).when(contained, 1.0).otherwise(most)
+
+    words = F.struct(F.array_distinct(tokens(a)).alias("x"), F.array_distinct(tokens(b)).alias("y"))
+    return both(a, b, once(once(words, parts), best))
 
 
 def common_tokens(a: Column, b: Column) -> Column:
