@@ -84,25 +84,31 @@ def clause_scores(clauses: DataFrame, index: Index, slop: int = 2) -> DataFrame:
     group must match, how its text is matched, where, and its weight.
     """
     terms = clauses.withColumn("terms", X.analyze(F.col("text"))).where(F.size("terms") > 0)
-    asked = terms.select("*", F.size(F.array_distinct("terms")).alias("n_terms"), F.size("terms").alias("n_places"), F.posexplode("terms").alias("place", "asked_term")).drop("terms", "text")
-    plain = asked.where("kind in ('match', 'phrase', 'term')").select("*", F.col("asked_term").alias("term"), F.lit(1.0).alias("weight"))
+    asked = terms.select("*", F.size("terms").alias("n_places"), F.posexplode("terms").alias("place", "asked_term")).drop("terms", "text")
+    exact = asked.withColumnRenamed("asked_term", "term").withColumn("weight", F.lit(1.0))
     wide = asked.where("kind = 'fuzzy'")
-    wide = wide.join(fuzzy_terms(wide.select("field", F.col("asked_term").alias("term")), index.terms), ["field", "asked_term"])
+    wide = wide.join(fuzzy_terms(wide.select("field", F.col("asked_term").alias("term")), index.terms), ["field", "asked_term"]).drop("asked_term")
     begun = asked.where("kind = 'prefix'")
     last = F.col("place") == F.col("n_places") - 1
     starts = index.terms.select("field", "term", F.explode(X.edge_ngrams(F.array("term"), 1, 20)).alias("asked_term"))
-    begun = begun.where(~last).select("*", F.col("asked_term").alias("term"), F.lit(1.0).alias("weight")).unionByName(begun.where(last).join(starts, ["field", "asked_term"]).withColumn("weight", F.lit(1.0)))
-    found = plain.unionByName(wide).unionByName(begun)
-    hits = found.join(index.postings, ["field", "term"]).join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field")
-    one = F.when(F.col("kind") == "prefix", 1.0).otherwise(idf(F.col("n_docs"), F.col("df")) * F.when(F.col("kind") == "term", 1.0).otherwise(saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))) * F.col("weight"))
-    key = ["query_id", "clause_id", "grp", "must", "kind", "field", "boost", "tie", "n_terms", "n_places", "doc_id"]
+    begun = begun.where(last).join(starts, ["field", "asked_term"]).drop("asked_term").withColumn("weight", F.lit(1.0)).unionByName(exact.where("kind = 'prefix'").where(~last))
+    found = exact.where("kind in ('match', 'term')").unionByName(wide).unionByName(begun)
+    key = ["query_id", "clause_id", "grp", "must", "kind", "field", "boost", "tie", "n_places", "doc_id"]
+
+    def hits(terms: DataFrame, *columns: str | Column) -> DataFrame:
+        """Postings of terms; what follows groups by query and document, so rows move once."""
+        known = terms.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field").withColumn("idf", idf(F.col("n_docs"), F.col("df")))
+        return known.join(index.postings, ["field", "term"]).select(*key, "place", *columns).repartition("query_id", "doc_id")
+
+    one = F.when(F.col("kind") == "prefix", 1.0).otherwise(F.col("idf") * F.when(F.col("kind") == "term", 1.0).otherwise(saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))) * F.col("weight"))
     # The best expansion of each asked term counts.
-    each = hits.groupBy(*key, "place").agg(F.max(one).alias("s"), F.max(idf(F.col("n_docs"), F.col("df"))).alias("i"), F.flatten(F.collect_list("positions")).alias("positions"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg_dl"))
-    per = each.groupBy(*key).agg(F.sum("s").alias("s"), F.sum("i").alias("i"), F.count("*").alias("matched"), F.collect_list(F.transform("positions", lambda p: p - F.col("place"))).alias("places"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg_dl"))
-    freq = F.when(F.col("matched") == F.col("n_places"), phrase_frequency(F.col("places"), slop)).otherwise(0)
-    score = F.when(F.col("kind") == "phrase", F.col("i") * saturation(freq, F.col("dl"), F.col("avg_dl"))).otherwise(F.col("s"))
-    keep = F.when(F.col("kind") == "phrase", freq > 0).when(F.col("kind") == "term", F.col("matched") == F.col("n_places")).otherwise(True)
-    return per.where(keep).select("query_id", "clause_id", "grp", "must", "field", "doc_id", (F.col("boost") * score).alias("score"), "tie")
+    each = hits(found, one.alias("s")).groupBy(*key, "place").agg(F.max("s").alias("s"))
+    texts = each.groupBy(*key).agg(F.sum("s").alias("s"), F.count("*").alias("matched")).where("kind <> 'term' or matched = n_places")
+    placed = hits(exact.where("kind = 'phrase'"), "idf", "dl", "avg_dl", F.transform("positions", lambda p: p - F.col("place")).alias("at"))
+    whole = placed.groupBy(*key).agg(F.sum("idf").alias("i"), F.count("*").alias("matched"), F.collect_list("at").alias("places"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg_dl")).where("matched = n_places")
+    runs = whole.withColumn("freq", phrase_frequency(F.col("places"), slop)).where("freq > 0").withColumn("s", F.col("i") * saturation(F.col("freq"), F.col("dl"), F.col("avg_dl")))
+    out = lambda df: df.select("query_id", "clause_id", "grp", "must", "field", "doc_id", (F.col("boost") * F.col("s")).alias("score"), "tie")
+    return out(texts).unionByName(out(runs))
 
 
 def retrieve(plans: DataFrame, clauses: DataFrame, index: Index, k: int = 100) -> DataFrame:
