@@ -339,6 +339,14 @@ def address_retrieval(spark, sf_dir):
     return search.retrieve(plans, strategy.clauses(plans).persist(), built_index, 20)
 
 
+@query_of()
+def address_search(spark, sf_dir):
+    """Every asked query from text to ranked results: 20 candidates retrieved, placed by entity fit, text and quality."""
+    built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]).cache())
+    ranked = service.search_addresses(asked(spark, sf_dir), built_index, 20)
+    return ranked.select("query_id", "doc_id", "place", "score", "confidence", "label", "explanation")
+
+
 # --- Similarity and ranking -------------------------------------------------------------------------------------
 
 PAIRS = "pr AS (SELECT x.p_partkey AS id, x.p_name AS a, y.p_name || CASE WHEN x.p_partkey % 5 = 0 THEN '' ELSE ' ' || x.p_brand END AS b FROM {part} x JOIN {part} y ON y.p_partkey = CASE WHEN x.p_partkey % 3 = 0 THEN x.p_partkey ELSE x.p_partkey % 50 + 1 END)"

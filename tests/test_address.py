@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placewright import catalog, catalog_search, service
 from placewright.functions import similarity as S
 from placewright.functions import text as X
-from placewright.operators import clean, entities, ingest, metrics, query
+from placewright.operators import clean, entities, index, ingest, metrics, query
 from placewright.sources import csv
 from placewright.streaming import ingest as streaming
 
@@ -71,6 +71,31 @@ def test_queries_by_example(spark):
     assert one(spark, query.locality_variants, "Poona") == ["poona", "pune"]
 
 
+def test_longest_common_subsequence(spark):
+    texts = ["", "a", "abc cab", "ab " * 20, "b" * 61, "ab" * 31, "cab " * 40]
+
+    def length(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    df = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    for r in df.select("a", "b", S.lcs(F.col("a"), F.col("b")).alias("n")).collect():
+        assert r.n == length(r.a, r.b), r
+
+
+def test_search_places_the_address_that_fits_first(spark):
+    rows = [("h1", "TCS, Hinjewadi, Pune, Maharashtra, 411057", "TCS", "Hinjewadi", "Pune", "411057", 68.0), ("h2", "Rose Tower, Hinjewadi, Pune, Maharashtra, 411057", "Rose Tower", "Hinjewadi", "Pune", "411057", 70.0), ("h3", "Connaught Place, New Delhi, Delhi, 110001", None, "Connaught Place", "New Delhi", "110001", 80.0)]
+    docs = spark.createDataFrame([(r[0], *r) for r in rows], "doc_id string, address_hash string, full_address string, building_name string, locality string, city_name string, pincode string, quality_score double")
+    queries = spark.createDataFrame([(1, "rose tower hinjewadi pune 411057"), (2, "zzzz qqqq")], "query_id int, text string")
+    got = service.search_addresses(queries, index.build(docs)).collect()
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.place)][0] == "h2" and {r.query_id for r in got} == {1}
+    assert sorted(r.place for r in got) == list(range(1, len(got) + 1)) and all(0 <= r.confidence <= 0.99 for r in got)
+
+
 def test_metrics_of_the_ideal_order(spark):
     rows = spark.createDataFrame([(1, 3 - i if i < 3 else 0, 10.0 - i, i) for i in range(8)], "group int, label int, score double, tie int")
     r = metrics.evaluate(rows, "tie").first()
