@@ -9,8 +9,9 @@ lower-cased A-Z; a text of fewer words has its whole sequence as one.
    value is the child. Paths depend on the document alone, so all trees are one
    range-partitioned sort. Nodes of at most ``LIMIT`` documents are compared
    exhaustively by 2-bit sketches; larger ones branch on, and a node that is
-   still large at ``DEPTH`` is compared in blocks that carry a leader of each
-   group found along. A pair of similarity 0.8 shares a node of depth d in one
+   still large at ``DEPTH`` is compared whole on the full sets: its documents are
+   dealt over blocks, and every two blocks meet in a task (``whole``). So are the
+   nodes that a bound between two tasks cuts. A pair of similarity 0.8 shares a node of depth d in one
    tree with probability 0.8**d; 16 trees miss it at depth 3 about once in 50 000.
    Ties are dealt by hashed id, so a large node is spread over many tasks.
 3. In a node, pairs that look alike are taken from the most alike on; those whose
@@ -39,6 +40,8 @@ from .store import kept
 from .textops import SPACE, U, distinct, fixed_rows, longs, mix, shingles, slices, strings, word_hashes, words
 
 HASHES, TREES, DEPTH, LIMIT = 128, 16, 5, 64
+#: Documents of a block of a large node.
+BLOCK = 512
 #: Sketch likeness from which a pair is a candidate (four deviations below 0.8), and from which it joins a group.
 CUT, LIKELY = 0.63, 0.82
 MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x5851F42D4C957F2D)) | U(1)
@@ -133,33 +136,23 @@ def alike(sketch: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarr
     return out
 
 
-def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
-    """Candidate pairs among rows sorted by (tree, path), and the groups within which pairs were left out."""
+def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[tuple[int, int]]]:
+    """Candidate pairs among rows sorted by (tree, path), the groups within which pairs were left out, and the bounds of nodes too large to compare here."""
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     groups: list[list[int]] = []
+    large: list[tuple[int, int]] = []
     small: dict[int, list[int]] = {}
 
-    def add(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> dict[int, list[int]]:
+    def add(i: np.ndarray, j: np.ndarray, est: np.ndarray) -> None:
         keep, joined = spanning(i, j, est)
         pairs.append((i[keep], j[keep]))
         groups.extend(joined.values())
-        return joined
-
-    def block(rows: np.ndarray) -> np.ndarray:
-        i, j = np.triu_indices(len(rows), 1)
-        est = alike(sketch, rows[i], rows[j])
-        near = est >= CUT
-        joined = add(rows[i[near]], rows[j[near]], est[near])
-        led = {x for g, xs in joined.items() for x in xs if x != g}
-        return np.array([r for r in rows.tolist() if r not in led], np.int64)
 
     def node(lo: int, hi: int, depth: int) -> None:
         if hi - lo <= LIMIT:
             small.setdefault(hi - lo, []).append(lo)
         elif depth == keys.shape[1]:
-            leaders = np.zeros(0, np.int64)
-            for at in range(lo, hi, LIMIT // 2):
-                leaders = block(np.concatenate([leaders[-LIMIT // 2 :], np.arange(at, min(hi, at + LIMIT // 2))]))
+            large.append((lo, hi))
         else:
             for a, b in runs(lo, hi, depth):
                 node(a, b, depth + 1)
@@ -188,11 +181,23 @@ def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
                 if len(part):
                     add(first[part], second[part], est[part])
     z = np.zeros(0, np.int64)
-    return np.concatenate([z, *(p[0] for p in pairs)]), np.concatenate([z, *(p[1] for p in pairs)]), groups
+    return np.concatenate([z, *(p[0] for p in pairs)]), np.concatenate([z, *(p[1] for p in pairs)]), groups, large
+
+
+def cut_nodes(keys: np.ndarray) -> list[tuple[int, int, int]]:
+    """(begin, end, length of the common key) of the nodes at either end of sorted rows, which may go on in another task."""
+    out = []
+    for row in (0, len(keys) - 1):
+        for depth in range(2, keys.shape[1] + 1):
+            same = np.flatnonzero((keys[:, :depth] == keys[row, :depth]).all(axis=1))
+            lo, hi = int(same[0]), int(same[-1]) + 1
+            if hi - lo <= LIMIT or depth == keys.shape[1]:
+                out.append((lo, hi, depth))
+    return out
 
 
 def candidates(classes: DataFrame) -> DataFrame:
-    """Of class representatives (rep, sketch, paths): pairs (a, b, null) that met in a node and look alike, and members (a, null, grp) of groups within which pairs were left out."""
+    """Of class representatives (rep, sketch, paths): pairs (a, b, null) that met in a node and look alike, members (a, null, grp) of groups within which pairs were left out, and members (a, null, grp, true) of nodes to compare whole."""
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("paths", t * KEY + 1, KEY))).alias("tree", "path")
     rows = classes.select("rep", "sketch", tree).select("tree", "path", F.xxhash64("rep", "tree").alias("tie"), "rep", "sketch")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -204,17 +209,23 @@ def candidates(classes: DataFrame) -> DataFrame:
             trees = t.column("tree").to_numpy()
             keys = np.column_stack([trees.astype(np.uint32), strings_matrix(t.column("path"), ">u4")])
             rep = t.column("rep").to_numpy()
-            i, j, groups = compare(keys, unpack(strings_matrix(t.column("sketch"), np.uint8)))
+            i, j, groups, large = compare(keys, unpack(strings_matrix(t.column("sketch"), np.uint8)))
             a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-            sizes = [len(g) for g in groups]
-            member = np.array([x for g in groups for x in g], np.int64)
-            # A group's name: its tree and its ends.
+            # A group's name: its tree and its ends. A node's: its tree and path, the same in every task.
             ends = [(int(trees[g[0]]), int(rep[g].min()), int(rep[g].max())) for g in groups]
-            names = np.array([hash(e) for e in ends], np.int64) if ends else np.zeros(0, np.int64)
-            m, n = len(a), len(member)
+            nodes = sorted({*((lo, hi, keys.shape[1]) for lo, hi in large), *cut_nodes(keys)})
+            names = np.array([hash(e) for e in ends] + [hash((d, *keys[lo, :d].tolist())) for lo, hi, d in nodes], np.int64)
+            sizes = [len(g) for g in groups] + [hi - lo for lo, hi, _ in nodes]
+            member = np.concatenate([np.array([x for g in groups for x in g], np.int64), *(np.arange(lo, hi) for lo, hi, _ in nodes)])
+            m, n, left = len(a), len(member), sum(sizes[: len(groups)])
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([a, rep[member]]), pa.int64()), pa.array(np.concatenate([b, np.zeros(n, np.int64)]), pa.int64(), mask=np.repeat([False, True], [m, n])), pa.array(np.concatenate([np.zeros(m, np.int64), np.repeat(names, sizes)]).astype(np.int64), pa.int64(), mask=np.repeat([True, False], [m, n]))],
-                names=["a", "b", "grp"],
+                [
+                    pa.array(np.concatenate([a, rep[member]]), pa.int64()),
+                    pa.array(np.concatenate([b, np.zeros(n, np.int64)]), pa.int64(), mask=np.repeat([False, True], [m, n])),
+                    pa.array(np.concatenate([np.zeros(m, np.int64), np.repeat(names, sizes)]).astype(np.int64), pa.int64(), mask=np.repeat([True, False], [m, n])),
+                    pa.array(np.repeat([False, True], [m + left, n - left])),
+                ],
+                names=["a", "b", "grp", "large"],
             )
 
         held, size = [], 0
@@ -223,7 +234,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             size += batch.num_rows
             if size >= 60_000:
                 # What follows the last change of the first path element waits for the next rows,
-                # unless one such node fills the buffer: it is compared as far as it has come.
+                # unless one such node fills the buffer: where it is cut, its nodes are compared whole.
                 t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
                 head = strings_matrix(t.column(1), ">u4")[:, 0]
                 tree = t.column(0).to_numpy()
@@ -234,7 +245,81 @@ def candidates(classes: DataFrame) -> DataFrame:
         if size:
             yield emit(held)
 
-    return rows.mapInArrow(run, "a long, b long, grp long").where("grp is not null or a <> b").distinct()
+    return rows.mapInArrow(run, "a long, b long, grp long, large boolean").where("grp is not null or a <> b").distinct()
+
+
+def close(counts: np.ndarray, value: np.ndarray, first: int, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that join all rows linked to one another, by their sets (``value``, one after another).
+
+    With ``first`` rows of one block before those of another only pairs of both
+    blocks are compared, with 0 all pairs. Rows that are joined already are left
+    out, as are sets whose sizes rule a link out.
+    """
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    shingles_, code = np.unique(value, return_inverse=True)
+    mark = np.zeros(len(shingles_), np.uint8)
+    label = np.arange(len(counts))
+    out = []
+    for i in range(first or len(counts)):
+        j = np.arange(first or i + 1, len(counts))
+        small, big = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
+        j = j[(100 * small >= percent * big) & (label[j] != label[i])]
+        if not len(j):
+            continue
+        own = code[bounds[i] : bounds[i + 1]]
+        mark[own] = 1
+        ends = np.cumsum(counts[j])
+        at = np.arange(ends[-1]) + np.repeat(bounds[j] - ends + counts[j], counts[j])
+        shared = np.add.reduceat(mark[code[at]], ends - counts[j], dtype=np.int64)
+        mark[own] = 0
+        for k in j[100 * shared >= percent * (counts[i] + counts[j] - shared)].tolist():
+            if label[k] != label[i]:
+                out.append((i, k))
+                label[label == label[k]] = label[i]
+    return out
+
+
+def whole(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join all linked members of each node (grp, a), whatever its size.
+
+    Every two blocks of a node meet in one task, with the texts of both.
+    """
+    blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("members")).where("members > 1").drop("members")
+    rows = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("a"), "n").cast("int"))
+    rows = rows.join(docs.select(F.col("doc_id").alias("a"), "text"), "a")
+    rows = rows.select("grp", "a", "own", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    rows = rows.select("grp", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "a", "text")
+    rows = rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "own", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(t: pa.Table) -> pa.RecordBatch:
+            owner, value, bounds = sets(*strings(t.column("text")), size)
+            a, own = t.column("a").to_numpy(), t.column("own").to_numpy()
+            counts = np.diff(bounds)
+            some = counts > 0
+            # A cell of two blocks has different x and y.
+            two = t.column("x")[0].as_py() != t.column("y")[0].as_py()
+            first = int((own[some] == own[0]).sum()) if two else 0
+            found = close(counts[some], value, first, percent) if some.any() and not (two and not 0 < first < some.sum()) else []
+            i, j = (a[some][[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+
+        held: list[pa.Table] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([batch])
+            cell = np.column_stack([t.column(c).to_numpy() for c in ("grp", "x", "y")])
+            cuts = [0, *(1 + np.flatnonzero((cell[1:] != cell[:-1]).any(axis=1))).tolist(), len(cell)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if held and [held[0].column(c)[0].as_py() for c in ("grp", "x", "y")] != cell[lo].tolist():
+                    yield emit(pa.concat_tables(held).combine_chunks())
+                    held = []
+                held.append(t.slice(lo, hi - lo))
+        if held:
+            yield emit(pa.concat_tables(held).combine_chunks())
+
+    return rows.mapInArrow(run, "a long, b long").where("a <> b").distinct()
 
 
 def left_out(members: DataFrame, found: DataFrame, tested: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -304,9 +389,10 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     leaders = named.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = rep").dropDuplicates(["rep"])
     met = kept(candidates(leaders.select("rep", "sketch", "paths")), "pairs")
     pairs = met.where("b is not null").select("a", "b")
-    links = kept(confirmed(pairs, docs.where("doc_id is not null"), size, percent), "confirmed")
+    links = confirmed(pairs, docs.where("doc_id is not null"), size, percent)
+    links = kept(links.unionByName(whole(met.where("large").select("grp", "a"), docs.where("doc_id is not null"), size, percent)), "confirmed")
     found = components(links)
-    again = kept(left_out(met.where("grp is not null").select("grp", "a"), found, pairs, leaders.select("rep", "sketch")), "pairs")
+    again = kept(left_out(met.where("grp is not null and not large").select("grp", "a"), found, pairs, leaders.select("rep", "sketch")), "pairs")
     if not again.isEmpty():
         more = confirmed(again, docs.where("doc_id is not null"), size, percent)
         # Components stay as they are, joined by the new links.

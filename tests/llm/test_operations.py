@@ -101,6 +101,56 @@ def test_near_dedup_of_a_large_group_emits_few_pairs(spark):
     assert near_dedup.candidates(each).where("b is not null").count() < 300 * 60
 
 
+def brute_components(rows, size):
+    """The component of each row by all pairs of sets: one row of a 0/1 matrix for each set."""
+    sets = [shingle_set(t, size) for t in rows.values()]
+    index = {x: k for k, x in enumerate(set().union(*sets))}
+    matrix = np.zeros((len(sets), len(index)), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [index[x] for x in s]] = 1
+    shared, n, ids = matrix @ matrix.T, matrix.sum(axis=1), list(rows)
+    label = np.array(ids)
+    for i, j in zip(*np.nonzero(np.triu(100 * shared >= 80 * (n[:, None] + n - shared), 1))):
+        label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return dict(zip(ids, label.tolist()))
+
+
+def loose_copies(n):
+    """Copies of one text of similarity 0.4 to 0.8, and of every seventh a closer copy, far away in number."""
+    base, r = prose(160, 5).split(), random.Random(3)
+    rows = {}
+    for i in range(n):
+        own = [w if r.random() > 0.06 + 0.05 * (i % 3) / 2 else f"x{i}y{j}" for j, w in enumerate(base)]
+        rows[i] = " ".join(own)
+        if i % 7 == 0:
+            for j in r.sample(range(len(own)), 8):
+                own[j] = f"z{i}y{j}"
+            rows[5000 + i] = " ".join(own)
+    return rows
+
+
+def test_near_dedup_compares_a_large_group_of_loose_copies_whole(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    rows = loose_copies(2000)
+    want = brute_components(rows, 2)
+    assert 100 < len(set(want.values())) < len(rows) - 100
+    got = {r.doc_id: r.component_id for r in near_dedup.groups(table(spark, rows), 2).collect()}
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
+def test_links_within_a_node_are_brute_force():
+    rows = loose_copies(150)
+    data, offsets = textops.strings(pa.array(list(rows.values())))
+    _, value, bounds = near_dedup.sets(data, offsets, 2)
+    counts, want = np.diff(bounds), brute_components(rows, 2)
+    sets, ids = [shingle_set(t, 2) for t in rows.values()], list(rows)
+    linked = {(i, j) for i in range(len(ids)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    found = near_dedup.close(counts, value, 0, 80)
+    assert {tuple(sorted(p, reverse=True)) for p in found} <= linked and len(found) == len(ids) - len(set(want.values()))
+    across = near_dedup.close(counts, value, 60, 80)
+    assert all(i < 60 <= j for i, j in across) and {tuple(sorted(p, reverse=True)) for p in across} <= linked
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(60)] + [(100, 101), (103, 101), (5, 5)]
     got = {r.id: r.component for r in graph.components(spark.createDataFrame(chain, "a long, b long")).collect()}
