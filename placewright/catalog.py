@@ -156,7 +156,7 @@ def invalid_chars(spark, sf_dir):
 
 @query_of(r"SELECT doc_id, nullif(trim(nfc_normalize(regexp_replace(t, '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{00ad}]', '', 'g'))), '') AS value FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)")
 def unicode_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.nfkc(F.substring("text", 1, 60)).alias("value"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.nfkc(F.col("text")).alias("value"))
 
 
 @query_of(WITH + f"x AS (SELECT 1) SELECT serial_number, CASE WHEN lower(trim(building_name)) IN ({quoted(words.NULL_LIKE)}) THEN NULL ELSE building_name END AS building_name FROM a")

@@ -2,6 +2,7 @@
 
 import importlib
 import os
+import unicodedata
 
 import duckdb
 import pytest
@@ -33,6 +34,13 @@ def test_text_functions(spark):
     assert one(spark, X.nfkc, "ﬁ​x") == "fix" and one(spark, X.null_like, " N/A ") is None
 
 
+def test_unicode_normalize_takes_whole_texts(spark, tmp_path):
+    rows = [(1, "plain " * 40 + "ﬁ①Å"), (2, "x" * 59 + "é½ tail"), (3, "ＡＢＣ\u200b end"), (4, "  "), (5, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.value for r in catalog.QUERIES["unicode_normalize"](spark, str(tmp_path)).collect()}
+    assert got == {k: unicodedata.normalize("NFKC", t or "").replace("\u200b", "").strip() or None for k, t in rows}
+
+
 def test_similarity(spark):
     assert one(spark, S.ratio, "abcd", "abxd") == pytest.approx(0.75) and one(spark, S.ratio, "", "x") == 0
     assert one(spark, S.partial_ratio, "bc", "abcd") == 1 and one(spark, S.token_set_ratio, "pune road", "road pune east") == 1
