@@ -101,7 +101,7 @@ def suspicious(candidate: Column) -> Column:
 
 def entropy_spans(text: Column) -> Column:
     """Spans of high entropy in candidates that are not on the allow-list."""
-    is_hex = lambda c: c.rlike("^[0-9a-f]+$")
+    is_hex = lambda c: c.rlike("^([0-9a-f]+|[0-9A-F]+)$")
     pieces, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"), matches.alias("found"))
 

@@ -272,6 +272,14 @@ def test_fingerprint_parts_do_not_matter(spark, docs):
     assert small == key(fingerprint.compare(docs))
 
 
+def test_upper_case_hex_keys_are_found(spark):
+    key = "3F9A0C7E52B8D1464E0B93A7"
+    rows = {1: f"key {key} end", 2: f"key {key.lower()[:22]} end", 3: "id 12345678901234567890 and " + "ABCDEF" * 4, 4: f"{key}g"}
+    got = {r.doc_id: (r.named, r.redacted) for r in secrets.scan(table(spark, rows).drop("spans")).select("doc_id", secrets.named(F.col("spans")).alias("named"), secrets.redacted(F.col("text"), F.col("spans")).alias("redacted")).collect()}
+    assert got[1] == ("entropy_hex:4:28", "key [secret] end") and got[2][0] == "entropy_hex:4:26"
+    assert got[3][0] == got[4][0] == ""
+
+
 def test_packing_is_whole_and_tight(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
