@@ -333,17 +333,17 @@ def resolve_alternatives(spark, sf_dir):
 
 @query_of()
 def address_retrieval(spark, sf_dir):
-    """Every asked query against the address index: the 20 best addresses by text and quality."""
+    """Every asked query against the address index: the 100 best addresses by text and quality."""
     built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]).cache())
     plans = service.planned(asked(spark, sf_dir))
-    return search.retrieve(plans, strategy.clauses(plans).persist(), built_index, 20)
+    return search.retrieve(plans, strategy.clauses(plans).persist(), built_index, 100)
 
 
 @query_of()
 def address_search(spark, sf_dir):
-    """Every asked query from text to ranked results: 20 candidates retrieved, placed by entity fit, text and quality."""
+    """Every asked query from text to ranked results: 100 candidates retrieved, placed by entity fit, text and quality."""
     built_index = index.build(documents(spark, sf_dir).dropDuplicates(["doc_id"]).cache())
-    ranked = service.search_addresses(asked(spark, sf_dir), built_index, 20)
+    ranked = service.search_addresses(asked(spark, sf_dir), built_index, 100)
     return ranked.select("query_id", "doc_id", "place", "score", "confidence", "label", "explanation")
 
 

@@ -104,6 +104,20 @@ def test_search_places_the_address_that_fits_first(spark):
     assert sorted(r.place for r in got) == list(range(1, len(got) + 1)) and all(0 <= r.confidence <= 0.99 for r in got)
 
 
+@pytest.mark.parametrize("name", ["address_retrieval", "address_search"])
+def test_searches_retrieve_a_pool_of_100(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    def retrieve(plans, clauses, built, k=100):
+        raise Asked(k)
+
+    monkeypatch.setattr(catalog_search.search, "retrieve", retrieve)
+    with pytest.raises(Asked) as asked:
+        catalog.QUERIES[name](spark, SF)
+    assert asked.value.args == (100,)
+
+
 def test_metrics_of_the_ideal_order(spark):
     rows = spark.createDataFrame([(1, 3 - i if i < 3 else 0, 10.0 - i, i) for i in range(8)], "group int, label int, score double, tie int")
     r = metrics.evaluate(rows, "tie").first()
