@@ -5,21 +5,28 @@ lower-cased A-Z; a text of fewer words has its whole sequence as one.
 
 1. Documents with equal sets form a class; only one of each class goes on.
 2. Each tree of ``TREES`` branches a document by minwise tokens: the path so
-   far chooses the next of ``HASHES`` minwise values, and the path with that
-   value is the child. Paths depend on the document alone, so all trees are one
-   range-partitioned sort. Nodes of at most ``LIMIT`` documents are compared
-   exhaustively by 2-bit sketches; larger ones branch on, and a node that is
-   still large at ``DEPTH`` is compared whole on the full sets: its documents are
-   dealt over blocks, and every two blocks meet in a task (``whole``). So are the
-   nodes that a bound between two tasks cuts. A pair of similarity 0.8 shares a node of depth d in one
-   tree with probability 0.8**d; 16 trees miss it at depth 3 about once in 50 000.
-   Ties are dealt by hashed id, so a large node is spread over many tasks.
+   far chooses the next of the tree's own ``HASHES / TREES`` minwise values, and
+   the path with that value is the child. Paths depend on the document alone, so
+   all trees are one range-partitioned sort. Nodes of at most ``LIMIT`` documents
+   are compared exhaustively by 2-bit sketches and set sizes; larger ones branch
+   on. A pair of similarity 0.8 shares a node of depth d in one tree with
+   probability 0.8**d; 16 trees miss it at depth 3 about once in 50 000. Ties are
+   dealt by hashed id, so a large node is spread over many tasks.
 3. In a node, pairs that look alike are taken from the most alike on; those whose
    ends are joined already by pairs that look at least ``LIKELY`` are left out, so
-   a group of n copies gives about n pairs, not n * n.
+   a group of n copies gives about n pairs, not n * n. Of a node that is still
+   large at ``DEPTH`` only the pairs with a few leaders are taken so.
 4. Every pair is confirmed on the full sets, and connected components follow.
    Where the members of a node's group end in different components, the pairs
    between these components that were left out are confirmed as well.
+5. Large nodes, and nodes that a bound between two tasks cuts, are compared whole
+   on the full sets as far as their members lie in different components. Nodes
+   that share a component are one pool, so a pair that meets in many trees is
+   compared once. A pool's documents are dealt over blocks of bounded bytes and
+   number, and every two blocks meet in a task, but for blocks that hold one and
+   the same component: a group of copies that the leaders have joined costs no
+   more than its stragglers times its blocks. Only copies that stay unlike one
+   another cost the square of their blocks.
 
 Defined cases: null, empty and wordless texts have the empty set and link with
 nothing; equal sets are one class; rows without id are returned unlinked; rows
@@ -28,11 +35,12 @@ that repeat an id share its component; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -40,8 +48,10 @@ from .store import kept
 from .textops import SPACE, U, distinct, fixed_rows, longs, mix, shingles, slices, strings, word_hashes, words
 
 HASHES, TREES, DEPTH, LIMIT = 128, 16, 5, 64
-#: Documents of a block of a large node.
-BLOCK = 512
+#: Leaders with which the documents of a large node are paired; what they don't join is compared whole.
+LEADERS = 8
+#: Bytes of text and documents of a block of a pool.
+BLOCK_BYTES, BLOCK_ROWS = 2 << 20, 4096
 #: Sketch likeness from which a pair is a candidate (four deviations below 0.8), and from which it joins a group.
 CUT, LIKELY = 0.63, 0.82
 MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=U) * U(0x5851F42D4C957F2D)) | U(1)
@@ -65,15 +75,18 @@ def minwise(value: np.ndarray, begins: np.ndarray) -> np.ndarray:
 
 
 def paths(minima: np.ndarray) -> np.ndarray:
-    """For each document and tree the hash of its path at each depth, big-endian, one after another."""
-    n = len(minima)
+    """For each document and tree the hash of its path at each depth, big-endian, one after another.
+
+    A tree has HASHES / TREES values of its own, in DEPTH ranges; the path chooses one of each range.
+    """
+    n, own = len(minima), HASHES // TREES
+    ranges = [own * d // DEPTH for d in range(DEPTH + 1)]
     out = np.zeros((n, TREES, DEPTH), ">u4")
     for tree in range(TREES):
         path = np.full(n, (tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64), U)
         for depth in range(DEPTH):
             path = mix(path + U(depth + 1))
-            # Strides keep a path from choosing the same value twice.
-            chosen = ((path >> U(40)) % U(HASHES // 8) * U(8) + U((tree + depth) % 8)).astype(np.int64) if depth else np.full(n, (tree * 8 + tree // 16) % HASHES)
+            chosen = tree * own + ranges[depth] + ((path >> U(40)) % U(ranges[depth + 1] - ranges[depth])).astype(np.int64)
             path = mix(path ^ (minima[np.arange(n), chosen].astype(U) + (chosen.astype(U) << U(32))))
             out[:, tree, depth] = (path >> U(32)).astype(np.uint32)
     return out.reshape(n, TREES * DEPTH)
@@ -136,7 +149,26 @@ def alike(sketch: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarr
     return out
 
 
-def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[tuple[int, int]]]:
+def sizes_allow(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be as similar as that; exact."""
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def led(rows: np.ndarray, sketch: np.ndarray, counts: np.ndarray, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a large node's rows with the first few of them that look like them."""
+    out = []
+    for _ in range(LEADERS):
+        if len(rows) < 2:
+            break
+        leader, rows = rows[0], rows[1:]
+        near = sizes_allow(counts[rows], counts[leader], percent)
+        near[near] = ((sketch[rows[near]] == sketch[leader]).mean(axis=1) - 0.25) / 0.75 >= LIKELY
+        out.append((np.full(int(near.sum()), leader), rows[near]))
+        rows = rows[~near]
+    return out
+
+
+def compare(keys: np.ndarray, sketch: np.ndarray, counts: np.ndarray, rep: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, list[list[int]], list[tuple[int, int]]]:
     """Candidate pairs among rows sorted by (tree, path), the groups within which pairs were left out, and the bounds of nodes too large to compare here."""
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     groups: list[list[int]] = []
@@ -153,6 +185,8 @@ def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
             small.setdefault(hi - lo, []).append(lo)
         elif depth == keys.shape[1]:
             large.append((lo, hi))
+            # The smallest ids lead, so that a group has the same leaders in every tree.
+            pairs.extend(led(lo + np.argsort(rep[lo:hi], kind="stable"), sketch, counts, percent))
         else:
             for a, b in runs(lo, hi, depth):
                 node(a, b, depth + 1)
@@ -172,14 +206,16 @@ def compare(keys: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarra
         for at in range(0, len(begins), step):
             lo = np.array(begins[at : at + step])
             first, second = (lo[:, None] + i).ravel(), (lo[:, None] + j).ravel()
-            est = alike(sketch, first, second)
-            near = np.flatnonzero(est >= CUT)
+            may = np.flatnonzero(sizes_allow(counts[first], counts[second], percent))
+            est = alike(sketch, first[may], second[may])
+            near, est = may[est >= CUT], est[est >= CUT]
             if n == 2:
                 pairs.append((first[near], second[near]))
                 continue
-            for part in np.split(near, np.flatnonzero(np.diff(near // len(i))) + 1):
+            node_of = near // len(i)
+            for part in np.split(np.arange(len(near)), np.flatnonzero(np.diff(node_of)) + 1):
                 if len(part):
-                    add(first[part], second[part], est[part])
+                    add(first[near[part]], second[near[part]], est[part])
     z = np.zeros(0, np.int64)
     return np.concatenate([z, *(p[0] for p in pairs)]), np.concatenate([z, *(p[1] for p in pairs)]), groups, large
 
@@ -196,10 +232,10 @@ def cut_nodes(keys: np.ndarray) -> list[tuple[int, int, int]]:
     return out
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Of class representatives (rep, sketch, paths): pairs (a, b, null) that met in a node and look alike, members (a, null, grp) of groups within which pairs were left out, and members (a, null, grp, true) of nodes to compare whole."""
+def candidates(classes: DataFrame, percent: int = 80) -> DataFrame:
+    """Of class representatives (rep, n_shingles, sketch, paths): pairs (a, b, null) that met in a node and look alike, members (a, null, grp) of groups within which pairs were left out, and members (a, null, grp, true) of nodes to compare whole."""
     tree = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.substring("paths", t * KEY + 1, KEY))).alias("tree", "path")
-    rows = classes.select("rep", "sketch", tree).select("tree", "path", F.xxhash64("rep", "tree").alias("tie"), "rep", "sketch")
+    rows = classes.select("rep", "n_shingles", "sketch", tree).select("tree", "path", F.xxhash64("rep", "tree").alias("tie"), "rep", F.col("n_shingles").cast("int").alias("n"), "sketch")
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartitionByRange(parts, "tree", "path", "tie").sortWithinPartitions("tree", "path", "tie")
 
@@ -209,7 +245,7 @@ def candidates(classes: DataFrame) -> DataFrame:
             trees = t.column("tree").to_numpy()
             keys = np.column_stack([trees.astype(np.uint32), strings_matrix(t.column("path"), ">u4")])
             rep = t.column("rep").to_numpy()
-            i, j, groups, large = compare(keys, unpack(strings_matrix(t.column("sketch"), np.uint8)))
+            i, j, groups, large = compare(keys, unpack(strings_matrix(t.column("sketch"), np.uint8)), t.column("n").to_numpy().astype(np.int64), rep, percent)
             a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
             # A group's name: its tree and its ends. A node's: its tree and path, the same in every task.
             ends = [(int(trees[g[0]]), int(rep[g].min()), int(rep[g].max())) for g in groups]
@@ -248,59 +284,96 @@ def candidates(classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long, grp long, large boolean").where("grp is not null or a <> b").distinct()
 
 
-def close(counts: np.ndarray, value: np.ndarray, first: int, percent: int) -> list[tuple[int, int]]:
-    """Pairs of rows that join all rows linked to one another, by their sets (``value``, one after another).
+def close(counts: np.ndarray, value: np.ndarray, part: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs of rows that join all linked rows of different parts, by their sets (``value``, one after another).
 
-    With ``first`` rows of one block before those of another only pairs of both
-    blocks are compared, with 0 all pairs. Rows that are joined already are left
-    out, as are sets whose sizes rule a link out.
+    Rows of different sides are compared, or all if there is but one. Left out
+    are pairs that are joined already, that sizes rule out, or that a bitmap of
+    the shingles rules out: a set's shingles that share a bit with another of its
+    own count as shared, so the bound is never too low.
     """
+    n = len(counts)
     bounds = np.concatenate([[0], np.cumsum(counts)])
-    shingles_, code = np.unique(value, return_inverse=True)
-    mark = np.zeros(len(shingles_), np.uint8)
-    label = np.arange(len(counts))
-    out = []
-    for i in range(first or len(counts)):
-        j = np.arange(first or i + 1, len(counts))
-        small, big = np.minimum(counts[i], counts[j]), np.maximum(counts[i], counts[j])
-        j = j[(100 * small >= percent * big) & (label[j] != label[i])]
+    _, code = np.unique(value, return_inverse=True)
+    bits = 1 << int(np.clip(np.ceil(np.log2(12 * np.median(counts))), 8, 13))
+    owner = np.repeat(np.arange(n), counts)
+    bit = (value % U(bits)).astype(np.int64)
+    maps = np.zeros((n, bits // 64), U)
+    np.bitwise_or.at(maps, (owner, bit >> 6), U(1) << (bit & 63).astype(U))
+    excess = counts - np.bitwise_count(maps).sum(axis=1)
+    order = np.argsort(counts, kind="stable")
+    counts_, maps_, excess_, side_ = counts[order], maps[order], excess[order], side[order]
+    label = np.unique(part, return_inverse=True)[1][order]
+    mark = np.zeros(int(code.max(initial=-1)) + 1, np.uint8)
+    two, out = len(np.unique(side)) > 1, []
+    for i in range(n):
+        upto = int(np.searchsorted(counts_, 100 * int(counts_[i]) // percent, "right"))
+        may = label[i + 1 : upto] != label[i]
+        if not may.any():
+            continue
+        if two:
+            may &= side_[i + 1 : upto] != side_[i]
+        j = i + 1 + np.flatnonzero(may)
+        if not len(j):
+            continue
+        shared = np.bitwise_count(maps_[j] & maps_[i]).sum(axis=1, dtype=np.int64) + np.minimum(excess_[i], excess_[j])
+        j = j[(100 + percent) * shared >= percent * (counts_[i] + counts_[j])]
         if not len(j):
             continue
-        own = code[bounds[i] : bounds[i + 1]]
+        own = code[bounds[order[i]] : bounds[order[i]] + counts_[i]]
         mark[own] = 1
-        ends = np.cumsum(counts[j])
-        at = np.arange(ends[-1]) + np.repeat(bounds[j] - ends + counts[j], counts[j])
-        shared = np.add.reduceat(mark[code[at]], ends - counts[j], dtype=np.int64)
+        for some in np.split(j, range(512, len(j), 512)):
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            ends = np.cumsum(counts_[some])
+            at = np.arange(ends[-1]) + np.repeat(bounds[order[some]] - ends + counts_[some], counts_[some])
+            shared = np.add.reduceat(mark[code[at]], ends - counts_[some], dtype=np.int64)
+            for k in some[100 * shared >= percent * (counts_[i] + counts_[some] - shared)].tolist():
+                if label[k] != label[i]:
+                    out.append((int(order[i]), int(order[k])))
+                    label[label == label[k]] = label[i]
         mark[own] = 0
-        for k in j[100 * shared >= percent * (counts[i] + counts[j] - shared)].tolist():
-            if label[k] != label[i]:
-                out.append((i, k))
-                label[label == label[k]] = label[i]
     return out
 
 
-def whole(nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join all linked members of each node (grp, a), whatever its size.
+def pools(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(grp, a, part): the members a of nodes that hold several components, by pool of nodes that share one; part is a's component."""
+    own = nodes.join(found.withColumnRenamed("id", "a"), "a", "left").select("grp", "a", F.coalesce("component", "a").alias("part"))
+    ends = own.groupBy("grp").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select("grp", "lo")
+    own = kept(own.join(ends, "grp"), "pools")
+    joined = components(own.select(F.col("lo").alias("a"), F.col("part").alias("b")).where("a <> b").distinct())
+    return own.select("a", "part").distinct().join(joined.select(F.col("id").alias("part"), F.col("component").alias("grp")), "part").select("grp", "a", "part")
+
+
+def whole(members: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join all linked members (grp, a, part) of each pool that lie in different parts, whatever its size.
 
-    Every two blocks of a node meet in one task, with the texts of both.
+    Every two blocks of a pool meet in one task, with the texts of both. Parts of
+    a block's bytes or rows and more have blocks of their own, which needn't meet.
     """
-    blocks = nodes.groupBy("grp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n"), F.count("*").alias("members")).where("members > 1").drop("members")
-    rows = nodes.join(blocks, "grp").withColumn("own", F.pmod(F.xxhash64("a"), "n").cast("int"))
-    rows = rows.join(docs.select(F.col("doc_id").alias("a"), "text"), "a")
-    rows = rows.select("grp", "a", "own", "text", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
-    rows = rows.select("grp", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "a", "text")
+    rows = kept(members.join(docs.select(F.col("doc_id").alias("a"), "text"), "a"), "pooled")
+    each = rows.groupBy("grp", "part").agg(F.greatest(F.sum(F.octet_length("text")) / BLOCK_BYTES, F.count("*") / BLOCK_ROWS).alias("blocks"))
+    small = each.where("blocks < 1").groupBy("grp").agg(F.ceil(F.sum("blocks")).cast("int").alias("small"))
+    # As many rows as the pool has whole blocks, at most.
+    big = each.where("blocks >= 1").select("grp", "part", F.ceil("blocks").cast("int").alias("n"))
+    big = big.withColumn("before", (F.sum("n").over(Window.partitionBy("grp").orderBy("part")) - F.col("n")).cast("int"))
+    total = big.groupBy("grp").agg(F.sum("n").cast("int").alias("big")).join(small, "grp", "full").select("grp", F.coalesce("small", F.lit(0)).alias("small"), (F.coalesce("small", F.lit(0)) + F.coalesce("big", F.lit(0))).alias("total"))
+    rows = rows.join(total, "grp").join(big, ["grp", "part"], "left").withColumn("first", F.col("small") + F.col("before"))
+    rows = rows.withColumn("own", F.when(F.col("n").isNotNull(), F.col("first") + F.pmod(F.xxhash64("a"), "n")).otherwise(F.pmod(F.xxhash64("a"), "small")).cast("int"))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("total") - 1))).where(F.col("n").isNull() | (F.col("k") < F.col("first")) | (F.col("k") >= F.col("first") + F.col("n")))
+    rows = rows.select("grp", F.least("own", "k").alias("x"), F.greatest("own", "k").alias("y"), "own", "a", "part", "text")
     rows = rows.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y", "own", "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
             owner, value, bounds = sets(*strings(t.column("text")), size)
-            a, own = t.column("a").to_numpy(), t.column("own").to_numpy()
+            a, own, part = (t.column(c).to_numpy() for c in ("a", "own", "part"))
             counts = np.diff(bounds)
             some = counts > 0
-            # A cell of two blocks has different x and y.
-            two = t.column("x")[0].as_py() != t.column("y")[0].as_py()
-            first = int((own[some] == own[0]).sum()) if two else 0
-            found = close(counts[some], value, first, percent) if some.any() and not (two and not 0 < first < some.sum()) else []
+            # Rows of one side in a cell of two blocks meet in the cell of their own block.
+            alone = t.column("x")[0].as_py() != t.column("y")[0].as_py() and own[0] == own[-1]
+            found = close(counts[some], value, part[some], own[some], percent) if some.any() and not alone else []
             i, j = (a[some][[p[k] for p in found]] if found else np.zeros(0, np.int64) for k in (0, 1))
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
 
@@ -387,17 +460,18 @@ def groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     named = each.where("n_shingles > 0 and doc_id is not null")
     classes = kept(named.groupBy("fp_a", "fp_b", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     leaders = named.join(classes, ["fp_a", "fp_b", "n_shingles"]).where("doc_id = rep").dropDuplicates(["rep"])
-    met = kept(candidates(leaders.select("rep", "sketch", "paths")), "pairs")
+    met = kept(candidates(leaders.select("rep", "n_shingles", "sketch", "paths"), percent), "pairs")
+    texts = docs.where("doc_id is not null")
     pairs = met.where("b is not null").select("a", "b")
-    links = confirmed(pairs, docs.where("doc_id is not null"), size, percent)
-    links = kept(links.unionByName(whole(met.where("large").select("grp", "a"), docs.where("doc_id is not null"), size, percent)), "confirmed")
-    found = components(links)
+    found = components(confirmed(pairs, texts, size, percent))
     again = kept(left_out(met.where("grp is not null and not large").select("grp", "a"), found, pairs, leaders.select("rep", "sketch")), "pairs")
-    if not again.isEmpty():
-        more = confirmed(again, docs.where("doc_id is not null"), size, percent)
+    pool = kept(pools(met.where("large").select("grp", "a"), found), "pools")
+    more = [confirmed(again, texts, size, percent)] if not again.isEmpty() else []
+    more += [whole(pool, texts, size, percent)] if not pool.isEmpty() else []
+    if more:
         # Components stay as they are, joined by the new links.
         star = found.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
-        found = components(star.unionByName(more))
+        found = components(functools.reduce(DataFrame.unionByName, more, star))
     members = each.select("doc_id", "n_shingles", "fp_a", "fp_b").join(classes, ["fp_a", "fp_b", "n_shingles"], "left")
     members = members.withColumn("class_id", F.when(F.col("doc_id").isNotNull() & F.col("rep").isNotNull(), F.col("rep")).otherwise(F.col("doc_id")))
     out = members.join(found.select(F.col("id").alias("class_id"), "component"), "class_id", "left")

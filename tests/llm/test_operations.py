@@ -97,7 +97,7 @@ def test_near_dedup_of_a_large_group_emits_few_pairs(spark):
     rows = {i: " ".join(w if (i * 31 + j) % 40 else f"x{i}y{j}" for j, w in enumerate(base)) for i in range(300)}
     got = near_dedup.groups(table(spark, rows), 2).collect()
     assert {r.component_id for r in got} == {0}
-    each = near_dedup.shingled(table(spark, rows), 2).select(F.col("doc_id").alias("rep"), "sketch", "paths")
+    each = near_dedup.shingled(table(spark, rows), 2).select(F.col("doc_id").alias("rep"), "n_shingles", "sketch", "paths")
     assert near_dedup.candidates(each).where("b is not null").count() < 300 * 60
 
 
@@ -130,7 +130,7 @@ def loose_copies(n):
 
 
 def test_near_dedup_compares_a_large_group_of_loose_copies_whole(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(near_dedup, "BLOCK_ROWS", 100)
     rows = loose_copies(2000)
     want = brute_components(rows, 2)
     assert 100 < len(set(want.values())) < len(rows) - 100
@@ -138,6 +138,24 @@ def test_near_dedup_compares_a_large_group_of_loose_copies_whole(spark, monkeypa
     assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
 
 
+def test_near_dedup_finds_every_partner_among_copies_of_one_template(spark, monkeypatch):
+    """Any two of 4000 copies are about 0.72 alike; every one has a partner of about 0.86."""
+    monkeypatch.setattr(near_dedup, "BLOCK_BYTES", 1 << 18)
+    base, r, rows = prose(220, 5).split(), random.Random(8), {}
+    for i in range(2000):
+        own = list(base)
+        for j in r.sample(range(220), 19):
+            own[j] = f"x{i}y{j}"
+        rows[i] = " ".join(own)
+        for j in r.sample(range(220), 8):
+            own[j] = f"z{i}y{j}"
+        rows[9000 - i] = " ".join(own)
+    want = brute_components(rows, 2)
+    got = {x.doc_id: x.component_id for x in near_dedup.groups(table(spark, rows), 2).collect()}
+    assert len(set(want.values())) > 1000
+    assert {k: (got[k], want[k]) for k in want if got[k] != want[k]} == {}
+
+
 def test_links_within_a_node_are_brute_force():
     rows = loose_copies(150)
     data, offsets = textops.strings(pa.array(list(rows.values())))
@@ -145,10 +163,11 @@ def test_links_within_a_node_are_brute_force():
     counts, want = np.diff(bounds), brute_components(rows, 2)
     sets, ids = [shingle_set(t, 2) for t in rows.values()], list(rows)
     linked = {(i, j) for i in range(len(ids)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
-    found = near_dedup.close(counts, value, 0, 80)
+    part, side = np.arange(len(ids)), np.arange(len(ids)) >= 60
+    found = near_dedup.close(counts, value, part, np.zeros(len(ids)), 80)
     assert {tuple(sorted(p, reverse=True)) for p in found} <= linked and len(found) == len(ids) - len(set(want.values()))
-    across = near_dedup.close(counts, value, 60, 80)
-    assert all(i < 60 <= j for i, j in across) and {tuple(sorted(p, reverse=True)) for p in across} <= linked
+    across = near_dedup.close(counts, value, part, side, 80)
+    assert all(side[i] != side[j] for i, j in across) and {tuple(sorted(p, reverse=True)) for p in across} <= linked
 
 
 def test_components(spark):
