@@ -147,7 +147,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     texts = suffix_dedup.distinct_texts(docs)
-    digests = texts.select("text_key", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digests = texts.select("text_key", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), (F.size("spans") > 0).alias("repeated"))
     return docs.select("doc_id", suffix_dedup.text_key().alias("text_key")).join(digests, "text_key").drop("text_key")
 
 

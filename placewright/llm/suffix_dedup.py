@@ -15,9 +15,11 @@ else goes. Documents with equal texts are handled once, by the MD5 of the text.
    parts one hash; every run of equal windows is verified byte by byte at both
    ends.
 3. A gram of more than ``hot`` anchors is not gathered in one task: its distinct
-   windows of each text become rows (gram, hash of LENGTH bytes) with their
-   number, summed before the shuffle. Windows that repeat within a text need no
-   other; text of one short period has few distinct ones.
+   windows of each text become rows (gram, hash of LENGTH bytes, digest of the
+   same bytes) with their number, summed before the shuffle. Windows are equal if
+   both agree, so a collision of the polynomial hash is caught by the independent
+   BLAKE2 digest. Windows that repeat within a text need no other and are compared
+   byte by byte; text of one short period has few distinct ones.
 
 Defined cases: null texts are empty; texts shorter than LENGTH keep everything;
 repeated rows and equal texts of LENGTH bytes or more are removed whole, the
@@ -34,11 +36,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import kept
 from .textops import U, longs, powers, prefix_hashes, slices, span_hashes
 
 LENGTH, GRAM = 400, 64
 WIDTH = LENGTH - GRAM + 1
-POSITION_BITS = 30
+#: A text has fewer bytes than 2 to this power.
+POSITION_BITS = 31
 
 
 def sliding_argmin(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -224,24 +228,44 @@ def exact_windows(data: np.ndarray, begin: np.ndarray, end: np.ndarray, group: n
     return [x for rows in seen.values() if len(rows) > 1 for x in rows]
 
 
+def own_windows(data: np.ndarray, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct hashes of one text's windows, the place of the first of each, their number, and the sorted starts of those that stand more than once.
+
+    Equal hashes are verified byte by byte against the first; what differs from
+    it, should a hash collide, is counted by its bytes.
+    """
+    distinct, at_first, inverse, counts = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(counts[inverse] > 1)
+    for k in range(0, len(again), 4000):
+        some = again[k : k + 4000]
+        if (data[start[some][:, None] + np.arange(LENGTH)] != data[start[at_first[inverse[some]]][:, None] + np.arange(LENGTH)]).any():
+            seen: dict[bytes, list[int]] = {}
+            for i, x in enumerate(start.tolist()):
+                seen.setdefault(data[x : x + LENGTH].tobytes(), []).append(i)
+            at_first, counts = np.array([v[0] for v in seen.values()]), np.array([len(v) for v in seen.values()])
+            return window[at_first], at_first, counts, np.sort(start[[i for v in seen.values() if len(v) > 1 for i in v]])
+    return distinct, at_first, counts, np.sort(start[again])
+
+
 def removals(docs: DataFrame, hot: int = 16384) -> tuple[DataFrame, DataFrame]:
     """(distinct texts as (text_key, text), (text_key, n, ranges)): how often each text stands, and its repeated [begin, end) bytes."""
     key = text_key().alias("text_key")
     counts = docs.select(key).groupBy("text_key").agg(F.count("*").alias("n"))
     unique = docs.select(key, F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["text_key"])
-    single = grams(docs).where(F.size("keys") > 0).dropDuplicates(["text_key"])
+    # Both are written, so that grams are found once and a hot gram's side of the join can be split.
+    single = kept(grams(docs).where(F.size("keys") > 0).dropDuplicates(["text_key"]), "grams")
     rows = single.select("text_key", F.explode("keys").alias("key"))
-    many = rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    many = kept(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "repeated")
     repeated = rows.join(many, "key").groupBy("text_key").agg(F.collect_set(F.struct("key", (F.col("m") > hot).alias("hot"))).alias("at"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[] for _ in range(10)]
+        out: list[list] = [[] for _ in range(11)]
         size = 0
 
         def batch() -> pa.RecordBatch:
             many = pa.list_(pa.int64())
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), many, many, many, many, pa.list_(pa.list_(pa.int32()))]
-            r = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "text_key", "first", "anchor", "bytes", "grams", "hashes", "counts", "starts", "own"])
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), many, many, many, many, many, pa.list_(pa.list_(pa.int32()))]
+            r = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds)], names=["key", "text_key", "first", "anchor", "bytes", "grams", "hashes", "checks", "counts", "starts", "own"])
             for x in out:
                 x.clear()
             return r
@@ -255,7 +279,7 @@ def removals(docs: DataFrame, hot: int = 16384) -> tuple[DataFrame, DataFrame]:
                 keys = keys.view(np.int64)
                 for key, anchor, first, last in zip(keys.tolist(), anchors.tolist(), firsts.tolist(), lasts.tolist()):
                     if asked.get(key) is False:
-                        for x, v in zip(out, (key, name, first, anchor - first, raw[first : last + LENGTH], None, None, None, None, None)):
+                        for x, v in zip(out, (key, name, first, anchor - first, raw[first : last + LENGTH], *[None] * 6)):
                             x.append(v)
                         size += last - first + LENGTH
                         if size > 4 << 20:
@@ -266,17 +290,17 @@ def removals(docs: DataFrame, hot: int = 16384) -> tuple[DataFrame, DataFrame]:
                     n = (lasts - firsts + 1)[crowded]
                     start = np.repeat(firsts[crowded] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     window = span_hashes(prefix_hashes(data, lower=False), start, start + LENGTH)
-                    distinct, at_first, inverse, counts = np.unique(window, return_index=True, return_inverse=True, return_counts=True)
-                    twice = np.sort(start[counts[inverse] > 1])
+                    distinct, at_first, counts, twice = own_windows(data, start, window)
+                    checks = np.array([int.from_bytes(hashlib.blake2b(raw[x : x + LENGTH], digest_size=8).digest(), "little", signed=True) for x in start[at_first].tolist()], np.int64)
                     cut = np.flatnonzero(np.diff(twice) > 1)
                     own = np.column_stack([twice[np.concatenate([[0], cut + 1])], twice[np.append(cut, len(twice) - 1)] + LENGTH]) if len(twice) else np.zeros((0, 2), np.int64)
-                    for x, v in zip(out, (None, name, None, None, None, np.repeat(keys[crowded], n)[at_first], distinct.view(np.int64), counts, start[at_first], own.tolist())):
+                    for x, v in zip(out, (None, name, None, None, None, np.repeat(keys[crowded], n)[at_first], distinct.view(np.int64), checks, counts, start[at_first], own.tolist())):
                         x.append(v)
-                    size += 32 * len(distinct)
+                    size += 40 * len(distinct)
         if out[0]:
             yield batch()
 
-    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key binary, first int, anchor int, bytes binary, grams array<long>, hashes array<long>, counts array<long>, starts array<long>, own array<array<int>>")
+    served = unique.join(repeated, "text_key").select("text_key", "text", "at").mapInArrow(windows, "key long, text_key binary, first int, anchor int, bytes binary, grams array<long>, hashes array<long>, checks array<long>, counts array<long>, starts array<long>, own array<array<int>>")
 
     def sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def emit(t: pa.Table) -> pa.RecordBatch:
@@ -308,10 +332,10 @@ def removals(docs: DataFrame, hot: int = 16384) -> tuple[DataFrame, DataFrame]:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cold = served.where("key is not null").select("key", "text_key", "first", "anchor", "bytes").repartition(parts, "key").sortWithinPartitions("key")
     ranges = cold.mapInArrow(sorted_groups, "text_key binary, b int, e int")
-    crowded = served.where("key is null").select("text_key", "own", "grams", "hashes", "counts", "starts")
-    window = crowded.select("text_key", F.inline(F.arrays_zip("grams", "hashes", "counts", "starts"))).toDF("text_key", "gram", "hash", "n", "b")
-    twice = window.groupBy("gram", "hash").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
-    ranges = ranges.unionByName(window.where("n = 1").join(twice, ["gram", "hash"]).select("text_key", F.col("b").cast("int").alias("b"), (F.col("b") + LENGTH).cast("int").alias("e")))
+    crowded = served.where("key is null").select("text_key", "own", "grams", "hashes", "checks", "counts", "starts")
+    window = crowded.select("text_key", F.inline(F.arrays_zip("grams", "hashes", "checks", "counts", "starts"))).toDF("text_key", "gram", "hash", "check", "n", "b")
+    twice = window.groupBy("gram", "hash", "check").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
+    ranges = ranges.unionByName(window.where("n = 1").join(twice, ["gram", "hash", "check"]).select("text_key", F.col("b").cast("int").alias("b"), (F.col("b") + LENGTH).cast("int").alias("e")))
     ranges = ranges.unionByName(crowded.select("text_key", F.explode("own").alias("r")).select("text_key", F.col("r")[0].alias("b"), F.col("r")[1].alias("e")))
     found = ranges.groupBy("text_key").agg(F.collect_list(F.struct("b", "e")).alias("ranges"))
     return unique, counts.join(found, "text_key", "left")
