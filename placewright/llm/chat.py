@@ -39,8 +39,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    marked = F.replace(unescape(role), F.lit("\\\\"), F.lit("\x00"))
-    return F.replace(F.replace(marked, F.lit("\\n"), F.lit("\n")), F.lit("\x00"), F.lit("\\"))
+    # Escaped backslashes are cut out first, from the left; what stands between them holds escaped line ends only.
+    between = F.transform(F.split(unescape(role), r"\\\\", -1), lambda x: F.replace(x, F.lit("\\n"), F.lit("\n")))
+    return F.array_join(between, "\\")
 
 
 def opened(role: Column, text: Column) -> Column:
