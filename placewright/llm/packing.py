@@ -19,6 +19,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import os
 from bisect import bisect_right, insort
 from collections.abc import Iterator
@@ -29,6 +30,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 TIERS = (512, 1024, 2048, 4096)
+#: How a tokenizer file normalises and splits texts whose words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_length long, step_group long"
 #: Most distinct words that a worker remembers.
 REMEMBERED = 800_000
@@ -49,6 +59,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        parts = json.loads(self.tokenizer.to_str())
+        #: Whether the file is of the kind whose words may be encoded one by one; else texts go to the tokenizer whole.
+        self.by_word = parts["normalizer"] == NORMALIZER and parts["pre_tokenizer"] == PRE_TOKENIZER and parts["model"]["type"] == "BPE" and all(x["content"].startswith("<|") for x in parts["added_tokens"])
         self.parts = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
         self.plain = regex.compile(r"[\x21-\x7EÀ-ÿ]+").fullmatch
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -97,6 +110,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each text's first id."""
+        if not self.by_word:
+            each = [self.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts.to_pylist()]
+            return np.array([i for ids in each for i in ids], np.uint32), np.concatenate([[0], np.cumsum([len(ids) for ids in each])]).astype(np.int64)
         lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         coded = lists.flatten().dictionary_encode()
