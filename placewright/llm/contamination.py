@@ -1,8 +1,8 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of shards, each of a bounded number of training tokens:
-its documents, its distinct terms (64-bit hashes) and for each term the sorted
-positions at which it stands. A search takes the test phrases shard by shard:
+The index is a table of shards, written to the shared folder, each of a bounded
+number of training tokens: its documents, its distinct terms (64-bit hashes) and
+for each term the sorted positions at which it stands. A search takes the test phrases shard by shard:
 a phrase's terms are ordered by their number of postings, the rarest list gives
 the candidate starts (position less the term's place in the phrase), and each
 further list is intersected with them, so most phrases end at their first or
@@ -11,7 +11,7 @@ documents never follow one another. Shards are independent: nothing is
 shuffled, and a hot document or term stays in its shard.
 
 Test items are broadcast only below ``BROADCAST_BYTES``; a larger benchmark is
-searched in blocks of items, each below it.
+searched in blocks of items, each below it, all in the one stored index.
 
 Defined cases: null texts have no words and match nothing; items without words
 match nothing; a document that holds an item twice counts its words once;
@@ -26,16 +26,17 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh, kept
 from .textops import NOT_ALNUM, U, longs, slices, word_hashes, words
 
 WINDOW = 13
 BROADCAST_BYTES = 8 << 20
 SHARD_BYTES = 2 << 20
-SHARDS = "doc_ids array<long>, n_words array<int>, terms binary, ends binary, positions binary"
-#: Positions left free between documents: phrases and proximity windows are shorter.
+SHARDS = "shard long, doc_ids array<long>, n_words array<int>, terms binary, ends binary, positions binary"
+#: Positions left free between documents, and the widest ``slop``.
 GAP = 64
 
 
@@ -53,15 +54,19 @@ def postings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """Shards of the positional index; write them with ``.write.parquet`` to search them again later."""
+    """Shards of the positional index; write them with ``.write.parquet`` to search them again later. A shard's number is that of its task and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for rows, data, offsets in slices(batches, limit=SHARD_BYTES):
             n, terms, ends, positions = postings(data, offsets)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, positions))],
-                names=["doc_ids", "n_words", "terms", "ends", "positions"],
+                [pa.array([number], pa.int64()), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())), pa.array([n.astype(np.int32)], pa.list_(pa.int32())), *(pa.array([x.tobytes()], pa.binary()) for x in (terms, ends, positions))],
+                names=["shard", "doc_ids", "n_words", "terms", "ends", "positions"],
             )
+            number += 1
 
     return docs.select("doc_id", "text").mapInArrow(run, SHARDS)
 
@@ -158,6 +163,13 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
     [begin, end) in words. With ``slop``, ``near`` lists the items whose
     ``anchors`` rarest terms all stand within ``slop`` words of each other.
     """
+    return _search(index, items, size, slop, anchors).drop("shard", "place")
+
+
+def _search(index: DataFrame, items: list[tuple[object, str | None]], size: int, slop: int, anchors: int = 3) -> DataFrame:
+    """``search`` with each document's shard and place in it."""
+    if slop > GAP:
+        raise ValueError(f"slop is {slop}, documents lie {GAP} words apart")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tests = Phrases(items, size, slop, anchors)
@@ -167,11 +179,11 @@ def search(index: DataFrame, items: list[tuple[object, str | None]], size: int =
                 n_hit, found, spans, near = tests.search(shard)
                 text = pa.list_(pa.string())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row["doc_ids"], pa.int64()), pa.array(shard.n_words), pa.array(n_hit.astype(np.int64)), pa.array(found, text), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(near, text)],
-                    names=["doc_id", "n_words", "n_hit", "items", "spans", "near"],
+                    [pa.array([row["shard"]] * len(n_hit), pa.int64()), pa.array(np.arange(len(n_hit))), pa.array(row["doc_ids"], pa.int64()), pa.array(shard.n_words), pa.array(n_hit.astype(np.int64)), pa.array(found, text), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array(near, text)],
+                    names=["shard", "place", "doc_id", "n_words", "n_hit", "items", "spans", "near"],
                 )
 
-    return index.mapInArrow(run, "doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>, near array<string>")
+    return index.mapInArrow(run, "shard long, place long, doc_id long, n_words long, n_hit long, items array<string>, spans array<array<int>>, near array<string>")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -179,9 +191,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFram
     items = benchmark.select("item_id", "text").where("item_id is not null")
     total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     if total > BROADCAST_BYTES:
-        numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-        found = find(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, size).where(contaminated())
-        return numbered.join(found.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(docs.columns)
+        # Written, so that a row's number stays the same when a task is run again.
+        name = fresh(docs.columns, "row")
+        numbered = kept(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+        found = find(numbered.select(F.col(name).alias("doc_id"), "text"), benchmark, size).where(contaminated())
+        return numbered.join(found.select(F.col("doc_id").alias(name)), name, "left_anti").select(docs.columns)
     tests = [tuple(r) for r in items.collect()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,19 +224,24 @@ def find(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int =
     items = benchmark.select("item_id", "text").where("item_id is not null")
     total = items.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = -(-total // BROADCAST_BYTES) or 1
+    index = kept(build_index(docs), "index")
     if blocks == 1:
-        return search(build_index(docs), [tuple(r) for r in items.collect()], size, slop)
-    # Too large to broadcast at once: search in blocks of items, then join the blocks' hits.
+        return search(index, [tuple(r) for r in items.collect()], size, slop)
+    # Too large to broadcast at once: the index is searched in blocks of items, then the blocks' hits are joined.
     block = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
-    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    parts = [search(build_index(numbered.select(F.col("row").alias("doc_id"), "text")), [tuple(r) for r in items.where(block == k).collect()], size, slop) for k in range(blocks)]
-    # Spans are merged as sets of words.
-    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.flatten(F.transform("spans", lambda s: F.sequence(s[0], s[1] - 1)))))))
+    parts = [_search(index, [tuple(r) for r in items.where(block == k).collect()], size, slop) for k in range(blocks)]
     flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    merged = reduce(DataFrame.unionByName, parts).groupBy("doc_id").agg(F.max("n_words").alias("n_words"), covered.alias("hit"), flat("items").alias("items"), flat("near").alias("near"))
-    spans = F.transform(F.filter("hit", lambda x: ~F.array_contains("hit", x - 1)), lambda x: F.array(x, F.element_at(F.filter("hit", lambda y: (y >= x) & ~F.array_contains("hit", y + 1)), 1) + 1))
-    out = merged.select(F.col("doc_id").alias("row"), "n_words", F.size("hit").cast("long").alias("n_hit"), "items", spans.alias("spans"), "near")
-    return numbered.select("row", "doc_id").join(out, "row").drop("row")
+    merged = reduce(DataFrame.unionByName, parts).groupBy("shard", "place").agg(F.first("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), flat("items").alias("items"), flat("spans").alias("hits"), flat("near").alias("near"))
+
+    def joined(out: Column, s: Column) -> Column:
+        """Sorted spans with those that meet made one."""
+        tail = F.get(out, F.size(out) - 1)
+        longer = F.concat(F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.array(tail[0], F.greatest(tail[1], s[1]))))
+        return F.when((F.size(out) > 0) & (s[0] <= tail[1]), longer).otherwise(F.concat(out, F.array(s)))
+
+    spans = F.aggregate("hits", F.expr("cast(array() as array<array<int>>)"), joined)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+    return merged.withColumn("spans", spans).select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "spans", "near")
 
 
 def contaminated(n_hit: str = "n_hit", n_words: str = "n_words"):

@@ -21,9 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import kept
 from .textops import SPACE, U, mix, shingles, slices, strings, word_hashes, words
 
 BINS, BITS, WORDS = 256, 4, 5
@@ -80,40 +81,21 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-def in_order(docs: DataFrame, rows_per_part: int = 4000) -> DataFrame:
-    """(part, doc_id, text, extra): the documents in parts of consecutive ids, each part sorted.
+DIGESTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
-    The first document of each part is also the last of the part before it,
-    marked ``extra`` (the first of all closes the last part), so each document's
-    successor lies in its own part. Bounds come from the ids alone.
-    """
-    spark = docs.sparkSession
-    n = docs.count()
-    parts = max(1, -(-n // rows_per_part))
-    bounds = docs.select(F.percentile_approx("doc_id", F.array(*[F.lit(i / parts) for i in range(1, parts)]) if parts > 1 else F.array(F.lit(0.5)), 10_000).alias("b")).first()["b"] or []
-    bounds = sorted(set(bounds)) if parts > 1 else []
-
-    # A part's number is the count of bounds at or below the id; nulls come first.
-    edges = F.array(*[F.lit(b).cast("long") for b in bounds]) if bounds else None
-    part = F.lit(0) if edges is None else F.coalesce(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(0))
-    if len(bounds) > 200:
-        # As a balanced tree of comparisons, for many bounds.
-        def tree(lo: int, hi: int):
-            if lo == hi:
-                return F.lit(lo)
-            mid = (lo + hi) // 2
-            return F.when(F.col("doc_id") >= bounds[mid], tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-        part = F.coalesce(tree(0, len(bounds)), F.lit(0))
-    ids = docs.select("doc_id", part.alias("part"))
-    firsts = {r["part"]: r["first"] for r in ids.groupBy("part").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("first")).collect()}
-    order = sorted(firsts)
-    # One row per part: bounded by the number of parts, not by the documents.
-    also = spark.createDataFrame([(firsts[p], order[i - 1] if i else order[-1], i == 0) for i, p in enumerate(order)], "id long, before int, closing boolean")
-    tagged = docs.select("doc_id", "text", part.alias("part"))
-    copies = tagged.join(F.broadcast(also), F.coalesce("doc_id", F.lit(-(1 << 63))) == F.col("id"))
-    rows = tagged.select("part", "doc_id", "text", F.lit(0).alias("extra")).unionByName(copies.select(F.col("before").alias("part"), "doc_id", "text", F.when(F.col("closing"), 2).otherwise(1).alias("extra")))
-    return rows.repartition(len(order) or 1, "part").sortWithinPartitions("part", "extra", F.col("doc_id").asc_nulls_first(), "text")
+
+def digests(ids: list, texts: list[str], following: list[str], in_turn: bool) -> pa.RecordBatch:
+    """The rows of texts and those that follow them; ``in_turn`` if each text follows the one before."""
+    edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following)]
+    a, a_some = fingerprints(pa.array(texts, pa.string()))
+    e, e_some = fingerprints(pa.array(edited, pa.string()))
+    f, f_some = fingerprints(pa.array(following[-1:] if in_turn else following, pa.string()))
+    if in_turn:
+        f, f_some = np.concatenate([a[1:], f]), np.concatenate([a_some[1:], f_some])
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(packed(a, a_some), pa.string()), pa.array(packed(e, e_some), pa.string()), pa.array(likeness(a, a_some, e, e_some), pa.float64()), pa.array(likeness(a, a_some, f, f_some), pa.float64())],
+        names=[c.split()[0] for c in DIGESTS.split(", ")],
+    )
 
 
 def compare(docs: DataFrame) -> DataFrame:
@@ -121,35 +103,57 @@ def compare(docs: DataFrame) -> DataFrame:
 
     The edited text has the last half of the code points replaced by the first
     as many of the next document by id (the first document follows the last; a
-    lone document follows itself).
+    lone document follows itself). Rows of one id follow each other by text.
+
+    Documents are dealt over tasks by ranges of ids and sorted there. A task's
+    last document is followed by the first of the next task that has any: both
+    ends of each task are written with the rows, and the ends are paired by an
+    equi-join, so nothing but task numbers is gathered.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(ids: list, texts: list[str], following: list[str]) -> pa.RecordBatch:
-            edited = [t[: len(t) - len(t) // 2] + f[: len(t) // 2] for t, f in zip(texts, following)]
-            a, a_some = fingerprints(pa.array(texts, pa.string()))
-            e, e_some = fingerprints(pa.array(edited, pa.string()))
-            f, f_some = fingerprints(pa.array(following[-1:], pa.string()))
-            f, f_some = np.concatenate([a[1:], f]), np.concatenate([a_some[1:], f_some])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited]), pa.array(packed(a, a_some), pa.string()), pa.array(packed(e, e_some), pa.string()), pa.array(likeness(a, a_some, e, e_some)), pa.array(likeness(a, a_some, f, f_some))],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-            )
-
-        part, held, size, closed = None, [], 0, False
+        from pyspark import TaskContext
+
+        part = TaskContext.get().partitionId()
+
+        def rows(found: pa.RecordBatch) -> pa.RecordBatch:
+            n = found.num_rows
+            return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=[*found.schema.names, "part", "place", "text"])
+
+        def end(doc: int | None, place: str, text: str) -> pa.RecordBatch:
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *none, pa.array([part], pa.int32()), pa.array([place]), pa.array([text])], names=[*(c.split()[0] for c in DIGESTS.split(", ")), "part", "place", "text"])
+
+        held, size, begun = [], 0, False
         for batch in batches:
-            for p, doc, text, extra in zip(*[c.to_pylist() for c in batch.columns]):
+            for doc, text in zip(*[c.to_pylist() for c in batch.columns]):
                 text = text or ""
-                if p != part:
-                    part, held, size, closed = p, [], 0, False
-                if closed:  # more rows of the id that closes the part
-                    continue
+                if not begun:
+                    begun = True
+                    yield end(doc, "first", text)
                 held.append((doc, text))
                 size += len(text)
-                if len(held) > 1 and (size > 1 << 20 or extra):
-                    yield emit([d for d, _ in held[:-1]], [t for _, t in held[:-1]], [t for _, t in held[1:]])
+                if len(held) > 1 and size > 1 << 20:
+                    yield rows(digests([d for d, _ in held[:-1]], [t for _, t in held[:-1]], [t for _, t in held[1:]], True))
                     held, size = held[-1:], len(text)
-                closed = bool(extra)
+        if len(held) > 1:
+            yield rows(digests([d for d, _ in held[:-1]], [t for _, t in held[:-1]], [t for _, t in held[1:]], True))
+        if held:
+            yield end(*held[-1][:1], "last", held[-1][1])
 
-    rows = in_order(docs)
-    return rows.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    def closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                some = batch.slice(at, 64)
+                yield digests(*(c.to_pylist() for c in some.columns), False)
+
+    order = F.col("doc_id").asc_nulls_first()
+    ranges = docs.select("doc_id", "text").repartitionByRange(order).sortWithinPartitions(order, "text")
+    found = kept(ranges.mapInArrow(run, f"{DIGESTS}, part int, place string, text string"), "fingerprints")
+    # One row for each task: its number and that of the next.
+    every = Window.orderBy("part")
+    tasks = found.where("place = 'first'").select("part").withColumn("next", F.coalesce(F.lead("part").over(every), F.first("part").over(every)))
+    last = found.where("place = 'last'").select("part", "doc_id", "text").join(tasks, "part")
+    first = found.where("place = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    ends = last.join(first, "next").select("doc_id", "text", "following").mapInArrow(closing, DIGESTS)
+    return found.where("place is null").drop("part", "place", "text").unionByName(ends)

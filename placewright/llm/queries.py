@@ -15,7 +15,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def held_out() -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    """Whether the crc32 of the id as text is a multiple of 5; false for rows without id."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def op1_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,9 +65,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    """Benchmark windows in every document; ``near`` lists the items whose rarest terms stand within 32 words of each other."""
+    found = contamination.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=32)
     items = F.array_sort("items")
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), contamination.contaminated().alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), contamination.contaminated().alias("contaminated"), F.concat_ws(",", "near").alias("near"))
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,16 +120,23 @@ def _op8_located(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
 
 
 _ALLOWED_SQL = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOWED)
+
+
+def _class_sql(k: int) -> str:
+    """The rank or the bits of a candidate's class."""
+    return "CASE " + " ".join(f"WHEN regexp_matches(m, '{c[1]}') THEN {c[k]}" for c in secrets.CLASSES) + " END"
+
+
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_op8_located("assign", 0, secrets.ASSIGN, "length(g) >= 6")} UNION ALL {_op8_located("access", 1, secrets.ACCESS)} UNION ALL {_op8_located("hex", 2, secrets.HEX)}),
-cand AS (SELECT *, regexp_full_match(m, '[0-9a-f]+') AS is_hex FROM ({_op8_located("candidate", 9, secrets.CANDIDATE)}) WHERE NOT ({_ALLOWED_SQL})),
-win AS (SELECT doc_id, start, is_hex, m, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS b FROM cand),
-chars AS (SELECT doc_id, start, is_hex, b, unnest(string_split(substr(m, b + 1, {secrets.WINDOW}), '')) AS c FROM win),
-counts AS (SELECT doc_id, start, is_hex, b, c, count(*) AS n FROM chars GROUP BY ALL),
-passing AS (SELECT doc_id, start, is_hex, b FROM counts GROUP BY ALL HAVING log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} >= CASE WHEN is_hex THEN {secrets.HEX_BITS} ELSE {secrets.BASE64_BITS} END),
+cand AS (SELECT *, {_class_sql(0)} AS rank2, {_class_sql(2)} AS bits FROM ({_op8_located("candidate", 9, secrets.CANDIDATE)}) WHERE NOT ({_ALLOWED_SQL})),
+win AS (SELECT doc_id, start, rank2, bits, m, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS b FROM cand),
+chars AS (SELECT doc_id, start, rank2, bits, b, unnest(string_split(substr(m, b + 1, {secrets.WINDOW}), '')) AS c FROM win),
+counts AS (SELECT doc_id, start, rank2, bits, b, c, count(*) AS n FROM chars GROUP BY ALL),
+passing AS (SELECT doc_id, start, rank2, bits, b FROM counts GROUP BY ALL HAVING log2({secrets.WINDOW}) - sum(n * log2(n)) / {secrets.WINDOW} >= bits),
 runs AS (SELECT *, sum(CASE WHEN b <= prev + {secrets.WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, start ORDER BY b) AS run FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id, start ORDER BY b) AS prev FROM passing)),
-entropy AS (SELECT doc_id, CASE WHEN is_hex THEN 3 ELSE 4 END AS rank, CASE WHEN is_hex THEN 'entropy_hex' ELSE 'entropy_base64' END AS kind, start + min(b) AS s, start + max(b) + {secrets.WINDOW} AS e FROM runs GROUP BY doc_id, start, is_hex, run),
+entropy AS (SELECT doc_id, rank2 AS rank, list_extract({list(secrets.KINDS)}, rank2 + 1) AS kind, start + min(b) AS s, start + max(b) + {secrets.WINDOW} AS e FROM runs GROUP BY doc_id, start, rank2, run),
 added AS (SELECT * FROM entropy x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.start <= x.s AND x.e <= b.stop)),
 every AS (SELECT doc_id, rank, kind, start AS s, stop AS e FROM base UNION ALL SELECT doc_id, rank, kind, s, e FROM added),
 texts AS (SELECT doc_id, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) AS spans, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank) FILTER (rank < 3) AS base_spans,

@@ -11,7 +11,10 @@ Only documents that hold a match pay for positions. Spans are in code points,
 end exclusive.
 
 Defined cases: null texts are empty and hold nothing; overlapping kinds are all
-reported; repeated rows are scanned each for itself; extra columns stay.
+reported; repeated rows are scanned each for itself; extra columns stay, as do
+those named as the new ones (see ``found_names``); an empty table gives no rows.
+A step of a window costs the candidate's alphabet (67 characters at most), not
+the window.
 """
 
 from __future__ import annotations
@@ -22,9 +25,16 @@ from math import log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import fresh
+
 WINDOW = 20
-#: Bits per character from which a window counts, by character class.
-HEX_BITS, BASE64_BITS = 3.05, 4.01
+#: Fixed values: (rank of the kind, class of the whole candidate, bits per character from which a window counts), the first class that fits.
+CLASSES = (
+    (3, "^([0-9a-f]+|[0-9A-F]+)$", 3.05),
+    (5, "^[0-9A-Fa-f]+$", 3.2),
+    (6, "^([0-9a-z]+|[0-9A-Z]+)$", 3.7),
+    (4, "", 4.01),
+)
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Matches of fewer characters are dropped and hold no shorter one, so the least length stands in the pattern.
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -37,7 +47,7 @@ ALLOWED = (
     r"([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{6,})",
     r"^(/?[a-z]+[-_/])+[a-z0-9]+/?$",
 )
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_mixed_hex", "entropy_alnum")
 SPAN = "struct<start:int,rank:int,end:int>"
 
 
@@ -101,14 +111,20 @@ def suspicious(candidate: Column) -> Column:
 
 def entropy_spans(text: Column) -> Column:
     """Spans of high entropy in candidates that are not on the allow-list."""
-    is_hex = lambda c: c.rlike("^([0-9a-f]+|[0-9A-F]+)$")
+
+    def of_class(candidate: Column, k: int) -> Column:
+        out = F.lit(CLASSES[-1][k])
+        for c in CLASSES[-2::-1]:
+            out = F.when(candidate.rlike(c[1]), c[k]).otherwise(out)
+        return out
+
     pieces, matches = F.split(text, CANDIDATE, -1), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
     rows = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(matches)).alias("gap"), matches.alias("found"))
 
     def step(state: Column, row: Column) -> Column:
         start = state["at"] + F.length(row["gap"])
-        windows = F.when(suspicious(row["found"]), window_spans(row["found"], F.when(is_hex(row["found"]), HEX_BITS).otherwise(BASE64_BITS))).otherwise(F.expr("cast(array() as array<struct<b:int,e:int>>)"))
-        spans = F.transform(windows, lambda w: F.struct((start + w["b"]).alias("start"), F.when(is_hex(row["found"]), 3).otherwise(4).alias("rank"), (start + w["e"]).alias("end")))
+        windows = F.when(suspicious(row["found"]), window_spans(row["found"], of_class(row["found"], 2))).otherwise(F.expr("cast(array() as array<struct<b:int,e:int>>)"))
+        spans = F.transform(windows, lambda w: F.struct((start + w["b"]).alias("start"), of_class(row["found"], 0).alias("rank"), (start + w["e"]).alias("end")))
         return F.struct((start + F.length(row["found"])).alias("at"), F.concat(state["out"], spans).alias("out"))
 
     found = F.aggregate(rows, F.struct(F.lit(0).alias("at"), nothing().alias("out")), step)["out"]
@@ -116,11 +132,22 @@ def entropy_spans(text: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs``, ``base`` and ``spans``: arrays of (start, rank of the kind, end) in order."""
+    """All columns of ``docs``, ``base`` and ``spans``: arrays of (start, rank of the kind, end) in order.
+
+    Where ``docs`` has such a column itself, the new one is called as ``found_names`` says.
+    """
     text = F.coalesce("text", F.lit(""))
-    both = docs.withColumn("base", base_spans(text)).withColumn("_entropy", entropy_spans(text))
-    added = F.filter("_entropy", lambda e: ~F.exists("base", lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
-    return both.withColumn("spans", F.sort_array(F.concat("base", added))).drop("_entropy")
+    base, spans = found_names(docs)
+    entropy = fresh([*docs.columns, base, spans], "entropy")
+    both = docs.withColumn(base, base_spans(text)).withColumn(entropy, entropy_spans(text))
+    added = F.filter(entropy, lambda e: ~F.exists(base, lambda b: (b["start"] <= e["start"]) & (e["end"] <= b["end"])))
+    return both.withColumn(spans, F.sort_array(F.concat(base, added))).drop(entropy)
+
+
+def found_names(docs: DataFrame) -> tuple[str, str]:
+    """The names of the columns ``base`` and ``spans`` that ``scan`` adds: with an underscore after them for each clash."""
+    base = fresh(docs.columns, "base")
+    return base, fresh([*docs.columns, base], "spans")
 
 
 def named(spans: Column) -> Column:

@@ -76,8 +76,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = 6000, penalty: fl
             owner, cell = cells(data, offsets)
             at = np.searchsorted(owner, np.arange(rows.num_rows + 1))
             other = [swapped(t or "") for t in rows.column("text").to_pylist()]
-            _, other_cell = cells(*strings(pa.array(other, pa.string())))
-            other_owner, _ = cells(*strings(pa.array(other, pa.string())))
+            other_owner, other_cell = cells(*strings(pa.array(other, pa.string())))
             own = np.searchsorted(other_owner, np.arange(rows.num_rows + 1))
             lists = [other_cell[own[i] : own[i + 1]] if t is not None else None for i, t in enumerate(other)]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("toxic"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(cell, pa.int32())), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "toxic", "cells", "swapped"])

@@ -281,14 +281,66 @@ def test_fingerprints(spark, docs):
 
 def test_fingerprint_parts_do_not_matter(spark, docs):
     key = lambda df: sorted(tuple(r) for r in df.collect())
-    rows = fingerprint.in_order(docs, 5)
-    assert rows.select("part").distinct().count() > 3
-    original, fingerprint.in_order.__defaults__ = fingerprint.in_order.__defaults__, (5,)
-    try:
-        small = key(fingerprint.compare(docs))
-    finally:
-        fingerprint.in_order.__defaults__ = original
-    assert small == key(fingerprint.compare(docs))
+    whole = key(fingerprint.compare(docs.coalesce(1)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "13", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            assert key(fingerprint.compare(docs)) == whole
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_secret_classes_and_clashing_columns(spark):
+    rows = {1: "k 3f9A0c7E52b8D1464e0B93a7C5 end", 2: "k q7zk2p9vr5s0lw4xy8bm1n6c end", 3: "k aaaagggg1111aaaagggg1111 end", 4: "k QWERTY1234POIUYTZXCV098 end"}
+    df = table(spark, rows).withColumn("base", F.lit("own")).withColumn("entropy", F.lit("kept"))
+    names = secrets.found_names(df)
+    assert names == ("base_", "spans_")
+    got = {r.doc_id: r for r in secrets.scan(df).select("*", secrets.named(F.col("spans_")).alias("named")).collect()}
+    assert all((r.base, r.spans, r.entropy, r.tails) == ("own", "mine", "kept", "mine") for r in got.values())
+    assert [got[k].named.split(":")[0] for k in rows] == ["entropy_mixed_hex", "entropy_alnum", "", "entropy_alnum"]
+
+
+def test_large_benchmarks_keep_every_column(spark, docs, monkeypatch):
+    benchmark = spark.createDataFrame([(0, " ".join(texts()[3].split()[10:40])), (1, "one"), (2, texts()[33])], "item_id long, text string")
+    df = docs.withColumn("row", F.lit("mine")).withColumn("_row", F.lit("mine"))
+    small = sorted(r.doc_id for r in contamination.clean(df, benchmark).collect())
+    monkeypatch.setattr(contamination, "BROADCAST_BYTES", 300)
+    large = contamination.clean(df, benchmark).collect()
+    assert sorted(r.doc_id for r in large) == small and all(r.row == r._row == "mine" for r in large)
+    with pytest.raises(ValueError):
+        contamination.find(docs, benchmark, slop=65).collect()
+
+
+def test_longest_common_subsequence_is_brute_force():
+    r = random.Random(2)
+    for _ in range(50):
+        x, y = ([r.randint(0, 6) for _ in range(r.randint(0, 90))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, a in enumerate(x, 1):
+            for j, b in enumerate(y, 1):
+                best[i][j] = best[i - 1][j - 1] + 1 if a == b else max(best[i - 1][j], best[i][j - 1])
+        assert passage_dedup.common_words(x, y) == best[-1][-1]
+
+
+def test_edited_passages_are_found(spark):
+    """Every second document of 200 holds an edited copy of one of 40 passages of 80 words."""
+    r, rows, own = random.Random(6), {}, {}
+    for i in range(200):
+        text = prose(60, 3000 + i).split()
+        if i % 2:
+            own[i] = r.randrange(40)
+            words = prose(80, 7000 + own[i]).split()
+            for k in r.sample(range(80), 5):
+                words[k] = f"edit{i}x{k}"
+            at = r.randint(0, 60)
+            text[at:at] = words
+        rows[i] = " ".join(text)
+    want = {i for i in own if sum(x == own[i] for x in own.values()) > 1}
+    got = {x for p in passage_dedup.passages(table(spark, rows)).collect() for x in (p.doc_id, p.other_id)}
+    assert got <= set(own) and len(got & want) >= 0.95 * len(want)
 
 
 def test_upper_case_hex_keys_are_found(spark):
@@ -332,10 +384,121 @@ def test_encoder_is_the_tokenizer():
     assert [ids[first[i] : first[i + 1]].tolist() for i in range(len(odd))] == [reference.encode(x, add_special_tokens=False).ids for x in odd]
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    parts = json.loads(open(path("word_bpe_49k.json")).read())
+    parts["normalizer"] = {"type": "Lowercase"}
+    file = str(tmp_path / "other.json")
+    open(file, "w").write(json.dumps(parts))
+    encoder, odd = packing.Encoder(file), ["Don't STOP 123", None, "e\u0301 x  y", ""]
+    assert not encoder.by_word and packing.Encoder(path("word_bpe_49k.json")).by_word
+    ids, first = encoder.encode(pa.array(odd))
+    reference = Tokenizer.from_file(file)
+    assert [ids[first[i] : first[i + 1]].tolist() for i in range(len(odd))] == [reference.encode(x or "", add_special_tokens=False).ids for x in odd]
+
+
+def test_windows_are_routed_to_tiers_and_groups_are_even():
+    r = random.Random(9)
+    lengths = [r.choice((r.randint(1, 500), r.randint(1, 4096))) for _ in range(600)]
+    windows, left = packing.pack_lengths(lengths, packing.TIERS, True)
+    sizes = [sum(n for _, _, n in w) for w in windows]
+    covered = sorted((i, b + k) for w in windows for i, b, n in w for k in range(n))
+    assert covered == [(i, k) for i, n in enumerate(lengths) for k in range(n)] and not left
+    assert sum(s in packing.TIERS for s in sizes) >= len(sizes) - 14 and all(s & (s - 1) == 0 for s in sizes)
+    longest_first = [max(lengths[i] for i, _, _ in w) for w, s in zip(windows, sizes) if s == 4096]
+    assert all(n > 2048 for n in longest_first[: len(longest_first) // 2])
+    groups = packing.step_groups(sizes, 1 << 16)
+    loads = np.bincount(groups, sizes)
+    assert loads.max() - loads.min() <= 4096 and len(loads) == -(-sum(sizes) // (1 << 16))
+
+
+def ordinal_loss(params, m, row, feature, value, grade, grades, pair=None, pair_feature=None, pair_value=None, penalty=0.0):
+    """Mean negative log likelihood, plus the penalty, in plain loops."""
+    w, theta = params[:m], params[m:]
+    s = [0.0] * len(grade)
+    for i, f, v in zip(row, feature, value):
+        s[i] += w[f] * v
+    total = 0.0
+    for x, g in zip(s, grade):
+        upper = 1 / (1 + np.exp(x - theta[g])) if g < grades - 1 else 1.0
+        lower = 1 / (1 + np.exp(x - theta[g - 1])) if g else 0.0
+        total -= np.log(upper - lower) / len(grade)
+    if pair is not None:
+        d = [0.0] * (max(pair) + 1)
+        for p, f, v in zip(pair, pair_feature, pair_value):
+            d[p] += w[f] * v
+        total += penalty * sum(x * x for x in d) / len(d)
+    return total
+
+
+@pytest.mark.parametrize("penalty", [0.0, 2.0])
+def test_fit_reaches_the_least_loss(penalty):
+    """No step in any direction from the fitted parameters lowers the brute-force loss by more than a trifle."""
+    from placewright.llm import linear
+
+    r = np.random.default_rng(5)
+    row, feature = np.repeat(np.arange(90), 3), r.integers(0, 6, 270)
+    value = r.random(270)
+    score = np.bincount(row, value * np.array([2, -2, 1, 0, -1, 0.5])[feature])
+    grade = (score + r.normal(0, 0.7, 90) > -0.3).astype(int) + (score + r.normal(0, 0.7, 90) > 0.8)
+    ties = dict(pair=np.array([0, 0, 1]), pair_feature=np.array([0, 1, 2]), pair_value=np.array([1.0, -1.0, 1.0])) if penalty else {}
+    w, theta = linear.fit(row, feature, value, grade, 3, 6, **ties, penalty=penalty, l1=0.0, rounds=2500, rate=0.03, least_rows=1)
+    assert theta[0] < theta[1]
+    params = np.concatenate([w, theta]).astype(float)
+    best = ordinal_loss(params, 6, row, feature, value, grade, 3, **ties, penalty=penalty)
+    for k in range(len(params)):
+        for step in (-0.05, 0.05):
+            moved = params.copy()
+            moved[k] += step
+            assert ordinal_loss(moved, 6, row, feature, value, grade, 3, **ties, penalty=penalty) > best - 2e-4
+
+
+def test_penalty_spares_neutral_mentions(spark):
+    """Identity terms stand mostly in toxic rows; neutral rows that hold one score lower with the penalty than without."""
+    r, docs, labels = random.Random(12), {}, []
+    for i in range(500):
+        words, toxic = prose(30, 9000 + i).split(), int(i % 3 == 0)
+        if toxic:
+            words[4] = r.choice(["badwordish", "badwordly", "badworden"])
+        if (toxic and i % 2) or i % 41 == 1:
+            words[9] = r.choice(["muslim", "gay"])
+        docs[i] = " ".join(words)
+        labels.append((i, toxic))
+    df, marks = table(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int")
+    neutral = table(spark, {k: " ".join([*prose(12, 20000 + k).split(), ("muslim", "gay")[k % 2]]) for k in range(40)})
+    with_it, without = ({x.doc_id: x.score for x in toxicity.score(neutral, toxicity.fit(df, marks, penalty=p)).collect()} for p in (3.0, 0.0))
+    assert np.mean(list(with_it.values())) < np.mean(list(without.values()))
+    assert sum(x >= 0.5 for x in with_it.values()) <= sum(x >= 0.5 for x in without.values())
+
+
+def test_packed_bits_are_brute_force():
+    """Bins, densification and packed low bits of one text, in plain loops."""
+    text = prose(40, 77)
+    data, offsets = textops.strings(pa.array([text]))
+    starts, ends, first = textops.words(data, offsets, textops.SPACE)
+    _, values = textops.shingles(textops.word_hashes(data, starts, ends), first, 5)
+    bins = {}
+    for v in map(int, values):
+        bins[v >> 56] = min(bins.get(v >> 56, 1 << 60), v & ((1 << 56) - 1))
+    out = []
+    for b in range(256):
+        k, attempt = b, 0
+        while k not in bins:
+            attempt += 1
+            k = int(textops.mix(np.array([b * 0x10001 + (attempt << 32)], np.uint64))[0]) % 256
+        out.append(bins[k] & 15)
+    want = bytes(out[i] << 4 | out[i + 1] for i in range(0, 256, 2)).hex()
+    assert fingerprint.packed(*fingerprint.fingerprints(pa.array([text]))) == [want]
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\s>", "[\\\\/INST] \\", "", None, "<s>\n<|x", "\\n"]
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", nasty[(c + t) % len(nasty)]) for c in range(7) for t in range(5)]
-    rows += [(7, 0, "system\n[INST]\\n", "a"), (7, 1, None, "b"), (7, 1, "assistant", "c"), (7, 1, "assistant", "c"), (None, 0, "user", "alone")]
+    rows += [(7, 0, "system\n[INST]\\n\0\\\\\nb", "a"), (7, 1, None, "b"), (7, 1, "assistant", "c"), (7, 1, "assistant", "c"), (None, 0, "user", "alone")]
     got = {}
     examples = chat.expand(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
     for r in examples.select("conv_id", "example", "closing", chat.read_turns(F.col("formatted")).alias("turns"), chat.trained_text(F.col("formatted"), F.col("loss_start"), F.col("loss_end")).alias("t")).collect():
