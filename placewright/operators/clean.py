@@ -179,8 +179,8 @@ def coverage(df: DataFrame, columns: Iterable[str] = ("pincode", "latitude", "lo
 
 def preprocess(df: DataFrame, order: str) -> DataFrame:
     """All steps in order: duplicates, empties, cleaning, filling, expansion, validation, address, quality."""
-    df = drop_empty_rows(row_dedup(df, order), [order])
-    df = drop_empty_columns(df)
+    # Rows that repeat and empty rows leave no column without a value, so columns are looked at before.
+    df = drop_empty_rows(row_dedup(drop_empty_columns(df), order), [order])
     text = strings(df, [order])
     # One step at a time: nested, each would repeat the one before in its expression.
     for step in (X.strip_invisible, X.nfkc, X.null_like):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -81,7 +83,8 @@ def term_rows(docs: DataFrame, fields: Iterable[str], synonyms: bool) -> DataFra
 
 def build(docs: DataFrame, fields: Iterable[str] = FIELDS, synonyms: bool = True) -> Index:
     """The index of a table with ``doc_id`` and text fields."""
-    rows = term_rows(docs, fields, synonyms)
+    # Dealt out by document before they are cut into words, so that documents move once and words not at all.
+    rows = term_rows(docs.repartition("doc_id"), fields, synonyms)
     postings = rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
     # A field's length needs no postings: one pass over the documents.
     sizes = [F.size(X.analyze(F.col(f).cast("string"))).alias(f) for f in fields if f in docs.columns]
@@ -92,6 +95,26 @@ def build(docs: DataFrame, fields: Iterable[str] = FIELDS, synonyms: bool = True
     return Index(docs, postings, per_field, terms)
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder (spark.checkpoint.dir), where the plan ends."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="placewright-")
+    path = f"{folder.rstrip('/')}/placewright-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored(index: Index) -> Index:
+    """The same index with its tables written, so that a search reads them instead of building them again."""
+    postings = kept(index.postings, "postings")
+    terms = kept(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "terms")
+    return Index(index.docs, postings, kept(index.fields, "fields"), terms)
+
+
 def stats(index: Index) -> DataFrame:
     """One row: documents, postings, distinct terms."""
     return index.docs.agg(F.count("*").alias("documents")).crossJoin(index.terms.agg(F.sum("df").alias("postings"), F.countDistinct("term").alias("terms")))

@@ -7,7 +7,8 @@ asked terms move. Scores are BM25 (k1 1.2, b 0.75) with exact lengths.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Collection, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -43,29 +44,51 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def deletions(term: Column, most: Column) -> Column:
-    """The term with none, one, or two characters left out, as ``most`` allows."""
-    cut = lambda t: F.transform(F.sequence(F.lit(1), F.greatest(F.length(t), F.lit(1))), lambda i: F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)))
-    once = F.when(most >= 1, cut(term)).otherwise(F.expr("cast(array() as array<string>)"))
-    twice = F.when(most >= 2, F.flatten(F.transform(once, cut))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.array_distinct(F.concat(F.array(term), once, twice))
-
-
 def edits(term: Column) -> Column:
     """Edits that fuzziness allows: none up to 2 characters, one up to 5, else two."""
     n = F.length(term)
     return F.when(n <= 2, 0).when(n <= 5, 1).otherwise(2)
 
 
+def pieces(term: Column, most: int) -> Column:
+    """A term cut into most + 1 pieces of even length, each with the term's length and its place."""
+    n, parts = F.length(term), most + 1
+    begin = lambda i: F.floor(F.lit(i) * n / parts).cast("int")
+    return F.array(*[F.concat_ws(":", F.lit(parts), n, F.lit(i), F.substr(term, begin(i) + 1, begin(i + 1) - begin(i))) for i in range(parts)])
+
+
+def near_pieces(term: Column, most: int) -> Column:
+    """The pieces that a term within ``most`` edits may have: for each length, each piece's text as it stands here, moved by the edits at most."""
+    n, parts = F.length(term), most + 1
+    moves = F.sequence(F.lit(-most), F.lit(most))
+
+    def piece(length: Column, i: Column) -> Column:
+        begin = F.floor(i * length / parts).cast("int")
+        size = F.floor((i + 1) * length / parts).cast("int") - begin
+        here = F.filter(F.transform(moves, lambda m: begin + m), lambda at: (at >= 0) & (at + size <= n))
+        return F.transform(here, lambda at: F.concat_ws(":", F.lit(parts), length, i, F.substr(term, at + 1, size)))
+
+    lengths = F.filter(F.transform(moves, lambda m: n + m), lambda x: x >= 1)
+    return F.array_distinct(F.flatten(F.transform(lengths, lambda x: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: piece(x, i))))))
+
+
 def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(field, asked_term, term, weight): vocabulary terms within the allowed edits.
 
-    Two words within k edits share a form with at most k deletions, so this is
-    an equi-join on deletion forms, then an exact distance; no product of the
-    query terms and the vocabulary.
+    Of a word cut into k + 1 pieces one is whole in every word within k edits, at
+    most k places away. So this is an equi-join on (length, piece): five rows for
+    a vocabulary term at most, whatever its length, and a bounded number for an
+    asked one; then an exact distance.
     """
-    a = asked.select("field", F.col("term").alias("asked_term")).distinct().withColumn("form", F.explode(deletions(F.col("asked_term"), edits(F.col("asked_term")))))
-    v = vocabulary.select("field", "term").withColumn("form", F.explode(deletions(F.col("term"), F.lit(2))))
+    none = F.expr("cast(array() as array<string>)")
+    whole = lambda c: F.array(F.concat(F.lit("0:"), F.col(c)))
+    n = F.length("asked_term")
+    forms = F.when(n <= 2, whole("asked_term")).when(n <= 5, near_pieces(F.col("asked_term"), 1)).otherwise(near_pieces(F.col("asked_term"), 2))
+    a = asked.select("field", F.col("term").alias("asked_term")).distinct().withColumn("form", F.explode(forms))
+    m = F.length("term")
+    # Terms of 2 characters or fewer are asked whole, of up to 5 with one edit, longer ones with two.
+    own = F.concat(F.when(m <= 2, whole("term")).otherwise(none), F.when((m >= 2) & (m <= 6), pieces(F.col("term"), 1)).otherwise(none), F.when(m >= 4, pieces(F.col("term"), 2)).otherwise(none))
+    v = vocabulary.select("field", "term").withColumn("form", F.explode(own))
     d = F.levenshtein("asked_term", "term")
     near = a.join(v, ["field", "form"]).select("field", "asked_term", "term").distinct().where(d <= edits(F.col("asked_term")))
     return near.withColumn("weight", 1 - d / F.least(F.length("asked_term"), F.length("term")))
@@ -74,14 +97,16 @@ def fuzzy_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def phrase_frequency(places: Column, slop: Column | int) -> Column:
     """How often terms stand in order: ``places`` holds for each term its positions less its place in the phrase."""
     every = F.array_distinct(F.flatten(places))
-    return F.size(F.filter(every, lambda b: F.forall(places, lambda p: F.exists(p, lambda x: (x >= b) & (x <= b + slop)))))
+    # A term at x serves every phrase that begins at x or up to slop places before: the starts that all terms serve, by hashing.
+    return F.size(F.aggregate(places, every, lambda begins, p: F.array_intersect(begins, F.flatten(F.transform(p, lambda x: F.sequence(x - slop, x))))))
 
 
-def clause_scores(clauses: DataFrame, index: Index, slop: int = 2) -> DataFrame:
+def clause_scores(clauses: DataFrame, index: Index, slop: int = 2, kinds: Collection[str] = ("match", "term", "phrase", "fuzzy", "prefix")) -> DataFrame:
     """(query_id, grp, must, field, doc_id, score, tie) of clause rows.
 
     A clause: query_id, clause_id, its group (whose fields compete), whether the
-    group must match, how its text is matched, where, and its weight.
+    group must match, how its text is matched, where, and its weight. ``kinds``
+    are those that occur; the vocabulary is not cut up for others.
     """
     terms = clauses.withColumn("terms", X.analyze(F.col("text"))).where(F.size("terms") > 0)
     asked = terms.select("*", F.size("terms").alias("n_places"), F.posexplode("terms").alias("place", "asked_term")).drop("terms", "text")
@@ -92,7 +117,8 @@ def clause_scores(clauses: DataFrame, index: Index, slop: int = 2) -> DataFrame:
     last = F.col("place") == F.col("n_places") - 1
     starts = index.terms.select("field", "term", F.explode(X.edge_ngrams(F.array("term"), 1, 20)).alias("asked_term"))
     begun = begun.where(last).join(starts, ["field", "asked_term"]).drop("asked_term").withColumn("weight", F.lit(1.0)).unionByName(exact.where("kind = 'prefix'").where(~last))
-    found = exact.where("kind in ('match', 'term')").unionByName(wide).unionByName(begun)
+    parts = [exact.where("kind in ('match', 'term')")] + [wide] * ("fuzzy" in kinds) + [begun] * ("prefix" in kinds)
+    found = reduce(DataFrame.unionByName, parts)
     key = ["query_id", "clause_id", "grp", "must", "kind", "field", "boost", "tie", "n_places", "doc_id"]
 
     def hits(terms: DataFrame, *columns: str | Column) -> DataFrame:
@@ -102,38 +128,67 @@ def clause_scores(clauses: DataFrame, index: Index, slop: int = 2) -> DataFrame:
 
     one = F.when(F.col("kind") == "prefix", 1.0).otherwise(F.col("idf") * F.when(F.col("kind") == "term", 1.0).otherwise(saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))) * F.col("weight"))
     # The best expansion of each asked term counts.
+    out = lambda df: df.select("query_id", "clause_id", "grp", "must", "field", "doc_id", (F.col("boost") * F.col("s")).alias("score"), "tie")
     each = hits(found, one.alias("s")).groupBy(*key, "place").agg(F.max("s").alias("s"))
     texts = each.groupBy(*key).agg(F.sum("s").alias("s"), F.count("*").alias("matched")).where("kind <> 'term' or matched = n_places")
+    if "phrase" not in kinds:
+        return out(texts)
     placed = hits(exact.where("kind = 'phrase'"), "idf", "dl", "avg_dl", F.transform("positions", lambda p: p - F.col("place")).alias("at"))
     whole = placed.groupBy(*key).agg(F.sum("idf").alias("i"), F.count("*").alias("matched"), F.collect_list("at").alias("places"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg_dl")).where("matched = n_places")
     runs = whole.withColumn("freq", phrase_frequency(F.col("places"), slop)).where("freq > 0").withColumn("s", F.col("i") * saturation(F.col("freq"), F.col("dl"), F.col("avg_dl")))
-    out = lambda df: df.select("query_id", "clause_id", "grp", "must", "field", "doc_id", (F.col("boost") * F.col("s")).alias("score"), "tie")
-    return out(texts).unionByName(out(runs))
+    return out(runs) if set(kinds) == {"phrase"} else out(texts).unionByName(out(runs))
 
 
 def retrieve(plans: DataFrame, clauses: DataFrame, index: Index, k: int = 100) -> DataFrame:
     """(query_id, doc_id, score, rank) of plans (query_id, and optionally filters, lat, lon, radius_km) and their clause rows.
 
     A group's best field counts, the others with ``tie``; every group that must
-    match has to; without such a group some clause has to. Queries without any
-    text but with a place match all documents there.
+    match has to; without such a group some clause has to, and 1 is added to the
+    score. Queries without any clause match all documents that pass the filters
+    (pincode, address hash, radius): those of a place, an address or a pincode, or
+    else the k documents of the best quality.
     """
     scored = clause_scores(clauses, index)
     groups = scored.groupBy("query_id", "doc_id", "grp", "must").agg((F.max("score") + F.max("tie") * (F.sum("score") - F.max("score"))).alias("s"))
     needed = clauses.where("must").groupBy("query_id").agg(F.countDistinct("grp").alias("needed"))
     docs = groups.groupBy("query_id", "doc_id").agg(F.sum("s").alias("text_score"), F.count_if("must").alias("met"))
-    docs = docs.join(needed, "query_id", "left").where(F.col("met") >= F.coalesce("needed", F.lit(0))).drop("met", "needed")
+    docs = docs.join(needed, "query_id", "left").where(F.col("met") >= F.coalesce("needed", F.lit(0)))
+    docs = docs.select("query_id", "doc_id", (F.col("text_score") + F.when(F.col("needed").isNull(), 1.0).otherwise(0.0)).alias("text_score"))
     quality = F.coalesce("quality_score", F.lit(0.0)) if "quality_score" in index.docs.columns else F.lit(0.0)
-    about = [c for c in ("pincode", "location") if c in index.docs.columns]
+    about = [c for c in ("pincode", "address_hash", "location") if c in index.docs.columns]
     asked = [c for c in ("filters", "lat", "lon", "radius_km") if c in plans.columns]
+    docs = docs.unionByName(matched_all(plans.select("query_id", *asked).join(clauses.select("query_id").distinct(), "query_id", "left_anti"), index, quality, k).withColumn("text_score", F.lit(1.0)))
     docs = docs.join(plans.select("query_id", *asked), "query_id").join(index.docs.select("doc_id", *about, quality.alias("q")), "doc_id")
-    if "filters" in asked and "pincode" in about:
-        docs = docs.where("filters.pincode is null or pincode = filters.pincode")
+    for c in ("pincode", "address_hash"):
+        if "filters" in asked and c in about and c in plans.schema["filters"].dataType.names:
+            docs = docs.where(f"filters.{c} is null or {c} = filters.{c}")
     if {"lat", "lon", "radius_km"} <= set(asked) and "location" in about:
         docs = docs.where(F.col("lat").isNull() | (S.haversine(F.col("lat"), F.col("lon"), F.col("location.lat"), F.col("location.lon")) <= F.col("radius_km")))
     return top(docs.select("query_id", "doc_id", F.round(F.col("text_score") + 0.05 * F.col("q"), 6).alias("score")), k)
 
 
+def matched_all(plans: DataFrame, index: Index, quality: Column, k: int) -> DataFrame:
+    """(query_id, doc_id) of queries that ask for no text: by one equi-join with the narrowest of their filters, never with all documents."""
+    own = set(index.docs.columns)
+    have = lambda *cs: set(cs) <= set(plans.columns)
+    fields = plans.schema["filters"].dataType.names if have("filters") else []
+    none = F.lit(None).cast("string")
+    by_hash = F.col("filters.address_hash") if "address_hash" in fields and "address_hash" in own else none
+    by_pin = F.col("filters.pincode") if "pincode" in fields and "pincode" in own else none
+    placed = (F.col("lat").isNotNull() & F.col("lon").isNotNull()) if have("lat", "lon", "radius_km") and "location" in own else F.lit(False)
+    rows = plans.select("*", F.when(by_hash.isNotNull(), "hash").when(placed, "place").when(by_pin.isNotNull(), "pincode").otherwise("all").alias("way"), by_hash.alias("wanted_hash"), by_pin.alias("wanted_pin"))
+    best = index.docs.select("doc_id", quality.alias("q")).orderBy(F.col("q").desc(), "doc_id").limit(k).select("doc_id")
+    found = [rows.where("way = 'all'").select("query_id").crossJoin(F.broadcast(best))]  # k rows
+    if "address_hash" in own:
+        found.append(rows.where("way = 'hash'").join(index.docs.select("doc_id", F.col("address_hash").alias("wanted_hash")), "wanted_hash").select("query_id", "doc_id"))
+    if "pincode" in own:
+        found.append(rows.where("way = 'pincode'").join(index.docs.select("doc_id", F.col("pincode").alias("wanted_pin")), "wanted_pin").select("query_id", "doc_id"))
+    if have("lat", "lon", "radius_km") and "location" in own:
+        docs = index.docs.where("location is not null").select("doc_id", "location.lat", "location.lon")
+        found.append(within(rows.where("way = 'place'").select("query_id", "lat", "lon", "radius_km"), docs).select("query_id", "doc_id"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def radius_km(distance: Column) -> Column:
     """``3km`` or ``500m`` in km; null for other texts."""
     n = F.regexp_extract(distance, r"^(\d+(?:\.\d+)?)(km|m)$", 1).try_cast("double")

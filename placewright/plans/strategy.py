@@ -21,7 +21,7 @@ STRATEGIES = ("exact", "fuzzy", "phrase", "autocomplete", "city", "locality", "d
 # fmt: off
 # Fields and weights of the clauses.
 GENERAL = {"building_name": 5, "office_name": 4, "road_name": 3, "locality": 2, "city_name": 1.5, "district_name": 1.25, "state_name": 1, "full_address": 2}
-BUILDING = {"building_name": 5, "office_name": 4, "road_name": 3, "locality": 2, "city_name": 1.5, "district_name": 1.25, "state_name": 1, "full_address": 2}
+AUTOCOMPLETE = {"building_name": 4, "road_name": 3, "locality": 2, "city_name": 1.5, "district_name": 1.25, "full_address": 2}
 ROAD = {"road_name": 5, "building_name": 3, "locality": 2, "city_name": 1.5, "district_name": 1.25, "state_name": 1, "full_address": 2}
 CITY = {"city_name": 5, "locality": 3, "district_name": 2, "state_name": 1.5, "full_address": 1.5}
 LOCALITY = {"locality": 5, "road_name": 4, "building_name": 3, "city_name": 2, "district_name": 1.5, "state_name": 1, "full_address": 2}
@@ -99,16 +99,16 @@ def specification() -> list[tuple]:
         new("exact").add("phrase", "query", GENERAL, must=True).location("pincode", phrase=True),
         new("fuzzy").add("fuzzy", "query", GENERAL, must=True).location("pincode"),
         new("phrase").add("phrase", "query", {"full_address": 1}, must=True).location("pincode", phrase=True),
-        new("autocomplete").add("prefix", "query_of_two", {k: v for k, v in GENERAL.items() if k not in ("state_name", "road_name")}, must=True, tie=1).location(*place),
-        new("city").add("match", "query", CITY, must=True).location("city", "state"),
+        new("autocomplete").add("prefix", "query_of_two", AUTOCOMPLETE, must=True, tie=1).location("pincode"),
+        new("city").add("match", "query", CITY, must=True).location(*place),
         locality.location("city", "locality", "district", "state", phrase=True),
         new("district").add("match", "query", DISTRICT, must=True).location(*place),
         new("state").add("match", "query", STATE, must=True).location(*place),
-        new("building").add("match", "query", BUILDING, must=True).location(*every),
+        new("building").add("match", "query", GENERAL, must=True).location("building", "road", *place),
         office.location("building", "locality", "city", "district", "state", "pincode", phrase=True),
-        new("road").add("match", "query", ROAD, must=True).location(*every),
+        new("road").add("match", "query", ROAD, must=True).location("building", "road", *place),
         new("full_address").add("match", "query", GENERAL, must=True).add("phrase", "query", {"full_address": 1}).location(*every),
-        new("pincode").add("term", "pincode_or_query", {"pincode": 1}, must=True).location(*place),
+        new("pincode").add("term", "pincode_or_digits", {"pincode": 1}, must=True).location(*place),
         new("hierarchical_admin").add("match", "building_or_query", ADMIN, must=True).location(*every),
         new("hierarchical_pincode").add("match", "f.city", {"city_name": 3}, must=True).add("match", "f.state", {"state_name": 2}, must=True).add("term", "pincode_or_query", {"pincode": 1}, must=True).location(*place, "pincode"),
         new("geospatial").add("fuzzy", "query", GENERAL, must=True),
@@ -200,17 +200,27 @@ def legacy_mode(query: Column, filters: Column, lat: Column, lon: Column) -> Col
     )
 
 
+def as_legacy(plans: DataFrame, mode: str | None = None) -> DataFrame:
+    """The plans as the older builder runs them: in the given mode, or the one that it chooses; places by radius stay as they are."""
+    q, f = F.col("normalized_query"), F.col("filters")
+    chosen = F.lit(mode) if mode else legacy_mode(q, f, F.col("lat"), F.col("lon"))
+    intents = {m: legacy_intent(q, f, m) for m in ("exact", "phrase", "autocomplete", "pincode", "admin", "fuzzy")}
+    intent = reduce(lambda out, m: F.when(chosen == m, intents[m]).otherwise(out), intents, F.lit("general"))
+    return plans.withColumn("run_as", F.when(chosen == "geospatial", chosen).otherwise(F.concat(F.lit("legacy "), chosen, F.lit(" "), intent)))
+
+
 def plan(analysed: DataFrame) -> DataFrame:
     """Queries with ``strategy``, ``filters``, ``size`` and geography, from analysed queries with entities.
 
     Optional columns of ``analysed``: strategy, state, district, city, locality,
-    building, pincode (filters that win over entities), lat, lon, distance, size.
+    building, pincode (filters that win over entities), address_hash (a filter
+    only), lat, lon, distance, size.
     """
     given = lambda c, kind="string": F.col(f"asked.{c}") if c in analysed.columns else F.lit(None).cast(kind)
     own = analysed.withColumn("asked", F.struct(*analysed.columns))
     e = F.col("entities")
     pairs = {"state": "state", "district": "district", "city": "city", "locality": "locality", "building": "building_name", "pincode": "pincode", "office": "office_name"}
-    filters = F.struct(*[F.coalesce(F.when(given(k) != "", given(k)), e[v]).alias(k) for k, v in pairs.items()])
+    filters = F.struct(*[F.coalesce(F.when(given(k) != "", given(k)), e[v]).alias(k) for k, v in pairs.items()], F.when(given("address_hash") != "", given("address_hash")).alias("address_hash"))
     lat, lon = given("lat", "double"), given("lon", "double")
     out = own.withColumn("filters", filters)
     asked = resolve(e, F.col("intent"), given("strategy"), lat, lon, given("pincode"), given("state"))
@@ -228,7 +238,7 @@ def clauses(plans: DataFrame, by: str = "run_as") -> DataFrame:
     one = lambda c: F.filter(F.array(c), lambda x: x.isNotNull())
     sources = {
         "query": one(q), "query_of_two": one(F.when(F.length(q) >= 2, q)), "query_without_locality": one(F.when(f["locality"].isNull(), q)), "office_or_query": one(F.coalesce(e["office_name"], q)),
-        "building_or_query": one(F.coalesce(f["building"], q)), "pincode_or_query": one(F.coalesce(f["pincode"], q)), "v.locality": locality_variants(f["locality"]), "v.city": locality_variants(f["city"]),
+        "building_or_query": one(F.coalesce(f["building"], q)), "pincode_or_query": one(F.coalesce(f["pincode"], q)), "pincode_or_digits": one(F.coalesce(f["pincode"], F.when(q.rlike(r"^\p{Nd}+$"), q))), "v.locality": locality_variants(f["locality"]), "v.city": locality_variants(f["city"]),
         **{f"e.{k}": one(e[k]) for k in ("building_name", "office_name", "landmark", "district", "state", "pincode", "road_name", "flat_number")},
         **{f"f.{k}": one(f[k]) for k in ("building", "locality", "city", "district", "state", "pincode", "office")},
     }

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import entities, query, rank, search
-from .operators.index import Index
+from .operators.index import Index, kept
 from .plans import strategy
 
 
@@ -29,15 +29,15 @@ def preview(queries: DataFrame) -> DataFrame:
 
 
 def planned(queries: DataFrame) -> DataFrame:
-    """The same, kept while it is in use: each plan is worked out once, and later steps are planned on its columns alone."""
-    return preview(queries).persist()
+    """The same as a written table: each plan is worked out once, and later steps are planned on its columns alone."""
+    return kept(preview(queries), "plans")
 
 
 def candidates(queries: DataFrame, index: Index, k: int = 100) -> DataFrame:
     """The retrieved pool of each query with the documents' fields, one per address."""
     plans = planned(queries)
     hits = search.retrieve(plans, strategy.clauses(plans), index, k)
-    full = hits.persist().withColumnRenamed("score", "bm25_score").join(index.docs, "doc_id")
+    full = kept(hits, "hits").withColumnRenamed("score", "bm25_score").join(index.docs, "doc_id")
     for c in {"full_address", "address_hash"} - set(full.columns):
         full = full.withColumn(c, F.lit(None).cast("string"))
     return search.candidate_dedup(full).join(plans.select("query_id", "text", "entities", "strategy", "size", "lat", "lon"), "query_id")
@@ -65,10 +65,18 @@ def suggest(queries: DataFrame, index: Index, size: int = 10) -> DataFrame:
 
 
 def nearby(points: DataFrame, index: Index, order: str = "distance") -> DataFrame:
-    """(query_id, doc_id, distance_km, place) of points (query_id, lat, lon, distance such as 5km): nearest first, or by quality."""
+    """(query_id, doc_id, distance_km, place) of points (query_id, lat, lon, distance such as 5km, and text if any): nearest first, or by quality.
+
+    Where a point has a text, only documents that it matches, typing errors allowed, are near.
+    """
     located = index.docs.where("location is not null").select("doc_id", "location.lat", "location.lon", *[c for c in ("quality_score",) if c in index.docs.columns])
     asked = points.select("query_id", "lat", "lon", F.coalesce(search.radius_km(F.col("distance")), F.lit(5.0)).alias("radius_km"))
     found = search.within(asked, located)
+    if "text" in points.columns:
+        plans = planned(points.where("trim(text) <> ''").withColumn("strategy", F.lit("geospatial")))
+        matched = search.clause_scores(strategy.clauses(plans).where("must"), index).select("query_id", "doc_id").distinct()
+        free = points.where("text is null or trim(text) = ''").select("query_id")
+        found = found.join(free, "query_id", "left_semi").unionByName(found.join(matched, ["query_id", "doc_id"], "left_semi"))
     keys = ["distance_km", "doc_id"]
     if order != "distance" and "quality_score" in located.columns:
         found = found.join(located.select("doc_id", "quality_score"), "doc_id")
@@ -77,8 +85,10 @@ def nearby(points: DataFrame, index: Index, order: str = "distance") -> DataFram
 
 
 def reverse_geocode(points: DataFrame, index: Index, order: str = "confidence") -> DataFrame:
-    """The one document within 2 km of each point: of the best quality, or the nearest (``order="distance"``)."""
-    return nearby(points.withColumn("distance", F.lit("2km")), index, order).where("place = 1")
+    """The one document within 2 km of each point: the one that a search there puts first, with its confidence, or the nearest (``order="distance"``)."""
+    if order != "confidence":
+        return nearby(points.withColumn("distance", F.lit("2km")), index, order).where("place = 1")
+    return search_addresses(points.withColumns({"text": F.lit(""), "strategy": F.lit("geospatial"), "distance": F.lit("2km"), "size": F.lit(1)}), index)
 
 
 def one(spark: SparkSession, text: str, **given) -> DataFrame:

@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clean, ingest
 
+#: Tried in turn; the first in which every byte of the file has a meaning is taken. UTF-8, ISO-8859-1 and windows-1252 are known;
+#: ISO-8859-1 always fits, so give windows-1252 instead for files that need it.
 ENCODINGS = ("UTF-8", "ISO-8859-1")
 PREVIEW = 20
 
@@ -22,30 +26,62 @@ class Loaded:
     status: str = "success"
     header_row: int = 0
     encoding: str = "UTF-8"
+    rows: int | None = None
     mapping: list = field(default_factory=list)
+    confidence: float | None = None
+    warnings: list = field(default_factory=list)
     errors: list = field(default_factory=list)
 
 
 def discover(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[str]:
-    """Files below a folder, sorted; only their names reach the driver."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return sorted(r["path"] for r in files.select("path").collect())
+    """Files below a folder, sorted; only their names reach the driver. A folder that is not there has none."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    try:
+        return sorted(r["path"] for r in files.load(folder).select("path").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return []
+        raise
+
+
+#: What the bytes 128 to 159 mean in windows-1252, those without a meaning left out.
+WINDOWS = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+
+
+def decoded(value: Column, encoding: str) -> Column:
+    """A line as text: the text source hands its bytes on as they are."""
+    if encoding.upper() == "UTF-8":
+        return value
+    out = F.decode(value.cast("binary"), "ISO-8859-1")
+    own = {k: v for k, v in WINDOWS.items() if v}
+    return F.translate(out, "".join(own), "".join(own.values())) if encoding.lower() in ("windows-1252", "cp1252") else out
+
+
+def cells_of(value: Column, width: int) -> Column:
+    """A line split as CSV, in ``width`` columns c0, c1, ..."""
+    return F.from_csv(value, ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "emptyValue": ""})
+
+
+def without_mark(value: Column) -> Column:
+    """A line without the byte order mark, as UTF-8 or as read in a one-byte encoding."""
+    return F.regexp_replace(value, "^(\ufeff|ï»¿)", "")
 
 
 def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     """(line, cells): the first lines of a file, split as CSV."""
-    raw = spark.read.option("encoding", encoding).text(path).limit(PREVIEW).select(F.regexp_replace("value", "^﻿", "").alias("value"))
-    numbered = raw.select(F.posexplode(F.array("value")).alias("zero", "value")).select(F.monotonically_increasing_id().alias("line"), "value")
+    first = spark.read.text(path).limit(PREVIEW).select(without_mark(decoded(F.col("value"), encoding)).alias("value"))
+    numbered = first.select(F.monotonically_increasing_id().alias("line"), "value")
     width = numbered.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-    schema = ", ".join(f"c{i} string" for i in range(width))
-    return numbered.select("line", F.from_csv("value", schema).alias("c")).select("line", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
+    return numbered.select("line", cells_of(F.col("value"), width).alias("c")).select("line", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
 
 
-def sniff(spark: SparkSession, path: str) -> tuple[str, int, list[str]]:
-    """(encoding, header row, header): the first encoding without replacement characters, the best of the first lines."""
-    head = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 1 << 16).alias("b"))
-    valid = head.select(F.try_validate_utf8(F.decode("b", "UTF-8")).isNotNull() & ~F.decode("b", "UTF-8").contains("�")).first()[0]
-    encoding = ENCODINGS[0] if valid else ENCODINGS[1]
+def sniff(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[str, int, list[str]]:
+    """(encoding, header row, header): the first encoding that fits all lines, the best of the first lines."""
+    encoding = encodings[-1]
+    for e in encodings:
+        if e.upper() != "UTF-8" or spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
+            encoding = e
+            break
     preview = lines(spark, path, encoding)
     rows = preview.join(ingest.header_scores(preview), "line").orderBy(F.col("score").desc(), "line").limit(1).collect()
     if not rows:
@@ -54,17 +90,25 @@ def sniff(spark: SparkSession, path: str) -> tuple[str, int, list[str]]:
     return encoding, int(rows[0]["line"]), [c or f"Unnamed: {i}" for i, c in enumerate(cells)]
 
 
-def load(spark: SparkSession, path: str) -> tuple[DataFrame, Loaded]:
-    """The rows below the header as strings. Rows above it are recognised by their text, so the file stays splittable."""
-    encoding, at, header = sniff(spark, path)
+def load(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[DataFrame, Loaded]:
+    """The rows below the header as strings.
+
+    The header and what stands above it are left out by their place: lines are
+    numbered within their partition, and the file's first block begins the first
+    one. So the file stays splittable, and equal rows further down stay.
+    """
+    encoding, at, header = sniff(spark, path, encodings)
     names = [f"c{i}" for i in range(len(header))]
-    schema = ", ".join(f"{c} string" for c in names)
-    df = spark.read.schema(schema).option("encoding", encoding).option("mode", "PERMISSIVE").option("emptyValue", "").csv(path)
-    above = [tuple(r["cells"]) for r in lines(spark, path, encoding).where(F.col("line") <= at).collect()]
-    first = F.concat_ws("\x1f", *[F.coalesce(F.trim(F.regexp_replace(c, "^﻿", "")), F.lit("")) for c in names])
-    skip = ["\x1f".join((c or "").strip() for c in (list(cells) + [""] * len(names))[: len(names)]) for cells in above]
-    df = df.where(~first.isin(skip)) if skip else df
-    return clean.drop_empty_rows(df).toDF(*dedupe(header)), Loaded(path, header_row=at, encoding=encoding)
+    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    every = spark.read.text(path).select(decoded(F.col("value"), encoding).alias("value"), F.col("_metadata.file_block_start").alias("block"), number.alias("line"))
+    below = every.where((F.col("block") > 0) | (F.col("line") > at)).where("value <> ''")
+    df = below.select(cells_of(F.col("value"), len(names)).alias("c")).select("c.*")
+    report = Loaded(path, header_row=at, encoding=encoding)
+    if at:
+        report.warnings.append(f"header in row {at}")
+    if encoding != encodings[0]:
+        report.warnings.append(f"read as {encoding}")
+    return clean.drop_empty_rows(df).toDF(*dedupe(header)), report
 
 
 def dedupe(header: list[str]) -> list[str]:
@@ -78,8 +122,11 @@ def dedupe(header: list[str]) -> list[str]:
     return out
 
 
-def ingest_folder(spark: SparkSession, folder: str) -> tuple[DataFrame | None, list[Loaded]]:
-    """All CSV files of a folder in the standard schema, and a report per file; a file that fails is reported and left out."""
+def ingest_folder(spark: SparkSession, folder: str, count: bool = False) -> tuple[DataFrame | None, list[Loaded]]:
+    """All CSV files of a folder in the standard schema, and a report per file; a file that fails is reported and left out.
+
+    With ``count`` each report has its number of rows, which reads the file once more.
+    """
     frames, reports = [], []
     for path in discover(spark, folder):
         try:
@@ -87,6 +134,9 @@ def ingest_folder(spark: SparkSession, folder: str) -> tuple[DataFrame | None, l
             found = ingest.resolve(spark, [c.rsplit(".", 1)[0] if c.rsplit(".", 1)[-1].isdigit() else c for c in df.columns])
             mapping = [(c, f[1]) for c, f in zip(df.columns, found)]
             report.mapping, report.errors = found, ingest.validate_columns(df.columns)
+            report.confidence = round(sum(f[2] for f in found) / len(found), 4) if found else None
+            report.warnings += [f"column {f[0]} has no standard name" for f in found if not f[1]]
+            report.rows = df.count() if count else None
             frames.append(ingest.standardize(df, mapping, path.rsplit("/", 1)[-1]))
         except Exception as e:  # noqa: BLE001  a file's failure never ends the run
             report = Loaded(path, status="failed", errors=[str(e)[:300]])

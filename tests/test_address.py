@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from placewright import catalog, catalog_search, service
 from placewright.functions import similarity as S
 from placewright.functions import text as X
-from placewright.operators import clean, entities, index, ingest, metrics, query
+from placewright.operators import clean, entities, index, ingest, metrics, query, search
+from placewright.plans import strategy
 from placewright.sources import csv
 from placewright.streaming import ingest as streaming
 
@@ -152,3 +153,142 @@ def test_query_is_its_sql(spark, name):
 
 def test_every_sql_has_its_query():
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) and catalog_search and importlib.import_module("__spark_entry__").queries()
+
+
+CSV_TEXT = "Sl. No.,City/Town,State\n1,Orléans,Ö\n2,Pune,Maharashtra\n"
+
+
+@pytest.mark.parametrize(("encoding", "encodings", "name"), [("utf-8", csv.ENCODINGS, "UTF-8"), ("utf-8-sig", csv.ENCODINGS, "UTF-8"), ("latin-1", csv.ENCODINGS, "ISO-8859-1"), ("cp1252", ("UTF-8", "windows-1252"), "windows-1252")])
+def test_csv_encodings(spark, tmp_path, encoding, encodings, name):
+    text = CSV_TEXT.replace("Ö", "“Ö”") if encoding == "cp1252" else CSV_TEXT
+    (tmp_path / "a.csv").write_bytes(text.encode(encoding))
+    df, report = csv.load(spark, str(tmp_path / "a.csv"), encodings)
+    assert report.encoding == name and df.columns == ["Sl. No.", "City/Town", "State"]
+    assert [tuple(r) for r in df.collect()] == [("1", "Orléans", "“Ö”" if encoding == "cp1252" else "Ö"), ("2", "Pune", "Maharashtra")]
+
+
+def test_csv_of_long_letters_is_read_at_every_offset(spark, tmp_path):
+    for shift in range(3):
+        rows = [f"{i},{'x' * shift}{'पुणे' * 8}" for i in range(3000)]
+        path = tmp_path / f"long{shift}.csv"
+        path.write_text("pincode,city\n" + "\n".join(rows) + "\n", encoding="utf-8")
+        assert path.stat().st_size > 250_000
+        df, report = csv.load(spark, str(path))
+        assert report.encoding == "UTF-8" and df.count() == 3000 and df.first()["city"].endswith("पुणे")
+
+
+def test_csv_bad_byte_far_down_decides_the_encoding(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes(b"pincode,city\n" + b"411001,Pune\n" * 9000 + b"411002,Orl\xe9ans\n")
+    df, report = csv.load(spark, str(tmp_path / "a.csv"))
+    assert report.encoding == "ISO-8859-1" and df.where("city = 'Orléans'").count() == 1
+
+
+def test_csv_rows_above_the_header_go_by_place(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("Total,,\n\npincode,city,statename\n411001,Pune,MH\nTotal,,\npincode,city,statename\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "24b")
+    try:
+        df, report = csv.load(spark, str(tmp_path / "in" / "a.csv"))
+        assert report.header_row == 2 and sorted(tuple(r) for r in df.collect()) == [("411001", "Pune", "MH"), ("Total", None, None), ("pincode", "city", "statename")]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    merged, reports = csv.ingest_folder(spark, str(tmp_path / "in"), count=True)
+    assert reports[0].rows == 3 and reports[0].confidence == 100 and reports[0].warnings == ["header in row 2"] and merged.count() == 3
+    assert csv.discover(spark, str(tmp_path / "nowhere")) == [] and csv.ingest_folder(spark, str(tmp_path / "nowhere")) == (None, [])
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_fuzzy_terms_are_brute_force_and_take_long_tokens(spark):
+    import random
+
+    r = random.Random(1)
+    words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 9))) for _ in range(160)} | {"abcdefghijklmnop", "abcdefghxjklmnp", "q" * 5000})
+    wanted = words[::3] + ["abcdefghijklmnop", "q" * 4998 + "z"]
+    frame = lambda ws: spark.createDataFrame([("f", w) for w in ws], "field string, term string")
+    got = {(x.asked_term, x.term) for x in search.fuzzy_terms(frame(wanted), frame(words)).collect()}
+    allowed = lambda a: 0 if len(a) <= 2 else 1 if len(a) <= 5 else 2
+    want = {(a, b) for a in wanted for b in words if abs(len(a) - len(b)) <= 2 and (len(a) < 100 or len(b) > 100) and edit_distance(a[-40:] if len(a) > 100 else a, b[-40:] if len(a) > 100 else b) <= allowed(a)}
+    assert {p for p in got if len(p[0]) < 100} == {p for p in want if len(p[0]) < 100}
+    assert ("q" * 4998 + "z", "q" * 5000) in got
+
+
+@pytest.fixture(scope="module")
+def places(spark):
+    rows = [("h1", "TCS, Hinjewadi, Pune, 411057", "TCS", "Hinjewadi", "Pune", "411057", 18.59, 73.73, 68.0), ("h2", "Rose Tower, Hinjewadi, Pune, 411057", "Rose Tower", "Hinjewadi", "Pune", "411057", 18.595, 73.735, 70.0), ("h3", "Connaught Place, New Delhi, 110001", None, "Connaught Place", "New Delhi", "110001", 28.63, 77.21, 80.0)]
+    docs = spark.createDataFrame([(r[0], *r[:6], {"lat": r[6], "lon": r[7]}, r[8]) for r in rows], "doc_id string, address_hash string, full_address string, building_name string, locality string, city_name string, pincode string, location struct<lat:double,lon:double>, quality_score double")
+    return index.build(docs)
+
+
+def test_queries_without_text_match_all_that_passes_the_filters(spark, places):
+    rows = [(1, "", 18.59, 73.73, "1km", None, None), (2, "", None, None, None, "110001", None), (3, "", None, None, None, None, "h2"), (4, "", None, None, None, None, None), (5, "", 28.63, 77.21, "3km", "411057", None), (6, "tcs", None, None, None, None, "h2")]
+    asked = spark.createDataFrame(rows, "query_id int, text string, lat double, lon double, distance string, pincode string, address_hash string").withColumn("strategy", F.lit("geospatial"))
+    plans = service.planned(asked)
+    got = {}
+    for r in search.retrieve(plans, strategy.clauses(plans), places).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert [d for d, _ in got[1]] == ["h2", "h1"] and got[1][0][1] == 1 + 0.05 * 70
+    assert [d for d, _ in got[2]] == ["h3"] and [d for d, _ in got[3]] == ["h2"] and [d for d, _ in got[4]] == ["h3", "h2", "h1"]
+    assert 5 not in got and 6 not in got
+
+
+def test_nearby_and_reverse_geocoding(spark, places):
+    points = spark.createDataFrame([(1, 18.59, 73.73, "3km", None), (2, 18.59, 73.73, "3km", "rose towr"), (3, 0.0, 0.0, "3km", None)], "query_id int, lat double, lon double, distance string, text string")
+    got = sorted((r.query_id, r.place, r.doc_id) for r in service.nearby(points, places).collect())
+    assert got == [(1, 1, "h1"), (1, 2, "h2"), (2, 1, "h2")]
+    found = service.reverse_geocode(points.drop("text", "distance").where("query_id <> 2"), places).collect()
+    assert [(r.query_id, r.doc_id) for r in found] == [(1, "h2")] and 0 <= found[0].confidence <= 0.99
+    nearest = service.reverse_geocode(points.drop("text", "distance"), places, order="distance").collect()
+    assert {(r.query_id, r.doc_id) for r in nearest} == {(1, "h1"), (2, "h1")}
+
+
+def test_what_strategies_ask_for():
+    rows = {}
+    for name, _, must, kind, source, field, boost, _ in strategy.specification():
+        rows.setdefault(name, []).append((must, kind, source, field, boost))
+    musts = lambda name: {(f, b) for m, _, _, f, b in rows[name] if m}
+    assert musts("autocomplete") == {("building_name", 4), ("road_name", 3), ("locality", 2), ("city_name", 1.5), ("district_name", 1.25), ("full_address", 2)}
+    asked = lambda name: {s for m, _, s, _, _ in rows[name] if not m and s.startswith("f.")}
+    place = {"f.city", "f.locality", "f.district", "f.state"}
+    assert asked("autocomplete") == {"f.pincode"} and asked("city") == asked("pincode") == place
+    assert asked("building") == asked("road") == place | {"f.building"} and asked("full_address") == place | {"f.building", "f.pincode"}
+    assert {s for m, _, s, _, _ in rows["pincode"] if m} == {"pincode_or_digits"}
+
+
+def test_words_are_no_pincode(spark):
+    asked = spark.createDataFrame([(1, "411001"), (2, "pune")], "query_id int, text string").withColumn("strategy", F.lit("pincode"))
+    got = strategy.clauses(service.planned(asked)).where("must").collect()
+    assert [(r.query_id, r.text) for r in got] == [(1, "411001")]
+
+
+def test_older_builder(spark):
+    asked = spark.createDataFrame([(1, "411001"), (2, "pune"), (3, "rose tower main road hinjewadi")], "query_id int, text string")
+    plans = strategy.as_legacy(service.planned(asked))
+    assert {r.query_id: r.run_as for r in plans.collect()}[1] in ("legacy exact pincode", "legacy pincode pincode")
+    assert strategy.clauses(plans).select("query_id").distinct().count() == 3
+    assert {r.run_as for r in strategy.as_legacy(service.planned(asked), "admin").collect()} == {"legacy admin city"}
+
+
+def test_whole_phrases_are_brute_force(spark):
+    import re
+
+    read = lambda t, k: {r[k]: re.findall(r"\w+", (r["text"] or "").lower()) for r in spark.read.parquet(f"{SF}/{t}.parquet").collect()}
+    docs, items = read("documents", "doc_id"), read("benchmark", "item_id")
+    got = {(r.query_id, r.doc_id) for r in catalog.QUERIES["phrase_whole"](spark, SF).collect()}
+    exact = {(q, d) for q, w in items.items() for d, words in docs.items() if w and f" {' '.join(w)} " in f" {' '.join(words)} "}
+    assert exact and exact <= got
+
+
+def test_index_is_written_and_read(spark, places, tmp_path):
+    places.write(str(tmp_path / "index"))
+    stored = index.Index.read(spark, str(tmp_path / "index"))
+    queries = spark.createDataFrame([(1, "hinjewadi")], "query_id int, text string")
+    key = lambda ix: sorted(tuple(r) for r in search.bm25(queries, ix, "full_address").collect())
+    assert key(stored) == key(places) != []
