@@ -57,10 +57,15 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(some)
 
 
-def packed(bits: np.ndarray, some: np.ndarray) -> list[str]:
-    """Hex text of the packed low bits; empty for the empty set."""
+def packed_bytes(bits: np.ndarray, some: np.ndarray) -> list[bytes]:
+    """The packed low bits; empty for the empty set."""
     both = (bits[:, 0::2] << 4) | bits[:, 1::2]
-    return [b.tobytes().hex() if s else "" for b, s in zip(both, some)]
+    return [b.tobytes() if s else b"" for b, s in zip(both, some)]
+
+
+def packed(bits: np.ndarray, some: np.ndarray) -> list[str]:
+    """The same as hex text."""
+    return [b.hex() for b in packed_bytes(bits, some)]
 
 
 def likeness(a: np.ndarray, a_some: np.ndarray, b: np.ndarray, b_some: np.ndarray) -> np.ndarray:
@@ -81,7 +86,7 @@ def fingerprint(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string")
 
 
-DIGESTS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+DIGESTS = "doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 
 
 def digests(ids: list, texts: list[str], following: list[str], in_turn: bool) -> pa.RecordBatch:
@@ -93,7 +98,7 @@ def digests(ids: list, texts: list[str], following: list[str], in_turn: bool) ->
     if in_turn:
         f, f_some = np.concatenate([a[1:], f]), np.concatenate([a_some[1:], f_some])
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).hexdigest() for t in edited], pa.string()), pa.array(packed(a, a_some), pa.string()), pa.array(packed(e, e_some), pa.string()), pa.array(likeness(a, a_some, e, e_some), pa.float64()), pa.array(likeness(a, a_some, f, f_some), pa.float64())],
+        [pa.array(ids, pa.int64()), pa.array([len(t) for t in texts], pa.int64()), pa.array([hashlib.sha256(t.encode()).digest() for t in edited], pa.binary()), pa.array(packed_bytes(a, a_some), pa.binary()), pa.array(packed_bytes(e, e_some), pa.binary()), pa.array(likeness(a, a_some, e, e_some), pa.float64()), pa.array(likeness(a, a_some, f, f_some), pa.float64())],
         names=[c.split()[0] for c in DIGESTS.split(", ")],
     )
 
@@ -121,7 +126,7 @@ def compare(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([*found.columns, pa.nulls(n, pa.int32()), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=[*found.schema.names, "part", "place", "text"])
 
         def end(doc: int | None, place: str, text: str) -> pa.RecordBatch:
-            none = [pa.nulls(1, t) for t in (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())]
+            none = [pa.nulls(1, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *none, pa.array([part], pa.int32()), pa.array([place]), pa.array([text])], names=[*(c.split()[0] for c in DIGESTS.split(", ")), "part", "place", "text"])
 
         held, size, begun = [], 0, False
@@ -156,4 +161,5 @@ def compare(docs: DataFrame) -> DataFrame:
     last = found.where("place = 'last'").select("part", "doc_id", "text").join(tasks, "part")
     first = found.where("place = 'first'").select(F.col("part").alias("next"), F.col("text").alias("following"))
     ends = last.join(first, "next").select("doc_id", "text", "following").mapInArrow(closing, DIGESTS)
-    return found.where("place is null").drop("part", "place", "text").unionByName(ends)
+    every_row = found.where("place is null").drop("part", "place", "text").unionByName(ends)
+    return every_row.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
