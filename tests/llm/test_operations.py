@@ -343,6 +343,27 @@ def test_edited_passages_are_found(spark):
     assert got <= set(own) and len(got & want) >= 0.95 * len(want)
 
 
+def test_passages_of_frequent_fragments_are_brute_force(spark):
+    """Passages of 90 words, each 24 of which stand in an earlier document of their own, in two later documents each."""
+    rows = {}
+    passages = [prose(90, 5000 + p).split() for p in range(12)]
+    for p, words in enumerate(passages):
+        for k in range(0, 67, 6):
+            rows[len(rows)] = " ".join([prose(30, 6000 + len(rows)), *words[k : k + 24], prose(30, 6500 + len(rows))])
+    for p, words in enumerate(passages):
+        for k in range(2):
+            rows[1000 + 2 * p + k] = " ".join([prose(30, 7000 + 2 * p + k), *words, prose(30, 7100 + 2 * p + k)])
+    where: dict[tuple, set] = {}
+    for i, text in rows.items():
+        w = text.split()
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = set().union(*(ids for ids in where.values() if len(ids) > 1))
+    assert want == set(range(1000, 1024))
+    found = passage_dedup.passages(table(spark, rows)).collect()
+    assert {x for p in found for x in (p.doc_id, p.other_id)} == want
+
+
 def test_upper_case_hex_keys_are_found(spark):
     key = "3F9A0C7E52B8D1464E0B93A7"
     rows = {1: f"key {key} end", 2: f"key {key.lower()[:22]} end", 3: "id 12345678901234567890 and " + "ABCDEF" * 4, 4: f"{key}g"}
