@@ -212,10 +212,124 @@ def strategy_resolution(spark, sf_dir):
     return service.preview(asked(spark, sf_dir)).select("query_id", "strategy", F.coalesce("filters.city", F.lit("-")).alias("city_filter"))
 
 
-@query_of()
+#: What each strategy asks, a line each: kind, whether it must match, where its text comes from, tie, fields and weights.
+#: Lines that begin with + belong to the group of the line above. ``at`` names filters that are asked as well, ``at phrase`` as phrases.
+ASKS = {
+    "": """phrase should building_name 0 building_name^5 office_name^4 full_address^2
+phrase should office_name 0 office_name^5 building_name^3 full_address^2
+phrase should landmark 0 full_address^2 locality^1.5 building_name^1.5
+phrase should localities 1 locality^10
+match should cities 1 city_name^6
+match should cities 1 district_name^4
+match should district 0 district_name^2
+match should state 0 state_name^1.5
+term should pincode 0 pincode^1
+phrase should road_name 0 road_name^1
+match should flat_number 0 full_address^1.5""",
+    "exact": """phrase must q 0 building_name^5 office_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2
+at pincode""",
+    "fuzzy": """fuzzy must q 0 building_name^5 office_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2
+at pincode""",
+    "phrase": """phrase must q 0 full_address^1
+at pincode""",
+    "autocomplete": """prefix must q2 1 building_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 full_address^2
+at pincode""",
+    "city": """match must q 0 city_name^5 locality^3 district_name^2 state_name^1.5 full_address^1.5
+at locality city district state""",
+    "locality": """phrase must localities 1 locality^10
++fuzzy must localities 1 locality^6
++phrase must localities 1 full_address^4
+match must q_alone 0 locality^5 road_name^4 building_name^3 city_name^2 district_name^1.5 state_name^1 full_address^2
+match should cities 1 city_name^6
+match should cities 1 district_name^4
+phrase should cities 1 full_address^1
+at phrase city locality district state""",
+    "district": """match must q 0 district_name^5 city_name^3 locality^2 state_name^2 full_address^1.5
+at locality city district state""",
+    "state": """match must q 0 state_name^5 district_name^3 city_name^2 locality^1.5 full_address^1.5
+at locality city district state""",
+    "building": """match must q 0 building_name^5 office_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2
+at building road locality city district state""",
+    "office": """phrase must office_or_q 1 office_name^12 building_name^6 full_address^5
++fuzzy must office_or_q 1 office_name^8
++fuzzy must office_or_q 1 office_name^6 building_name^4 full_address^3 searchable_text^2
+at phrase building locality city district state pincode""",
+    "road": """match must q 0 road_name^5 building_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2
+at building road locality city district state""",
+    "full_address": """match must q 0 building_name^5 office_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2
+phrase should q 0 full_address^1
+at building road locality city district state pincode""",
+    "pincode": """term must pincode_or_digits 0 pincode^1
+at locality city district state""",
+    "hierarchical_admin": """match must building_or_q 0 building_name^4 office_name^3 road_name^2 locality^1.5 city_name^1.25 district_name^1 state_name^1 full_address^2
+at building road locality city district state pincode""",
+    "hierarchical_pincode": """match must city 0 city_name^3
+match must state 0 state_name^2
+term must pincode_or_q 0 pincode^1
+at locality city district state pincode""",
+    "geospatial": "fuzzy must q 0 building_name^5 office_name^4 road_name^3 locality^2 city_name^1.5 district_name^1.25 state_name^1 full_address^2",
+}
+AT = {"building": ("building_name", "building_name", 4), "road": ("building_name", "road_name", 3), "locality": ("locality", "locality", 3), "city": ("city", "city_name", 2.5), "district": ("district", "district_name", 2), "state": ("state", "state_name", 1.5)}
+
+
+def sql_asks() -> str:
+    """``ASKS`` as rows (strategy, grp, must, kind, source, field, boost, tie)."""
+    rows = []
+    for name in [n for n in ASKS if n]:
+        grp = 0
+        for line in (ASKS[""] + "\n" + ASKS[name]).split("\n"):
+            if line.startswith("at "):
+                phrase = "phrase" in line.split()
+                for place in [w for w in line.split()[1:] if w != "phrase"]:
+                    grp += 1
+                    source, field, boost = AT.get(place, ("pincode", "pincode", 1))
+                    plain = place == "road" or not phrase
+                    rows.append((name, grp, False, "term" if place == "pincode" else "match" if plain else "phrase", source, field, boost if plain else 1, 0))
+                continue
+            kind, must, source, tie, *fields = line.lstrip("+").split()
+            grp += not line.startswith("+")
+            rows += [(name, grp, must == "must", kind, source, *f.split("^"), tie) for f in fields]
+    return ", ".join(f"('{n}', {g}, {m}, '{k}', '{s}', '{f}', {float(b)}::DOUBLE, {float(t)}::DOUBLE)" for n, g, m, k, s, f, b, t in rows)
+
+
+def sql_clauses(chosen: str) -> str:
+    """Clause rows of the asked queries, run with the strategy that an expression over their entities names."""
+    some = lambda c: f"CASE WHEN coalesce({c}, '') <> '' THEN [{c}] ELSE [] END"
+    spelt = lambda c: f"CASE WHEN coalesce({c}, '') = '' THEN [] WHEN array_to_string({sql_words(c)}, ' ') = '' THEN [{c}] ELSE string_split(coalesce(al[array_to_string({sql_words(c)}, ' ')], array_to_string({sql_words(c)}, ' ')), '|') END"
+    texts = {
+        **{c: some(c) for c in ("building_name", "office_name", "landmark", "city", "locality", "district", "state", "pincode", "road_name", "flat_number", "q")},
+        "localities": spelt("locality"), "cities": spelt("city"), "q2": "CASE WHEN length(q) >= 2 THEN [q] ELSE [] END", "q_alone": f"CASE WHEN locality IS NULL THEN {some('q')} ELSE [] END",
+        "office_or_q": some("coalesce(office_name, q)"), "building_or_q": some("coalesce(building_name, q)"), "pincode_or_q": some("coalesce(pincode, q)"),
+        "pincode_or_digits": some("coalesce(pincode, CASE WHEN regexp_full_match(q, '[0-9]+') THEN q END)"),
+    }
+    each = ", ".join(f"{{'source': '{k}', 'texts': {v}}}" for k, v in texts.items())
+    return (
+        CORE.rstrip() + f", sp AS (SELECT * FROM (VALUES {sql_asks()}) AS v(strategy, grp, must, kind, source, field, boost, tie)), "
+        f"pq AS (SELECT core.*, array_to_string(t, ' ') AS q, {sql_map(_ALIASES)} AS al FROM core), pl AS (SELECT *, {chosen} AS strategy FROM pq), "
+        f"ts AS (SELECT query_id, strategy, unnest([{each}]) AS s FROM pl), tx AS (SELECT query_id, strategy, s.source AS source, unnest(s.texts) AS text FROM ts) "
+        "SELECT query_id, CAST(grp AS INT) AS grp, must, kind, field, text, boost, tie FROM tx JOIN sp USING (strategy, source)"
+    )
+
+
+CLAUSE_COLUMNS = ("query_id", "grp", "must", "kind", "field", "text", "boost", "tie")
+
+
+@query_of(sql_clauses(SQL_STRATEGY))
 def query_clauses(spark, sf_dir):
     """What each query asks of the index, as rows."""
-    return strategy.clauses(service.planned(asked(spark, sf_dir)))
+    return strategy.clauses(service.planned(asked(spark, sf_dir))).select(*CLAUSE_COLUMNS)
+
+
+#: Every strategy in turn, and a name that is none: the query's own form decides then.
+NAMED = (*[n for n in ASKS if n], "none of them")
+SQL_AUTOMATIC = "CASE WHEN pincode IS NOT NULL THEN 'pincode' WHEN coalesce(building_name, locality, city, district, state) IS NOT NULL THEN 'building' WHEN regexp_full_match(q, '[0-9]{6}') THEN 'pincode' WHEN len(t) >= 4 THEN 'full_address' WHEN q <> '' AND length(q) <= 12 THEN 'autocomplete' ELSE 'fuzzy' END"
+
+
+@query_of(sql_clauses(f"CASE WHEN query_id % {len(NAMED)} = {len(NAMED) - 1} THEN {SQL_AUTOMATIC} ELSE list_extract([{quoted(NAMED)}], CAST(query_id % {len(NAMED)} AS INT) + 1) END"))
+def strategy_clauses(spark, sf_dir):
+    """The same for queries that name their strategy, each of them in turn."""
+    named = asked(spark, sf_dir).withColumn("strategy", F.get(X.any_of(NAMED), (F.col("query_id") % len(NAMED)).cast("int")))
+    return strategy.clauses(service.planned(named)).select(*CLAUSE_COLUMNS)
 
 
 # --- Retrieval --------------------------------------------------------------------------------------------------
@@ -427,6 +541,36 @@ def entity_fit(spark, sf_dir):
     return rank.with_entity_fit(fitted(spark, sf_dir)).select("id", F.round("entity_fit", 6).alias("fit"))
 
 
+MIXED = """mx AS (SELECT id, CASE WHEN id % 2 = 0 THEN a END AS q_locality, CASE WHEN id % 3 = 0 THEN b END AS q_city, CASE WHEN id % 5 < 2 THEN a END AS q_building, CASE WHEN id % 7 < 2 THEN b END AS q_office,
+ CASE WHEN id % 4 = 1 THEN a END AS q_road, CASE WHEN id % 11 < 6 THEN CAST(110000 + id % 5 AS STRING) END AS q_pincode, b AS locality, CASE WHEN id % 6 = 0 THEN b ELSE upper(a) END AS city_name, a AS district_name, b AS building_name,
+ CASE WHEN id % 2 = 1 THEN a END AS office_name, b AS road_name, '110002' AS pincode, b || ', 110002' AS full_address, a, b FROM pr)"""
+
+
+def sql_fit() -> str:
+    """Entity fit of ``mx``: every text is a, b or the address, so three similarities are all there are (part names have no other spellings)."""
+    both = lambda c, d: sql_indel(_norm(c), _norm(d)).replace("lambda x:", "lambda z:")
+    begin = f"len(list_filter(range(1, least(length({_norm('a')}), length({_norm('b')})) + 1), lambda i: ({_norm('a')})[1:i] = ({_norm('b')})[1:i])) / greatest(length({_norm('a')}), length({_norm('b')}))::DOUBLE"
+    return f"""WITH {duck(PAIRS)}, {MIXED}, r AS (SELECT *, {_norm('a')} = {_norm('b')} AS eq, {both('a', 'b')} AS ab, {both('a', 'full_address')} AS af, {both('b', 'full_address')} AS bf, {begin} AS pre FROM mx),
+p AS (SELECT *, CASE WHEN q_locality IS NULL THEN 0 ELSE greatest(0.55 * ab + 0.45 * pre, CASE WHEN af >= 0.5 THEN 0.85 * af ELSE 0 END) END AS sim,
+ CASE WHEN q_office IS NULL THEN 0 ELSE greatest(CASE WHEN office_name IS NULL THEN 0 ELSE ab END, 1.0, bf) END AS office,
+ CASE WHEN q_city IS NULL THEN 0 WHEN id % 6 = 0 OR eq THEN 1.0 ELSE ab END AS city FROM r)
+SELECT id, round(least(1.0, greatest(0.0, CAST(CASE WHEN q_locality IS NULL THEN 0 ELSE 0.60 * sim + CASE WHEN sim >= 0.88 THEN 0.15 ELSE 0 END END
+ + CASE WHEN q_office IS NULL THEN 0 ELSE 0.55 * office + CASE WHEN office >= 0.85 THEN 0.15 ELSE 0 END END
+ + CASE WHEN q_city IS NULL THEN 0 ELSE CASE WHEN q_locality IS NULL OR sim >= 0.72 THEN 0.35 ELSE 0.08 END * city END
+ + CASE WHEN q_building IS NULL THEN 0 ELSE 0.25 * greatest(ab, af) END + CASE WHEN q_pincode = pincode THEN 0.25 ELSE 0 END
+ + CASE WHEN q_road IS NULL THEN 0 ELSE 0.15 * greatest(ab, af) END AS DOUBLE))), 6) AS fit FROM p"""
+
+
+@query_of(sql_fit())
+def entity_fit_mixed(spark, sf_dir):
+    """Entity fit where queries have some of the entities, of candidates that differ from them."""
+    df = spark.sql("WITH " + PAIRS + ", " + MIXED + " SELECT * FROM mx", part=table(spark, sf_dir, "part"))
+    none = F.lit(None).cast("string")
+    named = {"locality": "q_locality", "city": "q_city", "building_name": "q_building", "office_name": "q_office", "road_name": "q_road", "pincode": "q_pincode"}
+    e = F.struct(*[F.col(c).alias(k) for k, c in named.items()], none.alias("district"), none.alias("state"))
+    return rank.with_entity_fit(df.select("id", e.alias("entities"), "locality", "city_name", "district_name", "building_name", "office_name", "road_name", "pincode", "full_address")).select("id", F.round("entity_fit", 6).alias("fit"))
+
+
 @query_of("WITH " + duck(PAIRS) + ", " + FITTED + f" SELECT id, (CASE WHEN {_norm('building_name')} = {_norm('c_building')} THEN 1 ELSE 0 END + CASE WHEN {_norm('locality')} = {_norm('c_locality')} THEN 1 ELSE 0 END + CASE WHEN {_norm('city')} = {_norm('c_city')} THEN 1 ELSE 0 END + CASE WHEN pincode = c_pincode THEN 1 ELSE 0 END) AS n FROM fp")
 def exact_match_count(spark, sf_dir):
     df = fitted(spark, sf_dir)

@@ -17,7 +17,7 @@ from placewright.sources import csv
 from placewright.streaming import ingest as streaming
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("address_dedup", "preprocess_pipeline", "schema_map", "query_normalize", "phrases", "entity_core", "strategy_resolution", "bm25_topk", "phrase_match", "fuzzy_match", "geo_radius", "candidate_dedup", "token_set_ratio", "partial_ratio", "metric_ndcg_10")
+CHECKED = ("address_dedup", "preprocess_pipeline", "schema_map", "query_normalize", "phrases", "entity_core", "strategy_resolution", "bm25_topk", "phrase_match", "fuzzy_match", "geo_radius", "candidate_dedup", "token_set_ratio", "partial_ratio", "metric_ndcg_10", "query_clauses", "strategy_clauses", "entity_fit_mixed")
 
 
 def one(spark, column, *values, kind="string"):
