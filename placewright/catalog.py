@@ -293,16 +293,39 @@ def _sql_preprocess() -> str:
         + "e AS (SELECT n.* REPLACE (coalesce(state_name, fill) AS state_name, regexp_replace(road_name, ' Rd$', ' Road') AS road_name) FROM n LEFT JOIN m USING (state_code)), "
         + f"t AS (SELECT ord, serial_number, building_number, {_sql_title(_sql_symbols('building_name'))} AS building_name, {_sql_title(_sql_symbols('road_name'))} AS road_name, {_sql_title(_sql_symbols('locality'))} AS locality, {_sql_title('city_name')} AS city_name, {_sql_title('district_name')} AS district_name, {_sql_title('state_name')} AS state_name, {SQL_PIN} AS pincode, {sql_coordinate('latitude', 90)} AS latitude, {sql_coordinate('longitude', 180)} AS longitude FROM e), "
         + f"f AS (SELECT *, {SQL_ADDRESS} AS full_address FROM t), h AS (SELECT *, {SQL_HASH} AS address_hash FROM f), "
-        + "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address_hash ORDER BY ord) AS rn FROM h) WHERE rn = 1) "
-        + f"SELECT serial_number, full_address, address_hash, pincode, {_sql_quality()} AS quality_score FROM u"
+        + "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address_hash ORDER BY ord) AS rn FROM h) WHERE rn = 1), "
+        + f"s AS (SELECT *, {_sql_quality()} AS quality_score FROM u) "
     )
 
 
-@query_of(_sql_preprocess())
+def _sql_report() -> str:
+    result = ("serial_number", "building_number", "building_name", "road_name", "locality", "city_name", "district_code", "district_name", "state_code", "state_name", "pincode", "latitude", "longitude", "full_address", "address_hash", "quality_score")
+    # Codes are only cleaned, so they are as they were in n.
+    columns = {c: f"u2.{c}" for c in result} | {c: f"n2.{c}" for c in ("district_code", "state_code")}
+    nulls = " UNION ALL ".join(f"SELECT 'null_pct_{c}' AS statistic, round_even((1 - count(*) FILTER (trim(CAST({v} AS STRING)) <> '') / greatest(count(*), 1)::DOUBLE) * 100, 2) AS value FROM s u2 LEFT JOIN n n2 ON n2.ord = u2.ord" for c, v in columns.items())
+    one = {
+        "rows_input": "(SELECT count(*) FROM a)", "duplicate_rows_removed": "(SELECT count(*) FROM a) - (SELECT count(*) FROM d)", "empty_columns_removed": "0", "empty_rows_removed": "0",
+        "rows_output": "(SELECT count(*) FROM s)", "duplicate_addresses_removed": "(SELECT count(*) FROM d) - (SELECT count(*) FROM s)",
+        "filled_state_name": "(SELECT count(*) FROM n WHERE state_name IS NULL AND state_code IS NOT NULL)", "filled_district_name": "(SELECT count(*) FROM n WHERE district_name IS NULL AND district_code IS NOT NULL)",
+        "invalid_pincode": f"(SELECT count(*) FROM n WHERE pincode IS NOT NULL AND {SQL_PIN} IS NULL)", "invalid_latitude": f"(SELECT count(*) FROM n WHERE latitude IS NOT NULL AND {sql_coordinate('latitude', 90)} IS NULL)", "invalid_longitude": f"(SELECT count(*) FROM n WHERE longitude IS NOT NULL AND {sql_coordinate('longitude', 180)} IS NULL)",
+        "quality_min": "(SELECT min(quality_score) FROM s)", "quality_max": "(SELECT max(quality_score) FROM s)", "quality_mean": "(SELECT round_even(avg(quality_score), 2) FROM s)", "quality_median": "(SELECT round_even(median(quality_score), 2) FROM s)", "quality_below_50": "(SELECT count(*) FROM s WHERE quality_score < 50)",
+        **{f"covered_{c}": f"(SELECT count(*) FROM s WHERE trim({c}) <> '')" for c in ("pincode", "latitude", "longitude")},
+    }
+    return _sql_preprocess() + nulls + " UNION ALL " + " UNION ALL ".join(f"SELECT '{k}', CAST({v} AS DOUBLE)" for k, v in one.items())
+
+
+@query_of(_sql_preprocess() + "SELECT serial_number, full_address, address_hash, pincode, quality_score FROM s")
 def preprocess_pipeline(spark, sf_dir):
     return clean.preprocess(addresses(spark, sf_dir), "ord").select("serial_number", "full_address", "address_hash", "pincode", "quality_score")
 
 
+@query_of(_sql_report())
+def preprocess_report(spark, sf_dir):
+    """What the steps removed, filled and found invalid, and what their result holds."""
+    a = addresses(spark, sf_dir)
+    return clean.report(a, clean.preprocess(a, "ord", tally=True), "ord")
+
+
 # --- Ingestion --------------------------------------------------------------------------------------------------
 
 HEADERS = ("PIN Code", "statename", "district", "Sl. No.", "City/Town", "State/ Union territory*", "Sub-District Name (In English)", "Subdistrict Code", "  Latitude ", "bldg_no", "localty name", "pin_codes", "distrct name", "unknown thing", "tehsil nam", "s.no", "Villages", "")

@@ -33,10 +33,11 @@ def row_dedup(df: DataFrame, order: str, subset: Iterable[str] | None = None) ->
     return first_rows(df, F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256), order)
 
 
-def first_rows(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """The row of the smallest ``order`` for each key, in one pass: rows are reduced before the shuffle."""
-    first = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*df.columns), order).alias("_row"))
-    return first.select("_row.*")
+def first_rows(df: DataFrame, key: Column, order: str, sums: Iterable[str] = ()) -> DataFrame:
+    """The row of the smallest ``order`` for each key, in one pass: rows are reduced before the shuffle. ``sums`` are added up over a key's rows."""
+    own = [c for c in df.columns if c not in set(sums)]
+    first = df.groupBy(key.alias("_key")).agg(F.min_by(F.struct(*own), order).alias("_row"), *[F.sum(c).alias(c) for c in sums])
+    return first.select("_row.*", *sums)
 
 
 def blank(c: Column) -> Column:
@@ -49,11 +50,11 @@ def drop_empty_rows(df: DataFrame, ignore: Iterable[str] = ()) -> DataFrame:
 
 
 def empty_columns(df: DataFrame) -> list[str]:
-    """Columns without any value: one aggregate over the table, one row to the driver."""
+    """Columns without any value: one aggregate over the table, one row to the driver. A table without rows has none."""
     if not df.columns:
         return []
-    seen = df.agg(*[F.max(~blank(F.col(c))).alias(c) for c in df.columns]).first()
-    return [c for c in df.columns if not seen[c]]
+    seen = df.agg(*[F.max(~blank(F.col(c))) for c in df.columns]).first()
+    return [c for c, some in zip(df.columns, seen) if some is False]
 
 
 def drop_empty_columns(df: DataFrame) -> DataFrame:
@@ -103,14 +104,16 @@ def validate(df: DataFrame) -> DataFrame:
     return df.withColumns({c: f(F.col(c)) for c, f in rules.items() if c in df.columns})
 
 
+def invalid(columns: Iterable[str]) -> dict[str, Column]:
+    """Whether a row's pincode, latitude and longitude, of those that the table has, are present and not valid."""
+    rules = {"pincode": X.pincode, "latitude": lambda c: X.coordinate(c, 90), "longitude": lambda c: X.coordinate(c, 180)}
+    own = {c: (F.col(c), f) for c, f in rules.items() if c in set(columns)}
+    return {f"invalid_{k}": F.coalesce(c.isNotNull() & (F.trim(c) != "") & f(c).isNull(), F.lit(False)) for k, (c, f) in own.items()}
+
+
 def invalid_counts(df: DataFrame) -> DataFrame:
     """One row: how many pincodes, latitudes and longitudes are present and not valid."""
-    present = lambda c: F.col(c).isNotNull() & (F.trim(c) != "")
-    return df.agg(
-        F.count_if(present("pincode") & X.pincode(F.col("pincode")).isNull()).alias("invalid_pincode"),
-        F.count_if(present("latitude") & X.coordinate(F.col("latitude"), 90).isNull()).alias("invalid_latitude"),
-        F.count_if(present("longitude") & X.coordinate(F.col("longitude"), 180).isNull()).alias("invalid_longitude"),
-    )
+    return df.agg(*[F.count_if(c).alias(k) for k, c in invalid(df.columns).items()])
 
 
 def full_address(df: DataFrame, parts: Iterable[str] = words.ADDRESS_PARTS) -> Column:
@@ -125,10 +128,10 @@ def address_hash(address: Column) -> Column:
     return F.when(F.trim(address) != "", F.sha2(X.dedup_key(address), 256))
 
 
-def address_dedup(df: DataFrame, order: str) -> DataFrame:
+def address_dedup(df: DataFrame, order: str, sums: Iterable[str] = ()) -> DataFrame:
     """The first row of each address hash, and all rows without one."""
     alone = F.when(F.col("address_hash").isNull(), F.monotonically_increasing_id())
-    return first_rows(df, F.struct(F.col("address_hash"), alone.alias("row")), order)
+    return first_rows(df, F.struct(F.col("address_hash"), alone.alias("row")), order, sums)
 
 
 def has_value(c: Column) -> Column:
@@ -177,19 +180,62 @@ def coverage(df: DataFrame, columns: Iterable[str] = ("pincode", "latitude", "lo
     return rows.select("column", "present", F.bround(F.col("present") / F.greatest("n", F.lit(1)) * 100, 2).alias("pct"))
 
 
-def preprocess(df: DataFrame, order: str) -> DataFrame:
-    """All steps in order: duplicates, empties, cleaning, filling, expansion, validation, address, quality."""
+def preprocess(df: DataFrame, order: str, tally: bool = False) -> DataFrame:
+    """All steps in order: duplicates, empties, cleaning, filling, expansion, validation, address, quality.
+
+    With ``tally`` each row of the result carries, as ``_`` columns, how many
+    rows it stands for and what was wrong with them, so the counts of all steps
+    are sums over the result and need no pass of their own.
+    """
     # Rows that repeat and empty rows leave no column without a value, so columns are looked at before.
     df = drop_empty_rows(row_dedup(drop_empty_columns(df), order), [order])
     text = strings(df, [order])
     # One step at a time: nested, each would repeat the one before in its expression.
     for step in (X.strip_invisible, X.nfkc, X.null_like):
         df = apply(df, text, step)
+    marks: dict[str, Column] = {}
+    if tally:
+        fills = {f"filled_{n}": F.col(n).isNull() & F.col(c).isNotNull() for c, n in words.HIERARCHY if {c, n} <= set(df.columns)}
+        df, marks = df.withColumns({f"_{k}": c.cast("long") for k, c in fills.items()} | {"_rows": F.lit(1).cast("long")}), {**fills, "rows": F.lit(1)}
     df = fill_hierarchy(df, order)
     df = apply(df, words.ABBREVIATION_COLUMNS, X.expand_abbreviations)
     df = apply(df, words.SYMBOL_COLUMNS, X.plain_symbols)
     df = standardize(df, words.NAME_COLUMNS)
+    if tally:
+        wrong = invalid(df.columns)
+        df, marks = df.withColumns({f"_{k}": c.cast("long") for k, c in wrong.items()}), marks | wrong
     df = validate(df)
     df = df.withColumn("full_address", full_address(df))
-    df = address_dedup(df.withColumn("address_hash", address_hash(F.col("full_address"))), order)
+    df = address_dedup(df.withColumn("address_hash", address_hash(F.col("full_address"))), order, [f"_{k}" for k in marks])
     return df.withColumn("quality_score", quality_score(df))
+
+
+def report(source: DataFrame, result: DataFrame, order: str) -> DataFrame:
+    """(statistic, value): what ``preprocess`` did to ``source``, and what its tallied ``result`` holds.
+
+    Three aggregates, each of one row before its cells become rows: over the
+    source, over its empty rows and over the result. A count that needs more
+    than one of them is a sum of their parts. Attempts to fill count rows whose
+    name is missing while their code is there. An empty table has counts of 0
+    and no quality.
+    """
+    tallies = [c[1:] for c in result.columns if c.startswith("_")]
+    kept = [c for c in source.columns if c in result.columns]
+    empty = F.forall(F.array(*[blank(F.col(c)) for c in source.columns if c != order]), lambda x: x)
+    keys = F.sha2(F.to_json(F.struct(*[c for c in kept if c not in ("serial_number", order)]), {"ignoreNullFields": "false"}), 256)
+    n, q = F.count(F.lit(1)), F.col("quality_score")
+    total = lambda c: F.coalesce(F.sum(f"_{c}"), F.lit(0))
+    cell = lambda c: F.count_if(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""))
+    of_source = {"rows_input": n, "duplicate_rows_removed": n, "empty_columns_removed": F.lit(len(source.columns) - len(kept))}
+    of_empty = {"empty_rows_removed": F.count_distinct(keys), "duplicate_rows_removed": -F.count_distinct(keys)}
+    of_result = {"rows_output": n, "duplicate_rows_removed": -total("rows"), "duplicate_addresses_removed": total("rows") - n, **{c: total(c) for c in tallies if c != "rows"}}
+    of_result |= {"quality_min": F.min(q), "quality_max": F.max(q), "quality_mean": F.bround(F.avg(q), 2), "quality_median": F.bround(F.median(q), 2), "quality_below_50": F.count_if(q < 50)}
+    of_result |= {f"covered_{c}": cell(c) for c in ("pincode", "latitude", "longitude") if c in result.columns}
+    of_result |= {f"null_pct_{c}": F.bround((1 - cell(c) / F.greatest(n, F.lit(1))) * 100, 2) for c in result.columns if not c.startswith("_") and c != order}
+
+    def rows(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        one = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
+        return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"`{k}`").alias("value")) for k in values])).alias("x")).select("x.*")
+
+    parts = rows(source, of_source).unionAll(rows(source.where(empty), of_empty)).unionAll(rows(result, of_result))
+    return parts.groupBy("statistic").agg(F.sum("value").alias("value"))

@@ -17,7 +17,7 @@ from placewright.sources import csv
 from placewright.streaming import ingest as streaming
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("address_dedup", "preprocess_pipeline", "schema_map", "query_normalize", "phrases", "entity_core", "strategy_resolution", "bm25_topk", "phrase_match", "fuzzy_match", "geo_radius", "candidate_dedup", "token_set_ratio", "partial_ratio", "metric_ndcg_10", "query_clauses", "strategy_clauses", "entity_fit_mixed")
+CHECKED = ("address_dedup", "preprocess_pipeline", "schema_map", "query_normalize", "phrases", "entity_core", "strategy_resolution", "bm25_topk", "phrase_match", "fuzzy_match", "geo_radius", "candidate_dedup", "token_set_ratio", "partial_ratio", "metric_ndcg_10", "query_clauses", "strategy_clauses", "entity_fit_mixed", "preprocess_report", "invalid_counts")
 
 
 def one(spark, column, *values, kind="string"):
@@ -55,6 +55,20 @@ def test_duplicates_and_quality(spark):
     assert set(clean.empty_columns(df.where("ord = 3"))) == {"pincode", "state_name"}
 
 
+def test_preprocessing_report(spark):
+    rose, none = ("Rose", "411001", "18.5", "27", "MH", None), (None,) * 6
+    rows = [rose, rose, none, none, (" ",) * 6, ("rose", "411001", "95", "27", None, None), ("Lily", "012345", "18.5", "28", None, "")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "ord int, building_name string, pincode string, latitude string, state_code string, state_name string, note string")
+    got = {r.statistic: r.value for r in clean.report(df, clean.preprocess(df, "ord", tally=True), "ord").collect()}
+    want = {"rows_input": 7, "rows_output": 2, "duplicate_rows_removed": 2, "empty_rows_removed": 2, "empty_columns_removed": 1, "duplicate_addresses_removed": 1}
+    want |= {"filled_state_name": 2, "invalid_pincode": 1, "invalid_latitude": 1, "covered_pincode": 1, "covered_latitude": 2, "null_pct_state_name": 50, "quality_below_50": 0}
+    assert {k: got[k] for k in want} == want
+    assert not {"note", "_rows"} & set(clean.preprocess(df, "ord").columns)
+    nothing = df.where("ord < 0")
+    got = {r.statistic: r.value for r in clean.report(nothing, clean.preprocess(nothing, "ord", tally=True), "ord").collect()}
+    assert got["rows_input"] == got["rows_output"] == got["duplicate_rows_removed"] == got["filled_state_name"] == 0 and got["quality_mean"] is None
+
+
 def test_columns_are_mapped(spark):
     got = {h: (s, m) for h, s, _, m in ingest.resolve(spark, ["PIN Code", "statename", "Subdistrict Name", "localty name", "zzz"])}
     assert got == {"PIN Code": ("pincode", "exact"), "statename": ("state_name", "exact"), "Subdistrict Name": ("subdistrict_name", "exact"), "localty name": ("locality", "fuzzy"), "zzz": (None, "unmapped")}
