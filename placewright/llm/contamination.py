@@ -15,7 +15,10 @@ searched in blocks of items, each below it, all in the one stored index.
 
 Defined cases: null texts have no words and match nothing; items without words
 match nothing; a document that holds an item twice counts its words once;
-repeated documents and items each count for themselves (an item id once).
+repeated documents and items each count for themselves (an item id once); an
+empty table gives no rows, an empty benchmark no hits; extra columns of the
+documents are not read, and ``decontaminated`` rows keep theirs (names that
+clash are evaded).
 """
 
 from __future__ import annotations

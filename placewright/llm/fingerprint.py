@@ -10,7 +10,9 @@ by chance.
 
 Defined cases: null and wordless texts have the fingerprint of the empty set
 ("" packed as no bins), which is like itself (1) and unlike all others (0);
-equal texts have equal fingerprints.
+equal texts have equal fingerprints; repeated rows are fingerprinted each for
+itself; an empty table gives no rows; columns other than doc_id and text are not
+read, whatever their names.
 """
 
 from __future__ import annotations

@@ -30,7 +30,9 @@ lower-cased A-Z; a text of fewer words has its whole sequence as one.
 
 Defined cases: null, empty and wordless texts have the empty set and link with
 nothing; equal sets are one class; rows without id are returned unlinked; rows
-that repeat an id share its component; an empty table gives no rows.
+that repeat an id share its component; very long texts are compared whole, by
+their sets; an empty table gives no rows; columns other than doc_id and text are
+not read, whatever their names.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ id is smallest (all, where there are fewer). Everything else sees all rows.
 
 Defined cases: null or empty texts have no features and are graded by the
 thresholds alone; ratings whose grade is null are left out of the fit; without
-any rating every row is kept; of a repeated label id the highest grade counts.
+any rating every row is kept; of a repeated label id the highest grade counts;
+repeated documents are scored each for itself; very long texts are read whole,
+in slices of whole texts; an empty table gives no rows; extra columns stay, and
+the column that ``score`` adds is named by the caller, so none clashes.
 """
 
 from __future__ import annotations

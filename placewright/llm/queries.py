@@ -119,7 +119,14 @@ def _op8_located(kind: str, rank: int, pattern: str, keep: str = "true") -> str:
       FROM (SELECT doc_id, regexp_extract_all(text, '{p}') AS ms, regexp_extract_all(text, '{p}', {2 if kind == "assign" else 0}) AS g2, regexp_split_to_array(text, '{p}') AS gaps FROM d WHERE regexp_matches(text, '{p}'))) WHERE {keep}"""
 
 
-_ALLOWED_SQL = " OR ".join(f"regexp_matches(m, '{p}')" for p in secrets.ALLOWED)
+#: What the SQL leaves alone, stated for itself: no digits, no letters, a UUID, a placeholder, words joined to a slug whose last piece is no key.
+_ALLOWED_SQL = r"""
+  NOT regexp_matches(m, '[0-9]') OR NOT regexp_matches(m, '[A-Za-z]')
+  OR (length(m) = 36 AND list_transform(string_split(m, '-'), lambda p: CASE WHEN regexp_full_match(p, '[0-9A-Fa-f]+') THEN length(p) END) = [8, 4, 4, 4, 12])
+  OR contains(lower(m), 'example') OR contains(lower(m), 'placeholder') OR contains(lower(m), 'xxxxxx')
+  OR (len(pieces) > 1 AND len(list_filter(pieces[:-2], lambda p: NOT regexp_full_match(p, '[a-z]+'))) = 0 AND regexp_full_match(pieces[-1], '[a-z0-9]+')
+      AND (regexp_full_match(pieces[-1], '[a-z]+|[0-9]+') OR length(pieces[-1]) < 10))
+"""
 
 
 def _class_sql(k: int) -> str:
@@ -130,7 +137,8 @@ def _class_sql(k: int) -> str:
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 base AS ({_op8_located("assign", 0, secrets.ASSIGN, "length(g) >= 6")} UNION ALL {_op8_located("access", 1, secrets.ACCESS)} UNION ALL {_op8_located("hex", 2, secrets.HEX)}),
-cand AS (SELECT *, {_class_sql(0)} AS rank2, {_class_sql(2)} AS bits FROM ({_op8_located("candidate", 9, secrets.CANDIDATE)}) WHERE NOT ({_ALLOWED_SQL})),
+cand AS (SELECT *, {_class_sql(0)} AS rank2, {_class_sql(2)} AS bits FROM (SELECT *, string_split(replace(replace(CASE WHEN ends_with(n, '/') THEN n[:-2] ELSE n END, '_', '/'), '-', '/'), '/') AS pieces
+  FROM (SELECT *, CASE WHEN starts_with(m, '/') THEN m[2:] ELSE m END AS n FROM ({_op8_located("candidate", 9, secrets.CANDIDATE)}))) WHERE NOT coalesce({_ALLOWED_SQL}, false)),
 win AS (SELECT doc_id, start, rank2, bits, m, unnest(range(0, length(m) - {secrets.WINDOW - 1})) AS b FROM cand),
 chars AS (SELECT doc_id, start, rank2, bits, b, unnest(string_split(substr(m, b + 1, {secrets.WINDOW}), '')) AS c FROM win),
 counts AS (SELECT doc_id, start, rank2, bits, b, c, count(*) AS n FROM chars GROUP BY ALL),

@@ -14,11 +14,13 @@ Defined cases: null texts are empty and hold nothing; overlapping kinds are all
 reported; repeated rows are scanned each for itself; extra columns stay, as do
 those named as the new ones (see ``found_names``); an empty table gives no rows.
 A step of a window costs the candidate's alphabet (67 characters at most), not
-the window.
+the window, and a candidate's characters are numbered once, so very long
+candidates cost their length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import log2
 
@@ -45,8 +47,9 @@ ALLOWED = (
     r"^[A-Za-z_/=+-]+$", r"^[0-9_/=+-]+$",
     r"^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
     r"([Ee][Xx][Aa][Mm][Pp][Ll][Ee]|[Pp][Ll][Aa][Cc][Ee][Hh][Oo][Ll][Dd][Ee][Rr]|[Xx]{6,})",
-    r"^(/?[a-z]+[-_/])+[a-z0-9]+/?$",
 )
+#: A worded slug or path is no secret; a piece of it that mixes letters and digits is a key from this length on.
+PIECE = 10
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64", "entropy_mixed_hex", "entropy_alnum")
 SPAN = "struct<start:int,rank:int,end:int>"
 
@@ -77,14 +80,28 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(located(text, ASSIGN, F.lit(0), long_enough), located(text, ACCESS, F.lit(1)), located(text, HEX, F.lit(2))))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def window_spans(candidate: Column, bits: Column) -> Column:
     """Merged windows (begin, end) of a candidate whose entropy reaches ``bits``."""
-    chars = F.split(candidate, "")
-    alphabet = F.array_distinct(chars)
-    codes = F.transform(chars, lambda c: (F.array_position(alphabet, c) - 1).cast("int"))
+
+    def coded(chars: Column) -> Column:
+        alphabet = F.array_distinct(chars)
+        numbered = lambda a: F.transform(chars, lambda c: (F.array_position(a, c) - 1).cast("int"))
+        return let(alphabet, lambda a: let(numbered(a), lambda codes: let(bits, lambda least: coded_spans(codes, F.size(a), least))))
+
+    return let(F.split(candidate, ""), coded)
+
+
+def coded_spans(codes: Column, letters: Column, bits: Column) -> Column:
+    """The same of a candidate's characters as numbers below ``letters``."""
     # c * log2(c) for a count c: the entropy of a window is log2(n) - sum(c * log2(c)) / n.
     weigh = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(WINDOW + 2)])
-    state = F.struct(F.array_repeat(F.lit(0), F.size(alphabet)).alias("counts"), F.lit(0.0).alias("sum"), F.expr("cast(array() as array<struct<b:int,e:int>>)").alias("out"))
+    # The run that may still grow stands apart, so that the list is copied once a run, not once a window.
+    state = F.struct(F.array_repeat(F.lit(0), letters).alias("counts"), F.lit(0.0).alias("sum"), F.lit(-1).alias("b"), F.lit(-1).alias("e"), F.expr("cast(array() as array<struct<b:int,e:int>>)").alias("out"))
     rows = F.transform(codes, lambda c, i: F.struct(c.alias("come"), F.coalesce(F.get(codes, i - WINDOW), F.lit(-1)).alias("go"), i.alias("i")))
 
     def step(s: Column, r: Column) -> Column:
@@ -95,18 +112,35 @@ def window_spans(candidate: Column, bits: Column) -> Column:
         left = F.get(s["counts"], r["go"]) + (r["go"] == r["come"]).cast("int")
         total = F.when(r["go"] >= 0, added - F.get(weigh, left) + F.get(weigh, left - 1)).otherwise(added)
         begin, end = r["i"] - (WINDOW - 1), r["i"] + 1
-        passes = (begin >= 0) & (F.lit(log2(WINDOW)) - total / WINDOW >= bits)
-        span = F.struct(begin.alias("b"), end.alias("e"))
-        tail = F.get(s["out"], F.size(s["out"]) - 1)
-        merged = F.concat(F.slice(s["out"], F.lit(1), F.greatest(F.size(s["out"]) - 1, F.lit(0))), F.array(F.struct(tail["b"].alias("b"), end.alias("e"))))
-        out = F.when(~passes, s["out"]).when(F.coalesce(tail["e"] >= begin, F.lit(False)), merged).otherwise(F.concat(s["out"], F.array(span)))
-        return F.struct(counts.alias("counts"), total.alias("sum"), out.alias("out"))
 
-    return F.aggregate(rows, state, step)["out"]
+        def placed(total: Column) -> Column:
+            passes = (begin >= 0) & (F.lit(log2(WINDOW)) - total / WINDOW >= bits)
+            apart = passes & (s["e"] < begin)
+            ended = F.when(apart & (s["e"] >= 0), F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("e"))))).otherwise(s["out"])
+            return F.struct(counts.alias("counts"), total.alias("sum"), F.when(apart, begin).otherwise(s["b"]).alias("b"), F.when(passes, end).otherwise(s["e"]).alias("e"), ended.alias("out"))
+
+        return let(total, placed)
+
+    return F.aggregate(rows, state, step, lambda s: F.when(s["e"] >= 0, F.concat(s["out"], F.array(F.struct(s["b"].alias("b"), s["e"].alias("e"))))).otherwise(s["out"]))
+
+
+def slug(candidate: Column) -> Column:
+    """Whether the candidate is words joined by - _ or /, the last of which may hold digits if it is short or has no letters.
+
+    The pieces are looked at one by one, so the work follows the length.
+    """
+
+    def of(pieces: Column) -> Column:
+        last = F.element_at(pieces, -1)
+        words = ~F.exists(F.slice(pieces, F.lit(1), F.size(pieces) - 1), lambda p: ~p.rlike("^[a-z]+$"))
+        key = last.rlike("[a-z]") & last.rlike("[0-9]") & (F.length(last) >= PIECE)
+        return (F.size(pieces) > 1) & words & last.rlike("^[a-z0-9]+$") & ~key
+
+    return let(F.split(F.regexp_replace(candidate, "^/|/$", ""), "[-_/]", -1), of)
 
 
 def suspicious(candidate: Column) -> Column:
-    return ~reduce(lambda a, b: a | b, [candidate.rlike(p) for p in ALLOWED])
+    return ~(reduce(lambda a, b: a | b, [candidate.rlike(p) for p in ALLOWED]) | slug(candidate))
 
 
 def entropy_spans(text: Column) -> Column:

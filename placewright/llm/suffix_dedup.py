@@ -23,7 +23,8 @@ else goes. Documents with equal texts are handled once, by the MD5 of the text.
 
 Defined cases: null texts are empty; texts shorter than LENGTH keep everything;
 repeated rows and equal texts of LENGTH bytes or more are removed whole, the
-first one too, as strings are judged on the input; an empty table gives no rows.
+first one too, as strings are judged on the input; an empty table gives no rows;
+columns other than the text are not read, whatever their names.
 """
 
 from __future__ import annotations

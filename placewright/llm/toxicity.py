@@ -10,7 +10,11 @@ id is smallest. Labels, languages, sources and ids are no inputs of a score.
 
 Defined cases: null or empty texts score by the intercept alone; labels that
 are null are left out; without labels every score is 0.5; of a repeated label
-id the higher label counts.
+id the higher label counts; repeated documents are scored each for itself and
+weigh once each in the fit; very long texts are read whole, in slices of whole
+texts; an empty table gives no rows; columns other than doc_id and text are not
+read, whatever their names. Terms are found in any case, with letters that fold
+to theirs too (long s, Kelvin sign, dotted and dotless i).
 """
 
 from __future__ import annotations
@@ -37,11 +41,16 @@ IDENTITY_TERMS = (
 _SWAP = {t: group[(i + 1) % len(group)] for group in IDENTITY_TERMS for i, t in enumerate(group)}
 
 
+def folded(term: str) -> str:
+    """The term in lower case, its long s, Kelvin sign and dotted or dotless i as s, k and i."""
+    return term.casefold().replace("i\u0307", "i").replace("\u0131", "i")
+
+
 def swapped(text: str) -> str | None:
     """The text with every identity term swapped for the next of its group, or None if it has none."""
     import regex
 
-    out, n = regex.subn(r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", lambda m: _SWAP[m[0].lower()], text, flags=regex.IGNORECASE)
+    out, n = regex.subn(r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted(_SWAP, key=len, reverse=True)) + r")(?![\p{L}\p{N}])", lambda m: _SWAP[folded(m[0])], text, flags=regex.IGNORECASE)
     return out if n else None
 
 

@@ -372,6 +372,19 @@ def test_upper_case_hex_keys_are_found(spark):
     assert got[3][0] == got[4][0] == ""
 
 
+def test_keys_behind_a_prefix_are_found_and_slugs_are_left(spark):
+    key = "q7zk2p9vr5s0lw4xy8bm1n6c"
+    rows = {1: f"sk-{key}", 2: f"ghp_{key}q7zk2p9v", 3: "my-long-article-about-things-2024", 4: "path/to/some/file/v2", 5: "get-started-with-spark-4x1", 6: key, 7: f"/var/lib/{key}/", 8: "a-" * 1_000_000, 9: "ab-" * 1_000_000 + "b1", 10: "a1" * 50_000}
+    got = {r.doc_id: r.n for r in secrets.scan(table(spark, rows).drop("spans")).select("doc_id", F.size("spans").alias("n")).collect()}
+    assert {k for k, n in got.items() if n} == {1, 2, 6, 7, 10}
+
+
+def test_terms_in_any_case_and_with_letters_that_fold_are_swapped():
+    assert toxicity.swapped("boy\u017f and GIRLS") == "women and boys" and toxicity.swapped("blac\u212a") == "white"
+    for text in ("Musl\u0130m", "musl\u0131m", "CHR\u0130ST\u0130AN", "wh\u0131te"):
+        assert toxicity.swapped(text) in (None, "christian", "jewish", "asian")
+
+
 def test_packing_is_whole_and_tight(spark, docs):
     from public_tokenizers import path
     from tokenizers import Tokenizer
