@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, contamination, fingerprint, near_dedup, packing, passage_dedup, quality, secrets, suffix_dedup, toxicity
+from . import chat, contamination, fingerprint, mixing, near_dedup, packing, passage_dedup, quality, repair, secrets, suffix_dedup, toxicity, vector_codes
+from .store import kept
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,5 +169,95 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", suffix_dedup.text_key().alias("text_key")).join(digests, "text_key").drop("text_key")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_passages, op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing, op10_suffix_dedup)}
-ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op7_chat": OP7_SQL, "op8_secrets": OP8_SQL}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repair of conversations damaged by rule: rows dropped, emptied, cut off, repeated, or said by the user."""
+    every = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("role", F.lit(" ")).alias("role"), F.coalesce("text", F.lit(" ")).alias("text"))
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    damage = F.crc32(F.concat_ws(":", blank("conv_id"), blank("turn")).cast("binary")) % 20
+    text = F.when(F.col("damage") == 1, "").when(F.col("damage") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("damage") == 4, "user").otherwise(F.col("role"))
+    times = F.explode(F.when(F.col("damage") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    damaged = every.withColumn("damage", damage).where("damage <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), times.alias("time")).drop("time")
+    found = repair.summaries(repair.edits(damaged)).withColumnRenamed("conv_id", "own")
+    all_ids = every.select("conv_id").distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    joined = all_ids.join(found, F.col("conv_id").eqNullSafe(F.col("own")), "left")
+    return joined.select("conv_id", *[zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")], F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+def _op11_sql() -> str:
+    """The same by list folds: states 1 to 4 are nothing, system, user and assistant read; p holds each row's letters from the last row on."""
+    keep = {1: "CASE r.c WHEN 's' THEN v[2] WHEN 'u' THEN v[3] END", 2: "CASE r.c WHEN 'u' THEN v[3] END", 3: "CASE r.c WHEN 'a' THEN v[4] END", 4: "CASE r.c WHEN 'u' THEN v[3] END"}
+    after = {1: 3, 2: 3, 3: 4, 4: 3}
+    d = {q: f"2 + v[{q}]" for q in after}
+    k = {q: f"coalesce(CASE WHEN r.stays THEN r.cut + {keep[q]} END, 1000000000)" for q in after}
+    re = {q: f"CASE WHEN r.stays THEN r.cut + 1 + v[{after[q]}] ELSE 1000000000 END" for q in after}
+    base = "[" + ", ".join(f"least({d[q]}, {k[q]}, {re[q]})" for q in after) + "]"
+    third, fourth = "least(b[3], 5 + b[4])", "least(b[4], 5 + b[3])"
+    costs = f"[least(b[1], 5 + {third}), least(b[2], 5 + {third}), {third}, {fourth}]"
+    letters = " || ".join(f"CASE WHEN {d[q]} = n[{q}] THEN 'D' WHEN 5 + n[{after[q]}] = n[{q}] THEN 'I' WHEN {k[q]} = n[{q}] THEN 'K' ELSE 'R' END" for q in after)
+    back = f"list_transform([s.v], lambda v: list_transform([{base}], lambda b: list_transform([{costs}], lambda n: {{'v': list_transform(n, lambda x: x - n[1]), 'p': list_append(s.p, {letters})}})[1])[1])[1]"
+    named = lambda q: f"CASE WHEN {q} = 3 THEN 'assistant' ELSE 'user' END"
+    step = f"""list_transform([ls[i][s.q]], lambda first: list_transform([CASE WHEN first = 'I' THEN [3, 3, 4, 3][s.q] ELSE s.q END], lambda q: list_transform([ls[i][q]], lambda l: {{
+      'q': CASE l WHEN 'D' THEN q WHEN 'R' THEN [3, 3, 4, 3][q] ELSE CASE rows[i].c WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END END,
+      'audit': s.audit || CASE WHEN first = 'I' THEN 'I' ELSE '' END || l, 'cost': s.cost + CASE WHEN first = 'I' THEN 5 ELSE 0 END + CASE l WHEN 'D' THEN 2 WHEN 'R' THEN 1 + rows[i].cut ELSE rows[i].cut END,
+      'said': list_concat(s.said, list_concat(CASE WHEN first = 'I' THEN [{named("s.q")} || ':'] ELSE [] END, CASE l WHEN 'D' THEN [] WHEN 'R' THEN [{named("q")} || ':' || rows[i].text] ELSE [rows[i].role || ':' || rows[i].text] END))}})[1])[1])[1]"""
+    return rf"""
+WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n)) AS tab),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS key FROM conversations),
+hit AS (SELECT *, xor(list_reduce(key, lambda c, ch: xor(c >> 8, tab[(xor(c, ascii(ch)) & 255) + 1]), 4294967295), 4294967295) % 20 AS damage FROM raw, crc),
+dam AS (SELECT conv_id, turn, CASE WHEN damage = 4 THEN 'user' ELSE role END AS role, CASE damage WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN damage = 3 THEN [1, 2] ELSE [1] END) AS time FROM hit WHERE damage <> 0),
+mark AS (SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen FROM dam),
+flt AS (SELECT *, CASE WHEN bare = '' THEN 'blank' WHEN seen > 1 THEN 'duplicate' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+  left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen) AS before FROM mark),
+conv AS (SELECT conv_id, list({{'c': c, 'role': role, 'text': text, 'stays': fault NOT IN ('blank', 'duplicate'), 'cut': CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END}} ORDER BY turn NULLS FIRST, role, text, seen) AS rows,
+  coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM flt GROUP BY conv_id),
+back AS (SELECT *, list_reverse(list_reduce(list_reverse(rows), lambda s, r: {back}, {{'v': [0, 10, 5, 0]::INTEGER[], 'p': []::VARCHAR[]}}).p) AS ls FROM conv),
+fore AS (SELECT *, list_reduce(range(1, len(rows) + 1), lambda s, i: {step}, {{'q': 1, 'audit': '', 'cost': 0, 'said': []::VARCHAR[]}}) AS e FROM back),
+done AS (SELECT *, CASE e.q WHEN 2 THEN ['user:', 'assistant:'] WHEN 3 THEN ['assistant:'] ELSE []::VARCHAR[] END AS closing FROM fore)
+SELECT i.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(e.cost + 5 * len(closing), 0)::BIGINT AS cost, coalesce(e.audit || repeat('I', len(closing)), '') AS audit, sha256(coalesce(array_to_string(list_concat(e.said, closing), chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN done ON i.conv_id IS NOT DISTINCT FROM done.conv_id
+"""
+
+
+OP11_SQL = _op11_sql()
+
+
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of weights 5, 2, 1 takes of every document."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors and what they lose."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit(vectors)
+    coded = kept(vector_codes.encode(vectors, books), "codes")
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """The same by plain comparison with all entries, a round at a time."""
+    near = lambda k: f"""a{k} AS MATERIALIZED (SELECT id, part, entry, d FROM (SELECT id, part, entry, d, row_number() OVER (PARTITION BY id, part ORDER BY d, entry) AS r FROM (
+      SELECT id, part, entry, sum((x - c) * (x - c)) AS d FROM x JOIN b{k} USING (part, pos) GROUP BY id, part, entry)) WHERE r = 1)"""
+    new = lambda k: f"""b{k + 1} AS MATERIALIZED (SELECT part, entry, pos, coalesce(m, c) AS c FROM b{k} LEFT JOIN (
+      SELECT part, entry, pos, CAST(floor(sum(x)::DOUBLE / count(*)) AS BIGINT) AS m FROM x JOIN a{k} USING (id, part) GROUP BY ALL) USING (part, entry, pos))"""
+    rounds = ", ".join(f"{near(k)}, {new(k)}" for k in range(6))
+    return f"""
+WITH v AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS id, vec_id, label, embedding FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+x AS MATERIALIZED (SELECT id, (i - 1) // (n // 8) AS part, (i - 1) % (n // 8) AS pos, CAST(floor(4096 * embedding[i]::DOUBLE) AS BIGINT) AS x FROM (SELECT id, embedding, len(embedding) AS n, unnest(range(1, len(embedding) + 1)) AS i FROM v)),
+b0 AS MATERIALIZED (SELECT part, id - 1 AS entry, pos, x AS c FROM x WHERE id <= 16), {rounds}, {near(6)},
+e AS (SELECT id, string_agg('0' || lower(hex(entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a6 GROUP BY id),
+h AS (SELECT sha256(string_agg(c::VARCHAR, ',' ORDER BY part, entry, pos)) AS s FROM b6)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, s AS codebooks_sha256 FROM v JOIN e USING (id), h
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_passages, op2_quality, op3_near_dedup, op4_fingerprint, op5_toxicity, op6_decontamination, op7_chat, op8_secrets, op9_packing, op10_suffix_dedup, op11_repair, op12_mixing, op13_vector_codes)}
+ORACLES: dict[str, str] = {"op3_near_dedup": OP3_SQL, "op7_chat": OP7_SQL, "op8_secrets": OP8_SQL, "op11_repair": OP11_SQL, "op13_vector_codes": OP13_SQL}
