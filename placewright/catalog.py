@@ -6,6 +6,7 @@ one SQL text that both engines read.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import words
-from .operators import clean, ingest
+from .operators import clean, index, ingest
+from .sources import csv, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -154,8 +156,9 @@ def invalid_chars(spark, sf_dir):
     return df.select("page_id", X.strip_invisible(F.col("html")).alias("value"))
 
 
-@query_of(r"SELECT doc_id, nullif(trim(nfc_normalize(regexp_replace(t, '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{feff}\x{00ad}]', '', 'g'))), '') AS value FROM (SELECT doc_id, substr(text, 1, 60) AS t FROM documents)")
+@query_of()
 def unicode_normalize(spark, sf_dir):
+    """NFKC of whole texts, which DuckDB does not have; held against Python's in the tests."""
     return table(spark, sf_dir, "documents").select("doc_id", X.nfkc(F.col("text")).alias("value"))
 
 
@@ -328,6 +331,18 @@ def preprocess_report(spark, sf_dir):
 
 # --- Ingestion --------------------------------------------------------------------------------------------------
 
+@query_of("SELECT CAST(doc_id AS STRING) AS doc_id, length(text) AS n_chars, sha256(text) AS text_sha256, CAST(n_chars AS STRING) AS noted FROM documents WHERE trim(text) <> ''")
+def csv_records(spark, sf_dir):
+    """Documents written as CSV files, whose texts hold commas, quotes and line ends, and read again record by record."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Sl. No."), F.col("text").alias("Locality"), F.col("n_chars").alias("Pincode"))
+    folder = f"{index.shared_folder(spark)}/placewright-csv-{uuid.uuid4().hex}"
+    docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
+    paths = csv.discover(spark, folder)
+    rows = records.records(spark, paths, records.survey(spark, paths, csv.ENCODINGS))
+    doc_id, text, noted = (F.get("cells", F.lit(i)) for i in range(3))
+    return rows.where(F.trim(text) != "").select(doc_id.alias("doc_id"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"), noted.alias("noted"))
+
+
 HEADERS = ("PIN Code", "statename", "district", "Sl. No.", "City/Town", "State/ Union territory*", "Sub-District Name (In English)", "Subdistrict Code", "  Latitude ", "bldg_no", "localty name", "pin_codes", "distrct name", "unknown thing", "tehsil nam", "s.no", "Villages", "")
 
 

@@ -5,17 +5,21 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import clean, ingest
+from ..functions import text as X
+from ..functions import words
+from ..operators import ingest
+from . import records
+from .records import Surveyed
 
-#: Tried in turn; the first in which every byte of the file has a meaning is taken. UTF-8, ISO-8859-1 and windows-1252 are known;
+#: Tried in turn; the first in which every byte of the file has a meaning is taken. UTF-8, windows-1252 and the one-byte encodings of Python are known;
 #: ISO-8859-1 always fits, so give windows-1252 instead for files that need it.
 ENCODINGS = ("UTF-8", "ISO-8859-1")
-PREVIEW = 20
 
 
 @dataclass
@@ -37,78 +41,43 @@ def discover(spark: SparkSession, folder: str, pattern: str = "*.csv") -> list[s
     """Files below a folder, sorted; only their names reach the driver. A folder that is not there has none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
     try:
-        return sorted(r["path"] for r in files.load(folder).select("path").collect())
+        return sorted(unquote(p) for p in files.load(folder).inputFiles())  # empty ones too
     except AnalysisException as e:
         if e.getCondition() == "PATH_NOT_FOUND":
             return []
         raise
 
 
-#: What the bytes 128 to 159 mean in windows-1252, those without a meaning left out.
-WINDOWS = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(128, 160)}
+def named(rows: DataFrame, header: Sequence[str]) -> DataFrame:
+    """Cells as columns; an empty cell is null, missing ones too."""
+    return rows.select([F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(h) for i, h in enumerate(header)])
 
 
-def decoded(value: Column, encoding: str) -> Column:
-    """A line as text: the text source hands its bytes on as they are."""
-    if encoding.upper() == "UTF-8":
-        return value
-    out = F.decode(value.cast("binary"), "ISO-8859-1")
-    own = {k: v for k, v in WINDOWS.items() if v}
-    return F.translate(out, "".join(own), "".join(own.values())) if encoding.lower() in ("windows-1252", "cp1252") else out
+def filled(rows: DataFrame) -> DataFrame:
+    """Records with a cell that is not blank."""
+    return rows.where(F.exists("cells", lambda c: F.trim(c) != ""))
 
 
-def cells_of(value: Column, width: int) -> Column:
-    """A line split as CSV, in ``width`` columns c0, c1, ..."""
-    return F.from_csv(value, ", ".join(f"c{i} string" for i in range(width)), {"mode": "PERMISSIVE", "emptyValue": ""})
-
-
-def without_mark(value: Column) -> Column:
-    """A line without the byte order mark, as UTF-8 or as read in a one-byte encoding."""
-    return F.regexp_replace(value, "^(\ufeff|ï»¿)", "")
-
-
-def lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """(line, cells): the first lines of a file, split as CSV."""
-    first = spark.read.text(path).limit(PREVIEW).select(without_mark(decoded(F.col("value"), encoding)).alias("value"))
-    numbered = first.select(F.monotonically_increasing_id().alias("line"), "value")
-    width = numbered.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1
-    return numbered.select("line", cells_of(F.col("value"), width).alias("c")).select("line", F.array(*[F.col(f"c.c{i}") for i in range(width)]).alias("cells"))
-
-
-def sniff(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[str, int, list[str]]:
-    """(encoding, header row, header): the first encoding that fits all lines, the best of the first lines."""
-    encoding = encodings[-1]
-    for e in encodings:
-        if e.upper() != "UTF-8" or spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty():
-            encoding = e
-            break
-    preview = lines(spark, path, encoding)
-    rows = preview.join(ingest.header_scores(preview), "line").orderBy(F.col("score").desc(), "line").limit(1).collect()
-    if not rows:
-        raise ValueError("empty file")
-    cells = [(c or "").strip() for c in rows[0]["cells"]]
-    return encoding, int(rows[0]["line"]), [c or f"Unnamed: {i}" for i, c in enumerate(cells)]
+def described(file: Surveyed, encodings: Sequence[str]) -> Loaded:
+    report = Loaded(unquote(file.path), header_row=file.header_row, encoding=file.encoding or "")
+    if file.encoding is None:
+        report.status, report.errors = "failed", ["no encoding fits"]
+    if file.header_row:
+        report.warnings.append(f"header in row {file.header_row}")
+    if file.encoding != encodings[0]:
+        report.warnings.append(f"read as {file.encoding}")
+    return report
 
 
 def load(spark: SparkSession, path: str, encodings: Sequence[str] = ENCODINGS) -> tuple[DataFrame, Loaded]:
-    """The rows below the header as strings.
-
-    The header and what stands above it are left out by their place: lines are
-    numbered within their partition, and the file's first block begins the first
-    one. So the file stays splittable, and equal rows further down stay.
-    """
-    encoding, at, header = sniff(spark, path, encodings)
-    names = [f"c{i}" for i in range(len(header))]
-    number = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-    every = spark.read.text(path).select(decoded(F.col("value"), encoding).alias("value"), F.col("_metadata.file_block_start").alias("block"), number.alias("line"))
-    below = every.where((F.col("block") > 0) | (F.col("line") > at)).where("value <> ''")
-    df = below.select(cells_of(F.col("value"), len(names)).alias("c")).select("c.*")
-    report = Loaded(path, header_row=at, encoding=encoding)
-    if at:
-        report.warnings.append(f"header in row {at}")
-    if encoding != encodings[0]:
-        report.warnings.append(f"read as {encoding}")
-    return clean.drop_empty_rows(df).toDF(*dedupe(header)), report
+    """The records below the header of a file as strings; values may hold line ends."""
+    found = records.survey(spark, [path], encodings)
+    if not found:
+        raise ValueError("empty file")
+    report = described(found[0], encodings)
+    if report.errors:
+        raise ValueError(report.errors[0])
+    return named(filled(records.records(spark, [path], found)), dedupe(found[0].header)), report
 
 
 def dedupe(header: list[str]) -> list[str]:
@@ -122,26 +91,63 @@ def dedupe(header: list[str]) -> list[str]:
     return out
 
 
-def ingest_folder(spark: SparkSession, folder: str, count: bool = False) -> tuple[DataFrame | None, list[Loaded]]:
+def standard_rows(rows: DataFrame, mapped: dict[str, list[tuple[int, str]]]) -> DataFrame:
+    """(path, cells) in the standard schema; ``mapped`` has, for each path, cell numbers with their standard columns.
+
+    Which cells are whose is a table of a row for each file, so files of any number
+    of shapes are one plan.
+    """
+    spark = rows.sparkSession
+    places = {p: [[i for i, s in pairs if s == c] for c in words.STANDARD_COLUMNS] for p, pairs in mapped.items()}
+    most = [max((len(x[k]) for x in places.values()), default=0) for k in range(len(words.STANDARD_COLUMNS))]
+    table = spark.createDataFrame([(p, unquote(p).rsplit("/", 1)[-1], x) for p, x in places.items()], "path string, file string, at array<array<int>>")
+
+    def column(k: int, name: str) -> Column:
+        if name == "source_file":
+            return F.col("file").alias(name)
+        values = [X.nullable_string(F.get("cells", F.get(F.get("at", F.lit(k)), F.lit(j)))) for j in range(most[k])]
+        value = F.coalesce(*values) if values else F.lit(None).cast("string")
+        return (value.try_cast("double") if name in ("latitude", "longitude") else value).alias(name)
+
+    return rows.join(table, "path").select([column(k, c) for k, c in enumerate(words.STANDARD_COLUMNS)])
+
+
+def ingest_folder(spark: SparkSession, folder: str, count: bool = False, encodings: Sequence[str] = ENCODINGS) -> tuple[DataFrame | None, list[Loaded]]:
     """All CSV files of a folder in the standard schema, and a report per file; a file that fails is reported and left out.
 
-    With ``count`` each report has its number of rows, which reads the file once more.
+    Files are surveyed together in one job, their columns resolved in a second, and
+    read in one plan. With ``count`` each report has its number of rows, which reads
+    all files once more.
     """
-    frames, reports = [], []
-    for path in discover(spark, folder):
-        try:
-            df, report = load(spark, path)
-            found = ingest.resolve(spark, [c.rsplit(".", 1)[0] if c.rsplit(".", 1)[-1].isdigit() else c for c in df.columns])
-            mapping = [(c, f[1]) for c, f in zip(df.columns, found)]
-            report.mapping, report.errors = found, ingest.validate_columns(df.columns)
-            report.confidence = round(sum(f[2] for f in found) / len(found), 4) if found else None
-            report.warnings += [f"column {f[0]} has no standard name" for f in found if not f[1]]
-            report.rows = df.count() if count else None
-            frames.append(ingest.standardize(df, mapping, path.rsplit("/", 1)[-1]))
-        except Exception as e:  # noqa: BLE001  a file's failure never ends the run
-            report = Loaded(path, status="failed", errors=[str(e)[:300]])
+    paths = discover(spark, folder)
+    if not paths:
+        return None, []
+    surveyed = records.survey(spark, paths, encodings)
+    headers = {f.path: dedupe(f.header) for f in surveyed}
+    plain = lambda c: c.rsplit(".", 1)[0] if c.rsplit(".", 1)[-1].isdigit() else c
+    resolved = {h: (s, c, m) for h, s, c, m in ingest.resolve(spark, sorted({plain(c) for hs in headers.values() for c in hs}))}
+    reports, mapped = [], {}
+    for f in surveyed:
+        report = described(f, encodings)
+        found = [(plain(c), *resolved[plain(c)]) for c in headers[f.path]]
+        report.mapping, report.errors = found, report.errors + ingest.validate_columns(headers[f.path])
+        report.confidence = round(sum(x[2] for x in found) / len(found), 4) if found else None
+        report.warnings += [f"column {x[0]} has no standard name" for x in found if not x[1]]
+        if report.status == "success":
+            mapped[f.path] = [(i, x[1]) for i, x in enumerate(found) if x[1] and x[0].strip() and not x[0].startswith("Unnamed")]
         reports.append(report)
-    return (ingest.merge(frames) if frames else None), reports
+    seen = {r.path for r in reports}
+    reports += [Loaded(p, status="failed", errors=["empty file"]) for p in map(unquote, paths) if p.split(":", 1)[-1].lstrip("/") not in {q.split(":", 1)[-1].lstrip("/") for q in seen}]
+    if not mapped:
+        return None, sorted(reports, key=lambda r: r.path)
+    rows = filled(records.records(spark, paths, surveyed))
+    if count:
+        n = {unquote(r["path"]): r["n"] for r in rows.groupBy("path").agg(F.count("*").alias("n")).collect()}  # a row for each file
+        for r in reports:
+            r.rows = n.get(r.path, 0) if r.status == "success" else None
+            if r.rows == 0:
+                r.warnings.append("no rows below the header")
+    return standard_rows(rows, mapped), sorted(reports, key=lambda r: r.path)
 
 
 def write_reports(spark: SparkSession, reports: list[Loaded], path: str) -> None:
