@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .functions import words
-from .operators import clean, index, ingest
+from .operators import clean, ingest, store
 from .sources import csv, records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -335,7 +335,7 @@ def preprocess_report(spark, sf_dir):
 def csv_records(spark, sf_dir):
     """Documents written as CSV files, whose texts hold commas, quotes and line ends, and read again record by record."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("Sl. No."), F.col("text").alias("Locality"), F.col("n_chars").alias("Pincode"))
-    folder = f"{index.shared_folder(spark)}/placewright-csv-{uuid.uuid4().hex}"
+    folder = f"{store.shared_folder(spark)}/placewright-csv-{uuid.uuid4().hex}"
     docs.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(folder)
     paths = csv.discover(spark, folder)
     rows = records.records(spark, paths, records.survey(spark, paths, csv.ENCODINGS))

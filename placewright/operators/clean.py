@@ -10,11 +10,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import words
+from .store import kept
 
 
 def strings(df: DataFrame, keep: Iterable[str] = ()) -> list[str]:
@@ -67,17 +68,27 @@ def code_names(df: DataFrame, code: str, name: str, order: str) -> DataFrame:
     return pairs.groupBy("code").agg(F.min(F.struct("o", "name"))["name"].alias("name"))
 
 
+def hierarchy_names(df: DataFrame, order: str, mappings: Iterable[tuple[str, str]]) -> DataFrame:
+    """(column, code, name): the first name of each code, for all pairs in one aggregate."""
+    pairs = [F.struct(F.lit(n).alias("column"), F.trim(c).alias("code"), F.trim(n).alias("name")) for c, n in mappings]
+    rows = df.select(F.col(order).alias("o"), F.explode(F.array(*pairs)).alias("x")).select("o", "x.*").where("code <> '' and name <> ''")
+    return rows.groupBy("column", "code").agg(F.min(F.struct("o", "name"))["name"].alias("name"))
+
+
 def fill_hierarchy(df: DataFrame, order: str, mappings: Iterable[tuple[str, str]] = words.HIERARCHY) -> DataFrame:
     """Names that are null filled from the first name of their code.
 
-    The lookup has a row per code. It is left to the optimiser to broadcast it
-    where its measured size allows.
+    The lookup has a row per code and is worked out once, as a written table. It is
+    left to the optimiser to broadcast it where its measured size allows. ``df`` is
+    read twice, so write it first if it is dear.
     """
-    source = df  # a mapping fills its own name only, so all lookups may come from the table as it was
-    for code, name in mappings:
-        if code in df.columns and name in df.columns:
-            found = code_names(source, code, name, order).select(F.col("code").alias("_code"), F.col("name").alias("_name"))
-            df = df.join(found, F.trim(code) == F.col("_code"), "left").withColumn(name, F.coalesce(name, "_name")).drop("_code", "_name")
+    own = [(c, n) for c, n in mappings if {c, n} <= set(df.columns)]
+    if not own:
+        return df
+    known = kept(hierarchy_names(df, order, own), "names")
+    for code, name in own:
+        found = known.where(F.col("column") == name).select(F.col("code").alias("_code"), F.col("name").alias("_name"))
+        df = df.join(found, F.trim(code) == F.col("_code"), "left").withColumn(name, F.coalesce(name, "_name")).drop("_code", "_name")
     return df
 
 
@@ -180,19 +191,41 @@ def coverage(df: DataFrame, columns: Iterable[str] = ("pincode", "latitude", "lo
     return rows.select("column", "present", F.bround(F.col("present") / F.greatest("n", F.lit(1)) * 100, 2).alias("pct"))
 
 
-def preprocess(df: DataFrame, order: str, tally: bool = False) -> DataFrame:
-    """All steps in order: duplicates, empties, cleaning, filling, expansion, validation, address, quality.
+def cleaned_rows(df: DataFrame, order: str) -> DataFrame:
+    """The first of equal rows, without empty rows and columns, its values cleaned: a written table, for which ``df`` is read once.
 
-    With ``tally`` each row of the result carries, as ``_`` columns, how many
-    rows it stands for and what was wrong with them, so the counts of all steps
-    are sums over the result and need no pass of their own.
+    Whether a column has any value is observed as the table is written. A column
+    without values goes; if it held different blanks, which made equal rows differ,
+    the table is written again without it.
     """
-    # Rows that repeat and empty rows leave no column without a value, so columns are looked at before.
-    df = drop_empty_rows(row_dedup(drop_empty_columns(df), order), [order])
-    text = strings(df, [order])
+    if not df.columns:
+        return df
+    seen = Observation()
+    value = {f"value_{i}": F.max(~blank(F.col(c))) for i, c in enumerate(df.columns)}
+    some = {f"some_{i}": F.max(F.col(c).isNotNull()) for i, c in enumerate(df.columns)}
+    out = drop_empty_rows(row_dedup(df.observe(seen, *[c.alias(k) for k, c in (value | some).items()]), order), [order])
+    text = strings(out, [order])
     # One step at a time: nested, each would repeat the one before in its expression.
     for step in (X.strip_invisible, X.nfkc, X.null_like):
-        df = apply(df, text, step)
+        out = apply(out, text, step)
+    out = kept(out, "cleaned")
+    got = seen.get
+    empty = [i for i in range(len(df.columns)) if got[f"value_{i}"] is False]
+    if any(got[f"some_{i}"] for i in empty):
+        return cleaned_rows(df.drop(*[df.columns[i] for i in empty]), order)
+    return out.drop(*[df.columns[i] for i in empty])
+
+
+def preprocess(df: DataFrame, order: str, tally: bool = False) -> DataFrame:
+    """All steps in order: duplicates, empties, cleaning, filling, expansion, validation, address, quality.
+
+    ``df`` is read once; what follows reads the table of cleaned rows, once for the
+    names of codes and once for the result. With ``tally`` each row of the result
+    carries, as ``_`` columns, how many rows it stands for and what was wrong with
+    them, so the counts of all steps are sums over the result and need no pass of
+    their own.
+    """
+    df = cleaned_rows(df, order)
     marks: dict[str, Column] = {}
     if tally:
         fills = {f"filled_{n}": F.col(n).isNull() & F.col(c).isNotNull() for c, n in words.HIERARCHY if {c, n} <= set(df.columns)}

@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import entities, query, rank, search
-from .operators.index import Index, kept
+from .operators.index import Index
+from .operators.store import kept
 from .plans import strategy
 
 
