@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from . import service
-from .catalog import ASKED, BUILT, WITH, WITH_Q, addresses, asked, duck, query_of, quoted, scored, sql_indel, sql_key, sql_map, sql_words, table
+from .catalog import ADDRESS, ASKED, BUILT, ORACLES, SQL_ADDRESS, SQL_HASH, WITH, WITH_Q, addresses, asked, duck, query_of, quoted, scored, sql_indel, sql_key, sql_map, sql_words, table, _sql_quality
 from .functions import similarity as S
 from .functions import text as X
 from .functions import words
-from .operators import entities, index, learn, metrics, query, rank, search
+from .operators import entities, index, learn, metrics, query, rank, search, segments, store
 from .plans import strategy
 
 # --- Index ------------------------------------------------------------------------------------------------------
@@ -71,6 +73,31 @@ def postings(spark, sf_dir):
     return corpus(spark, sf_dir).postings.select("doc_id", "term", "tf", F.get("positions", F.lit(0)).alias("first_position"))
 
 
+def grown(spark, sf_dir):
+    """An index of the documents that came in three appends, the second with older texts of the first, lost some, and was merged in between."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    growing = segments.GrowingIndex(spark, f"{store.shared_folder(spark)}/placewright-index-{uuid.uuid4().hex}", ("text",), synonyms=False)
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    growing.append(docs.where(part == 0).unionByName(docs.where(part == 1).select("doc_id", F.reverse("text").alias("text"))))
+    growing.append(docs.where(part == 1))
+    growing.merge(1 << 40)
+    growing.append(docs.where(part == 2))
+    growing.delete(docs.where("doc_id % 7 = 3"))
+    growing.append(docs.where("doc_id % 14 = 3"))
+    return growing.open()
+
+
+GROWN = "documents WHERE doc_id % 7 <> 3 OR doc_id % 14 = 3"
+
+
+@query_of(f"WITH {TOKENS.replace('FROM documents', 'FROM ' + GROWN)}, d AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS occurrences FROM t GROUP BY term), l AS (SELECT doc_id, count(*) AS dl FROM t GROUP BY doc_id) SELECT term, df, occurrences::BIGINT AS occurrences, n_docs, avg_dl FROM d, (SELECT count(*) AS n_docs, round(avg(dl), 9) AS avg_dl FROM l)")
+def index_growth(spark, sf_dir):
+    """Terms, postings and statistics of an index after appends, replacements, deletions and a merge."""
+    built = grown(spark, sf_dir)
+    seen = built.postings.groupBy("term").agg(F.sum("tf").alias("occurrences"))
+    return built.terms.join(seen, "term").crossJoin(built.fields).select("term", "df", "occurrences", "n_docs", F.round("avg_dl", 9).alias("avg_dl"))
+
+
 # --- Queries ----------------------------------------------------------------------------------------------------
 
 SQL_NORMAL = (
@@ -344,6 +371,13 @@ def bm25_topk(spark, sf_dir):
     return search.bm25(questions, corpus(spark, sf_dir), "text", 10)
 
 
+@query_of(ORACLES["bm25_topk"].replace("FROM documents", "FROM " + GROWN))
+def grown_search(spark, sf_dir):
+    """The same of the index that grew."""
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return search.bm25(questions, grown(spark, sf_dir), "text", 10)
+
+
 def clause(df, kind: str):
     """One clause per query (query_id, text)."""
     return df.select("query_id", F.lit(0).alias("clause_id"), F.lit(1).alias("grp"), F.lit(True).alias("must"), F.lit(kind).alias("kind"), F.lit("text").alias("field"), "text", F.lit(1.0).alias("boost"), F.lit(0.0).alias("tie"))
@@ -458,7 +492,53 @@ def legacy_clauses(spark, sf_dir):
     return strategy.clauses(strategy.as_legacy(service.planned(asked(spark, sf_dir))))
 
 
-@query_of()
+ADDRESS_FIELDS = ("full_address", "building_name", "road_name", "locality", "city_name", "district_name", "state_name", "pincode")
+
+
+def _sql_retrieval(k: int = 100) -> str:
+    """Every document of every clause scored, then the best of each query: no pruning, no fold but by grouping."""
+    clean = lambda c: f"CASE WHEN lower(trim({c})) NOT IN ('', 'nan', 'none', 'null', 'na', 'n/a', '<na>') THEN trim({c}) END"
+    saturated = lambda tf: f"{tf} / ({tf} + 1.2 * (1 - 0.75 + 0.75 * dl / avg_dl))"
+    cells = ", ".join(f"{{'field': '{f}', 'value': {f}}}" for f in ADDRESS_FIELDS)
+    ways = sql_map(index.both_ways())
+    queries = sql_clauses(SQL_STRATEGY)
+    with_, asks = queries[: queries.rindex("SELECT query_id, CAST(grp")], queries[queries.rindex("SELECT query_id, CAST(grp") :]
+    a = duck(ADDRESS)
+    return f"""{with_.rstrip()}, asks AS ({asks}), addr AS ({a}), addr_f AS (SELECT *, {SQL_ADDRESS} AS full_address FROM addr), addr_h AS (SELECT *, {SQL_HASH} AS address_hash, {_sql_quality()} AS quality FROM addr_f),
+doc AS MATERIALIZED (SELECT DISTINCT ON (address_hash) address_hash AS doc_id, quality, {", ".join(f"{clean(c)} AS {c}" for c in ADDRESS_FIELDS)} FROM addr_h),
+cell AS (SELECT doc_id, unnest([{cells}]) AS c FROM doc), word AS (SELECT doc_id, c.field AS field, {sql_terms("c.value")} AS ts FROM cell),
+pos AS (SELECT doc_id, field, len(ts) AS dl, unnest(ts) AS term, unnest(range(len(ts))) AS pos FROM word WHERE len(ts) > 0), ways AS (SELECT {ways} AS m),
+syn AS (SELECT doc_id, field, dl, pos, unnest(list_concat([term], CASE WHEN m[term] IS NULL THEN [] ELSE string_split(m[term], ' ') END)) AS term FROM pos, ways),
+post AS MATERIALIZED (SELECT field, term, doc_id, count(*) AS tf, list(pos) AS ps, any_value(dl) AS dl FROM syn GROUP BY ALL),
+fld AS (SELECT field, count(*) AS n_docs, avg(len(ts)) AS avg_dl FROM word WHERE len(ts) > 0 GROUP BY field),
+voc AS MATERIALIZED (SELECT field, term, ln(1 + (n_docs - df + 0.5) / (df + 0.5)) AS idf, avg_dl FROM (SELECT field, term, count(*) AS df FROM post GROUP BY ALL) JOIN fld USING (field)),
+cl AS MATERIALIZED (SELECT *, row_number() OVER () AS id, {sql_terms("text")} AS ts FROM asks),
+pl2 AS MATERIALIZED (SELECT id, kind, field, len(ts) AS n, unnest(ts) AS asked, unnest(range(len(ts))) AS place FROM cl WHERE len(ts) > 0),
+forms AS (SELECT DISTINCT field, asked FROM pl2 WHERE kind = 'fuzzy'),
+near AS MATERIALIZED (SELECT field, asked, term, 1 - levenshtein(asked, term)::DOUBLE / least(length(asked), length(term)) AS weight FROM forms JOIN voc USING (field) WHERE abs(length(asked) - length(term)) <= 2 AND levenshtein(asked, term) <= CASE WHEN length(asked) <= 2 THEN 0 WHEN length(asked) <= 5 THEN 1 ELSE 2 END),
+begun AS (SELECT DISTINCT p.field, asked, term FROM (SELECT DISTINCT field, asked FROM pl2 WHERE kind = 'prefix' AND place = n - 1) p JOIN voc v ON v.field = p.field AND starts_with(term, asked)),
+wanted AS (SELECT id, kind, field, n, place, asked AS term, 1.0 AS weight FROM pl2 WHERE kind IN ('match', 'term') OR (kind = 'prefix' AND place < n - 1)
+  UNION ALL SELECT id, kind, field, n, place, term, weight FROM pl2 JOIN near USING (field, asked) WHERE kind = 'fuzzy'
+  UNION ALL SELECT id, kind, field, n, place, term, 1.0 FROM pl2 JOIN begun USING (field, asked) WHERE kind = 'prefix' AND place = n - 1),
+hit1 AS (SELECT id, kind, n, place, doc_id, max(CASE kind WHEN 'prefix' THEN 1.0 WHEN 'term' THEN idf ELSE idf * {saturated("tf")} * weight END) AS s FROM wanted JOIN voc USING (field, term) JOIN post USING (field, term) GROUP BY ALL),
+plain AS (SELECT id, doc_id, sum(s) AS s FROM hit1 GROUP BY id, kind, n, doc_id HAVING kind <> 'term' OR count(*) = n),
+hit2 AS MATERIALIZED (SELECT id, n, place, doc_id, idf, avg_dl, dl, ps FROM pl2 p JOIN voc v ON v.field = p.field AND v.term = p.asked JOIN post o ON o.field = p.field AND o.term = p.asked WHERE kind = 'phrase'),
+full2 AS (SELECT id, doc_id, n, sum(idf) AS i, any_value(dl) AS dl, any_value(avg_dl) AS avg_dl FROM hit2 GROUP BY id, doc_id, n HAVING count(*) = n),
+places AS MATERIALIZED (SELECT id, doc_id, n, place, unnest(ps) - place AS x FROM hit2 SEMI JOIN full2 USING (id, doc_id)),
+serves AS (SELECT DISTINCT id, doc_id, n, place, x - d AS x FROM places, (SELECT unnest([0, 1, 2]) AS d)),
+runs AS (SELECT id, doc_id, x FROM serves SEMI JOIN places USING (id, doc_id, x) GROUP BY id, doc_id, x, n HAVING count(*) = n),
+phr AS (SELECT id, doc_id, any_value(i) * {saturated("count(*)").replace("dl / avg_dl", "any_value(dl) / any_value(avg_dl)")} AS s FROM runs JOIN full2 USING (id, doc_id) GROUP BY id, doc_id),
+sc AS (SELECT query_id, grp, must, doc_id, boost * s AS s, tie FROM (SELECT * FROM plain UNION ALL SELECT * FROM phr) JOIN cl USING (id)),
+gr AS (SELECT query_id, doc_id, must, max(s) + max(tie) * (sum(s) - max(s)) AS s FROM sc GROUP BY query_id, doc_id, grp, must),
+need AS (SELECT query_id, count(DISTINCT grp) AS needed FROM cl WHERE must GROUP BY query_id),
+found AS (SELECT query_id, doc_id, s + CASE WHEN needed IS NULL THEN 1.0 ELSE 0.0 END AS s FROM (SELECT query_id, doc_id, sum(s) AS s, count(*) FILTER (must) AS met FROM gr GROUP BY query_id, doc_id) LEFT JOIN need USING (query_id) WHERE met >= coalesce(needed, 0)),
+free AS (SELECT query_id, pincode FROM core WHERE query_id NOT IN (SELECT query_id FROM cl)), best AS (SELECT doc_id FROM doc ORDER BY quality DESC, doc_id LIMIT {k}),
+alls AS (SELECT * FROM found UNION ALL SELECT query_id, doc_id, 1.0 FROM free, best WHERE pincode IS NULL UNION ALL SELECT query_id, d.doc_id, 1.0 FROM free JOIN doc d USING (pincode)),
+fin AS (SELECT a.query_id, a.doc_id, round(s + 0.05 * quality, 6) AS score FROM alls a JOIN doc d USING (doc_id) JOIN core c USING (query_id) WHERE c.pincode IS NULL OR c.pincode = d.pincode)
+SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM fin) WHERE rank <= {k}"""
+
+
+@query_of(_sql_retrieval())
 def address_retrieval(spark, sf_dir):
     """Every asked query against the address index: the 100 best addresses by text and quality."""
     built_index = index.stored(index.build(index.kept(documents(spark, sf_dir).dropDuplicates(["doc_id"]), "addresses")))

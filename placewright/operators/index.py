@@ -27,7 +27,7 @@ class Index:
     def write(self, path: str) -> None:
         """As Parquet; postings by field, sorted by term, so a search reads the row groups of its terms."""
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
-        self.postings.repartition("field", "term").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
+        self.postings.repartitionByRange("field", "term", "doc_id").sortWithinPartitions("field", "term").write.mode("overwrite").partitionBy("field").parquet(f"{path}/postings")
         self.fields.write.mode("overwrite").parquet(f"{path}/fields")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
 
@@ -80,16 +80,24 @@ def term_rows(docs: DataFrame, fields: Iterable[str], synonyms: bool) -> DataFra
     return rows
 
 
-def build(docs: DataFrame, fields: Iterable[str] = FIELDS, synonyms: bool = True) -> Index:
-    """The index of a table with ``doc_id`` and text fields."""
+def posting_rows(docs: DataFrame, fields: Iterable[str], synonyms: bool) -> DataFrame:
+    """(field, term, doc_id, tf, positions, dl) of documents."""
     # Dealt out by document before they are cut into words, so that documents move once and words not at all.
     rows = term_rows(docs.repartition("doc_id"), fields, synonyms)
-    postings = rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+    return rows.groupBy("field", "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
+
+
+def lengths_of(docs: DataFrame, fields: Iterable[str], keys: Iterable[str] = ()) -> DataFrame:
+    """(keys, field, dl): words of each field of each document."""
+    sizes = [F.struct(F.lit(f).alias("field"), F.size(X.analyze(F.col(f).cast("string"))).alias("dl")) for f in fields if f in docs.columns]
+    return docs.select(*keys, F.explode(F.array(*sizes)).alias("x")).select(*keys, "x.*")
+
+
+def build(docs: DataFrame, fields: Iterable[str] = FIELDS, synonyms: bool = True) -> Index:
+    """The index of a table with ``doc_id`` and text fields."""
+    postings = posting_rows(docs, fields, synonyms)
     # A field's length needs no postings: one pass over the documents.
-    sizes = [F.size(X.analyze(F.col(f).cast("string"))).alias(f) for f in fields if f in docs.columns]
-    lengths = docs.select(*sizes)
-    stats = lengths.agg(*[F.struct(F.count_if(F.col(c) > 0).alias("n_docs"), F.avg(F.when(F.col(c) > 0, F.col(c))).alias("avg_dl")).alias(c) for c in lengths.columns])
-    per_field = stats.select(F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(f"{c}.n_docs").alias("n_docs"), F.col(f"{c}.avg_dl").alias("avg_dl")) for c in lengths.columns])).alias("s")).select("s.*")
+    per_field = lengths_of(docs, fields).where("dl > 0").groupBy("field").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
     terms = postings.groupBy("field", "term").agg(F.count("*").alias("df"))
     return Index(docs, postings, per_field, terms)
 
