@@ -13,6 +13,7 @@ from .functions import text as X
 from .functions import words
 from .operators import entities, index, learn, metrics, query, rank, search, segments, store
 from .plans import strategy
+from .streaming import upsert
 
 # --- Index ------------------------------------------------------------------------------------------------------
 
@@ -98,6 +99,21 @@ def index_growth(spark, sf_dir):
     return built.terms.join(seen, "term").crossJoin(built.fields).select("term", "df", "occurrences", "n_docs", F.round("avg_dl", 9).alias("avg_dl"))
 
 
+@query_of("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id IS NOT NULL) WHERE n = 1")
+def keyed_upsert(spark, sf_dir):
+    """The last event of each user, from a stream in batches of two files, one batch of which comes again and some of which come late."""
+    events = table(spark, sf_dir, "events")
+    folder = f"{store.shared_folder(spark)}/placewright-events-{uuid.uuid4().hex}"
+    events.repartition(6, "event_id").write.parquet(f"{folder}/in")
+    held = upsert.UpsertTable(spark, f"{folder}/table", "user_id", ("ts", "event_id"))
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    held.run(stream, f"{folder}/state").awaitTermination()
+    held.compact()
+    held.put(events.where("event_id % 2 = 0"), 7, "late")
+    held.put(events.where("event_id % 2 = 0"), 7, "late")
+    return held.read().select("user_id", "event_id", "ts", "event_type", "value")
+
+
 # --- Queries ----------------------------------------------------------------------------------------------------
 
 SQL_NORMAL = (
@@ -492,6 +508,11 @@ def legacy_clauses(spark, sf_dir):
     return strategy.clauses(strategy.as_legacy(service.planned(asked(spark, sf_dir))))
 
 
+def address_index(spark, sf_dir):
+    """The stored index of all addresses, an address once, with ranges."""
+    return index.with_ranges(index.stored(index.build(store.kept(documents(spark, sf_dir).dropDuplicates(["doc_id"]), "addresses"))))
+
+
 ADDRESS_FIELDS = ("full_address", "building_name", "road_name", "locality", "city_name", "district_name", "state_name", "pincode")
 
 
@@ -541,15 +562,15 @@ SELECT query_id, doc_id, score, rank::INT AS rank FROM (SELECT *, row_number() O
 @query_of(_sql_retrieval())
 def address_retrieval(spark, sf_dir):
     """Every asked query against the address index: the 100 best addresses by text and quality."""
-    built_index = index.stored(index.build(index.kept(documents(spark, sf_dir).dropDuplicates(["doc_id"]), "addresses")))
+    built_index = address_index(spark, sf_dir)
     plans = service.planned(asked(spark, sf_dir))
-    return search.retrieve(plans, index.kept(strategy.clauses(plans), "clauses"), built_index, 100)
+    return search.retrieve(plans, store.kept(strategy.clauses(plans), "clauses"), built_index, 100)
 
 
 @query_of()
 def address_search(spark, sf_dir):
     """Every asked query from text to ranked results: 100 candidates retrieved, placed by entity fit, text and quality."""
-    built_index = index.stored(index.build(index.kept(documents(spark, sf_dir).dropDuplicates(["doc_id"]), "addresses")))
+    built_index = address_index(spark, sf_dir)
     ranked = service.search_addresses(asked(spark, sf_dir), built_index, 100)
     return ranked.select("query_id", "doc_id", "place", "score", "confidence", "label", "explanation")
 

@@ -12,17 +12,28 @@ from ..functions import text as X
 from ..functions import words
 from .store import kept
 
+RANGE_DOCS = 16
+#: What makes a place of a document.
+PLACE = ("state_name", "city_name", "locality")
+#: Fixed values of BM25.
+K1, B = 1.2, 0.75
 FIELDS = ("full_address", "building_name", "office_name", "road_name", "locality", "city_name", "district_name", "state_name", "subdistrict_name", "block_name", "pincode", "searchable_text")
 
 
 @dataclass
 class Index:
-    """``docs``: one row per document; ``postings``: (field, term, doc_id, tf, positions, dl); ``fields``: (field, n_docs, avg_dl); ``terms``: (field, term, df)."""
+    """``docs``: one row per document; ``postings``: (field, term, doc_id, tf, positions, dl); ``fields``: (field, n_docs, avg_dl); ``terms``: (field, term, df).
+
+    With ``ranges``, (field, term, range, n, top): documents and postings have a ``range`` too, and each term is known in each range by its postings and their
+    greatest saturation.
+    """
 
     docs: DataFrame
     postings: DataFrame
     fields: DataFrame
     terms: DataFrame
+    ranges: DataFrame | None = None
+    docs_of_range: int = RANGE_DOCS
 
     def write(self, path: str) -> None:
         """As Parquet; postings by field, sorted by term, so a search reads the row groups of its terms."""
@@ -106,7 +117,24 @@ def stored(index: Index) -> Index:
     """The same index with its tables written, so that a search reads them instead of building them again."""
     postings = kept(index.postings, "postings")
     terms = kept(postings.groupBy("field", "term").agg(F.count("*").alias("df")), "terms")
-    return Index(index.docs, postings, kept(index.fields, "fields"), terms)
+    return Index(kept(index.docs, "docs"), postings, kept(index.fields, "fields"), terms)
+
+
+def with_ranges(index: Index, docs_of_range: int = RANGE_DOCS, by: Iterable[str] = PLACE) -> Index:
+    """A stored index whose documents lie in ranges of one place each, of about so many documents at most.
+
+    Documents of a place share its terms, so what a range may score is close to what
+    its documents do. A place of many documents is cut up by hash.
+    """
+    place = F.xxhash64(F.lit(0), *[F.lower(F.trim(c)) for c in by if c in index.docs.columns])
+    placed = index.docs.withColumn("place", place)
+    parts = placed.groupBy("place").agg(F.ceil(F.count("*") / docs_of_range).alias("parts"))
+    docs = placed.join(parts, "place").withColumn("range", F.xxhash64("place", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).drop("place", "parts")
+    docs = kept(docs, "docs")
+    postings = kept(index.postings.join(docs.select("doc_id", "range"), "doc_id"), "postings")
+    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
+    tops = postings.join(F.broadcast(index.fields), "field").groupBy("field", "term", "range").agg(F.count("*").alias("n"), F.max(saturated).alias("top"))
+    return Index(docs, postings, index.fields, index.terms, kept(tops, "ranges"), docs_of_range)
 
 
 def stats(index: Index) -> DataFrame:

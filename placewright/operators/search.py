@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
-from .index import Index
+from .index import K1, B, Index
+from .store import kept
 
-K1, B = 1.2, 0.75
+#: Letters of a beginning by which terms are found; longer ones are compared.
+FENCE = 4
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -101,45 +103,93 @@ def phrase_frequency(places: Column, slop: Column | int) -> Column:
     return F.size(F.aggregate(places, every, lambda begins, p: F.array_intersect(begins, F.flatten(F.transform(p, lambda x: F.sequence(x - slop, x))))))
 
 
-def clause_scores(clauses: DataFrame, index: Index, slop: int = 2, kinds: Collection[str] = ("match", "term", "phrase", "fuzzy", "prefix")) -> DataFrame:
-    """(query_id, grp, must, field, doc_id, score, tie) of clause rows.
+KEY = ["query_id", "clause_id", "grp", "must", "kind", "field", "boost", "tie", "n_places"]
+
+
+def asked_terms(clauses: DataFrame, index: Index, kinds: Collection[str] = ("match", "term", "phrase", "fuzzy", "prefix")) -> DataFrame:
+    """The terms that clauses ask for, expanded, with the statistics of each: ``KEY``, place, term, weight, idf, avg_dl.
 
     A clause: query_id, clause_id, its group (whose fields compete), whether the
     group must match, how its text is matched, where, and its weight. ``kinds``
     are those that occur; the vocabulary is not cut up for others.
     """
     terms = clauses.withColumn("terms", X.analyze(F.col("text"))).where(F.size("terms") > 0)
-    asked = terms.select("*", F.size("terms").alias("n_places"), F.posexplode("terms").alias("place", "asked_term")).drop("terms", "text")
+    asked = terms.select(*KEY[:-1], F.size("terms").alias("n_places"), F.posexplode("terms").alias("place", "asked_term"))
     exact = asked.withColumnRenamed("asked_term", "term").withColumn("weight", F.lit(1.0))
-    wide = asked.where("kind = 'fuzzy'")
-    wide = wide.join(fuzzy_terms(wide.select("field", F.col("asked_term").alias("term")), index.terms), ["field", "asked_term"]).drop("asked_term")
-    begun = asked.where("kind = 'prefix'")
     last = F.col("place") == F.col("n_places") - 1
-    starts = index.terms.select("field", "term", F.explode(X.edge_ngrams(F.array("term"), 1, 20)).alias("asked_term"))
-    begun = begun.where(last).join(starts, ["field", "asked_term"]).drop("asked_term").withColumn("weight", F.lit(1.0)).unionByName(exact.where("kind = 'prefix'").where(~last))
-    parts = [exact.where("kind in ('match', 'term')")] + [wide] * ("fuzzy" in kinds) + [begun] * ("prefix" in kinds)
+    parts = [exact.where(F.col("kind").isin("match", "term", "phrase") | ((F.col("kind") == "prefix") & ~last))]
+    if "fuzzy" in kinds:
+        wide = asked.where("kind = 'fuzzy'")
+        parts.append(wide.join(fuzzy_terms(wide.select("field", F.col("asked_term").alias("term")), index.terms), ["field", "asked_term"]).drop("asked_term"))
+    if "prefix" in kinds:
+        begun = asked.where("kind = 'prefix'").where(last)
+        starts = prefix_terms(begun.select("field", "asked_term"), index.terms)
+        parts.append(begun.join(starts, ["field", "asked_term"]).drop("asked_term").withColumn("weight", F.lit(1.0)))
     found = reduce(DataFrame.unionByName, parts)
-    key = ["query_id", "clause_id", "grp", "must", "kind", "field", "boost", "tie", "n_places", "doc_id"]
+    known = found.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field")  # a row for each field
+    return known.select(*KEY, "place", "term", "weight", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_dl")
+
+
+def prefix_terms(asked: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(field, asked_term, term): vocabulary terms that begin with an asked one, of any length.
+
+    Terms meet by the first letters of the asked one: all of them up to ``FENCE``,
+    then those, so a term stands ``FENCE`` times at most, whatever its length.
+    """
+    a = asked.distinct().withColumn("begin", F.substring("asked_term", 1, FENCE))
+    v = vocabulary.select("field", "term", F.explode(F.transform(F.sequence(F.lit(1), F.least(F.lit(FENCE), F.length("term"))), lambda n: F.substring("term", 1, n))).alias("begin"))
+    return a.join(v, ["field", "begin"]).where(F.col("term").startswith(F.col("asked_term"))).select("field", "asked_term", "term")
+
+
+def scored_clauses(spots: DataFrame, index: Index, slop: int, kinds: Collection[str], on: list[str]) -> DataFrame:
+    """(query_id, clause_id, grp, must, field, doc_id, score, tie) of asked terms, whose postings are found by the columns ``on``."""
+    key = [*KEY, "doc_id"]
 
-    def hits(terms: DataFrame, *columns: str | Column) -> DataFrame:
+    def hits(kind: Column, *columns: str | Column) -> DataFrame:
         """Postings of terms; what follows groups by query and document, so rows move once."""
-        known = terms.join(index.terms, ["field", "term"]).join(F.broadcast(index.fields), "field").withColumn("idf", idf(F.col("n_docs"), F.col("df")))
-        return known.join(index.postings, ["field", "term"]).select(*key, "place", *columns).repartition("query_id", "doc_id")
+        return spots.where(kind).join(index.postings, on).select(*key, "place", *columns).repartition("query_id", "doc_id")
 
     one = F.when(F.col("kind") == "prefix", 1.0).otherwise(F.col("idf") * F.when(F.col("kind") == "term", 1.0).otherwise(saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))) * F.col("weight"))
     # The best expansion of each asked term counts.
     out = lambda df: df.select("query_id", "clause_id", "grp", "must", "field", "doc_id", (F.col("boost") * F.col("s")).alias("score"), "tie")
-    each = hits(found, one.alias("s")).groupBy(*key, "place").agg(F.max("s").alias("s"))
+    each = hits(F.col("kind") != "phrase", one.alias("s")).groupBy(*key, "place").agg(F.max("s").alias("s"))
     texts = each.groupBy(*key).agg(F.sum("s").alias("s"), F.count("*").alias("matched")).where("kind <> 'term' or matched = n_places")
     if "phrase" not in kinds:
         return out(texts)
-    placed = hits(exact.where("kind = 'phrase'"), "idf", "dl", "avg_dl", F.transform("positions", lambda p: p - F.col("place")).alias("at"))
+    placed = hits(F.col("kind") == "phrase", "idf", "dl", "avg_dl", F.transform("positions", lambda p: p - F.col("place")).alias("at"))
     whole = placed.groupBy(*key).agg(F.sum("idf").alias("i"), F.count("*").alias("matched"), F.collect_list("at").alias("places"), F.first("dl").alias("dl"), F.first("avg_dl").alias("avg_dl")).where("matched = n_places")
     runs = whole.withColumn("freq", phrase_frequency(F.col("places"), slop)).where("freq > 0").withColumn("s", F.col("i") * saturation(F.col("freq"), F.col("dl"), F.col("avg_dl")))
     return out(runs) if set(kinds) == {"phrase"} else out(texts).unionByName(out(runs))
 
 
-def retrieve(plans: DataFrame, clauses: DataFrame, index: Index, k: int = 100) -> DataFrame:
+def clause_scores(clauses: DataFrame, index: Index, slop: int = 2, kinds: Collection[str] = ("match", "term", "phrase", "fuzzy", "prefix")) -> DataFrame:
+    """(query_id, clause_id, grp, must, field, doc_id, score, tie) of clause rows (see ``asked_terms``), over all their postings."""
+    return scored_clauses(asked_terms(clauses, index, kinds), index, slop, kinds, ["field", "term"])
+
+
+def combined(scored: DataFrame, clauses: DataFrame, what: str) -> DataFrame:
+    """(query_id, ``what``, text_score) of scored clauses: a group's best field counts, the others with ``tie``; every group that must match has to."""
+    groups = scored.groupBy("query_id", what, "grp", "must").agg((F.max("score") + F.max("tie") * (F.sum("score") - F.max("score"))).alias("s"))
+    needed = clauses.where("must").groupBy("query_id").agg(F.countDistinct("grp").alias("needed"))
+    docs = groups.groupBy("query_id", what).agg(F.sum("s").alias("text_score"), F.count_if("must").alias("met"))
+    docs = docs.join(needed, "query_id", "left").where(F.col("met") >= F.coalesce("needed", F.lit(0)))
+    return docs.select("query_id", what, (F.col("text_score") + F.when(F.col("needed").isNull(), 1.0).otherwise(0.0)).alias("text_score"))
+
+
+def range_bounds(spots: DataFrame, clauses: DataFrame) -> DataFrame:
+    """(query_id, range, text_score): no document of the range scores more for the query; ranges in which none can match are left out.
+
+    ``spots`` are asked terms with the ranges that hold them and the greatest
+    saturation there. A phrase stands no more often than its rarest term.
+    """
+    most = F.when(F.col("kind") == "prefix", 1.0).when(F.col("kind") == "term", F.col("idf")).otherwise(F.col("idf") * F.col("top") * F.col("weight"))
+    each = spots.groupBy(*KEY, "range", "place").agg(F.max(most).alias("s"), F.max("idf").alias("idf"), F.max("top").alias("top"))
+    whole = each.groupBy(*KEY, "range").agg(F.sum("s").alias("s"), F.sum("idf").alias("i"), F.min("top").alias("least"), F.count("*").alias("matched")).where("kind not in ('term', 'phrase') or matched = n_places")
+    score = F.col("boost") * F.when(F.col("kind") == "phrase", F.col("i") * F.col("least")).otherwise(F.col("s"))
+    return combined(whole.select("query_id", "grp", "must", "range", score.alias("score"), "tie"), clauses, "range")
+
+
+def retrieve(plans: DataFrame, clauses: DataFrame, index: Index, k: int = 100, figures: dict[str, int] | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank) of plans (query_id, and optionally filters, lat, lon, radius_km) and their clause rows.
 
     A group's best field counts, the others with ``tie``; every group that must
@@ -147,24 +197,60 @@ def retrieve(plans: DataFrame, clauses: DataFrame, index: Index, k: int = 100) -
     score. Queries without any clause match all documents that pass the filters
     (pincode, address hash, radius): those of a place, an address or a pincode, or
     else the k documents of the best quality.
+
+    Where the index has ranges of documents, each query first takes the ranges in
+    which a document may score most, about 4 k documents; the k-th best score there
+    is one that a range has to reach, or else its postings are not read.
+    ``figures`` is given how many postings were read and how many the terms have.
     """
-    scored = clause_scores(clauses, index)
-    groups = scored.groupBy("query_id", "doc_id", "grp", "must").agg((F.max("score") + F.max("tie") * (F.sum("score") - F.max("score"))).alias("s"))
-    needed = clauses.where("must").groupBy("query_id").agg(F.countDistinct("grp").alias("needed"))
-    docs = groups.groupBy("query_id", "doc_id").agg(F.sum("s").alias("text_score"), F.count_if("must").alias("met"))
-    docs = docs.join(needed, "query_id", "left").where(F.col("met") >= F.coalesce("needed", F.lit(0)))
-    docs = docs.select("query_id", "doc_id", (F.col("text_score") + F.when(F.col("needed").isNull(), 1.0).otherwise(0.0)).alias("text_score"))
-    quality = F.coalesce("quality_score", F.lit(0.0)) if "quality_score" in index.docs.columns else F.lit(0.0)
+    free = matched_all(plans.join(clauses.select("query_id").distinct(), "query_id", "left_anti"), index, quality_of(index), k).withColumn("text_score", F.lit(1.0))
+    free = filtered(free, plans, index)
+    if index.ranges is None:
+        return top(free.unionByName(filtered(combined(clause_scores(clauses, index), clauses, "doc_id"), plans, index)), k)
+    kinds = ("match", "term", "phrase", "fuzzy", "prefix")
+    spots = kept(asked_terms(clauses, index, kinds).join(index.ranges, ["field", "term"]), "spots")
+    docs = kept(index.docs.select("range", quality_of(index).alias("q"), *[c for c in ("pincode",) if c in index.docs.columns]), "ranges")
+    bounds = range_bounds(spots, clauses)
+    if "pincode" in docs.columns and "filters" in plans.columns and "pincode" in plans.schema["filters"].dataType.names:
+        own = plans.select("query_id", F.col("filters.pincode").alias("pin"))
+        pinned = own.where("pin is not null").join(docs.select("range", F.col("pincode").alias("pin")).distinct(), "pin").select("query_id", "range")
+        bounds = bounds.join(own.where("pin is null").select("query_id"), "query_id", "left_semi").unionByName(bounds.join(pinned, ["query_id", "range"], "left_semi"))
+    best_quality = docs.groupBy("range").agg(F.max("q").alias("q"))
+    bounds = bounds.join(best_quality, "range").select("query_id", "range", (F.col("text_score") + 0.05 * F.col("q")).alias("bound"))
+    nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("bound").desc(), "range"))
+    bounds = kept(bounds.withColumn("nth", nth), "bounds")
+    first_ranges = max(4, -(-4 * k // index.docs_of_range))
+
+    def scored(allowed: DataFrame) -> DataFrame:
+        own = spots.join(allowed.select("query_id", "range"), ["query_id", "range"], "left_semi")
+        if figures is not None:
+            figures["read"] = figures.get("read", 0) + (own.agg(F.sum("n")).first()[0] or 0)
+        return filtered(combined(scored_clauses(own, index, 2, kinds, ["field", "term", "range"]), clauses, "doc_id"), plans, index)
+
+    first = kept(top(scored(bounds.where(F.col("nth") <= first_ranges)), k).drop("rank"), "first")
+    least = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") >= k)
+    # Scores are rounded, bounds are not.
+    rest = bounds.where(F.col("nth") > first_ranges).join(least, "query_id", "left").where(F.col("least").isNull() | (F.col("bound") + 1e-5 >= F.col("least")))
+    if figures is not None:
+        figures["all"] = spots.agg(F.sum("n")).first()[0] or 0
+    return top(free.unionByName(first).unionByName(scored(rest)), k)
+
+
+def quality_of(index: Index) -> Column:
+    return F.coalesce("quality_score", F.lit(0.0)) if "quality_score" in index.docs.columns else F.lit(0.0)
+
+
+def filtered(docs: DataFrame, plans: DataFrame, index: Index) -> DataFrame:
+    """(query_id, doc_id, score) of documents (query_id, doc_id, text_score) that pass their query's filters, quality added."""
     about = [c for c in ("pincode", "address_hash", "location") if c in index.docs.columns]
     asked = [c for c in ("filters", "lat", "lon", "radius_km") if c in plans.columns]
-    docs = docs.unionByName(matched_all(plans.select("query_id", *asked).join(clauses.select("query_id").distinct(), "query_id", "left_anti"), index, quality, k).withColumn("text_score", F.lit(1.0)))
-    docs = docs.join(plans.select("query_id", *asked), "query_id").join(index.docs.select("doc_id", *about, quality.alias("q")), "doc_id")
+    docs = docs.join(plans.select("query_id", *asked), "query_id").join(index.docs.select("doc_id", *about, quality_of(index).alias("q")), "doc_id")
     for c in ("pincode", "address_hash"):
         if "filters" in asked and c in about and c in plans.schema["filters"].dataType.names:
             docs = docs.where(f"filters.{c} is null or {c} = filters.{c}")
     if {"lat", "lon", "radius_km"} <= set(asked) and "location" in about:
         docs = docs.where(F.col("lat").isNull() | (S.haversine(F.col("lat"), F.col("lon"), F.col("location.lat"), F.col("location.lon")) <= F.col("radius_km")))
-    return top(docs.select("query_id", "doc_id", F.round(F.col("text_score") + 0.05 * F.col("q"), 6).alias("score")), k)
+    return docs.select("query_id", "doc_id", F.round(F.col("text_score") + 0.05 * F.col("q"), 6).alias("score"))
 
 
 def matched_all(plans: DataFrame, index: Index, quality: Column, k: int) -> DataFrame:

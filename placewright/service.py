@@ -37,7 +37,7 @@ def planned(queries: DataFrame) -> DataFrame:
 def candidates(queries: DataFrame, index: Index, k: int = 100) -> DataFrame:
     """The retrieved pool of each query with the documents' fields, one per address."""
     plans = planned(queries)
-    hits = search.retrieve(plans, strategy.clauses(plans), index, k)
+    hits = search.retrieve(plans, kept(strategy.clauses(plans), "clauses"), index, k)
     full = kept(hits, "hits").withColumnRenamed("score", "bm25_score").join(index.docs, "doc_id")
     for c in {"full_address", "address_hash"} - set(full.columns):
         full = full.withColumn(c, F.lit(None).cast("string"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions import words
 from ..operators import ingest
+from ..streaming.upsert import latest
 from . import records
 from .records import Surveyed
 
@@ -161,6 +162,7 @@ def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
     {"parquet": writer.parquet, "csv": lambda p: writer.option("header", True).csv(p), "json": writer.json}[kind](path)
 
 
-def merge_by_key(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Rows of ``new`` over those of ``old`` that have the same key: an upsert that may be repeated."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+def merge_by_key(old: DataFrame, new: DataFrame, key: str, order: Sequence[str] = ()) -> DataFrame:
+    """Rows of ``new`` over those of ``old`` that have the same key: an upsert that may be repeated. Of rows of ``new`` with one key the greatest ``order``, else the greatest row, stays."""
+    last = latest(new, key, order)
+    return old.join(last.select(key), key, "left_anti").unionByName(last)
