@@ -346,11 +346,19 @@ def csv_records(spark, sf_dir):
 HEADERS = ("PIN Code", "statename", "district", "Sl. No.", "City/Town", "State/ Union territory*", "Sub-District Name (In English)", "Subdistrict Code", "  Latitude ", "bldg_no", "localty name", "pin_codes", "distrct name", "unknown thing", "tehsil nam", "s.no", "Villages", "")
 
 
-def headers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(h,) for h in HEADERS], "header string")
+#: Headers as files have them: names from the list, whole for the first suppliers and then with one letter left out, and suppliers' own names.
+ASKED_HEADERS = f"""
+SELECT s_suppkey AS id, CASE WHEN s_suppkey % 7 = 6 THEN s_name || ' (x) [' || CAST(s_nationkey AS STRING) || ']' WHEN s_suppkey <= {len(HEADERS)} THEN h
+  ELSE substr(h, 1, CAST(s_suppkey % 11 AS INT)) || substr(h, CAST(s_suppkey % 11 AS INT) + 2) END AS header
+FROM (SELECT *, CASE s_suppkey % {len(HEADERS)} {" ".join(f"WHEN {i} THEN " + quoted([h]) for i, h in enumerate(HEADERS))} END AS h FROM {{supplier}}) t
+"""
+
+
+def headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, ASKED_HEADERS).select("header").distinct()
 
 
-SQL_HEADERS = "h AS (SELECT unnest([" + quoted(HEADERS) + "]) AS header), "
+SQL_HEADERS = f"h AS (SELECT DISTINCT header FROM ({duck(ASKED_HEADERS)})), "
 SQL_COLUMN_KEY = r"trim(regexp_replace(regexp_replace(regexp_replace(replace(lower(trim(header)), '*', ''), '\([^)]*\)', '', 'g'), '[._\-/]+', ' ', 'g'), '\s+', ' ', 'g'))"
 SQL_SUB = r"(contains(replace(k, ' ', ''), 'subdistrict') OR regexp_matches(k, '^(sub district|tehsil|taluk)| (tehsil|taluk)'))"
 SQL_ALIASES = "al AS (SELECT unnest([" + quoted(ingest.aliases()) + "]) AS alias, unnest([" + quoted(ingest.aliases().values()) + "]) AS standard, unnest(range(" + str(len(ingest.aliases())) + ")) AS place)"
@@ -358,7 +366,7 @@ SQL_ALIASES = "al AS (SELECT unnest([" + quoted(ingest.aliases()) + "]) AS alias
 
 @query_of("WITH " + SQL_HEADERS + f"k AS (SELECT header, {SQL_COLUMN_KEY} AS k FROM h) SELECT header, k AS key, {SQL_SUB} AS subdistrict FROM k")
 def column_name_normalize(spark, sf_dir):
-    return headers(spark).select("header", X.column_key(F.col("header")).alias("key"), X.is_subdistrict(F.col("header")).alias("subdistrict"))
+    return headers(spark, sf_dir).select("header", X.column_key(F.col("header")).alias("key"), X.is_subdistrict(F.col("header")).alias("subdistrict"))
 
 
 def sql_lcs(a: str, b: str) -> str:
@@ -377,7 +385,7 @@ def sql_indel(a: str, b: str) -> str:
           "fuzzy AS (SELECT header, standard, score AS confidence, 'fuzzy' AS \"match\" FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, place) AS n FROM sc WHERE score >= 88) WHERE n = 1) "
           "SELECT * FROM exact UNION ALL SELECT * FROM fuzzy UNION ALL SELECT DISTINCT header, NULL, 0.0, 'unmapped' FROM h WHERE header NOT IN (SELECT header FROM exact) AND header NOT IN (SELECT header FROM fuzzy)")
 def schema_map(spark, sf_dir):
-    return ingest.resolve_columns(headers(spark), ingest.alias_table(spark))
+    return ingest.resolve_columns(headers(spark, sf_dir), ingest.alias_table(spark))
 
 
 @query_of("SELECT s_name AS office_name, NULL AS building_name, CAST(s_nationkey AS STRING) AS state_code, NULL::DOUBLE AS latitude, 'suppliers' AS source_file FROM supplier UNION ALL SELECT NULL, c_name, CAST(c_nationkey AS STRING), c_acctbal, 'customers' FROM customer")
@@ -394,7 +402,18 @@ def nullable_string(spark, sf_dir):
     return addresses(spark, sf_dir).select("serial_number", X.nullable_string(F.when(F.col("ord") % 3 == 0, F.col("pincode")).otherwise(F.col("building_name"))).alias("value"))
 
 
-@query_of("SELECT * FROM (VALUES (0, -100.0), (1, -50.0), (2, 3.5), (3, -1.0), (4, 2.0)) AS t(line, score)")
+#: Lines of files, drawn from the parts: titles, headers, data, empty ones.
+LINES = """
+SELECT p_partkey AS line, CASE p_partkey % 7 WHEN 0 THEN split('|| ', '[|]') WHEN 1 THEN split(p_name || '|||', '[|]') WHEN 2 THEN split('PIN Code|District|' || p_brand, '[|]') WHEN 3 THEN split(CAST(p_size AS STRING) || '|3,400|-1.5|' || p_type, '[|]')
+  WHEN 4 THEN split('city|city|pincode|' || CAST(p_partkey AS STRING), '[|]') WHEN 5 THEN split('Sl. No.|City/Town|State/ Union territory*|' || p_type || '|District Code', '[|]') ELSE split(p_type || '|' || p_name, '[|]') END AS cells
+FROM {part}
+"""
+_LINE_KEYS = SQL_COLUMN_KEY.replace("header", "c")
+
+
+@query_of(f"""WITH l AS ({duck(LINES).replace("split(", "string_split(").replace("'[|]'", "'|'")}), f AS (SELECT line, len(cells) AS n, list_filter(cells, lambda c: trim(c) <> '') AS cs FROM l),
+k AS (SELECT *, list_transform(cs, lambda c: {_LINE_KEYS}) AS ks FROM f),
+s AS (SELECT *, len(list_distinct(list_filter(ks, lambda k: k IN ({quoted(ingest.aliases())})))) AS hits, len(list_filter(cs, lambda c: regexp_full_match(replace(trim(c), ',', ''), '-?[0-9]+(\\.[0-9]+)?'))) AS numbers FROM k)
+SELECT line, CASE WHEN len(cs) = 0 THEN -100.0 WHEN len(cs) = 1 AND n > 3 THEN -50.0 ELSE hits - 0.5 * numbers + CASE WHEN hits > 0 AND len(list_distinct(cs)) = len(cs) THEN 0.5 ELSE 0.0 END END::DOUBLE AS score FROM s""")
 def header_score(spark, sf_dir):
-    lines = [(0, ["", "", " "]), (1, ["Title", "", "", ""]), (2, ["PIN Code", "District", "State Name"]), (3, ["12", "3,400", "abc"]), (4, ["city", "city", "pincode"])]
-    return ingest.header_scores(spark.createDataFrame(lines, "line int, cells array<string>"))
+    return ingest.header_scores(view(spark, sf_dir, LINES))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import service
-from .catalog import ADDRESS, ASKED, BUILT, ORACLES, SQL_ADDRESS, SQL_HASH, WITH, WITH_Q, addresses, asked, duck, query_of, quoted, scored, sql_indel, sql_key, sql_map, sql_words, table, _sql_quality
+from .catalog import ADDRESS, ASKED, BUILT, ORACLES, SQL_ADDRESS, SQL_HASH, WITH, WITH_Q, addresses, asked, duck, query_of, quoted, scored, sql_indel, sql_key, sql_map, sql_words, table, view, _sql_quality
 from .functions import similarity as S
 from .functions import text as X
 from .functions import words
@@ -169,10 +169,17 @@ def validate_query(spark, sf_dir):
 _ALIASES = {a: "|".join([a, *[b for b in g if b != a]]) for g in words.LOCALITY_ALIASES for a in g}
 
 
-@query_of(f"WITH v AS (SELECT unnest(['Poona', ' Hinjewadi', 'Navi-Mumbai', 'madras', '', '१२']) AS value), m AS (SELECT {sql_map(_ALIASES)} AS m), k AS (SELECT value, array_to_string({sql_words('value')}, ' ') AS k, m FROM v, m) SELECT value, CASE WHEN value = '' THEN '' WHEN k = '' THEN value ELSE coalesce(m[k], k) END AS variants FROM k")
+_SPELT = ("Poona", " Hinjewadi", "Navi-Mumbai", "madras", "", "१२", *sorted(_ALIASES))
+#: Place names as people write them, and names of nations.
+SPELLINGS = f"""
+SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 4 THEN n_name ELSE CASE c_custkey % 3 WHEN 0 THEN h WHEN 1 THEN upper(h) ELSE replace(h, ' ', '-') || '.' END END AS value
+FROM (SELECT c_custkey, c_nationkey, CASE c_custkey % {len(_SPELT)} {" ".join(f"WHEN {i} THEN {quoted([v])}" for i, v in enumerate(_SPELT))} END AS h FROM {{customer}}) c JOIN {{nation}} n ON c_nationkey = n_nationkey
+"""
+
+
+@query_of(f"WITH v AS ({duck(SPELLINGS)}), m AS (SELECT {sql_map(_ALIASES)} AS m), k AS (SELECT id, value, array_to_string({sql_words('value')}, ' ') AS k, m FROM v, m) SELECT id, CASE WHEN value = '' THEN '' WHEN k = '' THEN value ELSE coalesce(m[k], k) END AS variants FROM k")
 def locality_variants(spark, sf_dir):
-    df = spark.createDataFrame([(v,) for v in ("Poona", " Hinjewadi", "Navi-Mumbai", "madras", "", "१२")], "value string")
-    return df.select("value", F.array_join(query.locality_variants(F.col("value")), "|").alias("variants"))
+    return view(spark, sf_dir, SPELLINGS).select("id", F.array_join(query.locality_variants(F.col("value")), "|").alias("variants"))
 
 
 def sql_title(c: str) -> str:
