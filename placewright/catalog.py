@@ -16,6 +16,7 @@ from .functions import text as X
 from .functions import words
 from .operators import clean, ingest, store
 from .sources import csv, records
+from .streaming import ingest as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -322,6 +323,18 @@ def preprocess_pipeline(spark, sf_dir):
     return clean.preprocess(addresses(spark, sf_dir), "ord").select("serial_number", "full_address", "address_hash", "pincode", "quality_score")
 
 
+@query_of(_sql_preprocess() + "SELECT serial_number, full_address, address_hash, pincode, quality_score FROM s")
+def stream_preprocess(spark, sf_dir):
+    """The same of a stream of files in which rows, their copies and the names of their codes come in any order."""
+    a = addresses(spark, sf_dir)
+    folder = f"{store.shared_folder(spark)}/placewright-arriving-{uuid.uuid4().hex}"
+    a.repartition(4, F.xxhash64("ord", F.lit(1))).write.parquet(f"{folder}/in")
+    held = streaming.Preprocessing(spark, f"{folder}/tables", "ord")
+    stream = spark.readStream.schema(a.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    held.run(stream, f"{folder}/state").awaitTermination()
+    return held.read().select("serial_number", "full_address", "address_hash", "pincode", "quality_score")
+
+
 @query_of(_sql_report())
 def preprocess_report(spark, sf_dir):
     """What the steps removed, filled and found invalid, and what their result holds."""

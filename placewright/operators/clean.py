@@ -31,7 +31,7 @@ def apply(df: DataFrame, columns: Iterable[str], function) -> DataFrame:
 def row_dedup(df: DataFrame, order: str, subset: Iterable[str] | None = None) -> DataFrame:
     """The first of rows that agree on ``subset`` (all columns but the serial number and the order)."""
     keys = list(subset) if subset else [c for c in df.columns if c not in ("serial_number", order)]
-    return first_rows(df, F.sha2(F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), 256), order)
+    return first_rows(df, row_key(keys), order)
 
 
 def first_rows(df: DataFrame, key: Column, order: str, sums: Iterable[str] = ()) -> DataFrame:
@@ -85,8 +85,12 @@ def fill_hierarchy(df: DataFrame, order: str, mappings: Iterable[tuple[str, str]
     own = [(c, n) for c, n in mappings if {c, n} <= set(df.columns)]
     if not own:
         return df
-    known = kept(hierarchy_names(df, order, own), "names")
-    for code, name in own:
+    return fill_names(df, kept(hierarchy_names(df, order, own), "names"), own)
+
+
+def fill_names(df: DataFrame, known: DataFrame, pairs: Iterable[tuple[str, str]]) -> DataFrame:
+    """Names that are null filled from a table (column, code, name)."""
+    for code, name in pairs:
         found = known.where(F.col("column") == name).select(F.col("code").alias("_code"), F.col("name").alias("_name"))
         df = df.join(found, F.trim(code) == F.col("_code"), "left").withColumn(name, F.coalesce(name, "_name")).drop("_code", "_name")
     return df
@@ -191,6 +195,33 @@ def coverage(df: DataFrame, columns: Iterable[str] = ("pincode", "latitude", "lo
     return rows.select("column", "present", F.bround(F.col("present") / F.greatest("n", F.lit(1)) * 100, 2).alias("pct"))
 
 
+def cleaned(df: DataFrame, text: Iterable[str]) -> DataFrame:
+    """Values without invisible characters, normalised, null where they stand for none."""
+    # One step at a time: nested, each would repeat the one before in its expression.
+    for step in (X.strip_invisible, X.nfkc, X.null_like):
+        df = apply(df, text, step)
+    return df
+
+
+def row_key(columns: Iterable[str]) -> Column:
+    """What rows that repeat agree on."""
+    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+
+
+def written_out(df: DataFrame) -> DataFrame:
+    """Abbreviations expanded, symbols plain, names in title case."""
+    df = apply(df, words.ABBREVIATION_COLUMNS, X.expand_abbreviations)
+    df = apply(df, words.SYMBOL_COLUMNS, X.plain_symbols)
+    return standardize(df, words.NAME_COLUMNS)
+
+
+def addressed(df: DataFrame) -> DataFrame:
+    """Valid pincodes and coordinates, the full address and its hash."""
+    df = validate(df)
+    df = df.withColumn("full_address", full_address(df))
+    return df.withColumn("address_hash", address_hash(F.col("full_address")))
+
+
 def cleaned_rows(df: DataFrame, order: str) -> DataFrame:
     """The first of equal rows, without empty rows and columns, its values cleaned: a written table, for which ``df`` is read once.
 
@@ -204,11 +235,7 @@ def cleaned_rows(df: DataFrame, order: str) -> DataFrame:
     value = {f"value_{i}": F.max(~blank(F.col(c))) for i, c in enumerate(df.columns)}
     some = {f"some_{i}": F.max(F.col(c).isNotNull()) for i, c in enumerate(df.columns)}
     out = drop_empty_rows(row_dedup(df.observe(seen, *[c.alias(k) for k, c in (value | some).items()]), order), [order])
-    text = strings(out, [order])
-    # One step at a time: nested, each would repeat the one before in its expression.
-    for step in (X.strip_invisible, X.nfkc, X.null_like):
-        out = apply(out, text, step)
-    out = kept(out, "cleaned")
+    out = kept(cleaned(out, strings(out, [order])), "cleaned")
     got = seen.get
     empty = [i for i in range(len(df.columns)) if got[f"value_{i}"] is False]
     if any(got[f"some_{i}"] for i in empty):
@@ -230,16 +257,11 @@ def preprocess(df: DataFrame, order: str, tally: bool = False) -> DataFrame:
     if tally:
         fills = {f"filled_{n}": F.col(n).isNull() & F.col(c).isNotNull() for c, n in words.HIERARCHY if {c, n} <= set(df.columns)}
         df, marks = df.withColumns({f"_{k}": c.cast("long") for k, c in fills.items()} | {"_rows": F.lit(1).cast("long")}), {**fills, "rows": F.lit(1)}
-    df = fill_hierarchy(df, order)
-    df = apply(df, words.ABBREVIATION_COLUMNS, X.expand_abbreviations)
-    df = apply(df, words.SYMBOL_COLUMNS, X.plain_symbols)
-    df = standardize(df, words.NAME_COLUMNS)
+    df = written_out(fill_hierarchy(df, order))
     if tally:
         wrong = invalid(df.columns)
         df, marks = df.withColumns({f"_{k}": c.cast("long") for k, c in wrong.items()}), marks | wrong
-    df = validate(df)
-    df = df.withColumn("full_address", full_address(df))
-    df = address_dedup(df.withColumn("address_hash", address_hash(F.col("full_address"))), order, [f"_{k}" for k in marks])
+    df = address_dedup(addressed(df), order, [f"_{k}" for k in marks])
     return df.withColumn("quality_score", quality_score(df))
 
 

@@ -124,12 +124,15 @@ def with_ranges(index: Index, docs_of_range: int = RANGE_DOCS, by: Iterable[str]
     """A stored index whose documents lie in ranges of one place each, of about so many documents at most.
 
     Documents of a place share its terms, so what a range may score is close to what
-    its documents do. A place of many documents is cut up by hash.
+    its documents do. ``by`` goes from wide to narrow: documents that agree in all but
+    the last are dealt by the last, and what is then still too many by hash.
     """
-    place = F.xxhash64(F.lit(0), *[F.lower(F.trim(c)) for c in by if c in index.docs.columns])
-    placed = index.docs.withColumn("place", place)
-    parts = placed.groupBy("place").agg(F.ceil(F.count("*") / docs_of_range).alias("parts"))
-    docs = placed.join(parts, "place").withColumn("range", F.xxhash64("place", F.pmod(F.xxhash64("doc_id"), F.col("parts")))).drop("place", "parts")
+    *wide, narrow = [F.lower(F.trim(c)) for c in by if c in index.docs.columns] or [F.lit("")]
+    docs = index.docs.withColumns({"place": F.xxhash64(F.lit(0), *wide), "within": F.xxhash64(F.lit(0), narrow)})
+    for least in (docs_of_range, 2 * docs_of_range):
+        parts = docs.groupBy("place").agg(F.count("*").alias("n")).select("place", F.when(F.col("n") > least, F.ceil(F.col("n") / docs_of_range)).otherwise(1).alias("parts"))
+        docs = docs.join(parts, "place").withColumn("place", F.xxhash64("place", F.pmod("within", "parts"))).drop("parts").withColumn("within", F.xxhash64("doc_id"))
+    docs = docs.withColumnRenamed("place", "range").drop("within")
     docs = kept(docs, "docs")
     postings = kept(index.postings.join(docs.select("doc_id", "range"), "doc_id"), "postings")
     saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl")))
