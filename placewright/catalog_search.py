@@ -245,9 +245,49 @@ def entity_core(spark, sf_dir):
     return service.analyse(asked(spark, sf_dir)).select("query_id", "entities.building_name", "entities.locality", "entities.city")
 
 
-@query_of()
+def _sql_parse() -> str:
+    """The parser's rules over its own normal form of a text."""
+    tokens = SQL_NORMAL
+    for theirs, own in ((words.SPELLING, words.PARSER_SPELLING), (words.ABBREVIATIONS, words.PARSER_ABBREVIATIONS), (words.STATES, words.PARSER_STATES)):
+        tokens = tokens.replace(sql_map(theirs), sql_map(own))
+    named = lambda xs, i: f"CASE WHEN len({xs}) >= {i} THEN {sql_title(f'{xs}[{i}]')} END"
+    joined = lambda xs: sql_title(f"nullif(array_to_string({xs}, ' '), '')")
+    gone = lambda xs, *names: "list_filter(" + xs + ", lambda x: " + " AND ".join(f"NOT list_contains(string_split(lower(coalesce({c}, '')), ' '), x)" for c in names) + ")"
+    first = lambda markers: f"list_filter(range(1, len(t) + 1), lambda i: t[i] IN ({quoted(markers)}))[1]"
+    after = lambda i, k: sql_title(f"array_to_string(t[{i}:{i} + {k}], ' ')")
+    out, keys = [], entities.PARSER_FIELDS
+    source = {"house_number": "flat_number", "area": "locality"}
+    own = {k: f"v_{source.get(k, k)}" for k in keys}
+    for i, k in enumerate(keys):
+        before = ", ".join(f"coalesce(lower(trim({own[j]})), '')" for j in keys[:i])
+        out.append(f"CASE WHEN {f'list_contains([{before}], lower(trim({own[k]})))' if before else 'false'} THEN NULL ELSE {own[k]} END AS {k}")
+    some = lambda *ks: f"coalesce({', '.join(ks)}) IS NOT NULL" if len(ks) > 1 else f"{ks[0]} IS NOT NULL"
+    return WITH_Q + tokens.rstrip() + f""",
+p1 AS (SELECT query_id, t, list_filter(t, lambda x: regexp_full_match(x, {PIN}))[1] AS v_pincode, {sql_title(f"coalesce(list_filter(list_transform(t, lambda x: st[x]), lambda x: x IS NOT NULL)[1], list_filter(list_concat(list_concat({_grams(2)}, {_grams(3)}), list_concat({_grams(4)}, t)), lambda g: g IN ({quoted(words.PARSER_STATE_NAMES)}))[1])")} AS v_state,
+  {first(words.PARSER_ROAD)} AS ir, {first(words.PARSER_LANDMARK)} AS il, {first(words.DISTRICT)} AS id, {first(words.VILLAGE)} AS iv, {first(words.PARSER_BUILDING)} AS ib FROM n),
+p2 AS (SELECT *, CASE WHEN ir IS NOT NULL THEN {sql_title("array_to_string(t[greatest(ir - 2, 1):ir], ' ')")} END AS v_road_name, CASE WHEN il IS NOT NULL THEN {after("il", 2)} END AS v_landmark,
+  CASE WHEN id IS NOT NULL THEN {after("id", 1)} END AS v_district, CASE WHEN iv IS NOT NULL THEN {after("iv", 1)} END AS v_village, CASE WHEN regexp_full_match(t[ib + 1], '[0-9]+') THEN t[ib + 1] END AS v_flat_number,
+  CASE WHEN ib IS NULL THEN [] ELSE list_filter(t[ib + 1:], lambda x: x IS DISTINCT FROM v_pincode) END AS aft FROM p1),
+p3 AS (SELECT *, list_filter({gone("list_filter(t, lambda x: x IS DISTINCT FROM v_pincode)", "v_state", "v_road_name", "v_landmark")}, lambda x: x NOT IN ({quoted(tuple(dict.fromkeys(words.PARSER_BUILDING + words.PARSER_LOCALITY + words.VILLAGE + words.DISTRICT)))})) AS f,
+  list_filter(CASE WHEN coalesce(aft[1] = v_flat_number, false) THEN aft[2:] ELSE aft END, lambda x: x NOT IN ({quoted(tuple(dict.fromkeys(words.PARSER_BUILDING + words.PARSER_ROAD)))})) AS tl FROM p2),
+p4 AS (SELECT *, len(f) AS n, len(tl) AS m, CASE WHEN len(tl) >= 3 THEN {joined("tl[1:len(tl) - 2]")} ELSE {named("tl", 1)} END AS b0,
+  CASE WHEN len(tl) >= 3 THEN {sql_title("tl[len(tl) - 1]")} WHEN len(tl) = 2 THEN {named("tl", 2)} END AS l0, CASE WHEN len(tl) >= 3 THEN {sql_title("tl[len(tl)]")} END AS c0 FROM p3),
+p5 AS (SELECT *, coalesce(b0, CASE WHEN n >= 4 THEN {joined("f[n - 1:n]")} WHEN n = 3 THEN {joined("f[2:3]")} END) AS v_building_name,
+  coalesce(l0, CASE WHEN b0 IS NULL AND (n >= 2 OR (n = 1 AND len(t) <> 1)) THEN {sql_title("f[1]")} END) AS loc,
+  coalesce(c0, CASE WHEN b0 IS NULL AND n >= 4 THEN {sql_title("f[n - 2]")} WHEN b0 IS NULL AND n IN (2, 3) THEN {sql_title("f[2]")} END, CASE WHEN n = 1 THEN {sql_title("f[1]")} END) AS cty FROM p4),
+p6 AS (SELECT *, len(t) = 1 AND cty IS NULL AND v_state IS NULL AND v_pincode IS NULL AS lone FROM p5),
+p7 AS (SELECT *, CASE WHEN NOT lone THEN loc END AS v_locality, CASE WHEN lone THEN {sql_title("t[1]")} ELSE cty END AS v_city FROM p6),
+p8 AS (SELECT query_id, len(t) AS k, {", ".join(out)} FROM p7),
+p9 AS (SELECT *, {" + ".join(f"({c} IS NOT NULL)::INT" for c in keys)} AS filled FROM p8)
+SELECT query_id, {", ".join(keys)}, CASE WHEN k = 0 THEN 'EMPTY_QUERY' WHEN k = 1 AND {some("pincode")} THEN 'PINCODE_SEARCH' WHEN k = 1 AND {some("city")} THEN 'CITY_SEARCH'
+  WHEN {some("building_name")} AND ({some("pincode", "locality", "area", "city", "district", "state")} OR k >= 4) THEN 'FULL_ADDRESS_SEARCH' WHEN filled >= 3 AND k >= 4 THEN 'FULL_ADDRESS_SEARCH' WHEN {some("building_name")} THEN 'BUILDING_SEARCH'
+  WHEN {some("road_name")} THEN 'ROAD_SEARCH' WHEN {some("locality", "area")} THEN 'LOCALITY_SEARCH' WHEN {some("city")} THEN 'CITY_SEARCH' WHEN {some("district")} THEN 'DISTRICT_SEARCH' WHEN {some("state")} THEN 'STATE_SEARCH' ELSE 'AUTO' END AS intent,
+  round_even(least(0.99, 0.25 + 0.08 * filled + CASE WHEN pincode IS NOT NULL THEN 0.12 ELSE 0.0 END + CASE WHEN k >= 4 THEN 0.15 ELSE 0.0 END)::DOUBLE, 4) AS confidence FROM p9"""
+
+
+@query_of(_sql_parse())
 def parse_address(spark, sf_dir):
-    """The parser's twelve entities, intent and confidence (tested by example)."""
+    """The parser's twelve entities, intent and confidence."""
     return entities.parse(asked(spark, sf_dir)).select("query_id", "parsed.*")
 
 
@@ -509,10 +549,46 @@ def resolve_alternatives(spark, sf_dir):
     return search.alternatives(judged(spark, sf_dir)).select("query_id", "doc_id", "place")
 
 
-@query_of()
+#: What the older builder asks in each mode: kind, tie, field or set of fields, and weight; ``@intent`` stands for the fields of the query's intent. Then phrases of single fields, weighted by mode.
+OLDER = {
+    "": "fuzzy .25 @general*5 phrase 0 searchable_text*6 phrase 0 full_address*5 fuzzy .2 @wide*2",
+    "exact": "phrase .2 @intent*14", "autocomplete": "prefix 1 @begun*8", "pincode": "term 0 pincode*20 fuzzy .2 @intent*10 fuzzy .2 @wide*3",
+    "admin": "fuzzy .2 @places*8 fuzzy .2 @wide*4", "phrase": "fuzzy .2 @intent*8", "fuzzy": "fuzzy .25 @intent*10 fuzzy .2 @wide*5",
+}
+OLDER_PHRASES = {"exact": 12, "phrase": 14, "autocomplete": 5, "pincode": 8, "admin": 7, "fuzzy": 9}
+
+
+def _sql_older() -> str:
+    sets = {**strategy.LEGACY, "wide": strategy.LEGACY_FUZZY, "begun": strategy.LEGACY_PREFIX, "places": strategy.LEGACY_ADMIN}
+    rows = []
+    for mode, weight in OLDER_PHRASES.items():
+        for intent_name in strategy.LEGACY:
+            grp, parts = 0, f"{OLDER['']} {OLDER[mode]}".split()
+            for kind, tie, what in zip(parts[::3], parts[1::3], parts[2::3]):
+                grp += 1
+                name, times = what.split("*")
+                fields = sets[intent_name if name == "@intent" else name[1:]] if name.startswith("@") else {name: 1}
+                rows += [(mode, intent_name, grp, kind, "q", f, w * float(times), float(tie)) for f, w in fields.items()]
+            single = {"pincode": ("full_address", "searchable_text"), "admin": ("state_name", "district_name", "city_name", "locality")}.get(mode, strategy.LEGACY_PHRASE[intent_name])
+            hints = [("phrase", k, f, float(w)) for k, (f, w) in strategy.LEGACY_HINTS.items()] + [("term", "pincode", "pincode", 15.0)]
+            for kind, source, f, w in [("phrase", "q", f, float(weight)) for f in single] + hints:
+                grp += 1
+                rows.append((mode, intent_name, grp, kind, source, f, w, 0.0))
+    values = ", ".join(f"('{m}', '{i}', {g}, '{k}', '{s}', '{f}', {b}::DOUBLE, {t}::DOUBLE)" for m, i, g, k, s, f, b, t in rows)
+    pin = "regexp_full_match(q, '[0-9]{6}')"
+    return CORE.rstrip() + f""", sp AS (SELECT * FROM (VALUES {values}) AS v(mode, wish, grp, kind, source, field, boost, tie)),
+o1 AS (SELECT *, array_to_string(t, ' ') AS q FROM core), o2 AS (SELECT *, CASE WHEN pincode IS NOT NULL THEN 'pincode' WHEN coalesce(state, district, city, locality, building_name, office_name) IS NOT NULL THEN 'admin'
+  WHEN {pin} THEN 'exact' WHEN len(t) >= 4 THEN 'phrase' WHEN length(q) <= 12 THEN 'autocomplete' ELSE 'fuzzy' END AS mode FROM o1),
+o3 AS (SELECT *, CASE mode WHEN 'admin' THEN 'city' WHEN 'phrase' THEN 'full_address' WHEN 'exact' THEN CASE WHEN {pin} THEN 'pincode' ELSE 'full_address' END WHEN 'pincode' THEN CASE WHEN {pin} THEN 'pincode' ELSE 'general' END WHEN 'fuzzy' THEN 'general'
+  ELSE CASE WHEN {pin} THEN 'pincode' WHEN regexp_matches(q, 'post office|office|branch') THEN 'office' WHEN regexp_matches(q, 'building|tower|complex|apartment|society|block') THEN 'building' WHEN len(t) >= 4 THEN 'full_address' WHEN len(t) = 1 THEN 'city' WHEN len(t) = 2 THEN 'locality' ELSE 'general' END END AS wish FROM o2),
+o4 AS (SELECT query_id, mode, wish, unnest([{{'source': 'q', 'text': nullif(q, '')}}, {{'source': 'state', 'text': state}}, {{'source': 'district', 'text': district}}, {{'source': 'city', 'text': city}}, {{'source': 'locality', 'text': locality}}, {{'source': 'building', 'text': building_name}}, {{'source': 'office', 'text': office_name}}, {{'source': 'pincode', 'text': pincode}}]) AS s FROM o3)
+SELECT query_id, CAST(grp AS INT) AS grp, false AS must, kind, field, s.text AS text, boost, tie FROM o4 JOIN sp ON sp.mode = o4.mode AND sp.wish = o4.wish AND sp.source = s.source WHERE s.text IS NOT NULL"""
+
+
+@query_of(_sql_older())
 def legacy_clauses(spark, sf_dir):
     """What the older builder asks of the index for each query, in the mode that it chooses."""
-    return strategy.clauses(strategy.as_legacy(service.planned(asked(spark, sf_dir))))
+    return strategy.clauses(strategy.as_legacy(service.planned(asked(spark, sf_dir)))).select(*CLAUSE_COLUMNS)
 
 
 def address_index(spark, sf_dir):
