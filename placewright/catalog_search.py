@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import service
@@ -795,6 +796,27 @@ def groups(spark, sf_dir):
     return both.select(F.floor(F.col("doc_id") / 200).alias("group"), F.col("quality").alias("label"), F.col("n_chars").alias("score"), F.col("doc_id").alias("tie"))
 
 
+def text_features(spark, sf_dir):
+    """(group, rank, doc_id, label, features): labelled documents by what their texts look like."""
+    both = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").where("quality is not null")
+    share = lambda p: F.regexp_count("text", F.lit(p)) / F.greatest(F.length("text"), F.lit(1))
+    seen = both.select(F.floor(F.col("doc_id") / 20).alias("group"), F.lit(1).alias("rank"), "doc_id", F.col("quality").cast("int").alias("label"),
+                       F.log1p(F.length("text").cast("double")).alias("length"), share("[0-9]").alias("digits"), share("[A-Z]").alias("capitals"), share(r"[^\p{L}\p{N}\s]").alias("symbols"), share(r"\s").alias("spaces"))
+    return seen, ["length", "digits", "capitals", "symbols", "spaces"]
+
+
+@query_of()
+def trained_ranking(spark, sf_dir):
+    """Labelled documents in groups, ordered by a ranker that was trained on four fifths of the groups, saved and loaded again."""
+    rows, names = text_features(spark, sf_dir)
+    rows = store.kept(learn.split(rows, group="group"), "features")
+    path = f"{store.shared_folder(spark)}/placewright-ranker-{uuid.uuid4().hex}"
+    learn.Bundle.of(learn.fit(rows.where("not validation"), names, "group"), names).save(spark, path)
+    scored_rows = learn.Bundle.load(spark, path).score(rows)
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.col("model_score").desc(), "doc_id"))
+    return scored_rows.select("group", "doc_id", "label", "validation", F.round("model_score", 6).alias("model_score"), place.alias("place"))
+
+
 _dcg = lambda c: f"sum(CASE WHEN {c} <= 10 THEN (pow(2, label) - 1) / log2({c} + 1) ELSE 0 END)"
 SQL_METRICS = {
     "ndcg_10": f"round({_dcg('p')} / CASE WHEN {_dcg('i')} = 0 THEN 1 ELSE {_dcg('i')} END, 6)",

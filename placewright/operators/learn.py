@@ -6,10 +6,13 @@ partitioning gives the same queries.
 
 from __future__ import annotations
 
+import json
+from dataclasses import dataclass
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import words
@@ -94,3 +97,35 @@ def save(model: LogisticRegressionModel, path: str) -> None:
 
 def load(path: str) -> LogisticRegressionModel:
     return PipelineModel.load(path).stages[0]
+
+
+@dataclass
+class Bundle:
+    """A linear model with the names that its weights belong to, so that it is never applied to others."""
+
+    features: list[str]
+    weights: list[float]
+
+    @staticmethod
+    def of(model: LogisticRegressionModel, features: list[str]) -> Bundle:
+        return Bundle(list(features), model.coefficients.toArray().tolist())
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        spark.createDataFrame([(json.dumps({"features": self.features, "weights": self.weights}),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> Bundle:
+        row = json.loads(spark.read.text(path).first()[0])
+        if len(row["features"]) != len(row["weights"]) or len(set(row["features"])) != len(row["features"]):
+            raise ValueError(f"{path} is no ranking model: {len(row['features'])} names, {len(row['weights'])} weights")
+        return Bundle(row["features"], row["weights"])
+
+    def missing(self, columns: list[str]) -> list[str]:
+        """Features that a table does not have."""
+        return [f for f in self.features if f not in set(columns)]
+
+    def score(self, rows: DataFrame, name: str = "model_score") -> DataFrame:
+        """``rows`` with the model's score by the names of the columns, whatever their order; null on every row where a feature is missing, so ranking goes without a model."""
+        if self.missing(rows.columns):
+            return rows.withColumn(name, F.lit(None).cast("double"))
+        return rows.withColumn(name, sum((F.lit(float(w)) * F.col(f"`{f}`").cast("double") for f, w in zip(self.features, self.weights)), F.lit(0.0)))
