@@ -12,6 +12,8 @@ from .catalog import ADDRESS, ASKED, BUILT, ORACLES, SQL_ADDRESS, SQL_HASH, WITH
 from .functions import similarity as S
 from .functions import text as X
 from .functions import words
+from .operators import places as tree
+from .operators import places as tree
 from .operators import entities, index, learn, metrics, query, rank, search, segments, store
 from .plans import strategy
 from .streaming import upsert
@@ -518,6 +520,13 @@ def geo_sort(spark, sf_dir):
     return service.nearby(points(spark, sf_dir).withColumn("distance", F.lit("40km")), index.Index(docs, docs, docs, docs)).select("query_id", "doc_id", "place")
 
 
+@query_of(NEAR + "SELECT query_id, doc_id, round(km, 6) AS km, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY km, doc_id) AS place FROM near) WHERE place <= 10")
+def geo_nearest(spark, sf_dir):
+    """The ten nearest places of each point, however far, from a tree whose cells hold 64 places at most."""
+    found = tree.nearest(points(spark, sf_dir), tree.build(places(spark, sf_dir), 64), 10)
+    return found.select("query_id", "doc_id", F.round("distance_km", 6).alias("km"), "place")
+
+
 HITS = "hit AS (SELECT CAST(floor(c_custkey / 100) AS BIGINT) AS query_id, c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 'h' || CAST(c_custkey % 7 AS STRING) END AS address_hash, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE c_mktsegment || '  ' || CAST(c_nationkey % 3 AS STRING) END AS full_address, round(c_acctbal / 100, 4) AS s FROM {customer}), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS INT) AS rank FROM hit)"
 
 

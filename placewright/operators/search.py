@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as X
+from . import places
 from .index import K1, B, Index
 from .store import kept
 
@@ -281,21 +282,9 @@ def radius_km(distance: Column) -> Column:
     return F.when(distance.endswith("km"), n).when(distance.rlike(r"^[\d.]+m$"), n / 1000)
 
 
-def within(points: DataFrame, docs: DataFrame, cell: float = 1.0) -> DataFrame:
-    """(query_id, doc_id, distance_km): documents (doc_id, lat, lon) in the radius of points (query_id, lat, lon, radius_km).
-
-    Points and documents meet in cells of ``cell`` degrees, each point in the
-    cells that its bounding box touches; only then is the distance taken.
-    """
-    dlat = F.col("radius_km") / 111.0
-    dlon = F.when(F.abs(F.col("lat")) + dlat < 89, F.col("radius_km") / (111.0 * F.cos(F.radians(F.abs(F.col("lat")) + dlat)))).otherwise(360.0)
-    rows = F.explode(F.sequence(F.floor((F.col("lat") - dlat) / cell), F.floor((F.col("lat") + dlat) / cell)))
-    whole = F.sequence(F.floor(F.lit(-180.0) / cell), F.floor(F.lit(180.0) / cell))
-    cols = F.when((dlon >= 180) | (F.col("lon") - dlon < -180) | (F.col("lon") + dlon > 180), whole).otherwise(F.sequence(F.floor((F.col("lon") - dlon) / cell), F.floor((F.col("lon") + dlon) / cell)))
-    p = points.withColumn("cy", rows).withColumn("cx", F.explode(cols)).select("query_id", F.col("lat").alias("plat"), F.col("lon").alias("plon"), "radius_km", "cy", "cx")
-    d = docs.select("doc_id", "lat", "lon", F.floor(F.col("lat") / cell).alias("cy"), F.floor(F.col("lon") / cell).alias("cx"))
-    out = p.join(d, ["cy", "cx"]).withColumn("distance_km", S.haversine(F.col("plat"), F.col("plon"), F.col("lat"), F.col("lon")))
-    return out.where("distance_km <= radius_km").select("query_id", "doc_id", "distance_km")
+def within(points: DataFrame, docs: DataFrame) -> DataFrame:
+    """(query_id, doc_id, distance_km): documents (doc_id, lat, lon) in the radius of points (query_id, lat, lon, radius_km)."""
+    return places.within(points, places.build(docs))
 
 
 def candidate_dedup(hits: DataFrame) -> DataFrame:
