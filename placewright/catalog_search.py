@@ -13,8 +13,7 @@ from .functions import similarity as S
 from .functions import text as X
 from .functions import words
 from .operators import places as tree
-from .operators import places as tree
-from .operators import entities, index, learn, metrics, query, rank, search, segments, store
+from .operators import entities, index, learn, metrics, query, rank, search, segments, store, trees
 from .plans import strategy
 from .streaming import upsert
 
@@ -826,6 +825,18 @@ def trained_ranking(spark, sf_dir):
     return scored_rows.select("group", "doc_id", "label", "validation", F.round("model_score", 6).alias("model_score"), place.alias("place"))
 
 
+@query_of()
+def boosted_ranking(spark, sf_dir):
+    """The same documents and groups by ten boosted trees, trained, saved and loaded again."""
+    rows, names = text_features(spark, sf_dir)
+    rows = store.kept(learn.split(rows, group="group"), "features")
+    path = f"{store.shared_folder(spark)}/placewright-forest-{uuid.uuid4().hex}"
+    trees.fit(rows.where("not validation"), names, "group", trees=10).save(spark, path)
+    place = F.row_number().over(Window.partitionBy("group").orderBy(F.col("model_score").desc(), "doc_id"))
+    scored_rows = trees.Forest.load(spark, path).score(rows)
+    return scored_rows.select("group", "doc_id", "label", "validation", F.round("model_score", 6).alias("model_score"), place.alias("place"))
+
+
 _dcg = lambda c: f"sum(CASE WHEN {c} <= 10 THEN (pow(2, label) - 1) / log2({c} + 1) ELSE 0 END)"
 SQL_METRICS = {
     "ndcg_10": f"round({_dcg('p')} / CASE WHEN {_dcg('i')} = 0 THEN 1 ELSE {_dcg('i')} END, 6)",
