@@ -103,13 +103,14 @@ def index_growth(spark, sf_dir):
 
 @query_of("SELECT user_id, event_id, ts, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events WHERE user_id IS NOT NULL) WHERE n = 1")
 def keyed_upsert(spark, sf_dir):
-    """The last event of each user, from a stream in batches of two files, one batch of which comes again and some of which come late."""
+    """The last event of each user, from a stream whose files arrive three times, one batch of which comes again and some of which come late."""
     events = table(spark, sf_dir, "events")
     folder = f"{store.shared_folder(spark)}/placewright-events-{uuid.uuid4().hex}"
-    events.repartition(6, "event_id").write.parquet(f"{folder}/in")
     held = upsert.UpsertTable(spark, f"{folder}/table", "user_id", ("ts", "event_id"))
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    held.run(stream, f"{folder}/state").awaitTermination()
+    for i in range(3):
+        events.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == i).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{folder}/in")
+        held.run(stream, f"{folder}/state").awaitTermination()
     held.compact()
     held.put(events.where("event_id % 2 = 0"), 7, "late")
     held.put(events.where("event_id % 2 = 0"), 7, "late")

@@ -1,12 +1,13 @@
 """Keyed upserts: the last version of each key, whatever is replayed or comes late.
 
-Each micro-batch is written, reduced to a row for each key, in a folder named by
+Each micro-batch is written as it comes, without a shuffle, in a folder named by
 its number, so a batch that is tried again writes over itself. Which version of
 a key is the last one is said by its ``order`` columns, not by when it came:
 taking the greater of two versions may be repeated and done in any order, so a
 replayed or reordered stream gives what one batch would. Reading takes the
 last version over all batches; compaction writes it down as a base, and says in
-a manifest, valid once it is whole, which batches the base has.
+a manifest, valid once it is whole, which batches the base has. Older versions
+take room until then.
 
 Defined cases: of versions of equal order the greatest row stays; rows without
 key are left out; a table without rows has none; a late version of an order
@@ -44,7 +45,7 @@ class UpsertTable:
 
     def put(self, rows: DataFrame, batch: int, source: str = "stream") -> None:
         """Take a batch in; the same number again changes nothing but to write it once more."""
-        latest(rows, self.key, self.order).write.mode("overwrite").parquet(f"{self.path}/batches/{source}-{batch:012d}")
+        rows.where(F.col(self.key).isNotNull()).write.mode("overwrite").parquet(f"{self.path}/batches/{source}-{batch:012d}")
 
     def sink(self, source: str = "stream") -> Callable[[DataFrame, int], None]:
         """What ``foreachBatch`` calls."""
