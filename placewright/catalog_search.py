@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from . import service
+from . import requests, service
 from .catalog import ADDRESS, ASKED, BUILT, ORACLES, SQL_ADDRESS, SQL_HASH, WITH, WITH_Q, addresses, asked, duck, query_of, quoted, scored, sql_indel, sql_key, sql_map, sql_words, table, view, _sql_quality
 from .functions import similarity as S
 from .functions import text as X
@@ -601,6 +601,20 @@ def legacy_clauses(spark, sf_dir):
     return strategy.clauses(strategy.as_legacy(service.planned(asked(spark, sf_dir)))).select(*CLAUSE_COLUMNS)
 
 
+REQUESTED = """SELECT c_custkey AS query_id, CASE WHEN c_custkey % 5 = 0 THEN NULL ELSE c_name END AS text, CASE c_custkey % 9 WHEN 0 THEN 'auto' WHEN 1 THEN 'phrase' WHEN 2 THEN 'locality' WHEN 3 THEN 'nearest' WHEN 4 THEN 'geospatial' WHEN 5 THEN 'hierarchical_admin' END AS strategy,
+CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE CAST(c_custkey % 130 AS INT) END AS size, CASE WHEN c_custkey % 6 = 1 THEN c_mktsegment WHEN c_custkey % 6 = 2 THEN '' END AS state, CASE WHEN c_custkey % 7 = 3 THEN CAST(100000 + c_custkey AS STRING) END AS pincode,
+CASE WHEN c_custkey % 11 = 5 THEN c_acctbal / 200 END AS lat, CASE WHEN c_custkey % 22 = 5 THEN c_acctbal / 90 END AS lon FROM {customer}"""
+
+
+@query_of(f"""WITH r AS ({duck(REQUESTED)}) SELECT query_id, concat_ws(',', CASE WHEN coalesce(strategy, 'auto') NOT IN ({", ".join(f"'{s}'" for s in strategy.STRATEGIES)}) THEN 'strategy' END, CASE WHEN coalesce(size, 20) < 1 OR coalesce(size, 20) > 100 THEN 'size' END) AS errors,
+CASE WHEN strategy IN ('exact', 'fuzzy', 'phrase', 'autocomplete', 'hierarchical_admin', 'hierarchical_pincode', 'geospatial') THEN strategy WHEN coalesce(strategy, 'auto') <> 'auto' THEN 'auto' WHEN lat IS NOT NULL AND lon IS NOT NULL THEN 'geospatial'
+ WHEN pincode <> '' THEN 'hierarchical_pincode' WHEN state <> '' THEN 'hierarchical_admin' ELSE 'auto' END AS older_strategy, CASE WHEN size IS NULL OR size <= 0 THEN 20 WHEN size > 100 THEN 100 ELSE size END AS size FROM r""")
+def request_check(spark, sf_dir):
+    """What is wrong with requests, and what the older service would run them as."""
+    r = store.kept(view(spark, sf_dir, REQUESTED), "requests")
+    return requests.checked(r).select("query_id", F.array_join("errors", ",").alias("errors")).join(requests.older_plan(r).select("query_id", F.col("strategy").alias("older_strategy"), "size"), "query_id")
+
+
 def address_index(spark, sf_dir):
     """The stored index of all addresses, an address once, with ranges."""
     return index.with_ranges(index.stored(index.build(store.kept(documents(spark, sf_dir).dropDuplicates(["doc_id"]), "addresses"))))

@@ -200,10 +200,10 @@ def legacy_mode(query: Column, filters: Column, lat: Column, lon: Column) -> Col
     )
 
 
-def as_legacy(plans: DataFrame, mode: str | None = None) -> DataFrame:
+def as_legacy(plans: DataFrame, mode: str | Column | None = None) -> DataFrame:
     """The plans as the older builder runs them: in the given mode, or the one that it chooses; places by radius stay as they are."""
     q, f = F.col("normalized_query"), F.col("filters")
-    chosen = F.lit(mode) if mode else legacy_mode(q, f, F.col("lat"), F.col("lon"))
+    chosen = mode if isinstance(mode, Column) else F.lit(mode) if mode else legacy_mode(q, f, F.col("lat"), F.col("lon"))
     intents = {m: legacy_intent(q, f, m) for m in ("exact", "phrase", "autocomplete", "pincode", "admin", "fuzzy")}
     intent = reduce(lambda out, m: F.when(chosen == m, intents[m]).otherwise(out), intents, F.lit("general"))
     return plans.withColumn("run_as", F.when(chosen == "geospatial", chosen).otherwise(F.concat(F.lit("legacy "), chosen, F.lit(" "), intent)))
