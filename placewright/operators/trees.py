@@ -84,7 +84,8 @@ def histogram(state: DataFrame, tree: dict[str, Any]) -> DataFrame:
 def best_splits(sums: DataFrame, ridge: float, least: float) -> DataFrame:
     """(node, G, H, feature, bin, gain): of each node the cut ``value's bin <= bin`` of the greatest gain, or nulls where none gains."""
     w = Window.partitionBy("node", "feature").orderBy("bin")
-    up = sums.withColumns({"gl": F.sum("g").over(w), "hl": F.sum("h").over(w)}).withColumns({"G": F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "H": F.sum("h").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    # Sums are as many as nodes, features and bins allow, whatever the data: one task sees them all, and nothing is dealt out again.
+    up = sums.repartition(1).withColumns({"gl": F.sum("g").over(w), "hl": F.sum("h").over(w)}).withColumns({"G": F.sum("g").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "H": F.sum("h").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
     part = lambda g, h: g * g / (h + ridge)
     gl, hl, G, H = (F.col(c) for c in ("gl", "hl", "G", "H"))
     # Sums of doubles differ in their last digits from run to run, so gains are compared rounded.
