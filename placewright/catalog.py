@@ -61,7 +61,8 @@ def duck(sql: str) -> str:
 
 
 def addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, ADDRESS)
+    # Spark writes doubles below 0.001 with an exponent, DuckDB does not.
+    return view(spark, sf_dir, ADDRESS).withColumns({c: X.plain_number(F.col(c)) for c in ("latitude", "longitude")})
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,6 +86,12 @@ def coordinate(c: Column, bound: float) -> Column:
     return F.when(number.between(-bound, bound), value)
 
 
+def plain_number(c: Column) -> Column:
+    """A number's text without exponent, digit by digit: ``7.0E-4`` to ``0.0007``; other texts as they are."""
+    written = F.regexp_replace(c.try_cast("decimal(38,25)").cast("string"), r"(\.\d+?)0+$", "$1")
+    return F.when(c.rlike(r"^-?\d+\.\d+E-?\d+$"), F.coalesce(written, c)).otherwise(c)
+
+
 def nullable_string(c: Column) -> Column:
     """A source cell: trimmed, collapsed, null-like to null, ``123.0`` to ``123``."""
     value = squeeze(c)
