@@ -33,3 +33,9 @@ def customers(spark, rows):
 def test_small_coordinates_have_no_exponent(spark, tmp_path):
     small = customers(spark, [(i, b) for i, b in enumerate((0.01, -0.02, 0.03, 0.07, -0.09, 0.1, 0.0, 9999.99, -999.85))])
     assert differences(spark, tmp_path, "coord_validate", customer=small) == []
+
+
+def test_the_first_of_equal_rows_is_by_serial_text(spark, tmp_path):
+    # Rows of these keys agree in all but the serial number, whose order as a text is not that of the number.
+    equal = customers(spark, [(1493800 * k, 0.05) for k in (50, 75, 25)] + [(1, 0.02)])
+    assert differences(spark, tmp_path, "row_dedup", customer=equal) == []
