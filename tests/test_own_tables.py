@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from placewright import catalog, catalog_search  # noqa: F401
+from placewright.operators import index, search
 
 SF = "/root/testdata/sf0.001"
 
@@ -39,3 +40,23 @@ def test_the_first_of_equal_rows_is_by_serial_text(spark, tmp_path):
     # Rows of these keys agree in all but the serial number, whose order as a text is not that of the number.
     equal = customers(spark, [(1493800 * k, 0.05) for k in (50, 75, 25)] + [(1, 0.02)])
     assert differences(spark, tmp_path, "row_dedup", customer=equal) == []
+
+
+@pytest.mark.parametrize("most", [1, 1 << 19])
+def test_postings_are_counted_in_any_slices(spark, monkeypatch, most):
+    rows = [(1, "a b a"), (1, "b c"), (2, ""), (None, "a"), (3, None), (4, "c " * 50), (None, "a d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    long = index.term_rows(docs.selectExpr("doc_id", "text"), ["text"], True).select("doc_id", "field", "dl", "term", "pos").toPandas()
+    monkeypatch.setattr(index, "MOST_WORDS", most)
+    want = {}
+    for r in long.itertuples():
+        want.setdefault((None if r.doc_id != r.doc_id else int(r.doc_id), r.term), []).append(r.pos)
+    parts = spark.createDataFrame(rows, "doc_id long, text string").repartition("doc_id").sortWithinPartitions("doc_id")
+    cut = parts.selectExpr("doc_id", "'text' field", "size(filter(split(coalesce(text, ''), ' '), x -> x <> '')) dl", "filter(split(coalesce(text, ''), ' '), x -> x <> '') terms").toArrow()
+    direct = {}
+    for size in (1, 2, 100):
+        got = [r for b in index._counted(cut.combine_chunks().to_batches(max_chunksize=size)) for r in b.to_pylist()]
+        direct[size] = sorted((str(r["doc_id"]), r["term"], r["tf"], tuple(r["positions"]), r["dl"]) for r in got)
+    assert direct[1] == direct[2] == direct[100]
+    got = {(r.doc_id, r.term): sorted(r.positions) for r in index.posting_rows(docs, ["text"], True).collect()}
+    assert got == {k: sorted(v) for k, v in want.items()} and got[1, "a"] == [0, 2] and got[1, "b"] == [0, 1]
