@@ -34,10 +34,13 @@ def saturation(tf: Column, dl: Column, avg_dl: Column) -> Column:
 def bm25(queries: DataFrame, index: Index, field: str, k: int = 10) -> DataFrame:
     """(query_id, doc_id, score, rank): the k best documents of each query's distinct terms in one field."""
     asked = queries.select("query_id", F.explode(F.array_distinct(X.analyze(F.col("text")))).alias("term"))
-    hits = asked.join(index.postings.where(F.col("field") == field), "term").join(index.terms.where(F.col("field") == field).drop("field"), "term")
+    # The postings of asked terms, written once: their number is a term's df, and a document's hits lie together.
+    wanted = asked.select("term").distinct()
+    own = kept(index.postings.where(F.col("field") == field).select("term", "doc_id", "tf", "dl").join(wanted, "term", "left_semi"), "asked")
     stats = index.fields.where(F.col("field") == field).select("n_docs", "avg_dl")
-    scored = hits.crossJoin(F.broadcast(stats))  # one row
-    total = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(idf(F.col("n_docs"), F.col("df")) * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))), 6).alias("score"))
+    df = own.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats))  # one row
+    known = kept(asked.join(df, "term").select("query_id", "term", idf(F.col("n_docs"), F.col("df")).alias("idf"), "avg_dl"), "known")
+    total = known.join(own, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("idf") * saturation(F.col("tf"), F.col("dl"), F.col("avg_dl"))), 6).alias("score"))
     return top(total, k)
 
 
