@@ -42,6 +42,49 @@ def test_the_first_of_equal_rows_is_by_serial_text(spark, tmp_path):
     assert differences(spark, tmp_path, "row_dedup", customer=equal) == []
 
 
+def clauses(spark, rows):
+    kinds = "query_id int, clause_id int, grp int, must boolean, kind string, field string, text string, boost double, tie double"
+    return spark.createDataFrame([(q, c, 1, True, kind, "text", t, 1.0, 0.0) for q, c, kind, t in rows], kinds)
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    texts = ["a b c d", "a c b", "a a b 0", "x 0", "b a", "", None, "a b", "d x 0 a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    return texts, index.stored(index.build(docs, ["text"], synonyms=False))
+
+
+def test_terms_and_phrases_meet_by_their_rarest_term(spark, small, monkeypatch):
+    texts, stored = small
+    written, tables = search.kept, {}
+    monkeypatch.setattr(search, "kept", lambda df, name: tables.setdefault(name, written(df, name)))
+    asked = ["a b", "x 0", "0", "a b c", "b a", "d", "q a", "a a"]
+    rows = [(i, c, kind, t) for i, t in enumerate(asked) for c, kind in enumerate(("term", "phrase"))]
+    got = {(r.query_id, r.clause_id, r.doc_id) for r in search.clause_scores(clauses(spark, rows), stored, slop=0, kinds=("term", "phrase")).collect()}
+    held = lambda t: f" {t or ''} "
+    want = {(i, 0, d) for i, q in enumerate(asked) for d, t in enumerate(texts) if set(q.split()) <= set(held(t).split())}
+    want |= {(i, 1, d) for i, q in enumerate(asked) for d, t in enumerate(texts) if f" {q} " in held(t)}
+    assert got == want
+    met = tables["met"].groupBy("kind", "query_id").count().collect()
+    assert sorted(r["count"] for r in met if r.kind == "phrase") == sorted([6, 2, 3, 3, 6, 2, 6])
+
+
+def test_equal_clauses_are_scored_once(spark, small, monkeypatch):
+    _, stored = small
+    scored, spots = search.scored_clauses, []
+    monkeypatch.setattr(search, "scored_clauses", lambda found, *rest: spots.append(found.count()) or scored(found, *rest))
+    many = clauses(spark, [(i, 0, "term", "a b") for i in range(300)] + [(300, 0, "prefix", "x"), (300, 1, "prefix", "x")])
+    got = search.clause_scores(many, stored, kinds=("term", "prefix"))
+    each = {}
+    for r in got.collect():
+        each.setdefault((r.query_id, r.clause_id), []).append((r.doc_id, round(r.score, 9)))
+    one = search.clause_scores(clauses(spark, [(0, 0, "term", "a b")]), stored, kinds=("term",)).collect()
+    want = sorted((r.doc_id, round(r.score, 9)) for r in one)
+    assert len(each) == 302 and all(sorted(each[i, 0]) == want for i in range(300)) and len(want) == 6
+    assert sorted(each[300, 0]) == sorted(each[300, 1]) == [(3, 1.0), (8, 1.0)]
+    assert spots[0] == 3  # a, b and the one word that begins with x
+
+
 @pytest.mark.parametrize("most", [1, 1 << 19])
 def test_postings_are_counted_in_any_slices(spark, monkeypatch, most):
     rows = [(1, "a b a"), (1, "b c"), (2, ""), (None, "a"), (3, None), (4, "c " * 50), (None, "a d")]
