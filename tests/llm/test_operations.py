@@ -364,6 +364,20 @@ def test_passages_of_frequent_fragments_are_brute_force(spark):
     assert {x for p in found for x in (p.doc_id, p.other_id)} == want
 
 
+def test_short_passages_of_frequent_fragments_are_brute_force(spark):
+    """Passages of 51 to 74 words, each 40 of which stand in earlier documents: single seeds and pairs of them are met there first."""
+    rows = {}
+    passages = [prose(51 + p % 24, 8000 + p).split() for p in range(48)]
+    for p, words in enumerate(passages):
+        for k in range(0, len(words) - 39, 4):
+            rows[len(rows)] = " ".join([prose(30, 9000 + len(rows)), *words[k : k + 40], prose(30, 12000 + len(rows))])
+    for p, words in enumerate(passages):
+        for k in range(2):
+            rows[10000 + 2 * p + k] = " ".join([prose(30, 15000 + 2 * p + k), *words, prose(30, 16000 + 2 * p + k)])
+    found = passage_dedup.passages(table(spark, rows)).collect()
+    assert {(p.other_id, p.doc_id) for p in found} >= {(10000 + 2 * p, 10001 + 2 * p) for p in range(48)}
+
+
 def test_upper_case_hex_keys_are_found(spark):
     key = "3F9A0C7E52B8D1464E0B93A7"
     rows = {1: f"key {key} end", 2: f"key {key.lower()[:22]} end", 3: "id 12345678901234567890 and " + "ABCDEF" * 4, 4: f"{key}g"}
