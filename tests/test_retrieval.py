@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placewright import service
-from placewright.operators import index, search
+from placewright.operators import index, parts, search
 from placewright.plans import strategy
 
 FIELDS = "doc_id string, address_hash string, full_address string, building_name string, road_name string, locality string, city_name string, state_name string, pincode string, quality_score double"
@@ -62,3 +62,25 @@ def test_beginnings_of_any_length(spark):
     got = {(r.asked_term, r.term) for r in search.prefix_terms(frame(wanted, "asked_term"), frame(terms, "term")).collect()}
     assert got == {(w, t) for w in wanted for t in terms if t.startswith(w)}
     assert search.prefix_terms(frame(["abcd"], "asked_term"), frame(terms, "term")).select(F.count("*")).first()[0] == 2
+
+
+def test_parts_of_documents_give_what_all_postings_do(spark, stored):
+    texts = ["rose tower 12 sector 7 pune", "lily hose", "sector 7", "pune", "main road agra", "pal", "zzzz", "rose rose tower", "hill road sector 3 nagpur 411007"]
+    asked = spark.createDataFrame([(10 * i + j, t, s) for i, t in enumerate(texts) for j, s in enumerate(["fuzzy", "phrase", "autocomplete", "office", "locality", "full_address", "pincode"])], "query_id int, text string, strategy string")
+    clauses = strategy.clauses(service.planned(asked)).cache()
+    docs = stored.docs.select("doc_id", F.col("quality_score").alias("q"))
+    norm = index.K1 * (1 - index.B + index.B * F.col("dl") / F.col("avg_dl"))
+    got = parts.best(clauses, lambda c: search.asked_terms(c, stored), stored.postings, docs, norm, 10_000)
+    rows = lambda df: {(r.query_id, r.doc_id): round(r.text_score, 6) for r in df.collect()}
+    whole = rows(search.combined(search.clause_scores(clauses, stored), clauses, "doc_id"))
+    assert rows(got) == pytest.approx(whole, abs=2e-6) and len(whole) > 10_000
+    few = parts.best(clauses, lambda c: search.asked_terms(c, stored), stored.postings, docs, norm, 3)
+    assert rows(few).items() <= rows(got).items() and 0 < few.count() < len(whole) / 10
+
+
+def test_equal_queries_are_answered_once(spark):
+    asked = spark.createDataFrame([(1, "pune", None), (2, "pune", None), (3, "pune", "city"), (4, None, None), (5, None, None), (6, "agra", None)], "query_id int, text string, strategy string")
+    distinct, same = service.once(asked)
+    assert sorted(r.query_id for r in distinct.collect()) == [1, 3, 4, 6]
+    answers = distinct.select("query_id", F.coalesce("text", F.lit("none")).alias("found"))
+    assert sorted(map(tuple, service.for_all(answers, same).collect())) == [(1, "pune"), (2, "pune"), (3, "pune"), (4, "none"), (5, "none"), (6, "agra")]
