@@ -15,6 +15,7 @@ from .functions import words
 from .operators import places as tree
 from .operators import entities, index, learn, metrics, query, rank, search, segments, store, trees
 from .plans import strategy
+from .session import spread
 from .streaming import upsert
 
 # --- Index ------------------------------------------------------------------------------------------------------
@@ -689,7 +690,7 @@ PAIRS = "pr AS (SELECT x.p_partkey AS id, x.p_name AS a, y.p_name || CASE WHEN x
 
 
 def pairs(spark, sf_dir):
-    return spark.sql("WITH " + PAIRS + " SELECT * FROM pr", part=table(spark, sf_dir, "part"))
+    return spread(spark.sql("WITH " + PAIRS + " SELECT * FROM pr", part=table(spark, sf_dir, "part")), "id")
 
 
 _norm = lambda c: f"array_to_string({sql_words(c)}, ' ')"
@@ -738,7 +739,7 @@ FITTED = "fp AS (SELECT id, a AS locality, b AS city, CASE WHEN id % 2 = 0 THEN
 
 
 def fitted(spark, sf_dir):
-    df = spark.sql("WITH " + PAIRS + ", " + FITTED + " SELECT * FROM fp", part=table(spark, sf_dir, "part"))
+    df = spread(spark.sql("WITH " + PAIRS + ", " + FITTED + " SELECT * FROM fp", part=table(spark, sf_dir, "part")), "id")
     none = F.lit(None).cast("string")
     e = F.struct("locality", "city", "building_name", "pincode", none.alias("office_name"), none.alias("road_name"), none.alias("district"), none.alias("state"))
     return df.select("id", e.alias("entities"), F.col("c_locality").alias("locality"), F.col("c_city").alias("city_name"), F.col("c_building").alias("building_name"), F.col("c_pincode").alias("pincode"), "full_address")
@@ -773,7 +774,7 @@ SELECT id, round(least(1.0, greatest(0.0, CAST(CASE WHEN q_locality IS NULL THEN
 @query_of(sql_fit())
 def entity_fit_mixed(spark, sf_dir):
     """Entity fit where queries have some of the entities, of candidates that differ from them."""
-    df = spark.sql("WITH " + PAIRS + ", " + MIXED + " SELECT * FROM mx", part=table(spark, sf_dir, "part"))
+    df = spread(spark.sql("WITH " + PAIRS + ", " + MIXED + " SELECT * FROM mx", part=table(spark, sf_dir, "part")), "id")
     none = F.lit(None).cast("string")
     named = {"locality": "q_locality", "city": "q_city", "building_name": "q_building", "office_name": "q_office", "road_name": "q_road", "pincode": "q_pincode"}
     e = F.struct(*[F.col(c).alias(k) for k, c in named.items()], none.alias("district"), none.alias("state"))

@@ -1,20 +1,24 @@
 """Similarity of short texts as column functions.
 
 ``ratio`` is the normalised indel similarity 2 * LCS / (length + length), which
-Spark has not; the longest common subsequence is a fold over characters, so it
-stays in the JVM but is interpreted: use it on retrieved pairs, not on cross
-products.
+Spark has not; the longest common subsequences of a batch of pairs are worked
+out together in arrays, equal pairs once: use it on retrieved pairs, not on
+cross products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import re
+from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Bits of a number in use: a sum of two and a carry stay below the sign.
-WORD = 61
+#: Characters of a table of pairs that is worked on at a time, but for a longer pair.
+MOST = 1 << 21
 
 
 def normalize(c: Column) -> Column:
@@ -26,105 +30,151 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is worked out once, however often it is named."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def _table(texts: Sequence[str], pad: int) -> np.ndarray:
+    """Code points of texts, a row each, filled up with ``pad``."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out = np.full((len(texts), max(int(size.max(initial=0)), 1)), pad, np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = points
+    return out
 
 
-def lcs(a: Column, b: Column) -> Column:
-    """Length of the longest common subsequence.
+def _shared(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of pairs.
 
-    Bit-parallel: the places of the right text are bits of ``WORD``-bit numbers,
-    all set at first; each character of the left text adds the places it matches,
-    and as many bits are cleared as the subsequence is long.
+    Bit-parallel: the places of the right text are bits of words, all set at first;
+    each character of the left text adds the places that it matches, and as many
+    bits are cleared as the subsequence is long.
     """
-    zero, none = F.lit(0).cast("long"), F.expr("cast(array() as array<bigint>)")
-    words = F.transform(F.sequence(F.lit(0), F.length(b) - 1, F.lit(WORD)), lambda at: F.slice(F.split(b, ""), at + 1, WORD))
-    texts = F.struct(F.split(a, "").alias("left"), words.alias("words"))
-
-    def places(t: Column) -> Column:
-        """For each character of the left text, where it stands in the right one."""
-        bits = lambda c: F.transform(t["words"], lambda w: F.aggregate(F.reverse(w), zero, lambda m, y: m * 2 + F.when(y == c, 1).otherwise(0)))
-        every = F.transform(t["words"], lambda w: F.aggregate(w, zero, lambda m, _: m * 2 + 1))
-        seen = F.array_distinct(t["left"])
-        return F.struct(t["left"].alias("left"), every.alias("every"), F.map_from_arrays(seen, F.transform(seen, bits)).alias("bits"))
-
-    def folded(t: Column) -> Column:
-        def step(rest: Column, c: Column) -> Column:
-            def word(s: Column, v: Column) -> Column:
-                k = F.size(s["rest"])
-                m = F.get(F.element_at(t["bits"], c), k)
-                total = v + v.bitwiseAND(m) + s["carry"]
-                cleared = total.bitwiseOR(v.bitwiseAND(F.bitwise_not(m))).bitwiseAND(F.get(t["every"], k))
-                return F.struct(F.shiftright(total, WORD).alias("carry"), F.concat(s["rest"], F.array(cleared)).alias("rest"))
+    x, y = _table(left, 0xFFFFFFFF), _table(right, 0xFFFFFFFE)
+    width = -(-y.shape[1] // 64) * 64
+    y = np.pad(y, ((0, 0), (0, width - y.shape[1])), constant_values=0xFFFFFFFE)
+    rest = np.full((len(left), width // 64), ~np.uint64(0))
+    for i in range(x.shape[1]):
+        match = np.packbits(y == x[:, i : i + 1], axis=1, bitorder="little").view(np.uint64)
+        carry = np.zeros(len(left), np.uint64)
+        for w in range(match.shape[1]):
+            v, m = rest[:, w].copy(), match[:, w]
+            added = v + (v & m)
+            over = added < v
+            total = added + carry
+            carry = (over | (total < added)).astype(np.uint64)
+            rest[:, w] = total | (v & ~m)
+    return width - np.bitwise_count(rest).sum(axis=1).astype(np.int64)
+
+
+def shared_of(pairs: list[tuple[str, str]]) -> np.ndarray:
+    """The same for pairs of any lengths: those of like length together, in tables of bounded size."""
+    cost = np.fromiter((max(len(x), len(y), 1) for x, y in pairs), np.int64, len(pairs))
+    order, out, begin = np.argsort(cost, kind="stable"), np.zeros(len(pairs), np.int64), 0
+    while begin < len(order):
+        end = begin + 1
+        while end < len(order) and (end - begin + 1) * (int(cost[order[end]]) + 64) <= MOST:
+            end = min(len(order), end + 256)
+        own = order[begin:end]
+        out[own] = _shared([pairs[i][0] for i in own], [pairs[i][1] for i in own])
+        begin = end
+    return out
+
+
+def indels(pairs: list[tuple[str, str]]) -> list[float]:
+    """2 * LCS / (length + length) of each pair, 1 for equal texts."""
+    unlike = {p for p in pairs if p[0] != p[1]}
+    asked = list(unlike)
+    known = {p: 2.0 * n / (len(p[0]) + len(p[1])) for p, n in zip(asked, shared_of(asked).tolist())}
+    return [known.get(p, 1.0) for p in pairs]
+
+
+def most(rows: list[list[tuple[str, str]]]) -> pd.Series:
+    """The greatest indel similarity of each row's pairs, 0 for none."""
+    values = iter(indels([p for row in rows for p in row]))
+    return pd.Series([max((next(values) for _ in row), default=0.0) for row in rows], dtype="float64")
+
+
+# Inputs of these hold no lambda functions: Spark does not always find such a call again where it is used twice.
+@F.pandas_udf(T.DoubleType())
+def _indel(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Indel similarity, 0 for nulls."""
+    return most([[(x, y)] if x is not None and y is not None else [] for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.DoubleType())
+def _indel_of_any(values: pd.Series, b: pd.Series) -> pd.Series:
+    """The greatest indel similarity of a normal text with any of the texts of an array, 0 for nulls."""
+    return most([[(" ".join(re.findall("[a-z0-9]+", v.lower())), y) for v in vs if v] if vs is not None and y is not None else [] for vs, y in zip(values, b)])
+
+
+@F.pandas_udf(T.DoubleType())
+def _indel_of_sets(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The best of common words, common and left words, common and right words of two sets, 0 for empty ones or nulls."""
+
+    def pairs(x: set[str], y: set[str]) -> list[tuple[str, str]]:
+        common, left, right = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+        if common and not (left and right):
+            return [(common, common)]
+        whole = f"{common} {left}".strip(" "), f"{common} {right}".strip(" ")
+        return [whole, (common, whole[0]), (common, whole[1])] if common else [whole]
+
+    return most([pairs(set(x), set(y)) if x is not None and y is not None and len(x) and len(y) else [] for x, y in zip(a, b)])
+
+
+@F.pandas_udf(T.DoubleType())
+def _best_window(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The best indel similarity of the shorter text with any window of its length in the longer, windows cut at the edges included; 0 for nulls."""
+    asked = [(x, y) if len(x) <= len(y) else (y, x) for x, y in ((x or "", y or "") for x, y in zip(a, b))]
+    known = {(s, t): float(not t) if not s else 1.0 for s, t in asked if s in t}
+    rest = [p for p in dict.fromkeys(asked) if p not in known]
+    for begin in range(0, len(rest), 512):
+        own = rest[begin : begin + 512]
+        windows = [[(s, w) for w in {*(t[:j] for j in range(1, len(s))), *(t[i : i + len(s)] for i in range(len(t)))}] for s, t in own]
+        values = iter(indels([p for ws in windows for p in ws]))
+        known |= {p: max(next(values) for _ in ws) for p, ws in zip(own, windows)}
+    return pd.Series([known[p] for p in asked], dtype="float64").where(a.notna() & b.notna(), 0.0)
+
+
+@F.pandas_udf(T.LongType())
+def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series(shared_of([(x or "", y or "") for x, y in zip(a, b)]), dtype="int64")
 
-            return F.aggregate(rest, F.struct(zero.alias("carry"), none.alias("rest")), word)["rest"]
 
-        rest = F.aggregate(t["left"], t["every"], step)
-        return F.length(b) - F.aggregate(rest, F.lit(0), lambda n, v: n + F.bit_count(v))
-
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0).otherwise(once(once(texts, places), folded))
+def lcs(a: Column, b: Column) -> Column:
+    """Length of the longest common subsequence."""
+    return F.when(a.isNotNull() & b.isNotNull(), _lcs(a, b))
 
 
 def indel(a: Column, b: Column) -> Column:
-    """2 * LCS / (length + length) of two texts as they are; equal texts need no table."""
+    """2 * LCS / (length + length) of two texts as they are."""
+    return F.when(a.isNotNull() & b.isNotNull(), _indel(a, b))
 
-    def share(t: Column) -> Column:
-        x, y = t["x"], t["y"]
-        return F.when(x == y, 1.0).otherwise(2.0 * lcs(x, y) / (F.length(x) + F.length(y)))
 
-    return once(F.struct(a.alias("x"), b.alias("y")), share)
+def some(a: Column) -> Column:
+    """Whether there is a text."""
+    return F.length(F.coalesce(a, F.lit(""))) > 0
 
 
-def both(a: Column, b: Column, value: Column) -> Column:
-    """0 where either side is null or empty."""
-    return F.when((F.length(F.coalesce(a, F.lit(""))) == 0) | (F.length(F.coalesce(b, F.lit(""))) == 0), 0.0).otherwise(value)
+def ratio(a: Column, b: Column) -> Column:
+    return _indel(F.when(some(a) & some(b), normalize(a)), normalize(b))
 
 
-def ratio(a: Column, b: Column) -> Column:
-    return both(a, b, indel(normalize(a), normalize(b)))
+def best_ratio(values: Column, b: Column) -> Column:
+    """The greatest ratio of a text with any of an array, 0 for none."""
+    return _indel_of_any(values, F.when(some(b), normalize(b)))
 
 
 def partial_ratio(a: Column, b: Column) -> Column:
     """The best ratio of the shorter text with any window of its length in the longer, windows cut at the edges included."""
-
-    def best(t: Column) -> Column:
-        short, long = t["short"], t["long"]
-        n = F.length(short)
-        windows = F.transform(F.sequence(F.lit(2) - n, F.length(long)), lambda i: F.substr(long, F.greatest(i, F.lit(1)), F.least(i, F.lit(1)) + n - 1))
-        most = F.array_max(F.transform(F.array_distinct(windows), lambda w: indel(short, w)))
-        return F.when(n == 0, F.when(F.length(long) == 0, 1.0).otherwise(0.0)).when(long.contains(short), 1.0).otherwise(most)
-
-    def ordered(t: Column) -> Column:
-        less = F.length(t["x"]) <= F.length(t["y"])
-        return F.struct(F.when(less, t["x"]).otherwise(t["y"]).alias("short"), F.when(less, t["y"]).otherwise(t["x"]).alias("long"))
-
-    return both(a, b, once(once(F.struct(normalize(a).alias("x"), normalize(b).alias("y")), ordered), best))
+    both_some = some(a) & some(b)
+    return _best_window(F.when(both_some, normalize(a)), F.when(both_some, normalize(b)))
 
 
 def token_sort_ratio(a: Column, b: Column) -> Column:
     join = lambda c: F.array_join(F.array_sort(tokens(c)), " ")
-    return both(a, b, indel(join(a), join(b)))
+    return _indel(F.when(some(a) & some(b), join(a)), join(b))
 
 
 def token_set_ratio(a: Column, b: Column) -> Column:
     """The best of common words, common and left words, common and right words; 1 if one set holds the other."""
-    join = lambda s, t: F.trim(F.concat(s, F.lit(" "), t))
-
-    def parts(t: Column) -> Column:
-        named = {"common": F.array_intersect(t["x"], t["y"]), "left": F.array_except(t["x"], t["y"]), "right": F.array_except(t["y"], t["x"])}
-        return F.struct(((F.size(t["x"]) == 0) | (F.size(t["y"]) == 0)).alias("none"), *[F.array_join(F.array_sort(v), " ").alias(k) for k, v in named.items()])
-
-    def best(t: Column) -> Column:
-        common, left, right = t["common"], t["left"], t["right"]
-        with_left, with_right = join(common, left), join(common, right)
-        pairs = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((with_left, with_right), (common, with_left), (common, with_right))])
-        most = F.array_max(F.transform(F.when(common == "", F.slice(pairs, 1, 1)).otherwise(pairs), lambda p: indel(p["x"], p["y"])))
-        contained = (common != "") & ((left == "") | (right == ""))
-        return F.when(t["none"], 0.0).when(contained, 1.0).otherwise(most)
-
-    words = F.struct(F.array_distinct(tokens(a)).alias("x"), F.array_distinct(tokens(b)).alias("y"))
-    return both(a, b, once(once(words, parts), best))
+    return _indel_of_sets(F.when(some(a) & some(b), F.array_distinct(tokens(a))), F.array_distinct(tokens(b)))
 
 
 def common_tokens(a: Column, b: Column) -> Column:

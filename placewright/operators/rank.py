@@ -58,7 +58,7 @@ def locality_similarity(asked: Column, found: Column) -> Column:
     """Ratio and common beginning of the best spelling."""
     variants = locality_variants(asked)
     prefix = F.greatest(S.prefix_affinity(asked, found), best(variants, lambda v: S.prefix_affinity(v, found)))
-    value = 0.55 * best(variants, lambda v: S.ratio(v, found)) + 0.45 * prefix
+    value = 0.55 * S.best_ratio(variants, found) + 0.45 * prefix
     return F.when((F.coalesce(asked, F.lit("")) == "") | (F.coalesce(found, F.lit("")) == ""), 0.0).otherwise(F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0)))
 
 
@@ -73,11 +73,11 @@ def with_entity_fit(pairs: DataFrame, name: str = "entity_fit") -> DataFrame:
     only = lambda k, value: F.when(has(k), value).otherwise(0.0)
     cities = locality_variants(e["city"])
     parts = {
-        "_address": only("locality", best(locality_variants(e["locality"]), lambda v: S.ratio(v, col("full_address")))),
+        "_address": only("locality", S.best_ratio(locality_variants(e["locality"]), col("full_address"))),
         "_locality": only("locality", locality_similarity(e["locality"], col("locality"))),
         **{f"_office_{c}": only("office_name", S.ratio(e["office_name"], col(c))) for c in ("office_name", "building_name", "full_address")},
-        "_city": only("city", best(cities, lambda v: S.ratio(v, col("city_name")))),
-        "_district": only("city", best(cities, lambda v: S.ratio(v, col("district_name")))),
+        "_city": only("city", S.best_ratio(cities, col("city_name"))),
+        "_district": only("city", S.best_ratio(cities, col("district_name"))),
         **{f"_building_{c}": only("building_name", S.ratio(e["building_name"], col(c))) for c in ("building_name", "full_address")},
         **{f"_road_{c}": only("road_name", S.ratio(e["road_name"], col(c))) for c in ("road_name", "full_address")},
     }

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 
@@ -22,3 +22,8 @@ def ship(spark: SparkSession) -> SparkSession:
         context.addPyFile(str(path))
         context._placewright_sent = True
     return spark
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """The same rows dealt to as many tasks as there are shuffle partitions: for small rows with much to work out, which few tasks would read."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,13 +2,14 @@
 
 import importlib
 import os
+import random
 import unicodedata
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from placewright import catalog, catalog_search, service
+from placewright import catalog, catalog_search, service, session
 from placewright.functions import similarity as S
 from placewright.functions import text as X
 from placewright.operators import clean, entities, index, ingest, metrics, query, search
@@ -306,3 +307,27 @@ def test_index_is_written_and_read(spark, places, tmp_path):
     queries = spark.createDataFrame([(1, "hinjewadi")], "query_id int, text string")
     key = lambda ix: sorted(tuple(r) for r in search.bm25(queries, ix, "full_address").collect())
     assert key(stored) == key(places) != []
+
+
+def test_similarities_of_many_pairs(spark):
+    """Against the definition, over lengths on both sides of a word of bits, equal texts, empty ones and nulls; shared out over tasks, and found again where they are used twice."""
+    r = random.Random(3)
+    text = lambda: "".join(r.choice("ab c1é") for _ in range(r.choice([0, 1, 5, 63, 64, 65, 130])))
+    rows = [(i, text(), text()) for i in range(150)] + [(150, "same text", "same text"), (151, None, "x"), (152, "x" * 3000, "yx" * 2000)]
+    df = spark.createDataFrame(rows, "id int, a string, b string").repartition(3)
+
+    def shared(x, y):
+        row = [0] * (len(y) + 1)
+        for c in x:
+            new = [0]
+            for j, d in enumerate(y):
+                new.append(row[j] + 1 if c == d else max(row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    want = {i: None if a is None else 1.0 if a == b else 2 * shared(a, b) / (len(a) + len(b)) for i, a, b in rows}
+    got = df.withColumn("s", S.indel(F.col("a"), F.col("b"))).select("id", "s", F.when(F.col("s") > 0.5, F.col("s")).otherwise(F.col("s") / 2).alias("t"))
+    assert {x.id: x.s for x in got.collect()} == pytest.approx(want)
+    words = df.select("id", S.best_ratio(F.array("a", F.lit("same text")), F.col("b")).alias("m"), S.ratio(F.col("a"), F.col("b")).alias("x"), S.ratio(F.lit("same text"), F.col("b")).alias("y"))
+    assert all(x.m == max(x.x, x.y) for x in words.collect())
+    assert session.spread(spark.range(100), "id").rdd.getNumPartitions() == 4
