@@ -7,6 +7,7 @@ partitioning gives the same queries.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -28,17 +29,27 @@ def sample(df: DataFrame, n: int, seed: int = 42, id_: str = "doc_id") -> DataFr
     return df.orderBy(F.xxhash64(F.col(id_).cast("string"), F.lit(seed)), id_).limit(n)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def typo(text: Column, id_: Column, seed: int) -> Column:
     """A character left out of, or two swapped in, one word of four letters or more."""
-    tokens = F.split(text, " ")
-    long = F.filter(F.transform(tokens, lambda t, i: F.when(F.length(t) >= 4, i)), lambda i: i.isNotNull())
-    i = F.get(long, F.floor(draw(id_, "word", seed) * F.size(long)).cast("int"))
-    word = F.get(tokens, i)
-    at = F.floor(draw(id_, "place", seed) * (F.length(word) - 1)).cast("int") + 1
-    cut = F.concat(F.substr(word, F.lit(1), at - 1), F.substr(word, at + 1))
-    swap = F.concat(F.substr(word, F.lit(1), at - 1), F.substr(word, at + 1, F.lit(1)), F.substr(word, at, F.lit(1)), F.substr(word, at + 2))
-    new = F.when(draw(id_, "kind", seed) < 0.5, cut).otherwise(swap)
-    return F.when(F.size(long) > 0, F.array_join(F.transform(tokens, lambda t, k: F.when(k == i, new).otherwise(t)), " ")).otherwise(text)
+
+    def changed(tokens: Column, i: Column, word: Column) -> Column:
+        at = F.floor(draw(id_, "place", seed) * (F.length(word) - 1)).cast("int") + 1
+        cut = F.concat(F.substr(word, F.lit(1), at - 1), F.substr(word, at + 1))
+        swap = F.concat(F.substr(word, F.lit(1), at - 1), F.substr(word, at + 1, F.lit(1)), F.substr(word, at, F.lit(1)), F.substr(word, at + 2))
+        new = F.when(draw(id_, "kind", seed) < 0.5, cut).otherwise(swap)
+        return F.array_join(F.concat(F.slice(tokens, 1, i), F.array(new), F.slice(tokens, i + 2, F.size(tokens))), " ")
+
+    def chosen(tokens: Column) -> Column:
+        long = F.filter(F.transform(tokens, lambda t, i: F.when(F.length(t) >= 4, i)), lambda i: i.isNotNull())
+        place = once(long, lambda ks: F.get(ks, F.floor(draw(id_, "word", seed) * F.size(ks)).cast("int")))
+        return once(place, lambda i: F.when(i.isNotNull(), once(F.get(tokens, i), lambda word: changed(tokens, i, word))).otherwise(text))
+
+    return once(F.split(text, " "), chosen)
 
 
 def synthetic_queries(docs: DataFrame, seed: int = 42) -> DataFrame:

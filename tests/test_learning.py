@@ -51,3 +51,16 @@ def test_a_model_counts_only_without_entities(spark):
     first = lambda d: {r.query_id: r.doc_id for r in d.where("place = 1").collect()}
     assert first(rank.rank(df, "model_score")) == {1: "d2", 2: "d1"}
     assert first(rank.rank(df.withColumn("model_score", F.lit(None).cast("double")), "model_score")) == first(rank.rank(df)) == {1: "d1", 2: "d1"}
+
+
+def test_typos_are_worked_out_once(spark):
+    """One character is lost or two are swapped in one word of four letters or more; the text is named a bounded number of times, however many words there are."""
+    rows = [(i, t) for i, t in enumerate(["main road pune", "a bc def", "", None, "hill station road sector seven"] * 40)]
+    df = spark.createDataFrame(rows, "id int, text string").select("id", "text", learn.typo(F.col("text"), F.col("id"), 7).alias("new"))
+    for r in df.collect():
+        if r.text in ("a bc def", "", None):
+            assert r.new == r.text
+            continue
+        (old, new), = [(a, b) for a, b in zip(r.text.split(" "), r.new.split(" ")) if a != b] or [("same", "same")]
+        assert len(old) >= 4 and (len(new) == len(old) - 1 or sorted(new) == sorted(old)) and len(r.text.split(" ")) == len(r.new.split(" "))
+    assert len(learn.typo(F.col("text"), F.col("id"), 7)._jc.toString().split("split(")) == 2
