@@ -67,3 +67,10 @@ def test_a_commit_without_manifest_is_not_there(spark, grown):
     grown.append(table(spark, [("x", "one", "a")]))
     grown._write_segment(9, table(spark, [("y", "two", "b")]), None)
     assert [r.doc_id for r in grown.open().docs.collect()] == ["x"]
+
+
+def test_counts_of_what_goes_move_documents_not_words(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a", 1), (1, "b c", 3), (2, "b", 3), (3, None, 1)], "doc_id int, text string, segment int")
+    fields, terms = segments.GrowingIndex(spark, f"file://{tmp_path}/none", ("text",), synonyms=False)._counts(docs, None, -1)
+    assert sorted((r.segment, r.term, r.df) for r in terms.collect()) == [(1, "a", -1), (1, "b", -1), (3, "b", -2), (3, "c", -1)]
+    assert terms._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2
