@@ -84,3 +84,22 @@ def test_equal_queries_are_answered_once(spark):
     assert sorted(r.query_id for r in distinct.collect()) == [1, 3, 4, 6]
     answers = distinct.select("query_id", F.coalesce("text", F.lit("none")).alias("found"))
     assert sorted(map(tuple, service.for_all(answers, same).collect())) == [(1, "pune"), (2, "pune"), (3, "pune"), (4, "none"), (5, "none"), (6, "agra")]
+
+
+def test_a_query_meets_few_parts_whatever_the_partitions(spark, stored):
+    for docs, tasks in ((0, 1), (1500, 4), (15_000, 36), (15_000, 200), (900_000, 36), (10_000_000, 200)):
+        n, blocks = parts.grid(docs, tasks)
+        assert n * parts.PART_DOCS >= docs and tasks <= n * blocks <= max(2 * tasks + n, n)
+        assert n <= max(-(-docs // parts.PART_DOCS), tasks**0.5 + 1)
+    asked = spark.createDataFrame([(i, f"rose tower {i}") for i in range(40)], "query_id int, text string")
+    clauses = strategy.clauses(service.planned(asked.withColumn("strategy", F.lit("fuzzy")))).cache()
+    docs = stored.docs.select("doc_id", F.col("quality_score").alias("q"))
+    best = lambda: sorted(map(tuple, parts.best(clauses, lambda c: search.asked_terms(c, stored), stored.postings, docs, F.lit(1.0), 5).select("query_id", "doc_id", F.round(F.col("text_score") + 0.05 * F.col("q"), 6)).collect()))
+    few = best()
+    spark.conf.set("spark.sql.shuffle.partitions", 9)
+    try:
+        more = best()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    top = lambda rows: {(q, d) for q in range(40) for _, d in sorted((-s, d) for x, d, s in rows if x == q)[:5]}
+    assert top(few) == top(more) and len({q for q, *_ in few}) == 40
