@@ -62,12 +62,21 @@ class UpsertTable:
         row = json.loads(self.spark.read.text(f"{self.path}/manifest/{done[-1]}").first()[0])
         return int(done[-1]), row["base"], set(row["batches"])
 
-    def read(self) -> DataFrame | None:
-        """The last version of each key; None before anything came."""
+    def versions(self) -> DataFrame | None:
+        """All versions that are there, without a shuffle; None before anything came."""
         _, base, within = self._manifest()
         paths = [f"{self.path}/batches/{b}" for b in folders(self.spark, f"{self.path}/batches") if b not in within]
         parts = [self.spark.read.parquet(p) for p in ([f"{self.path}/{base}"] if base else []) + paths]
-        return latest(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), self.key, self.order) if parts else None
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
+
+    def read(self) -> DataFrame | None:
+        """The last version of each key; None before anything came."""
+        every = self.versions()
+        return None if every is None else latest(every, self.key, self.order)
+
+    def batch(self, batch: int, source: str = "stream") -> DataFrame:
+        """What was put in as that batch."""
+        return self.spark.read.parquet(f"{self.path}/batches/{source}-{batch:012d}")
 
     def compact(self) -> None:
         """Write what is there down as the base. A batch of a base that is tried again later is not read again: it is the same."""

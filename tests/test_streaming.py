@@ -32,3 +32,17 @@ def test_any_split_is_preprocessing(spark, tmp_path, seed):
     key = lambda d: sorted(map(str, (tuple(x) for x in d.select(sorted(want.columns)).collect())))
     assert key(got) == key(want)
     assert got.where(F.col("state_name").isNull()).count() < len(rows)
+
+
+def test_a_row_is_cleaned_once_and_on_all_tasks(spark, tmp_path, monkeypatch):
+    seen = []
+    cleaned = clean.cleaned
+    monkeypatch.setattr(clean, "cleaned", lambda df, text: seen.append((df.count(), len([n for n in df.select(F.spark_partition_id().alias("p")).distinct().collect()]))) or cleaned(df, text))
+    held = ingest.Preprocessing(spark, str(tmp_path), "ord")
+    for i in range(3):
+        rows = [(f"s{i}-{j}", f"rose {j}", "main rd", str(j % 3), "goa" if i == 2 and j == 1 else None, "411001", "x", 1000 * i + j) for j in range(200)]
+        held.put(spark.createDataFrame(rows, SCHEMA).coalesce(1), i)
+    assert [n for n, _ in seen] == [200, 200, 200]
+    assert all(parts > 1 for _, parts in seen)
+    got = held.read()
+    assert got.where("state_code = '1'").select("state_name").distinct().first()[0] == "Goa" and got.where("state_code <> '1' and state_name is not null").count() == 0
