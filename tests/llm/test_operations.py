@@ -216,6 +216,13 @@ def test_suffix_dedup_is_brute_force(spark, hot):
     assert got == expected
 
 
+def test_suffix_dedup_without_any_repeated_window(spark):
+    shared = prose(120, 998).replace("é", "e")[:399]
+    rows = {k: f"{prose(30, k)}{k}{shared}{k}{prose(30, k + 100)}" for k in range(8)}
+    got = {r.doc_id: (bytes(r.kept).decode(), r.spans) for r in suffix_dedup.dedup(table(spark, rows)).collect()}
+    assert got == {k: (t, []) for k, t in rows.items()}
+
+
 def test_suffix_sort_is_sorted():
     r = random.Random(3)
     items = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 40))) for _ in range(200)]
