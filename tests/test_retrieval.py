@@ -103,3 +103,17 @@ def test_a_query_meets_few_parts_whatever_the_partitions(spark, stored):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     top = lambda rows: {(q, d) for q in range(40) for _, d in sorted((-s, d) for x, d, s in rows if x == q)[:5]}
     assert top(few) == top(more) and len({q for q, *_ in few}) == 40
+
+
+def test_written_tables_are_broadcast_by_their_rows_not_their_files(spark):
+    from placewright.operators import store
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    wide = lambda n: store.kept(spark.range(n).select((F.col("id") % 7).alias("k"), F.lit("the same text in every row").alias("text")), "wide")
+    asked = spark.range(1_000_000).select(F.col("id").alias("k"))
+    many, few = wide(400_000), wide(700)
+    # What is made of such a table is as large; files of both are small.
+    for df in (many, many.where("k > 2"), many.select(F.explode(F.array("k", F.col("k") + 1)).alias("k"))):
+        assert "BroadcastHashJoin" not in plan(asked.join(df, "k"))
+    assert "BroadcastHashJoin" in plan(asked.join(few, "k"))
+    assert many.count() == 400_000 and many.join(few.select("k").distinct(), "k").count() == 400_000
