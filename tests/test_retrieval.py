@@ -117,3 +117,21 @@ def test_written_tables_are_broadcast_by_their_rows_not_their_files(spark):
         assert "BroadcastHashJoin" not in plan(asked.join(df, "k"))
     assert "BroadcastHashJoin" in plan(asked.join(few, "k"))
     assert many.count() == 400_000 and many.join(few.select("k").distinct(), "k").count() == 400_000
+
+
+def test_what_many_queries_ask_is_written_small(spark, tmp_path):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 290, "012345").otherwise("54321").alias("text"))
+    asked = spark.range(20_000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 1000 == 7, "54321").otherwise("012345").alias("text"))
+    clause = asked.select("query_id", F.lit(0).alias("clause_id"), F.lit(1).alias("grp"), F.lit(True).alias("must"), F.lit("term").alias("kind"), F.lit("text").alias("field"), "text", F.lit(1.0).alias("boost"), F.lit(0.0).alias("tie"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as where tables are larger
+    try:
+        search.clause_scores(clause, index.build(docs, ["text"], synonyms=False), kinds=("term",)).select("query_id", "doc_id").write.parquet(f"{tmp_path}/met")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    met = spark.read.parquet(f"{tmp_path}/met")
+    n, pairs, queries, ids = met.agg(F.count("*"), F.sum(F.xxhash64("query_id", "doc_id") % 1_000_003), F.sum("query_id"), F.sum("doc_id")).first()
+    want = asked.crossJoin(docs.withColumnRenamed("text", "own")).where("text = own").agg(F.count("*"), F.sum(F.xxhash64("query_id", "doc_id") % 1_000_003), F.sum("query_id"), F.sum("doc_id")).first()
+    assert (n, pairs, queries, ids) == tuple(want) and n == 19_980 * 290 + 20 * 10
+    # A list of 20 000 queries for each document took 2 bytes a row.
+    assert sum(f.stat().st_size for f in (tmp_path / "met").glob("*.parquet")) < n / 2
