@@ -385,6 +385,40 @@ def test_short_passages_of_frequent_fragments_are_brute_force(spark):
     assert {(p.other_id, p.doc_id) for p in found} >= {(10000 + 2 * p, 10001 + 2 * p) for p in range(48)}
 
 
+def test_passages_within_one_document_are_brute_force(spark):
+    """Texts that hold 45 to 70 words twice or three times, some edited, some with fragments between, and texts that go on repeating themselves."""
+    r, rows, edited = random.Random(9), {}, set()
+    for i in range(60):
+        words = prose(45 + i % 26, 20_000 + i).split()
+        other = words.copy()
+        if i % 3 == 2:
+            words, other = prose(80, 21_000 + i).split(), prose(80, 21_000 + i).split()
+            other[30], other[61] = "editone", "edittwo"
+            edited.add(i)
+        between = [prose(60, 22_000 + i), *([" ".join(words[5:35]), prose(20, 23_000 + i), " ".join(words[-30:])] if i % 4 == 0 else [])]
+        parts = [" ".join(words), *between, " ".join(other), *([prose(50, 24_000 + i), " ".join(words)] if i % 5 == 0 else [])]
+        rows[i] = " ".join([prose(r.randint(0, 40), 25_000 + i), *parts, prose(r.randint(0, 40), 26_000 + i)])
+    line = prose(10, 27_000)
+    rows[60] = " ".join([line] * 40)
+    rows[61] = "the " * 900
+    rows[62] = " ".join([line] * 8 + [prose(90, 27_001)] + [line] * 8)
+    want = set()
+    for i, text in rows.items():
+        w, where = text.split(), {}
+        for k in range(len(w) - 49):
+            where.setdefault(tuple(w[k : k + 50]), []).append(k)
+        if any(b - a >= 50 for at in where.values() for a, b in zip(at, at[1:])):
+            want.add(i)
+    assert 62 in want and not {60, 61} & want and {i for i in range(60) if i % 3 != 2 and i % 26 >= 5} <= want
+    found = passage_dedup.passages(table(spark, rows)).collect()
+    own = {p.doc_id for p in found if p.doc_id == p.other_id}
+    assert want | edited <= own and not {60, 61} & own
+    assert all(p.other_begin < p.begin for p in found if p.doc_id == p.other_id)
+    # Rows that repeat an id are compared each with itself.
+    twice = table(spark, {7: rows[0]}).unionByName(table(spark, {7: "a short text of few words"})).unionByName(table(spark, {8: prose(100, 28_000)}))
+    assert {(p.doc_id, p.other_id) for p in passage_dedup.passages(twice).collect()} == ({(7, 7)} if 0 in own else set())
+
+
 def test_upper_case_hex_keys_are_found(spark):
     key = "3F9A0C7E52B8D1464E0B93A7"
     rows = {1: f"key {key} end", 2: f"key {key.lower()[:22]} end", 3: "id 12345678901234567890 and " + "ABCDEF" * 4, 4: f"{key}g"}
